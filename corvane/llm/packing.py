@@ -155,33 +155,32 @@ def best_fit_decreasing(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.
     return bins, offset, made
 
 
-PACKED = "doc_id long, piece int, length int, bin long, offset long, slack int, gap int, bins int"
+PACKED = "uid long, length int, bin long, offset long, slack int, gap int, bins int"
 
 
 def _pack(df: DataFrame, room: int, salt: int, size: int, n: int) -> DataFrame:
-    """Deal (doc_id, piece, length) into partitions of about `size` pieces and pack each."""
+    """Deal (uid, length) into partitions of about `size` pieces and pack each."""
     parts = max(1, -(-n // size))
 
     def one(key, t):
-        t = t.sort_by([("doc_id", "ascending"), ("piece", "ascending")])
+        t = t.sort_by("uid")
         lengths = t["length"].to_numpy().astype(np.int64)
         bins, offset, made = best_fit_decreasing(lengths, room)
         filled = np.bincount(bins, lengths, made).astype(np.int64)
         gap = made - lower_bound(np.bincount(lengths, minlength=room + 1), room)
         base = ((salt << 31) + key[0].as_py()) << 31
         full = np.full(lengths.size, gap, np.int32)
-        return pa.table({"doc_id": t["doc_id"], "piece": t["piece"], "length": pa.array(lengths.astype(np.int32)), "bin": bins + base, "offset": offset, "slack": (room - filled[bins]).astype(np.int32), "gap": full, "bins": np.where(offset == 0, 1, 0).astype(np.int32)})
+        return pa.table({"uid": t["uid"], "length": pa.array(lengths.astype(np.int32)), "bin": bins + base, "offset": offset, "slack": (room - filled[bins]).astype(np.int32), "gap": full, "bins": np.where(offset == 0, 1, 0).astype(np.int32)})
 
-    keyed = df.select("doc_id", "piece", F.col("length").cast("int").alias("length"), F.expr(f"pmod(xxhash64(doc_id, piece, {salt}), {parts})").cast("int").alias("part"))
+    keyed = df.select("uid", F.col("length").cast("int").alias("length"), F.expr(f"pmod(xxhash64(uid, {salt}), {parts})").cast("int").alias("part"))
     return keyed.groupBy("part").applyInArrow(one, PACKED)
 
 
 def pack(parts: DataFrame, room: int = 2048, size: int = 60_000, rounds: int = 4) -> DataFrame:
-    """(doc_id, piece, length) with `bin` and `offset` for each piece, gapless in every bin.
+    """(uid, length) with `bin` and `offset` for each piece, gapless in every bin.
 
     Best-fit decreasing in partitions of about `size` pieces, then up to `rounds` exchanges between the partitions
-    whose bins outnumber their bound. No piece may be longer than `room`. Repeated (doc_id, piece) rows are packed
-    one by one.
+    whose bins outnumber their bound. No piece may be longer than `room`.
     """
     total = parts.groupBy("length").agg(F.count("*").alias("n")).where(f"length BETWEEN 0 AND {room}").collect()  # room + 1 rows at most
     counts = np.zeros(room + 1, np.int64)
@@ -207,16 +206,15 @@ def pack(parts: DataFrame, room: int = 2048, size: int = 60_000, rounds: int = 4
             break
         if fewer <= made:
             now, made = again, fewer
-    return now.select("doc_id", "piece", "bin", "offset")
+    return now.select("uid", "bin", "offset")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, room: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of each document.
 
-    A null or empty text is the end id alone. Rows that repeat a doc_id are expected to repeat its text; each
-    distinct (doc_id, piece, start, length, ids_crc32) is packed once. Rows without a doc_id count as one id. Other
+    A null or empty text is the end id alone. Every row is packed, repeated rows and rows without a doc_id too. Other
     columns are ignored.
     """
-    cut = written(pieces(docs, vocabulary, room).dropDuplicates(["doc_id", "piece"]), "pieces")
-    out = cut.join(pack(cut.select("doc_id", "piece", "length"), room), ["doc_id", "piece"])
+    cut = written(pieces(docs, vocabulary, room).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    out = cut.join(pack(cut.select("uid", "length"), room), "uid")
     return out.select(id_out(), "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
