@@ -86,3 +86,17 @@ SELECT d.doc_id, coalesce(count(k.i), 0) AS n_lines, coalesce(count(*) FILTER (W
        sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.i) FILTER (WHERE NOT k.dropped), '')) AS kept_sha256
 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id
 """
+
+
+@query
+def op1_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.run_length_index import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+@query
+def op4_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.suffix_automaton import remove_later_copies
+
+    return remove_later_copies(table(spark, sf_dir, "documents"), keep_text=False)
