@@ -112,5 +112,13 @@ def gram_hashes(w: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+def gram_hashes_of(rows: np.ndarray) -> np.ndarray:
+    """gram_hashes of each row as one gram."""
+    h = np.zeros(rows.shape[0], np.uint64)
+    for i in range(rows.shape[1]):
+        h = h * _M[0] + rows[:, i]
+    return mix(h)
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)

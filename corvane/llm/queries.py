@@ -100,3 +100,10 @@ def op4_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.suffix_automaton import remove_later_copies
 
     return remove_later_copies(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+@query
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.winnow import decontaminate, digest
+
+    return digest(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
