@@ -107,3 +107,10 @@ def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.winnow import decontaminate, digest
 
     return digest(decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query
+def op7_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
