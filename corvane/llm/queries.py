@@ -114,3 +114,10 @@ def op7_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.quality import judge
 
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_count_vector_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.ngram_join import link_documents
+
+    return link_documents(table(spark, sf_dir, "documents"), k=4, percent=85)
