@@ -121,3 +121,10 @@ def op3_count_vector_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.ngram_join import link_documents
 
     return link_documents(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+@query
+def op5_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.site_templates import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
