@@ -128,3 +128,10 @@ def op5_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.site_templates import extract
 
     return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.pii import digest, find_personal_data
+
+    return digest(find_personal_data(table(spark, sf_dir, "documents")))
