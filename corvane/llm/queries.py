@@ -68,8 +68,8 @@ FROM e GROUP BY conv_id
 def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.line_templates import drop_recurring_lines
 
-    d = drop_recurring_lines(table(spark, sf_dir, "documents"))
-    return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    d = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("kept_sha256"))
 
 
 ORACLES["op10_line_templates"] = r"""
