@@ -127,6 +127,42 @@ def _scan(docs: DataFrame, block) -> DataFrame:
     return docs.mapInArrow(run, HITS)
 
 
+def _blocks(benchmark: DataFrame, w: int, block_bytes: int) -> Iterator:
+    """The benchmark's items as broadcast blocks of bounded size."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    share = benchmark.sparkSession.sparkContext.broadcast
+    now: list[tuple[str, bytes]] = []
+    size = 0
+    for r in items.toLocalIterator():
+        text = r["text"].encode()
+        if now and size + len(text) > block_bytes:
+            yield share(Block(now, w, min(GRAM, w)))
+            now, size = [], 0
+        now.append((r["id"], text))
+        size += len(text) + 100
+    yield share(Block(now, w, min(GRAM, w)))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, w: int = 10, block_bytes: int = 32_000_000) -> DataFrame:
+    """The rows of docs without any hit of decontaminate(), with all their columns; each block filters in turn."""
+    at = docs.columns.index("text")
+    for block in _blocks(benchmark, w, block_bytes):
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            b = block.value
+            for batch in batches:
+                for lo, hi in slices(batch.column(at)):
+                    part = batch.slice(lo, hi - lo)
+                    words = [item_words(t) for t in text_bytes(part.column(at))]
+                    hit = b.hits(np.concatenate([word_hashes(x) for x in words]), np.cumsum([len(x) for x in words]))[1]
+                    clean = np.ones(len(words), bool)
+                    clean[[t for t, _ in hit]] = False
+                    yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, w: int = 10, block_bytes: int = 32_000_000) -> DataFrame:
     """doc_id, n_words, hit (spans of hit words), items (ids of items with occurring windows, sorted as strings), of
     every row of docs.
@@ -137,23 +173,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, w: int = 10, block_byte
     block_bytes, whole items each; an item alone may be longer. With several blocks a document's rows are merged
     under its doc_id, so ids must be unique then. Other columns are ignored.
     """
-    spark = docs.sparkSession
     d = with_key(docs, "doc_id", ("text", "text"))
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-
-    def blocks() -> Iterator[list[tuple[str, bytes]]]:
-        now: list[tuple[str, bytes]] = []
-        size = 0
-        for r in items.toLocalIterator():
-            text = r["text"].encode()
-            if now and size + len(text) > block_bytes:
-                yield now
-                now, size = [], 0
-            now.append((r["id"], text))
-            size += len(text) + 100
-        yield now
-
-    parts = [_scan(d, spark.sparkContext.broadcast(Block(x, w, min(GRAM, w)))) for x in blocks()]
+    parts = [_scan(d, b) for b in _blocks(benchmark, w, block_bytes)]
     out = parts[0]
     if len(parts) == 1:
         out = out.withColumn("items", F.array_sort(F.array_distinct("items")))
