@@ -11,8 +11,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +37,10 @@ def _byte_chars() -> dict[int, str]:
 
 
 class WordIds(dict):
-    """Token ids of each white-space-delimited word (bytes); two generations of at most `most` words each."""
+    """Token ids, as little-endian 32-bit numbers, of each white-space-delimited word (bytes). Two generations of at
+    most `most` words each are remembered."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -48,16 +49,16 @@ class WordIds(dict):
         self.most, self.old, self.pieces = most, {}, {}
         self.chars = _byte_chars()
 
-    def piece(self, p: str) -> list[int]:
+    def piece(self, p: str) -> bytes:
         ids = self.pieces.get(p)
         if ids is None:
             if len(self.pieces) >= self.most:
                 self.pieces.clear()
             shown = p if p.isascii() else "".join(map(self.chars.__getitem__, p.encode()))
-            ids = self.pieces[p] = [t.id for t in self.model.tokenize(shown)]
+            ids = self.pieces[p] = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         return ids
 
-    def __missing__(self, word: bytes) -> list[int]:
+    def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
         if ids is None:
             if word.isascii() and word.isalpha():
@@ -70,22 +71,20 @@ class WordIds(dict):
         self[word] = ids
         return ids
 
-    def any_word(self, w: str) -> list[int]:
+    def any_word(self, w: str) -> bytes:
         if w.isascii() and w.isprintable():
             parts = ASCII_PIECES.findall(w.lower())
         elif LATIN.fullmatch(w) and w.isprintable() and "İ" not in w:
             parts = PIECES.findall(w.lower())  # NFC leaves these characters as they are
         else:
-            return self.tokenizer.encode(w, add_special_tokens=False).ids
-        if len(parts) == 1:
-            return self.piece(parts[0])
-        return list(chain.from_iterable(map(self.piece, parts)))
+            return array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.piece, parts))
 
     def encode(self, text: bytes) -> np.ndarray:
         """The library's ids for the whole text. White space ends words and leaves no token, so words stand alone."""
         if b"<|" in text:  # special tokens may hold or touch anything
             return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4")
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), "<u4")
+        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u4")
 
 
 _ids: dict[str, WordIds] = {}
