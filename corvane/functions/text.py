@@ -232,6 +232,12 @@ def swap_base(base: Column, spec: Column, language: Column) -> Column:
     return F.concat(as_comment(spec, language), F.lit("\n"), base)
 
 
+def strategy(pick: Column, previous: Column) -> Column:
+    """New, mutate, equivalent or combine by a pick of 0 to 3; a combination without a previous example is
+    picked anew, here as a new program. A negative pick asks for none."""
+    return F.when(pick == 1, "mutate").when(pick == 2, "equivalent").when((pick == 3) & previous.isNotNull(), "combine").when(pick >= 0, "new")
+
+
 def cloze_prompt(masked: Column, language: Column) -> Column:
     """X25."""
     return F.concat(
