@@ -167,7 +167,7 @@ def _pack(df: DataFrame, room: int, salt: int, size: int, n: int) -> DataFrame:
         bins, offset, made = best_fit_decreasing(lengths, room)
         filled = np.bincount(bins, lengths, made).astype(np.int64)
         gap = made - lower_bound(np.bincount(lengths, minlength=room + 1), room)
-        base = ((salt << 31) + key[0].as_py()) << 31
+        base = ((salt << 28) + key[0].as_py()) << 31
         full = np.full(lengths.size, gap, np.int32)
         return pa.table({"uid": t["uid"], "length": pa.array(lengths.astype(np.int32)), "bin": bins + base, "offset": offset, "slack": (room - filled[bins]).astype(np.int32), "gap": full, "bins": np.where(offset == 0, 1, 0).astype(np.int32)})
 
@@ -179,7 +179,7 @@ def pack(parts: DataFrame, room: int = 2048, size: int = 60_000, rounds: int = 4
     """(uid, length) with `bin` and `offset` for each piece, gapless in every bin.
 
     Best-fit decreasing in partitions of about `size` pieces, then up to `rounds` exchanges between the partitions
-    whose bins outnumber their bound. No piece may be longer than `room`.
+    whose bins outnumber their bound, each in partitions twice the size of the last. No piece may be longer than `room`.
     """
     total = parts.groupBy("length").agg(F.count("*").alias("n")).where(f"length BETWEEN 0 AND {room}").collect()  # room + 1 rows at most
     counts = np.zeros(room + 1, np.int64)
@@ -199,9 +199,9 @@ def pack(parts: DataFrame, room: int = 2048, size: int = 60_000, rounds: int = 4
             moves = F.col("slack") > 0
             loose = now.where(moves)
             m = loose.count()
-        again = written(now.where(~moves).unionByName(_pack(loose, room, k, size, m)), "packed")
+        again = written(now.where(~moves).unionByName(_pack(loose, room, k, size << k, m)), "packed")
         fewer = again.agg(F.sum("bins")).first()[0] or 0
-        if fewer >= made and m <= size:
+        if fewer >= made and m <= size << k:
             break
         if fewer <= made:
             now, made = again, fewer

@@ -3,9 +3,11 @@
 A text is a row of units, bytes or words. Every window of W units has one anchor: the leftmost smallest of the
 hashes of its K-unit grams. Equal windows have equal anchors at equal places, so windows that recur meet under
 their anchor's hash. An anchor answers for a run of neighbouring windows; those windows' units are its context.
-Anchors are shuffled by hash and streamed in sorted order, with memory for one group at a time and a bounded
-summary for large ones: unique anchors end there, members of equal contexts are settled there, and one
-representative of each context, where an anchor has several, goes on to an index.
+Equal contexts are combined before the shuffle: of those within a task all but the first are settled at once and
+travel under keys of their own, so a hot anchor sends a few rows from each task. The rest are shuffled by hash and
+streamed in sorted order, with memory for one group at a time and a bounded summary for large ones: unique anchors
+end there, members of equal contexts are settled there, and one representative of each context, where an anchor has
+several, goes on to an index.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from corvane.llm.common import mix
 
 _rng = np.random.default_rng(20240607)
 BYTE_HASH = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -98,11 +100,36 @@ def unpack_place(x):
     return x >> 24, (x >> 12) & 4095, x & 4095
 
 
+#: What is known of a row when it is shuffled, above the bits of its place: nothing, that its context occurs again,
+#: that it is settled.
+KIND = 60
+OPEN, AGAIN, SETTLED = 0, 1, 2
+PLACE = (1 << KIND) - 1
+
+
+def combine(h: np.ndarray, c: np.ndarray, doc: np.ndarray, place: np.ndarray, ordered: bool) -> tuple[np.ndarray, ...]:
+    """Of each task's rows of equal context the first stays open for the shuffle; ordered, all of the first document.
+    The others are settled, and their keys are spread by what they are."""
+    o = np.lexsort((place, doc, c, h))
+    h, c, doc, place = h[o], c[o], doc[o], place[o]
+    new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])) if h.size else np.empty(0, bool)
+    first = np.flatnonzero(new)
+    run = np.cumsum(new) - 1
+    if ordered:
+        settled, again = doc != doc[first][run], np.zeros(h.size, bool)
+    else:
+        settled = ~new
+        again = new & (np.diff(np.append(first, h.size)) > 1)[run]
+    own = mix(doc.view(np.uint64) * _MUL[9] + place.view(np.uint64))
+    return np.where(settled, own, h), c, doc, place | np.where(settled, SETTLED, np.where(again, AGAIN, OPEN)) << KIND
+
+
 Units = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
-def anchor_rows(docs: DataFrame, units: Units, w: int, k: int) -> DataFrame:
-    """docs: doc_id, text. units gives a batch's unit hashes and the texts' ends among them."""
+def anchor_rows(docs: DataFrame, units: Units, w: int, k: int, ordered: bool) -> DataFrame:
+    """docs: doc_id, text. units gives a batch's unit hashes and the texts' ends among them. Rows of equal context
+    are combined, in a sense that `ordered` gives as in settle()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,8 +138,9 @@ def anchor_rows(docs: DataFrame, units: Units, w: int, k: int) -> DataFrame:
                 u, ends = units(b.column(1).slice(lo, hi - lo))
                 i, a, n, p, h, c = anchors(u, ends, w, k)
                 if i.size:
-                    a = a - np.append(0, ends)[i]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[lo:hi][i]), pa.array(pack_place(a, n, p))], ["h", "c", "doc_id", "a"])
+                    place = pack_place(a - np.append(0, ends)[i], n, p)
+                    h, c, doc, place = combine(h, c, ids[lo:hi][i], place, ordered)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(place)], ["h", "c", "doc_id", "a"])
 
     return docs.mapInArrow(run, ROW)
 
@@ -134,8 +162,8 @@ def settle(rows: DataFrame, ordered: bool, limit: int = 200_000) -> DataFrame:
     smaller id. A group over `limit` rows is reduced to a few rows as it streams by."""
 
     def judge(x: dict, part: slice) -> tuple[np.ndarray, np.ndarray]:
-        h, c, d = x["h"][part], x["c"][part], x["doc_id"][part]
-        n = h.size
+        h, c, d, kind = x["h"][part], x["c"][part], x["doc_id"][part], x["a"][part] >> KIND
+        settled, n = kind == SETTLED, h.size
         new_h = np.append(True, h[1:] != h[:-1])
         new_c = new_h | np.append(True, c[1:] != c[:-1])
         run = np.cumsum(new_c) - 1
@@ -145,8 +173,9 @@ def settle(rows: DataFrame, ordered: bool, limit: int = 200_000) -> DataFrame:
         mixed = (np.bincount(group[first]) > 1)[group]
         if ordered:
             of_first = d == d[first][run]
-            return ~of_first, mixed & of_first
-        return (runs > 1)[run], mixed & new_c
+            return ~of_first | settled, mixed & of_first & ~settled
+        often = (runs > 1) | (np.bincount(run, kind == AGAIN, first.size) > 0)
+        return often[run] | settled, mixed & new_c & ~settled
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict | None = None
@@ -161,7 +190,7 @@ def settle(rows: DataFrame, ordered: bool, limit: int = 200_000) -> DataFrame:
                 i = np.append(np.flatnonzero(whole), np.flatnonzero(rep))
                 if i.size:
                     kind = np.append(np.zeros(int(whole.sum()), bool), np.ones(int(rep.sum()), bool))
-                    yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(x[k][i]) for k in names)], ["rep", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(x[k][i] & PLACE if k == "a" else x[k][i]) for k in names)], ["rep", *names])
 
         for b in batches:
             if not b.num_rows:
@@ -179,7 +208,9 @@ def settle(rows: DataFrame, ordered: bool, limit: int = 200_000) -> DataFrame:
                 yield from emit(x, x["h"].size)
                 keep = np.arange(at, x["h"].size)
                 keep = keep[x["doc_id"][keep] == x["doc_id"][at]] if ordered else keep[:1]
-                keep = np.append(at - 1, keep) if at else keep
+                if at:
+                    keep = np.append(at - 1, keep)
+                    x["whole"][at - 1] = x["rep"][at - 1] = True
                 x = {k: y[keep] for k, y in x.items()}
             held = x
         if held:

@@ -132,7 +132,7 @@ def runs(starts: np.ndarray) -> list[tuple[int, int]]:
 
 def find_repeats(docs: DataFrame, w: int = 400, shard_bytes: int = 1_000_000) -> DataFrame:
     """doc_id and packed place of every run of windows of docs (doc_id, text) that starts anywhere else too."""
-    found = written(settle(anchor_rows(docs, byte_units, w, GRAM), ordered=False), "byte-anchors")
+    found = written(settle(anchor_rows(docs, byte_units, w, GRAM, ordered=False), ordered=False), "byte-anchors")
     reps = found.where("rep")
     size = reps.agg(F.sum(F.expr(f"((a >> 12) & 4095) + {w}"))).first()[0] or 0
     ctx = contexts(docs, reps.select("h", "c", "doc_id", "a"), lambda t: t, w, max(1, -(-size // shard_bytes)))

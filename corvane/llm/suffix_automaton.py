@@ -108,7 +108,7 @@ def stream(rows: list[tuple[int, list[int]]], w: int) -> list[np.ndarray]:
 
 def find_later_copies(docs: DataFrame, w: int = 13, shard_words: int = 400_000) -> DataFrame:
     """doc_id and packed place of every run of windows of docs (doc_id, text) known from a smaller doc_id."""
-    found = written(settle(anchor_rows(docs, word_units, w, GRAM), ordered=True), "word-anchors")
+    found = written(settle(anchor_rows(docs, word_units, w, GRAM, ordered=True), ordered=True), "word-anchors")
     reps = found.where("rep")
     size = reps.agg(F.sum(F.expr(f"((a >> 12) & 4095) + {w - 1}"))).first()[0] or 0
     ctx = contexts(docs, reps.select("h", "c", "doc_id", "a"), lambda t: word_hashes(t.split()), w, max(1, -(-size // shard_words)))
