@@ -191,17 +191,15 @@ def pack(parts: DataFrame, room: int = 2048, size: int = 60_000, rounds: int = 4
     for k in range(1, rounds + 1):
         if made <= least:
             break
-        moves = (F.col("gap") > 0) & (F.col("slack") > 0)
+        # First the partitions above their own bound; then all, as each may meet its bound and they together not.
+        moves = (F.col("slack") > 0) & ((F.col("gap") > 0) | F.lit(k > 1))
         loose = now.where(moves)
         m = loose.count()
         if m == 0:
-            # every partition meets its own bound, so only their unfilled bins together can do better
-            moves = F.col("slack") > 0
-            loose = now.where(moves)
-            m = loose.count()
+            continue
         again = written(now.where(~moves).unionByName(_pack(loose, room, k, size << k, m)), "packed")
         fewer = again.agg(F.sum("bins")).first()[0] or 0
-        if fewer >= made and m <= size << k:
+        if fewer >= made and k > 1 and m <= size << k:
             break
         if fewer <= made:
             now, made = again, fewer
