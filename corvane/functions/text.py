@@ -110,6 +110,29 @@ def fenced(c: Column) -> Column:
     return F.coalesce(F.when(F.instr(inner, "\n") > 0, F.substr(inner, F.instr(inner, "\n") + 1)), F.lit(""))
 
 
+#: A main function, opened; fixed patterns.
+OPENED_MAIN = r"int\s+main\s*\([^;{]*\)\s*\{\s*\z"
+ECHOED = r"^(?:#include\s*<[^>]+>\s*)*\s*int\s+main\s*\(\s*\)\s*\{"
+OWN_MAIN = r"(?m)^[ \t]*int\s+main\s*\([^;{]*\)\s*\{"
+
+
+def mend_scaffold(c: Column, begin: str) -> Column:
+    """If the scaffold opens a main, an echo of it after itself goes; where a whole program follows instead, the
+    scaffold keeps its header alone. `c` starts with `begin`."""
+    from re import search, sub
+
+    if not search(OPENED_MAIN.replace(r"\z", r"\Z"), begin.rstrip()):
+        return c
+    after = F.regexp_replace(F.substr(c, F.lit(len(begin) + 1)), r"^\n+", "")
+    header = sub(r"int\s+main\s*\(\s*\)\s*\{\s*\Z", "", begin).rstrip()
+    echo = F.regexp_like(after, F.lit(ECHOED))
+    return (
+        F.when(echo, F.concat(F.lit(begin + "\n"), F.regexp_replace(after, "(?s)" + ECHOED + "(.*)", "$1")))
+        .when(F.regexp_like(after, F.lit(OWN_MAIN)), F.concat(F.lit(header + "\n"), after))
+        .otherwise(c)
+    )
+
+
 def drop_lines(c: Column, keep) -> Column:
     return F.array_join(F.filter(F.split(c, "\n"), keep), "\n")
 
@@ -252,13 +275,14 @@ def bias_sentence(bias: Column, known: dict[str, str] = BIASES) -> Column:
     return F.concat(F.lit("When generating code, focus on "), said, F.lit("."))
 
 
-SPLICED = "/* [HUF-SAEM Phase4: constraint-solver generated] */\n"
+#: Marks spliced programs; a caller may ask for another comment.
+SPLICED = "/* constraint-solver generated */\n"
 
 
-def splice(base: Column, snippet: Column, language: Column) -> Column:
+def splice(base: Column, snippet: Column, language: Column, head: str = SPLICED) -> Column:
     """A solution as a program of its language; a blank one leaves the base."""
     s = F.regexp_replace(snippet, r"^\s+|\s+$", "")
-    head = F.lit(SPLICED)
+    head = F.lit(head)
     c = F.when(F.regexp_like(s, F.lit(r"(?<![A-Za-z0-9_])main\s*\(")), F.concat(head, s)).otherwise(F.concat(head, F.lit("int main(void) {\n"), s, F.lit("\nreturn 0;\n}\n")))
     java = F.when(F.contains(s, F.lit("class ")) & F.contains(s, F.lit("main")), F.concat(head, s)).otherwise(
         F.concat(head, F.lit("public class SolverGenerated {\n  public static void main(String[] args) {\n    "), s, F.lit("\n  }\n}\n"))

@@ -117,6 +117,31 @@ def natural_order(spark, sf_dir):
     return t.select("c_custkey", F.expr("row_number() OVER (ORDER BY k, c_custkey)").cast("long").alias("rank"))
 
 
+BEGIN = "#include <x>\nint main() {\n"
+ECHO = "CASE doc_id % 3 WHEN 0 THEN '#include <y>' || chr(10) || 'int main( ) {' WHEN 1 THEN 'struct s;' || chr(10) || '  int main(int a) {' ELSE 'x = 1;' END || left(source, 9)"
+query("x7_mend_scaffold", rf"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '#include <x>' || chr(10) || 'int main() {{' || chr(10) || chr(10) || left(source, 9) WHEN 1 THEN '#include <x>' || chr(10) || 'struct s;' || chr(10) || '  int main(int a) {{' || left(source, 9) ELSE '#include <x>' || chr(10) || 'int main() {{' || chr(10) || 'x = 1;' || left(source, 9) END AS out FROM documents")(
+    lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", T.mend_scaffold(F.concat(F.lit(BEGIN), F.expr(ECHO.replace("chr(10)", "'\\n'"))), BEGIN).alias("out"))
+)
+
+
+@query("v6_static_check", "SELECT doc_id, doc_id % 3 <> 2 AS ok FROM documents")
+def static_check(spark, sf_dir):
+    from corvane.functions.targets import parsed
+
+    m = F.col("doc_id") % 3
+    c = F.concat(F.lit("a = 1\n"), F.when(m == 0, "b = 2").when(m == 1, "b = (").otherwise("b = (\nc"))
+    return table(spark, sf_dir, "documents").select("doc_id", parsed(c)["ok"].alias("ok"))
+
+
+@query("u4_response_table", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'r' || page_id END AS response FROM pages")
+def response_table(spark, sf_dir):
+    from corvane.operators.agents import respond
+
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), "page_id").alias("prompt"))
+    known = p.where("page_id % 2 = 0").select(F.md5("prompt").alias("prompt_md5"), F.concat(F.lit("r"), "page_id").alias("response"))
+    return respond(p, "prompt", known).select("page_id", "response")
+
+
 # Predicates on texts.
 query("f1_required_api", f"SELECT doc_id FROM {SRC} WHERE doc_id % 10 = 0 OR contains(trim(replace(code, ' if ', ''), ' ' || chr(10)), ' {{ ')")(
     lambda spark, sf_dir: code(spark, sf_dir).where(T.promoted_text(F.col("code"), F.when(F.col("doc_id") % 10 != 0, F.lit(" { ")), " if ")).select("doc_id")

@@ -71,3 +71,26 @@ def test_verdicts(spark):
 def test_required_api_null_passes(spark):
     d = spark.createDataFrame([("a", None), ("a", "b"), (" b ", "b")], "c string, api string")
     assert [r[0] for r in d.select(T.promoted_text(F.col("c"), F.col("api"))).collect()] == [True, False, True]
+
+
+def test_targets_and_settings(spark, tmp_path):
+    from corvane.functions.targets import LANGUAGES, make_target
+    from corvane.sources import config
+
+    d = spark.createDataFrame([("int main() { // x\n assert ", 0)], "c string, e int")
+    for language in LANGUAGES:
+        t = make_target(language, begin="int main() {", target_api="assert")
+        r = d.select(t.keep(F.col("c")).alias("k"), t.clean(F.col("c")).alias("c"), t.clean_code(F.col("c")).alias("d"), t.wrap_prompt(F.col("c")).alias("w"), t.verdict(F.col("e"), F.lit(""), F.lit(False)).alias("v")).first()
+        assert r["k"] == (language != "go" or True) and r["v"] == "SAFE" and r["w"].endswith("int main() {")
+    with __import__("pytest").raises(ValueError):
+        make_target("cobol")
+    assert config.settings({"a": {"window": 7, "other": 1}, "b": {"c": {"islands": 3}}}) == config.Settings(window=7, islands=3)
+    p = tmp_path / "best"
+    assert config.best_prompt(str(p), lambda: "x") == config.best_prompt(str(p), lambda: "y") == "x"
+
+
+def test_injected_responses(spark):
+    from corvane.operators.agents import respond_with
+
+    d = spark.createDataFrame([("a",), ("b",)], "p string")
+    assert sorted(tuple(r) for r in respond_with(d, "p", lambda s: s.str.upper()).collect()) == [("a", "A"), ("b", "B")]
