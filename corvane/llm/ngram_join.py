@@ -168,7 +168,8 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Tabl
 
 
 def _shared_keys(rows: DataFrame) -> DataFrame:
-    """(key, doc_id) of the keys that more than one document has."""
+    """(meeting, doc_id) of the documents that share a key. Keys that join the same documents are one meeting, named
+    by a hash of its members; a key whose rows reach into another batch names its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row, not yet sent
@@ -184,65 +185,119 @@ def _shared_keys(rows: DataFrame) -> DataFrame:
             if sent:
                 out[0] = False
             held = (key[-1], doc[-1], bool(out[-1]) or (key.size == 1 and sent))
+            start = np.flatnonzero(np.append(True, ~same))
+            group = np.cumsum(np.append(True, ~same)) - 1
+            name = np.add.reduceat(mix(doc.view(np.uint64)), start).view(np.int64)[group]
+            edge = (group == 0) | (group == group[-1])
+            name = np.where(edge, key, name)
             i = np.flatnonzero(out)
             if i.size:
-                yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(doc[i])], ["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(name[i]), pa.array(doc[i])], ["meeting", "doc_id"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, doc_id long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "meeting long, doc_id long").distinct()
 
 
 def _stars(meetings: DataFrame, percent: int) -> DataFrame:
-    """key, doc_id, n, vec to links (a, b) under the bounds, at most one for each row."""
+    """meeting, doc_id, n, vec to links (a, b) under the bounds, at most one for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, "key"):
-            key, doc, n = (t[c].to_numpy() for c in ("key", "doc_id", "n"))
+        for t in _grouped(batches, "meeting"):
+            key, doc, n = (t[c].to_numpy() for c in ("meeting", "doc_id", "n"))
             vec = [np.frombuffer(v, np.uint16) for v in t["vec"].to_pylist()]
-            cut = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), key.size]
-            a, b = [], []
-            for s, e in zip(cut, cut[1:]):
-                if e - s < 2:
-                    continue
-                g = min(v.size for v in vec[s:e])
-                root = CountTree(n[s:e], np.stack([fold(v, g) for v in vec[s:e]]), percent).stars()
-                i = np.flatnonzero(root != np.arange(e - s))
-                a.append(doc[s:e][i])
-                b.append(doc[s:e][root[i]])
-            if a and sum(map(len, a)):
+            cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), key.size)
+            pairs = cut[:-1][np.diff(cut) == 2]
+            i = _reaching(n, vec, pairs, percent)
+            a, b = [doc[i + 1]], [doc[i]]
+            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                if e - s > 2:
+                    for i, j in _level_stars(n[s:e], vec[s:e], percent):
+                        a.append(doc[s:e][i])
+                        b.append(doc[s:e][j])
+            if sum(map(len, a)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return meetings.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(run, "a long, b long").distinct()
+    return meetings.repartition("meeting").sortWithinPartitions("meeting", "n", "doc_id").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verify(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """cluster, i, j, doc_id, text to verified links (a, b): all that join the documents of blocks i and j."""
+def _level_stars(n: np.ndarray, vec: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Stars of one meeting, sorted by n. Bounds are only as sharp as the groups are many for the set's size, so each
+    length of vector has a tree of its own, joined by the points of longer vectors that may match its largest."""
+    size = np.array([v.size for v in vec])
+    for g in np.unique(size):
+        m = np.flatnonzero((size == g) | (size > g) & (percent * n.astype(np.int64) <= 100 * int(n[size == g].max())))
+        if m.size > 1:
+            root = CountTree(n[m], np.stack([fold(vec[x], g) for x in m]), percent).stars()
+            i = np.flatnonzero(root != np.arange(m.size))
+            yield m[i], m[root[i]]
+
+
+def _reaching(n: np.ndarray, vec: list[np.ndarray], first: np.ndarray, percent: int) -> np.ndarray:
+    """Of the places whose row makes a meeting of two with the next row, those whose bound reaches the threshold."""
+    size = np.array([min(vec[i].size, vec[i + 1].size) for i in first], np.int64)
+    out = []
+    for g in np.unique(size):
+        i = first[size == g]
+        u, v = (np.stack([fold(vec[x], g) for x in y]) for y in (i, i + 1))
+        shared = np.where((u == 65535) | (v == 65535), 2**30, np.minimum(u, v)).sum(1, dtype=np.int64)
+        out.append(i[(100 + percent) * shared >= percent * (n[i].astype(np.int64) + n[i + 1])])
+    return np.concatenate(out) if out else first[:0]
+
+
+class Verifier:
+    """Full shingle sets of some documents, sorted by size."""
 
-    def one(key, t):
-        doc = t["doc_id"].to_numpy()
-        order = np.argsort(doc)
-        texts = text_bytes(t["text"].combine_chunks())
-        sets = [shingles(texts[i], k) for i in order]
+    def __init__(self, doc: np.ndarray, texts: list[bytes], k: int, percent: int):
+        sets = [shingles(t, k) for t in texts]
         n = np.array([s.size for s in sets])
-        by_n = np.argsort(n, kind="stable")
-        doc, sets, n = doc[order][by_n], [sets[i] for i in by_n], n[by_n]
-        ends = np.cumsum(n)
+        o = np.lexsort((doc, n))
+        self.doc, self.n, self.percent = doc[o], n[o], percent
+        self.sets = [sets[i] for i in o]
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """A star over each component of the documents that link."""
+        n, sets = self.n, self.sets
+        if n.size == 2:
+            shared = np.intersect1d(*sets, assume_unique=True).size
+            ok = 100 * shared >= self.percent * (n.sum() - shared)
+            return self.doc[1:][[ok]], self.doc[:1][[ok]]
         _, dense = np.unique(np.concatenate(sets), return_inverse=True)
         dense = dense.astype(np.int32)
-        mark = np.zeros(int(dense.max()) + 1 if dense.size else 1, bool)
+        start = np.cumsum(n) - n
+        mark = np.zeros(int(dense.max()) + 1, bool)
 
         def accept(x: int, got: np.ndarray) -> np.ndarray:
-            own = dense[ends[x] - n[x] : ends[x]]
+            own = dense[start[x] : start[x] + n[x]]
             mark[own] = True
-            shared = np.array([np.count_nonzero(mark[dense[ends[i] - n[i] : ends[i]]]) for i in got])
+            size = n[got]
+            before = np.cumsum(size) - size
+            shared = np.add.reduceat(mark[dense[np.repeat(start[got] - before, size) + np.arange(size.sum())]].astype(np.int64), before)
             mark[own] = False
-            return 100 * shared >= percent * (n[x] + n[got] - shared)
+            return 100 * shared >= self.percent * (n[x] + size - shared)
 
-        g = groups_for(int(n.min()))
-        root = CountTree(n, np.stack([count_vector(s, g) for s in sets]), percent).stars(accept)
+        g = GROUPS
+        while g < MOST_GROUPS and 2 * g < n[-1]:
+            g *= 2
+        root = CountTree(n, np.stack([count_vector(s, g) for s in sets]), self.percent).stars(accept)
         i = np.flatnonzero(root != np.arange(n.size))
-        return pa.table({"a": pa.array(doc[i]), "b": pa.array(doc[root[i]])})
+        return self.doc[i], self.doc[root[i]]
+
+
+def _verify(members: DataFrame, k: int, percent: int) -> DataFrame:
+    """cluster, i, j, doc_id, text to verified links (a, b): all that join the documents of blocks i and j."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, "task"):
+            task, doc = t["task"].to_numpy(), t["doc_id"].to_numpy()
+            texts = text_bytes(pa.chunked_array(t["text"].chunks, pa.string()).combine_chunks())
+            cut = np.append(np.flatnonzero(np.append(True, task[1:] != task[:-1])), task.size).tolist()
+            found = [Verifier(doc[s:e], texts[s:e], k, percent).links() for s, e in zip(cut, cut[1:]) if e - s > 1]
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return members.groupBy("cluster", "i", "j").applyInArrow(one, "a long, b long")
+    # Tasks are named by a hash; should two share one, more is compared and nothing less.
+    named = members.select(F.xxhash64("cluster", "i", "j").alias("task"), "doc_id", "text")
+    return named.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
 def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, block_docs: int = 4000, block_shingles: int = 4_000_000) -> DataFrame:
@@ -260,7 +315,7 @@ def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, block_docs: i
     known = sets.where("n > 0").select("doc_id", "n", "d1", "d2").join(rep, ["d1", "d2"])
     own = written(sets.join(rep.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"]), "distinct-sets")
     shared = _shared_keys(own.select(F.explode("keys").alias("key"), "doc_id"))
-    stars = _stars(shared.join(own.select("doc_id", "n", "vec"), "doc_id"), percent)
+    stars = _stars(shared.join(own.select("doc_id", "n", "vec"), "doc_id").select("meeting", "doc_id", "n", "vec"), percent)
     cluster = written(components(stars), "clusters")
     weight = cluster.join(own.select("doc_id", "n"), cluster["node"] == own["doc_id"])
     blocks = weight.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
