@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -63,10 +64,21 @@ def id_out(c: str = "doc_id") -> Column:
     return F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
 
 
+_memory: list = [("", lambda: None)]
+
+
+def take_memory(owner: str, release: Callable[[], None]) -> None:
+    """What a worker remembers for one kind of work is let go when it turns to another: workers live for many stages,
+    and what they keep adds up."""
+    if _memory[0][0] != owner:
+        _memory[0][1]()
+        _memory[0] = (owner, release)
+
+
 class WordHashes(dict):
     """64-bit hash of each word (bytes), remembered for up to `most` words at a time."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -81,6 +93,7 @@ HASHES = WordHashes()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    take_memory("hashes", HASHES.clear)
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 

@@ -130,7 +130,7 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = common.value
-        for b in batches:
+        for b in (b.slice(lo, hi - lo) for b in batches for lo, hi in slices(b.column(1))):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
                 s = shingles(text, k)

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import id_out, with_key, written
+from corvane.llm.common import id_out, take_memory, with_key, written
 
 #: The vocabulary's own normalisation and pre-tokens, as its file states them: fixed values.
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -40,7 +40,7 @@ class WordIds(dict):
     """Token ids, as little-endian 32-bit numbers, of each white-space-delimited word (bytes). Two generations of at
     most `most` words each are remembered."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -92,6 +92,7 @@ _ids: dict[str, WordIds] = {}
 
 def word_ids(path: str) -> WordIds:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    take_memory("ids", _ids.clear)
     if path not in _ids:
         _ids[path] = WordIds(path)
     return _ids[path]

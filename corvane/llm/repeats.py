@@ -145,7 +145,7 @@ def anchor_rows(docs: DataFrame, units: Units, w: int, k: int, ordered: bool) ->
     return docs.mapInArrow(run, ROW)
 
 
-def slices(col: pa.Array, most: int = 8_000_000) -> list[tuple[int, int]]:
+def slices(col: pa.Array, most: int = 4_000_000) -> list[tuple[int, int]]:
     """Runs of a batch's texts of about `most` bytes, so that a batch of long texts is not held many times over."""
     import pyarrow.compute as pc
 
