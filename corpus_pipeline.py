@@ -22,8 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go; n_chars follows the text. A document stays even if no line does."""
-    out = drop_recurring_lines(docs).select("row.*")
+    """Lines of templates that recur in distinct texts go; n_chars follows the text. A document stays even if no line
+    does."""
+    out = drop_recurring_lines(docs, by_text=True).select("row.*")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

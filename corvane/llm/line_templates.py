@@ -4,7 +4,9 @@ Each line is parsed at fixed depth: its token count, its leading tokens, then th
 a digit generalised to one wildcard. Lines that reach the same leaf share a template. A template recurs if at least
 `min_docs` documents have it and the surroundings vary: the pairs of neighbouring templates must number at least
 `min_variety` times those documents. Lines inside copies of one document stand between the same neighbours every
-time, so they are left to the duplicate operators. Lines of recurring templates are dropped everywhere.
+time, so they are left to the duplicate operators. By text, a template recurs if at least `min_docs` distinct texts
+have it, whatever surrounds it: texts with the same templates in the same order are one text, so copies count once.
+Lines of recurring templates are dropped everywhere.
 """
 
 from __future__ import annotations
@@ -59,7 +61,18 @@ def recurring(docs: DataFrame, min_docs: int = 5, min_variety: float = 0.5, dept
     return n.where((F.col("n_docs") >= min_docs) & (F.col("n_contexts") >= min_variety * F.col("n_docs"))), once
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, min_variety: float = 0.5, depth: int = 3) -> DataFrame:
+def recurring_by_text(docs: DataFrame, min_docs: int = 5, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """The templates of at least `min_docs` distinct texts (template, n_texts), and each row's templates (doc_id,
+    template, digest of its text's templates)."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.coalesce(template(x, depth), F.lit(0)))
+    told = lambda t: F.struct(F.xxhash64(t).alias("digest"), F.array_distinct(F.filter(t, lambda x: x != 0)).alias("t"))
+    each = docs.where("text IS NOT NULL").select("doc_id", _once(lines, told).alias("x"))
+    once = written(each.select("doc_id", "x.digest", F.explode("x.t").alias("template")), "line-templates")
+    n = once.groupBy("template", "digest").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("n_texts"))
+    return n.where(F.col("n_texts") >= min_docs), once
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, min_variety: float = 0.5, depth: int = 3, by_text: bool = False) -> DataFrame:
     """Each row of `docs` as it is but for `text`, which loses the lines of recurring templates, under `row`; beside
     it n_lines and n_dropped.
 
@@ -68,8 +81,9 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, min_variety: float
     document. Other columns go along in `row`, whatever their names.
     """
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").alias("text"), F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row"))
-    found, once = recurring(own.select("doc_id", "text"), min_docs, min_variety, depth)
-    gone = once.join(found, "template", "left_semi").groupBy("doc_id").agg(F.collect_list("template").alias("gone"))
+    texts = own.select("doc_id", "text")
+    found, once = recurring_by_text(texts, min_docs, depth) if by_text else recurring(texts, min_docs, min_variety, depth)
+    gone = once.join(found, "template", "left_semi").groupBy("doc_id").agg(F.collect_set("template").alias("gone"))
     t = own.join(gone, "doc_id", "left")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("gone", template(x, depth)), F.lit(False))), "\n")

@@ -33,6 +33,18 @@ def test_stages_of_odd_tables(spark):
         assert d.count() >= 0
 
 
+def test_line_dedup_counts_texts(spark):
+    """A licence block in 6 texts goes whole; a line in 10 texts goes, though one of them has 40 copies; copies alone stay."""
+    words = "ant bee cat dog elk fox gnu hen ibis jay".split()
+    licence = "licence says\nfirst of all\nthen the rest"
+    data = [(i, f"{w} begins\n{licence}\n{w} ends") for i, w in enumerate(words[:6])]
+    data += [(100 + i, f"{w} opens\nsee also\n{w} closes") for i, w in enumerate(words)]
+    data += [(200 + i, "ant opens\nsee also\nant closes") for i in range(40)] + [(300 + i, "only\ncopies\nhere") for i in range(9)]
+    got = dict(corpus_pipeline.line_dedup(spark, spark.createDataFrame(data, "doc_id long, text string"), SF).collect())
+    assert got[0] == "ant begins\nant ends" and got[109] == "jay opens\njay closes" and got[239] == "ant opens\nant closes"
+    assert got[308] == "only\ncopies\nhere"
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_matches_sql(spark, name):
     c = duckdb.connect()
