@@ -1,7 +1,9 @@
-"""Line dedup by a log-template tree, with Spark expressions only.
+"""Line dedup by hashes of masked lines, with Spark expressions only.
 
-Each line is parsed at fixed depth: its token count, its leading tokens, then the rest, with every token that holds
-a digit generalised to one wildcard. Lines that reach the same leaf share a template. A template recurs if at least
+Every token of a line that holds a digit is generalised to one wildcard, white space is made single spaces, and lines
+that are equal then share a template. This is not the template tree it is named for: the leaf is split into token count,
+leading tokens and the rest, but all of them are hashed, so no depth merges lines that differ in a word without a digit.
+A template recurs if at least
 `min_docs` documents have it and the surroundings vary: the pairs of neighbouring templates must number at least
 `min_variety` times those documents. Lines inside copies of one document stand between the same neighbours every
 time, so they are left to the duplicate operators. By text, a template recurs if at least `min_docs` distinct texts
