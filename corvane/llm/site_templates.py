@@ -1,9 +1,9 @@
 """Main text of web pages, with site template removal.
 
 Every element subtree of a page is hashed by its tag and text, and Spark counts on how many pages of a host each hash
-occurs. Subtrees that recur across many pages of their host are deleted: any where a page names no article, and
-containers and lists, but not plain paragraphs, inside one. What is known by its tag, role or class not to be
-article text goes as well. What remains is cut into blocks.
+occurs, over the whole body of every page. Subtrees that recur across many pages of their host are deleted. What is
+known by its tag, role or class not to be article text goes as well. A named article is only a hint: a header outside
+its sections is the site's, and what is inline in its paragraphs goes or stays with them. What remains is cut into blocks.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template iframe svg textarea title math canvas object xmp noembed".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr tbody figcaption".split()) | INLINE
+FRAME = frozenset(("html", "body"))
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "option": {"select", "datalist"}}
@@ -102,6 +103,8 @@ def parse(page: str) -> Node:
 
 def dropped(node: Node) -> bool:
     a = node.attrs
+    if node.tag in FRAME:
+        return False
     if node.tag in DROP_TAGS or a.get("role", "").lower() in DROP_ROLES:
         return True
     if not a:
@@ -128,46 +131,57 @@ def subtree_hashes(root: Node) -> dict[int, int]:
     return out
 
 
-def _content(root: Node) -> tuple[list[Node], bool]:
-    """The elements that hold the article, and whether the page names them."""
-    for named in (lambda x: x.tag == "article" or x.attrs.get("role") == "article" or "articlebody" in x.attrs.get("itemprop", "").lower(), lambda x: x.tag == "main" or x.attrs.get("role") == "main"):
-        found, todo = [], [root]
-        while todo:
-            node = todo.pop()
-            if node is not root and dropped(node):
-                continue
-            if named(node):
-                found.append(node)
-                continue
-            todo += [k for k in reversed(node.kids) if not isinstance(k, str)]
-        if found:
-            return found, True
-    body = [x for x in root.kids if not isinstance(x, str) and x.tag in ("body", "html")]
-    return [root] if not body else body, False
+def _names_article(x: Node) -> bool:
+    return x.tag in ("article", "main") or x.attrs.get("role") in ("article", "main") or "articlebody" in x.attrs.get("itemprop", "").lower()
+
+
+def _named(root: Node) -> bool:
+    """Whether a page names its article."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if dropped(node):
+            continue
+        if _names_article(node):
+            return True
+        todo += [k for k in node.kids if not isinstance(k, str)]
+    return False
+
+
+#: Where an element of a page that names its article is: in none of its sections, in a section, in the article, in a
+#: paragraph or heading of the article.
+OUTSIDE, SECTION, ARTICLE, PARAGRAPH = range(4)
+
+
+def _within(at: int, x: Node) -> int:
+    """Where what is in x is."""
+    if at >= ARTICLE:
+        return PARAGRAPH if x.tag in PLAIN and x.tag not in INLINE else at
+    return ARTICLE if _names_article(x) else SECTION if x.tag == "section" else at
 
 
 def templates(page: str) -> set[int]:
-    """Hashes of the subtrees of a page that a template could hold: those with text, in its content."""
+    """Hashes of the subtrees of a page that a template could hold: those with text."""
     root = parse(page)
     hashes = subtree_hashes(root)
-    tops, named = _content(root)
+    named = _named(root)
     out: set[int] = set()
-    for top in tops:
-        todo = [k for k in top.kids if not isinstance(k, str)]
-        while todo:
-            x = todo.pop()
-            if dropped(x):
-                continue
-            if not (named and x.tag in PLAIN) and x.kids:
-                out.add(hashes[id(x)])
-            todo += [k for k in x.kids if not isinstance(k, str)]
+    todo = [(k, OUTSIDE) for k in root.kids if not isinstance(k, str)]
+    while todo:
+        x, at = todo.pop()
+        if dropped(x) or named and at == OUTSIDE and x.tag == "header":
+            continue
+        if x.kids and not (at == PARAGRAPH and x.tag in INLINE):
+            out.add(hashes[id(x)])
+        inner = _within(at, x)
+        todo += [(k, inner) for k in x.kids if not isinstance(k, str)]
     return out
 
 
 def main_text(page: str, recurring: frozenset[int] = frozenset()) -> str:
-    """Blocks of the article, each with white space made single spaces, joined by an empty line."""
+    """Blocks of the page's text, each with white space made single spaces, joined by an empty line."""
     root = parse(page)
-    tops, named = _content(root)
+    named = _named(root)
     hashes = subtree_hashes(root) if recurring else {}
     blocks: list[str] = []
     now: list[str] = []
@@ -178,26 +192,30 @@ def main_text(page: str, recurring: frozenset[int] = frozenset()) -> str:
         if text:
             blocks.append(text)
 
-    for top in tops:
-        todo: list = [("end",), *reversed(top.kids)]
-        while todo:
-            x = todo.pop()
-            if isinstance(x, str):
-                now.append(x)
-            elif isinstance(x, tuple):
-                end()
-            elif dropped(x) or hashes and not (named and x.tag in PLAIN) and hashes[id(x)] in recurring:
-                if x.tag not in INLINE and x.tag not in RAW:
-                    end()
-            elif x.tag in INLINE:
-                if x.tag == "br":
-                    now.append(" ")
-                todo += reversed(x.kids)
-            else:
+    todo: list = [(k, OUTSIDE) for k in reversed(root.kids)]
+    while todo:
+        x, at = todo.pop()
+        if isinstance(x, str):
+            now.append(x)
+            continue
+        if x is None:
+            end()
+            continue
+        if dropped(x) or named and at == OUTSIDE and x.tag == "header" or hashes and not (at == PARAGRAPH and x.tag in INLINE) and hashes[id(x)] in recurring:
+            if x.tag not in INLINE and x.tag not in RAW:
                 end()
-                todo.append(("end",))
-                todo += reversed(x.kids if x.tag != "header" else [k for k in x.kids if not isinstance(k, str) and re.fullmatch("h[1-6]|hgroup|div", k.tag)])
-        end()
+            continue
+        inner, kids = _within(at, x), x.kids
+        if x.tag in INLINE:
+            if x.tag == "br":
+                now.append(" ")
+        else:
+            end()
+            todo.append((None, at))
+            if x.tag == "header":
+                kids = [k for k in kids if not isinstance(k, str) and re.fullmatch("h[1-6]|hgroup|div", k.tag)]
+        todo += [(k, inner) for k in reversed(kids)]
+    end()
     return "\n\n".join(blocks)
 
 

@@ -346,3 +346,13 @@ def test_pages(spark):
     assert got[3] == "Head & line\n\nOne bold it x y\n\nTwo3 é <tag>\n\na\n\nb" or "Join us" not in got[3]
     assert got[21] == got[None] == "" and got[22] == "plain\n\ntext\n\ntail" and got[23] == "1 < 2 unclosed\n\na"
     assert extract(d.limit(0)).count() == 0
+
+
+def test_pages_lose_only_what_is_counted(spark):
+    """Text beside an article stays, a paragraph that recurs inside one goes, and a word it shares with others stays."""
+    from corvane.llm.site_templates import extract
+
+    page = "<html><body class='social'><header><h1>Site</h1></header><div><h2>Title{0}</h2><p>Intro{0}</p></div><main><p>Story{0} of <b>note</b></p><article><p>Teaser{0}</p><p>Subscribe now</p></article></main><div>All rights</div></body></html><p>Tail{0}</p>"
+    d = spark.createDataFrame([(i, "http://h.example/x", page.format(i)) for i in range(6)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract(d).collect()}
+    assert got[3] == "Title3\n\nIntro3\n\nStory3 of note\n\nTeaser3\n\nTail3"
