@@ -1,10 +1,11 @@
 """Personal data: base patterns, and bootstrapped contextual extraction.
 
-What the base patterns and the seeds for secrets find are seed entities. Any word with a digit is an instance, and
-the words before it, with the label glued to it, are its lexical patterns. Spark scores the graph of patterns and
-instances in rounds: a pattern of a kind by the share of its distinct instances that are of the kind, an instance by
-its best pattern. Patterns with enough distinct instances and a high score then tag what they surround and no base
-span covers.
+What the base patterns and the seeds for secrets find are seed entities. Any word is an instance, and the words before
+it, with the label glued to it, are its lexical patterns. Spark scores the graph of patterns and instances in rounds: a
+pattern of a kind by the share of its distinct instances that are of the kind, an instance by its best pattern.
+Patterns with enough distinct instances and a high score then tag what they surround and no base span covers. Only the
+part of the graph that can matter is looked up in the texts: the patterns of values that have a score, and all values
+of those patterns that these lift to the least score that counts.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import id_out, with_key, written
+from corvane.llm.common import id_out, take_memory, with_key, written
 
 #: Kinds of the base, in their order, and what the seeds and patterns may add: fixed values.
 BASE = ("email", "ip", "card", "phone")
@@ -85,77 +87,175 @@ def shape(value: str) -> str:
     return "x"
 
 
-def instances(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, list[int], int, int]]:
-    """(start, end, pattern hashes, instance hash, seed kind or -1) of every word with a digit, less its label and
-    the punctuation around it. A base span is an instance as it stands."""
-    if not DIGIT.search(text):
-        return []
+class Parts(dict):
+    """Of a word: where its value starts and ends, less its label and the punctuation around it, where its label
+    starts, the label and the word in lower case. Remembered for up to `most` words at a time."""
+
+    most = 200_000
+
+    def __missing__(self, w: str) -> tuple[int, int, int, str, str]:
+        if len(self) >= self.most:
+            self.clear()
+        lead = len(w) - len(w.lstrip("\"'([{<"))
+        body = w[lead:].rstrip("\"')]}>,.;:!?")
+        label, mark, value = "", "", body
+        for sep in ("=", ":"):
+            if sep in value:
+                label, mark, value = value.rpartition(sep)
+                break
+        cut = len(value) - len(value.lstrip("\"'"))
+        s = lead + len(body) - len(value) + cut
+        out = self[w] = (s, s + len(value) - cut, lead, (label + mark).lower(), w.lower())
+        return out
+
+
+class Hashes(dict):
+    """_hash of up to `most` tuples at a time, remembered."""
+
+    most = 200_000
+
+    def __missing__(self, parts: tuple[str, ...]) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        h = self[parts] = _hash(*parts)
+        return h
+
+
+class Shapes(Hashes):
+    def __missing__(self, value: str) -> str:
+        if len(self) >= self.most:
+            self.clear()
+        x = self[value] = shape(value)
+        return x
+
+
+PARTS, HASHES, SHAPES = Parts(), Hashes(), Shapes()
+
+
+def let_go() -> None:
+    for x in (PARTS, HASHES, SHAPES):
+        x.clear()
+
+
+def instances(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, str, str, int]]:
+    """(start, end, the two words before, label, seed kind or -1) of every base span as it stands, and of the value of
+    every word that none overlaps."""
     covered = sorted((s, e, k) for k, s, e in spans)
-    seeds = covered + [(m.start(), m.end(), len(BASE)) for m in SECRET.finditer(text)]
-    kind_at = {s: (e, k) for s, e, k in reversed(seeds)}
-    out, last, i = [], ["", ""], 0
+    secrets = {m.start(): m.end() for m in SECRET.finditer(text)}
+    far, near, i, starts = "", "", 0, 0
     for m in WORD.finditer(text):
-        w = m.group()
-        if DIGIT.search(w):
-            lead = len(w) - len(w.lstrip("\"'([{<"))
-            body = w[lead:].rstrip("\"')]}>,.;:!?")
-            label, mark, value = "", "", body
-            for sep in ("=", ":"):
-                if sep in value:
-                    label, mark, value = value.rpartition(sep)
-                    break
-            cut = len(value) - len(value.lstrip("\"'"))
-            s = m.start() + lead + len(body) - len(value) + cut
-            e = s + len(value) - cut
-            while i < len(covered) and covered[i][1] <= m.start():
+        at, (a, b, lead, glued, low) = m.start(), PARTS[m.group()]
+        s, e = at + a, at + b
+        over = seeded = False
+        if covered:
+            stop = m.end()
+            while i < len(covered) and covered[i][1] <= at:
                 i += 1
-            over = i < len(covered) and covered[i][0] < m.end()
-            if s in kind_at and (over or kind_at[s][0] == e):
-                e, kind = kind_at[s]
-            else:
-                kind = -1
-            if e - s >= 6 and (kind >= 0 or not over):
-                v = text[s:e]
-                glued = (label + mark).lower()
-                first = _hash("1", last[1] if not glued else "", glued, shape(v))
-                both = _hash("2", last[0], last[1], glued, shape(v))
-                out.append((s, e, [first, both], _hash("v", v), kind))
-        last = [last[1], w.lower()]
-    return out
+            over = i < len(covered) and covered[i][0] < stop
+            while starts < len(covered) and covered[starts][0] < stop:
+                s1, e1, k = covered[starts]
+                yield s1, e1, far, near, glued if s1 == s else text[at + lead : s1].lower(), k
+                seeded = seeded or s1 == s
+                starts += 1
+        if s in secrets and not seeded and (over or secrets[s] == e):
+            yield s, secrets[s], far, near, glued, len(BASE)
+        elif not over and s < e:
+            yield s, e, far, near, glued, -1
+        far, near = near, low
 
 
-ROW = "doc_id long, spans array<struct<kind:int,start:int,end:int>>, seen array<struct<start:int,end:int,patterns:array<long>,value:long,kind:int>>"
+def patterns(far: str, near: str, glued: str, value: str) -> tuple[int, int]:
+    form = SHAPES[value]
+    return HASHES["1", "" if glued else near, glued, form], _hash("2", far, near, glued, form)
+
+
+ROW = "doc_id long, text string, spans array<struct<kind:int,start:int,end:int>>, seeds array<struct<start:int,end:int,value:long,kind:int>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Base spans and instances of each row."""
+    """docs: doc_id, text. Each row with its base spans and its seeds."""
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    seen = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("patterns", pa.list_(pa.int64())), ("value", pa.int64()), ("kind", pa.int32())]))
+    seed = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("kind", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("pii", let_go)
         for b in batches:
             spans, found = [], []
             for t in b.column(1).to_pylist():
                 x = base_spans(t or "")
                 spans.append([dict(zip(("kind", "start", "end"), y)) for y in x])
-                found.append([dict(zip(("start", "end", "patterns", "value", "kind"), y)) for y in instances(t or "", x)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, span), pa.array(found, seen)], ["doc_id", "spans", "seen"])
+                y = instances(t, x) if t and (x or SECRET.search(t)) else ()
+                found.append([{"start": s, "end": e, "value": _hash("v", t[s:e]), "kind": k} for s, e, _, _, _, k in y if k >= 0])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, span), pa.array(found, seed)], ["doc_id", "text", "spans", "seeds"])
 
     return docs.mapInArrow(run, ROW)
 
 
-def score_patterns(seen: DataFrame, rounds: int = 3, support: int = 5, confident: float = 0.8, doubt: float = 1.0) -> DataFrame:
-    """(pattern, kind, score) of the confident patterns, from rows (patterns, value, kind).
+#: Bits of a filter for hashes, by their lowest digits; what passes is joined with the hashes themselves.
+BITS = 2**23
+
+
+def look_up(own: DataFrame, by: str, wanted: DataFrame) -> DataFrame:
+    """(uid, start, end, pattern, value, kind) of the instances in the rows of scan() whose `by`, pattern or value, is
+    in wanted: a column of that name, distinct."""
+    set_bits = wanted.select((F.col(by).bitwiseAND(F.lit(BITS - 1))).cast("int").alias("bit")).distinct().toArrow().column("bit").to_numpy()
+    bits = np.zeros(BITS, bool)
+    bits[set_bits] = True
+    packed = own.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_memory("pii", let_go)
+        has = np.unpackbits(np.frombuffer(packed.value, np.uint8)).tobytes()
+        low = BITS - 1
+        for b in batches:
+            out: list[list[int]] = [[], [], [], [], [], []]
+            for uid, t, spans in zip(*(b.column(c).to_pylist() for c in range(3))):
+                for s, e, far, near, glued, kind in instances(t or "", [(x["kind"], x["start"], x["end"]) for x in spans]):
+                    v = t[s:e]
+                    if by == "value":
+                        h = HASHES["v", v]
+                        found = patterns(far, near, glued, v) if has[h & low] else ()
+                    else:
+                        found = [p for p in patterns(far, near, glued, v) if has[p & low]]
+                        h = HASHES["v", v] if found else 0
+                    for p in found:
+                        for c, x in zip(out, (uid, s, e, p, h, kind)):
+                            c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))], ["uid", "start", "end", "pattern", "value", "kind"])
+
+    if not set_bits.size:
+        own = own.limit(0)
+    got = own.select("uid", "text", "spans").mapInArrow(run, "uid long, start int, end int, pattern long, value long, kind int")
+    return got.join(wanted, by, "left_semi").select("uid", "start", "end", "pattern", "value", "kind")
+
+
+def score_patterns(own: DataFrame, rounds: int = 3, support: int = 5, confident: float = 0.8, doubt: float = 1.0) -> DataFrame:
+    """(pattern, kind, score) of the confident patterns, from the rows of scan().
 
     An edge joins a pattern and a distinct value. Seeds score 1 for their kind throughout; other values score their
     best pattern that has support. A pattern scores the sum of its values' scores over their number plus `doubt`.
+    Patterns whose values sum to less than `least` cannot reach half of `confident` with support, so their other
+    values are never asked for.
     """
-    edges = written(seen.select(F.explode("patterns").alias("pattern"), "value").distinct(), "pii-edges")
-    seed = seen.where("kind >= 0").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
-    degree = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-    value, out = written(seed, "pii-values"), None
+    least = confident / 2 * (support + doubt) - 1e-3
+    pairs = lambda by, wanted: look_up(own, by, wanted).select("pattern", "value").distinct()
+    seed = written(own.select(F.explode("seeds").alias("s")).select("s.value", "s.kind").distinct().withColumn("score", F.lit(1.0)), "pii-values")
+    value, out, asked = seed, None, {}
+
+    def ask(by: str, wanted: DataFrame) -> DataFrame:
+        """The edges of all that has been wanted so far."""
+        before = asked.get(by)
+        new = wanted.select(by).distinct()
+        new = written(new.join(before[0], by, "left_anti") if before else new, "pii-asked")
+        edges = written(pairs(by, new), "pii-edges")
+        asked[by] = (before[0].unionByName(new), before[1].unionByName(edges)) if before else (new, edges)
+        return asked[by][1]
+
     for _ in range(rounds):
-        gain = edges.join(value, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("s"))
+        gain = ask("value", value).join(value, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("s"))
+        gain = written(gain.where(F.col("s") >= least), "pii-gain")
+        edges = ask("pattern", gain)
+        degree = edges.groupBy("pattern").agg(F.count("*").alias("n"))
         out = written(gain.join(degree, "pattern").select("pattern", "kind", "n", (F.round(F.col("s") / (F.col("n") + doubt), 6)).alias("score")).where(F.col("n") >= support), "pii-patterns")
         told = edges.join(out.where(F.col("score") >= confident / 2).select("pattern", "kind", "score"), "pattern").groupBy("value", "kind").agg(F.max("score").alias("score"))
         value = written(told.unionByName(seed).groupBy("value", "kind").agg(F.max("score").alias("score")), "pii-values")
@@ -170,13 +270,13 @@ def find_personal_data(docs: DataFrame, **how) -> DataFrame:
     repeat a doc_id, or have none, are scanned one by one. Other columns are ignored.
     """
     own = written(scan(with_key(docs, "doc_id", ("text", "text"))).withColumn("uid", F.monotonically_increasing_id()), "pii-scan")
-    seen = own.select("uid", F.explode("seen").alias("s")).select("uid", "s.*")
-    good = score_patterns(seen, **how)
-    hits = seen.where("kind < 0").select("uid", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern").select("uid", "start", "end", "kind", "score")
-    hits = hits.unionByName(seen.where(f"kind >= {len(BASE)}").select("uid", "start", "end", "kind", F.lit(1.0).alias("score")))
+    good = written(score_patterns(own, **how), "pii-good")
+    hits = look_up(own, "pattern", good.select("pattern")).where("kind < 0").join(good.withColumnRenamed("kind", "of"), "pattern").select("uid", "start", "end", F.col("of").alias("kind"), "score")
+    secrets = own.select("uid", F.explode("seeds").alias("s")).select("uid", "s.*").where(f"kind >= {len(BASE)}")
+    hits = hits.unionByName(secrets.select("uid", "start", "end", "kind", F.lit(1.0).alias("score")))
     hits = hits.groupBy("uid", "start", "end").agg(F.max_by("kind", "score").alias("kind"))
     added = hits.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
-    out = own.join(added, "uid", "left")
+    out = own.select("doc_id", "uid", "spans").join(added, "uid", "left")
     free = F.filter(F.coalesce("added", F.array()), lambda x: ~F.exists("spans", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
     return out.select(id_out(), "spans", free.alias("added"))
 

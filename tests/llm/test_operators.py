@@ -356,3 +356,14 @@ def test_pages_lose_only_what_is_counted(spark):
     d = spark.createDataFrame([(i, "http://h.example/x", page.format(i)) for i in range(6)], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in extract(d).collect()}
     assert got[3] == "Title3\n\nIntro3\n\nStory3 of note\n\nTeaser3\n\nTail3"
+
+
+def test_patterns_of_seeds_and_values_without_digits(spark):
+    """E-mails without a digit induce a pattern, which finds short values and those without a digit."""
+    from corvane.llm.pii import find_personal_data
+
+    names = [a + b for a in "abcdef" for b in "uvwxyz"]
+    seeds = [(i, f"please contact mail: {n}@{n}.org today") for i, n in enumerate(names)]
+    unseen = [(100, "mail: john[at]example.com x"), (101, "mail: jo x"), (102, "no john[at]example.com x")]
+    out = {r["doc_id"]: [tuple(x) for x in r["added"]] for r in find_personal_data(spark.createDataFrame(seeds + unseen, "doc_id long, text string")).collect()}
+    assert out[100] == [(0, 6, 25)] and out[101] == [(0, 6, 8)] and not out[102] and not out[0]
