@@ -9,13 +9,14 @@ bounded size, each broadcast to all documents, and a larger benchmark takes more
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import ALNUM_TABLE, gram_hashes, gram_hashes_of, id_out, text_bytes, with_key, word_hashes
+from corvane.llm.common import ALNUM_TABLE, gram_hashes, gram_hashes_of, id_out, text_bytes, with_key, word_hashes, written
 from corvane.llm.repeats import slices
 
 GRAM = 5
@@ -170,23 +171,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, w: int = 10, block_byte
     A window is w consecutive words of an item, or the whole of an item of fewer; a word inside any occurrence of one
     is hit. Null texts have no words; items without words occur nowhere. Items that repeat an id are one item with
     the windows of all. A null item id counts as an empty string. The benchmark is fetched by blocks of at most
-    block_bytes, whole items each; an item alone may be longer. With several blocks a document's rows are merged
-    under its doc_id, so ids must be unique then. Other columns are ignored.
+    block_bytes, whole items each; an item alone may be longer. With several blocks the rows are written once under a
+    key of their own, and what the blocks find is merged by it. Other columns are ignored.
     """
     d = with_key(docs, "doc_id", ("text", "text"))
-    parts = [_scan(d, b) for b in _blocks(benchmark, w, block_bytes)]
-    out = parts[0]
-    if len(parts) == 1:
+    blocks = iter(_blocks(benchmark, w, block_bytes))
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        out = _scan(d, first)
         out = out.withColumn("items", F.array_sort(F.array_distinct("items")))
     else:
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        keyed = written(d.withColumn("uid", F.monotonically_increasing_id()), "winnow-rows")
+        rows = keyed.select(F.col("uid").alias("doc_id"), "text")
+        out = _scan(rows, first)
+        for b in chain([second], blocks):
+            out = out.unionByName(_scan(rows, b))
         out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit")).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         merge = lambda acc, x: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
         ).otherwise(F.concat(acc, F.array(x)))
         out = out.withColumn("hit", F.aggregate(F.array_sort("hit"), F.array().cast("array<struct<start:int,end:int>>"), merge))
+        out = out.withColumnRenamed("doc_id", "uid").join(keyed.select("uid", "doc_id"), "uid").select("doc_id", "n_words", "hit", "items")
     return out.withColumn("doc_id", id_out())
 
 

@@ -367,3 +367,13 @@ def test_patterns_of_seeds_and_values_without_digits(spark):
     unseen = [(100, "mail: john[at]example.com x"), (101, "mail: jo x"), (102, "no john[at]example.com x")]
     out = {r["doc_id"]: [tuple(x) for x in r["added"]] for r in find_personal_data(spark.createDataFrame(seeds + unseen, "doc_id long, text string")).collect()}
     assert out[100] == [(0, 6, 25)] and out[101] == [(0, 6, 8)] and not out[102] and not out[0]
+
+
+def test_winnowing_keeps_rows_apart(spark):
+    """Rows without an id or with a repeated one come back one by one, whatever the number of blocks."""
+    from corvane.llm.winnow import decontaminate, digest
+
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(4)], "item_id long, text string")
+    d = spark.createDataFrame([(None, "a b"), (None, "w1x0 w1x1"), (7, " ".join(f"w2x{j}" for j in range(12))), (7, "c")], "doc_id long, text string")
+    one, many = (rows(digest(decontaminate(d, items, block_bytes=n)), F.coalesce("doc_id", F.lit(0)), "n_words", "n_hit", "contaminated") for n in (10**6, 50))
+    assert one == many == [(0, 2, 0, False), (0, 2, 0, False), (7, 1, 0, False), (7, 12, 12, True)]
