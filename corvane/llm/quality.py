@@ -1,11 +1,12 @@
 """Quality rules and a hashed n-gram log-likelihood ratio.
 
-Two multinomials over hashed n-grams are counted: the trusted target, documents labelled good (quality 1, toxic 0),
-and the raw corpus, every document. A document's score is the mean over its n-grams of the log ratio of the two; it
-is kept if its base rules hold and the score reaches the threshold. Raw counts cover all documents. What is learnt
-from labels comes from a sample of at most `most_labels` labelled ids, the smallest by hash: one half makes the
-target, the other half fixes the threshold, where the share of bad documents caught less `caution` times the share
-of good ones lost is largest. Single words separate the labels here better than longer n-grams; `orders` sets them.
+Two multinomials over hashed n-grams are counted for each order: the trusted target, documents labelled good (quality
+1, toxic 0), and the raw corpus, every document. Each word of a document has the log ratio of the two for the n-grams
+that start there, orders weighted; a document's score is their mean over all its words plus their mean over its worst
+`window` words, so that a few bad words weigh as much in a long document as in a short one. It is kept if its base
+rules hold and the score reaches the threshold. Raw counts cover all documents. What is learnt from labels comes from a
+sample of at most `most_labels` labelled ids, the smallest by hash: one half makes the target, the other half fixes the
+threshold, where the share of bad documents caught less `caution` times the share of good ones lost is largest.
 """
 
 from __future__ import annotations
@@ -39,15 +40,11 @@ class Texts:
     def sums(self, per_word: np.ndarray, owner: np.ndarray | None = None) -> np.ndarray:
         return np.bincount(self.owner if owner is None else owner, per_word, len(self.texts))
 
-    def buckets(self, orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash bucket and text of every n-gram."""
-        found, owners = [], []
-        for k in orders:
-            h = mix(self.hashes) if k == 1 else gram_hashes(self.hashes, k)
-            inside = self.owner[: h.size] == self.owner[k - 1 : k - 1 + h.size]
-            found.append((h[inside] >> np.uint64(64 - bits)).astype(np.int64))
-            owners.append(self.owner[: h.size][inside])
-        return np.concatenate(found), np.concatenate(owners)
+    def buckets(self, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash bucket and place, its first word's, of every n-gram of an order."""
+        h = mix(self.hashes) if order == 1 else gram_hashes(self.hashes, order)
+        at = np.flatnonzero(self.owner[: h.size] == self.owner[order - 1 : order - 1 + h.size])
+        return (h[at] >> np.uint64(64 - bits)).astype(np.int64), at
 
     def repeated_words(self, k: int = 3) -> np.ndarray:
         g = gram_hashes(self.hashes, k)
@@ -79,14 +76,26 @@ def dup_lines(text: bytes) -> int:
 
 
 class Model:
-    """Log ratio of each bucket, and the score from which documents are kept."""
+    """Log ratio of each bucket, by order, and the score from which documents are kept."""
 
-    def __init__(self, weights: np.ndarray, orders: tuple[int, ...], bits: int, threshold: float = -np.inf):
-        self.weights, self.orders, self.bits, self.threshold = weights, orders, bits, threshold
+    def __init__(self, ratios: dict[int, np.ndarray], bits: int, window: int, threshold: float = -np.inf):
+        self.ratios, self.bits, self.window, self.threshold = ratios, bits, window, threshold
 
     def scores(self, texts: Texts) -> np.ndarray:
-        b, owner = texts.buckets(self.orders, self.bits)
-        return texts.sums(self.weights[b], owner) / np.maximum(1, np.bincount(owner, minlength=texts.n.size))
+        x = np.zeros(texts.hashes.size)
+        for order, ratio in self.ratios.items():
+            bucket, at = texts.buckets(order, self.bits)
+            x[at] += ratio[bucket]
+        mean = texts.sums(x) / np.maximum(1, texts.n)
+        worst = mean.copy()  # a text of fewer words is one window
+        if x.size >= self.window:
+            total = np.append(0, np.cumsum(x))
+            inside = np.flatnonzero(texts.owner[: x.size - self.window + 1] == texts.owner[self.window - 1 :])
+            if inside.size:
+                owner = texts.owner[inside]
+                first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                worst[owner[first]] = np.minimum.reduceat(total[inside + self.window] - total[inside], first) / self.window
+        return np.round(mean + worst, 9)
 
 
 def log_ratios(target: np.ndarray, raw: np.ndarray, smooth: float) -> np.ndarray:
@@ -108,7 +117,13 @@ def _halves(ids: np.ndarray) -> np.ndarray:
     return mix(ids.astype(np.int64).view(np.uint64) + np.uint64(77)) >> np.uint64(63) == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = (1,), bits: int = 18, smooth: float = 5.0, caution: float = 2.0, most_labels: int = 50_000) -> Model:
+#: Orders of n-grams and what their log ratios weigh in a score.
+ORDERS = {1: 1.0, 2: 0.25}
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, orders: dict[int, float] = ORDERS, bits: int = 18, smooth: float = 1.0, window: int = 16, caution: float = 3.0, most_labels: int = 50_000
+) -> Model:
     """docs: doc_id, text. Labels with a null id or null quality are passed over; null toxic counts as 0. Of labels
     that repeat an id the worst holds. Without good or without bad labels every document reaches the threshold."""
     spark = docs.sparkSession
@@ -119,38 +134,40 @@ def fit(docs: DataFrame, labels: DataFrame, orders: tuple[int, ...] = (1,), bits
     is_good = np.array([r["good"] == 1 for r in sample], bool)
     half = _halves(ids)
     trusted = spark.sparkContext.broadcast(np.sort(ids[is_good & ~half]))
+    size = 1 << bits
+    place = {order: i * size for i, order in enumerate(orders)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        raw, target = (np.zeros(size * len(place), np.int64) for _ in range(2))
         for b in batches:
             for lo, hi in slices(b.column(1)):
                 texts = Texts(text_bytes(b.column(1).slice(lo, hi - lo)))
-                bucket, owner = texts.buckets(orders, bits)
-                raw += np.bincount(bucket, minlength=raw.size)
                 mine = np.isin(b.column(0).slice(lo, hi - lo).to_numpy(), trusted.value)
-                target += np.bincount(bucket[mine[owner]], minlength=raw.size)
+                for order, first in place.items():
+                    bucket, at = texts.buckets(order, bits)
+                    raw[first : first + size] += np.bincount(bucket, minlength=size)
+                    target[first : first + size] += np.bincount(bucket[mine[texts.owner[at]]], minlength=size)
         i = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(raw[i]), pa.array(target[i])], ["bucket", "raw", "target"])
 
-    counts = docs.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # 2^bits rows at most
-    raw, target = np.zeros(1 << bits), np.zeros(1 << bits)
+    counts = docs.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # 2^bits rows an order at most
+    raw, target = np.zeros(size * len(place)), np.zeros(size * len(place))
     at = counts["bucket"].to_numpy()
     raw[at], target[at] = counts["raw"].to_numpy(), counts["target"].to_numpy()
-    model = Model(log_ratios(target, raw, smooth), orders, bits)
-    held = np.sort(ids[half])
+    part = lambda x, order: x[place[order] : place[order] + size]
+    model = Model({k: weight * log_ratios(part(target, k), part(raw, k), smooth) for k, weight in orders.items()}, bits, window)
     held_good = dict(zip(ids[half].tolist(), is_good[half].tolist()))
-    shared = spark.sparkContext.broadcast((held, model))
+    shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, model = shared.value
         for b in batches:
-            b = b.filter(pa.array(np.isin(b.column(0).to_numpy(), ids)))
             for lo, hi in slices(b.column(1)) if b.num_rows else []:
                 texts = Texts(text_bytes(b.column(1).slice(lo, hi - lo)))
-                ok = ~texts.base()["base_failed"]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).filter(pa.array(ok)), pa.array(model.scores(texts)[ok])], ["doc_id", "score"])
+                ok = pa.array(~texts.base()["base_failed"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).filter(ok), pa.array(shared.value.scores(texts)).filter(ok)], ["doc_id", "score"])
 
-    held_scores = docs.mapInArrow(score, "doc_id long, score double").groupBy("doc_id").agg(F.min("score").alias("score")).toArrow()
+    held = spark.createDataFrame([(i,) for i in held_good], "doc_id long")  # most_labels rows at most
+    held_scores = docs.join(F.broadcast(held), "doc_id", "left_semi").mapInArrow(score, "doc_id long, score double").groupBy("doc_id").agg(F.min("score").alias("score")).toArrow()
     s, g = held_scores["score"].to_numpy(), np.array([held_good[i] for i in held_scores["doc_id"].to_pylist()], bool)
     model.threshold = best_threshold(s[g], s[~g], caution)
     return model
