@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -23,36 +22,52 @@ ALNUM_TABLE = bytes(
 #: For lower-casing A-Z alone.
 LOWER_TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
-_dirs: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    app = spark.sparkContext.applicationId
-    if app not in _dirs:
-        _dirs[app] = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-")
-    return _dirs[app]
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset a folder in the
+    warehouse, which all of them see too."""
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/corvane-shared"
+
+
+def _delete(jvm, conf, path: str) -> None:
+    try:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    except Exception:  # the JVM may be gone by then
+        pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lineage ends here, and lost executors do not lose it."""
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """df as a table in the shared folder: lineage ends here, and lost executors do not lose it. It goes when the
+    driver ends, or before that by discard()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    atexit.register(_delete, jvm, conf, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._corvane_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of written() that nothing reads any more."""
+    spark = df.sparkSession
+    _delete(spark._jvm, spark._jsc.hadoopConfiguration(), df._corvane_path)
 
-    def drop(jvm=spark._jvm, conf=spark._jsc.hadoopConfiguration()):
-        try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-        except Exception:  # the JVM may be gone by then
-            pass
 
-    atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], n: str = "n", most: int = 1000) -> DataFrame:
+    """left joined with right, whose keys are unique and whose `n` tells how many rows of left each key has at least
+    in proportion. Keys with a `most`-th of the sum of n or more are broadcast, `most` rows at most; the rest is shuffled."""
+    total = right.agg(F.sum(n)).first()[0] or 0
+    hot = F.coalesce(F.col(n), F.lit(0)) * most >= max(total, most)
+    marked = F.broadcast(right.where(hot))
+    rest = left.join(F.broadcast(right.where(hot).select(*keys)), keys, "left_anti").join(right.where(~hot), keys)
+    return left.join(marked, keys).unionByName(rest)
 
 
 def with_key(df: DataFrame, id_col: str, *cols: tuple[str, str]) -> DataFrame:

@@ -1,17 +1,24 @@
 """Personal data: base patterns, and bootstrapped contextual extraction.
 
-What the base patterns and the seeds for secrets find are seed entities. Any word is an instance, and the words before
-it, with the label glued to it, are its lexical patterns. Spark scores the graph of patterns and instances in rounds: a
-pattern of a kind by the share of its distinct instances that are of the kind, an instance by its best pattern.
-Patterns with enough distinct instances and a high score then tag what they surround and no base span covers. Only the
-part of the graph that can matter is looked up in the texts: the patterns of values that have a score, and all values
-of those patterns that these lift to the least score that counts.
+What the base patterns find are seed entities, and so are key ids and long hex strings, as secrets. Any word that no
+seed covers is an instance, by its value: the word less the label and the punctuation around it. What stands before an
+instance is its lexical pattern: the label glued to it or before it (`mail:x`, `mail: x`, `token = "x"`), else the two
+words before with the form of the value; bare digits have no pattern without a label. Spark scores the graph of
+patterns and distinct values in rounds. A pattern of a kind scores the sum of its values' scores over their number plus
+`doubt`; seeds score 1, another value its best pattern's score times the share of its occurrences that such patterns
+have. Patterns with `support` scored values and a score of `confident` then tag what they surround.
+
+Texts are read again only for what a round asks: how often a candidate pattern occurs, then the values of those that at
+least `confident` / 2 of their occurrences speak for, then where else the values they reach occur. The rounds end when
+nothing new is reached.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import id_out, take_memory, with_key, written
+from corvane.llm.common import id_out, join_hot, mix, take_memory, text_bytes, with_key, written
+from corvane.llm.repeats import slices
 
 #: Kinds of the base, in their order, and what the seeds and patterns may add: fixed values.
 BASE = ("email", "ip", "card", "phone")
@@ -31,8 +39,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,64})(?![A-Za-z0-9])")
-WORD = re.compile(r"[^\s]+")
+#: Seeds for secrets: key ids, and hex strings of 32 or more with digits and letters.
+SECRET = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,64})(?![A-Za-z0-9])"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DIGIT = re.compile("[0-9]")
 
 
@@ -75,207 +84,295 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _hash(*parts: str) -> int:
-    return xxhash.xxh3_64_intdigest("\x00".join(parts)) - 2**63
-
-
-def shape(value: str) -> str:
-    """Digits, lower hex, capitals with digits, or any other."""
-    for name, chars in (("9", "0123456789"), ("h", "0123456789abcdef"), ("A", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ")):
-        if not value.strip(chars):
-            return name
-    return "x"
-
-
-class Parts(dict):
-    """Of a word: where its value starts and ends, less its label and the punctuation around it, where its label
-    starts, the label and the word in lower case. Remembered for up to `most` words at a time."""
-
-    most = 200_000
-
-    def __missing__(self, w: str) -> tuple[int, int, int, str, str]:
-        if len(self) >= self.most:
-            self.clear()
-        lead = len(w) - len(w.lstrip("\"'([{<"))
-        body = w[lead:].rstrip("\"')]}>,.;:!?")
-        label, mark, value = "", "", body
-        for sep in ("=", ":"):
-            if sep in value:
-                label, mark, value = value.rpartition(sep)
-                break
-        cut = len(value) - len(value.lstrip("\"'"))
-        s = lead + len(body) - len(value) + cut
-        out = self[w] = (s, s + len(value) - cut, lead, (label + mark).lower(), w.lower())
-        return out
-
-
-class Hashes(dict):
-    """_hash of up to `most` tuples at a time, remembered."""
-
-    most = 200_000
-
-    def __missing__(self, parts: tuple[str, ...]) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[parts] = _hash(*parts)
-        return h
-
-
-class Shapes(Hashes):
-    def __missing__(self, value: str) -> str:
-        if len(self) >= self.most:
-            self.clear()
-        x = self[value] = shape(value)
-        return x
-
-
-PARTS, HASHES, SHAPES = Parts(), Hashes(), Shapes()
-
-
-def let_go() -> None:
-    for x in (PARTS, HASHES, SHAPES):
-        x.clear()
-
-
-def instances(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, str, str, int]]:
-    """(start, end, the two words before, label, seed kind or -1) of every base span as it stands, and of the value of
-    every word that none overlaps."""
-    covered = sorted((s, e, k) for k, s, e in spans)
-    secrets = {m.start(): m.end() for m in SECRET.finditer(text)}
-    far, near, i, starts = "", "", 0, 0
-    for m in WORD.finditer(text):
-        at, (a, b, lead, glued, low) = m.start(), PARTS[m.group()]
-        s, e = at + a, at + b
-        over = seeded = False
-        if covered:
-            stop = m.end()
-            while i < len(covered) and covered[i][1] <= at:
-                i += 1
-            over = i < len(covered) and covered[i][0] < stop
-            while starts < len(covered) and covered[starts][0] < stop:
-                s1, e1, k = covered[starts]
-                yield s1, e1, far, near, glued if s1 == s else text[at + lead : s1].lower(), k
-                seeded = seeded or s1 == s
-                starts += 1
-        if s in secrets and not seeded and (over or secrets[s] == e):
-            yield s, secrets[s], far, near, glued, len(BASE)
-        elif not over and s < e:
-            yield s, e, far, near, glued, -1
-        far, near = near, low
-
-
-def patterns(far: str, near: str, glued: str, value: str) -> tuple[int, int]:
-    form = SHAPES[value]
-    return HASHES["1", "" if glued else near, glued, form], _hash("2", far, near, glued, form)
-
-
-ROW = "doc_id long, text string, spans array<struct<kind:int,start:int,end:int>>, seeds array<struct<start:int,end:int,value:long,kind:int>>"
-
-
-def scan(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Each row with its base spans and its seeds."""
+OPEN, CLOSE, QUOTES = b"\"'([{<", b"\"')]}>,.;:!?", b"\"'"
+MARKS = (b"=", b":", b"#")
+LOWER_HEX, CAPITALS = b"0123456789abcdef", b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Forms of a value: any other, digits, lower hex, capitals with digits.
+OTHER, DIGITS, HEX, UPPER = range(4)
+
+
+def form(value: bytes) -> int:
+    if value.isdigit():
+        return DIGITS
+    return HEX if not value.strip(LOWER_HEX) else UPPER if not value.strip(CAPITALS) else OTHER
+
+
+def parse(word: bytes) -> tuple[bytes, int, int]:
+    """The label glued to a word's value, its mark included, and where the value starts and ends."""
+    lead = len(word) - len(word.lstrip(OPEN))
+    body = word[lead:].rstrip(CLOSE)
+    i = body.rfind(b"=")
+    i = body.rfind(b":") if i < 0 else i
+    value = body[i + 1 :].lstrip(QUOTES)
+    end = lead + len(body)
+    return body[: i + 1], end - len(value), end
+
+
+def lower(word: bytes) -> bytes:
+    return word.lower() if word.isascii() else word.decode(errors="replace").lower().encode()
+
+
+def digest64(x: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(x)
+
+
+class Lexicon(dict):
+    """The number of each word, and by it: hashes of the word in lower case, of its label (0 without one) and of its
+    value (0 if empty), the value's form, whether the word ends in a mark, and whether it has no letter or digit."""
+
+    def __init__(self, most: int = 200_000):
+        super().__init__()
+        self.most = most
+        self.room(1 << 16)
+
+    def room(self, n: int) -> None:
+        old = getattr(self, "low", np.empty(0)).size
+        for name, kind in (("low", np.uint64), ("label", np.uint64), ("value", np.uint64), ("form", np.uint8), ("mark", bool), ("pure", bool)):
+            x = np.zeros(n, kind)
+            if old:
+                x[:old] = getattr(self, name)
+            setattr(self, name, x)
+
+    def __missing__(self, word: bytes) -> int:
+        n = len(self)
+        if n >= self.low.size:
+            self.room(2 * n)
+        if word.isalpha():
+            self.low[n] = digest64(word.lower())
+            self.value[n] = digest64(word)
+            self.label[n], self.mark[n], self.pure[n] = 0, False, False
+            self.form[n] = form(word)
+        else:
+            label, s, e = parse(word)
+            self.low[n] = digest64(lower(word.lstrip(OPEN)))
+            self.label[n] = digest64(lower(label)) if label else 0
+            self.value[n] = digest64(word[s:e]) if e > s else 0
+            self.form[n] = form(word[s:e])
+            self.mark[n] = word.rstrip(QUOTES).endswith(MARKS)
+            self.pure[n] = word.isascii() and not any(48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 for c in word)
+        self[word] = n
+        return n
+
+
+LEXICON = Lexicon()
+
+_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+
+
+class Words:
+    """The words of several texts, one text after another."""
+
+    def __init__(self, texts: list[bytes]):
+        take_memory("pii", LEXICON.clear)
+        if len(LEXICON) > LEXICON.most:
+            LEXICON.clear()
+        words = [t.split() for t in texts]
+        count = np.fromiter(map(len, words), np.int64, len(words))
+        self.ends = np.cumsum(count)
+        self.id = np.fromiter(chain.from_iterable(map(LEXICON.__getitem__, w) for w in words), np.int64, int(count.sum()))
+        self.place = np.arange(self.id.size) - np.repeat(self.ends - count, count)  # in its text
+        self.value = LEXICON.value[self.id]
+
+    def patterns(self, at: np.ndarray | None = None, label: np.ndarray | None = None, form: np.ndarray | None = None) -> np.ndarray:
+        """Hash of the pattern before each word, or before each of the words at `at` with labels and forms as given;
+        0 for none."""
+        x = LEXICON
+        if at is None:
+            at, label, form = np.arange(self.id.size), x.label[self.id], x.form[self.id]
+        one, two = self.id[np.maximum(at - 1, 0)], self.id[np.maximum(at - 2, 0)]
+        has_one, has_two = self.place[at] > 0, self.place[at] > 1
+        near, far = np.where(has_one, x.low[one], np.uint64(0)), np.where(has_two, x.low[two], np.uint64(0))
+        after_mark = has_one & x.mark[one]
+        words = mix(near * _M[0] + far * _M[1] + form.astype(np.uint64) + _M[2])
+        out = np.where(has_two & (form != DIGITS), words, np.uint64(0))
+        out = np.where(after_mark, np.where(x.pure[one], mix(near * _M[0] + far + _M[3]), mix(near + _M[3])), out)
+        return np.where(label != 0, mix(label + _M[3]), out)
+
+
+ROW = "doc_id long, text string, spans array<struct<kind:int,start:int,end:int>>, seeds array<struct<start:int,end:int,value:long,kind:int,pattern:long>>, taken array<int>"
+
+
+def seeds_of(text: str, spans: list[tuple[int, int, int]], secret: re.Pattern) -> tuple[list[dict], list[int]]:
+    """The seeds of a text with their patterns, and the places of the words that base spans or seeds overlap."""
+    found = [(s, e, k) for k, s, e in spans]
+    found += [(m.start(), m.end(), len(BASE)) for m in secret.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e in spans)]
+    if not found:
+        return [], []
+    words = Words([text.encode()])
+    starts = [m.start() for m in WORD.finditer(text)]
+    taken: set[int] = set()
+    at, label, forms = [], [], []
+    for s, e, _ in found:
+        i = bisect_right(starts, s) - 1
+        glued = lower(text[starts[i] : s].encode().lstrip(OPEN).rstrip(QUOTES))
+        at.append(i)
+        label.append(digest64(glued) if glued else 0)
+        forms.append(form(text[s:e].encode()) if not glued or glued.endswith(MARKS) else -1)
+        while i < len(starts) and starts[i] < e:
+            taken.add(i)
+            i += 1
+    known = np.array(forms) >= 0  # else something without a mark is glued to it
+    p = words.patterns(np.array(at), np.array(label, np.uint64), np.maximum(forms, 0).astype(np.uint8))
+    p = np.where(known, p, np.uint64(0)).view(np.int64).tolist()
+    value = [digest64(text[s:e].encode()) for s, e, _ in found]
+    signed = np.array(value, np.uint64).view(np.int64).tolist()
+    return [{"start": s, "end": e, "value": v, "kind": k, "pattern": x} for (s, e, k), v, x in zip(found, signed, p)], sorted(taken)
+
+
+def scan(docs: DataFrame, secret: str = SECRET) -> DataFrame:
+    """docs: doc_id, text. Each row with its base spans, its seeds, and the words that they take."""
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    seed = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("kind", pa.int32())]))
+    seed = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64()), ("kind", pa.int32()), ("pattern", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_memory("pii", let_go)
+        pattern = re.compile(secret)
         for b in batches:
-            spans, found = [], []
+            spans, seeds, taken = [], [], []
             for t in b.column(1).to_pylist():
                 x = base_spans(t or "")
                 spans.append([dict(zip(("kind", "start", "end"), y)) for y in x])
-                y = instances(t, x) if t and (x or SECRET.search(t)) else ()
-                found.append([{"start": s, "end": e, "value": _hash("v", t[s:e]), "kind": k} for s, e, _, _, _, k in y if k >= 0])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, span), pa.array(found, seed)], ["doc_id", "text", "spans", "seeds"])
+                found, words = seeds_of(t or "", x, pattern)
+                seeds.append(found)
+                taken.append(words)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, span), pa.array(seeds, seed), pa.array(taken, pa.list_(pa.int32()))], ["doc_id", "text", "spans", "seeds", "taken"])
 
     return docs.mapInArrow(run, ROW)
 
 
 #: Bits of a filter for hashes, by their lowest digits; what passes is joined with the hashes themselves.
 BITS = 2**23
+GIVES = {"count": "key long, n long", "pairs": "pattern long, value long, n long", "rows": "uid long, start int, end int, pattern long, value long"}
 
 
-def look_up(own: DataFrame, by: str, wanted: DataFrame) -> DataFrame:
-    """(uid, start, end, pattern, value, kind) of the instances in the rows of scan() whose `by`, pattern or value, is
-    in wanted: a column of that name, distinct."""
-    set_bits = wanted.select((F.col(by).bitwiseAND(F.lit(BITS - 1))).cast("int").alias("bit")).distinct().toArrow().column("bit").to_numpy()
+def look_up(own: DataFrame, by: str, wanted: DataFrame, give: str) -> DataFrame:
+    """What the rows of scan() have of the instances whose `by`, pattern or value, is in wanted, a column of distinct
+    hashes of that name. give: count, how often each occurs; pairs, each pattern and value and how often; rows, where."""
+    set_bits = wanted.select(F.col(by).bitwiseAND(F.lit(BITS - 1)).cast("int").alias("bit")).distinct().toArrow().column("bit").to_numpy()
     bits = np.zeros(BITS, bool)
     bits[set_bits] = True
     packed = own.sparkSession.sparkContext.broadcast(np.packbits(bits).tobytes())
+    names = [x.split()[0] for x in GIVES[give].split(", ")]
+
+    def places(words: Words, texts: list[bytes], hit: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of hits in order: their text, and where the value starts and ends in code points."""
+        owner = np.searchsorted(words.ends, hit, side="right")
+        start, end, known, at = [], [], -1, []
+        for t, i in zip(owner.tolist(), words.place[hit].tolist()):
+            if t != known:
+                text, known = texts[t].decode(errors="replace"), t
+                at = [(m.start(), m.group()) for m in WORD.finditer(text)]
+            s, word = at[i]
+            raw = word.encode()
+            _, a, b = parse(raw)
+            start.append(s + len(raw[:a].decode(errors="replace")))
+            end.append(s + len(raw[:b].decode(errors="replace")))
+        return owner, np.array(start, np.int32), np.array(end, np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        take_memory("pii", let_go)
-        has = np.unpackbits(np.frombuffer(packed.value, np.uint8)).tobytes()
-        low = BITS - 1
-        for b in batches:
-            out: list[list[int]] = [[], [], [], [], [], []]
-            for uid, t, spans in zip(*(b.column(c).to_pylist() for c in range(3))):
-                for s, e, far, near, glued, kind in instances(t or "", [(x["kind"], x["start"], x["end"]) for x in spans]):
-                    v = t[s:e]
-                    if by == "value":
-                        h = HASHES["v", v]
-                        found = patterns(far, near, glued, v) if has[h & low] else ()
-                    else:
-                        found = [p for p in patterns(far, near, glued, v) if has[p & low]]
-                        h = HASHES["v", v] if found else 0
-                    for p in found:
-                        for c, x in zip(out, (uid, s, e, p, h, kind)):
-                            c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))], ["uid", "start", "end", "pattern", "value", "kind"])
-
-    if not set_bits.size:
-        own = own.limit(0)
-    got = own.select("uid", "text", "spans").mapInArrow(run, "uid long, start int, end int, pattern long, value long, kind int")
-    return got.join(wanted, by, "left_semi").select("uid", "start", "end", "pattern", "value", "kind")
-
-
-def score_patterns(own: DataFrame, rounds: int = 3, support: int = 5, confident: float = 0.8, doubt: float = 1.0) -> DataFrame:
-    """(pattern, kind, score) of the confident patterns, from the rows of scan().
-
-    An edge joins a pattern and a distinct value. Seeds score 1 for their kind throughout; other values score their
-    best pattern that has support. A pattern scores the sum of its values' scores over their number plus `doubt`.
-    Patterns whose values sum to less than `least` cannot reach half of `confident` with support, so their other
-    values are never asked for.
-    """
+        has = np.unpackbits(np.frombuffer(packed.value, np.uint8)).view(bool)
+        low = np.uint64(BITS - 1)
+        for whole in batches:
+            for lo, hi in slices(whole.column(1)):
+                b = whole.slice(lo, hi - lo)
+                texts = text_bytes(b.column(1))
+                words = Words(texts)
+                p = words.patterns()
+                free = (p != 0) & (words.value != 0)
+                taken, owner = b.column(2).flatten().to_numpy(), np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
+                free[np.append(0, words.ends)[owner] + taken] = False
+                key = p if by == "pattern" else words.value
+                hit = np.flatnonzero(free & has[(key & low).astype(np.int64)])
+                p, v, key = (x[hit].view(np.int64) for x in (p, words.value, key))
+                if give == "count":
+                    out = np.unique(key, return_counts=True)
+                elif give == "pairs":
+                    pairs, n = np.unique(np.stack((p, v)), axis=1, return_counts=True)
+                    out = (*pairs, n)
+                else:
+                    text, start, end = places(words, texts, hit)
+                    out = (b.column(0).to_numpy()[text], start, end, p, v)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
+
+    got = (own if set_bits.size else own.limit(0)).select("uid", "text", "taken").mapInArrow(run, GIVES[give])
+    if give == "count":
+        got = got.groupBy("key").agg(F.sum("n").alias("n")).withColumnRenamed("key", by)
+    elif give == "pairs":
+        got = got.groupBy("pattern", "value").agg(F.sum("n").alias("n"))
+    return got.join(wanted, by, "left_semi")
+
+
+def score_patterns(own: DataFrame, rounds: int = 3, support: int = 5, confident: float = 0.8, doubt: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(pattern, kind, score, n) of the confident patterns, and (uid, start, end, pattern, value) of the instances of all
+    patterns that were followed, from the rows of scan()."""
     least = confident / 2 * (support + doubt) - 1e-3
-    pairs = lambda by, wanted: look_up(own, by, wanted).select("pattern", "value").distinct()
-    seed = written(own.select(F.explode("seeds").alias("s")).select("s.value", "s.kind").distinct().withColumn("score", F.lit(1.0)), "pii-values")
-    value, out, asked = seed, None, {}
-
-    def ask(by: str, wanted: DataFrame) -> DataFrame:
-        """The edges of all that has been wanted so far."""
-        before = asked.get(by)
-        new = wanted.select(by).distinct()
-        new = written(new.join(before[0], by, "left_anti") if before else new, "pii-asked")
-        edges = written(pairs(by, new), "pii-edges")
-        asked[by] = (before[0].unionByName(new), before[1].unionByName(edges)) if before else (new, edges)
-        return asked[by][1]
-
-    for _ in range(rounds):
-        gain = ask("value", value).join(value, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("s"))
-        gain = written(gain.where(F.col("s") >= least), "pii-gain")
-        edges = ask("pattern", gain)
-        degree = edges.groupBy("pattern").agg(F.count("*").alias("n"))
-        out = written(gain.join(degree, "pattern").select("pattern", "kind", "n", (F.round(F.col("s") / (F.col("n") + doubt), 6)).alias("score")).where(F.col("n") >= support), "pii-patterns")
-        told = edges.join(out.where(F.col("score") >= confident / 2).select("pattern", "kind", "score"), "pattern").groupBy("value", "kind").agg(F.max("score").alias("score"))
-        value = written(told.unionByName(seed).groupBy("value", "kind").agg(F.max("score").alias("score")), "pii-values")
-    best = out.where(F.col("score") >= confident).groupBy("pattern").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("x"))
-    return best.select("pattern", (-F.col("x.k")).alias("kind"), F.col("x.score").alias("score"))
-
-
-def find_personal_data(docs: DataFrame, **how) -> DataFrame:
+    best = lambda x: (F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.max("score").alias("score"), *x)
+    # Where seeds stand: pattern, value, kind, occurrences; later also where values stand that patterns reach.
+    seeds = written(own.select(F.explode("seeds").alias("s")).groupBy("s.pattern", "s.value", "s.kind").agg(F.count("*").alias("n")), "pii-seeds")
+    seed_n = seeds.groupBy("pattern").agg(F.sum("n").alias("seeds"))
+    standing, asked, reached = None, None, None
+    followed, found, out = None, None, None
+    for k in range(rounds):
+        context = seeds.where("pattern <> 0").withColumn("score", F.lit(1.0))
+        if reached is not None:
+            context = context.unionByName(standing.join(reached, "value").select("pattern", "value", "kind", "n", "score"))
+        gain = context.groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count("*").alias("k"), F.sum(F.col("score") * F.col("n")).alias("spoken"))
+        gain = written(gain.where((F.col("k") >= support) & (F.col("s") >= least)), "pii-gain")
+        candidate = gain.groupBy("pattern").agg(F.max("spoken").alias("spoken"))
+        if followed is not None:
+            candidate = candidate.join(followed, "pattern", "left_anti")
+        candidate = written(candidate, "pii-candidates")
+        if candidate.take(1):
+            other = look_up(own, "pattern", candidate.select("pattern"), "count")
+            told = candidate.join(other, "pattern", "left").join(seed_n, "pattern", "left")
+            every = F.coalesce("n", F.lit(0)) + F.coalesce("seeds", F.lit(0))
+            new = written(told.where(F.col("spoken") >= confident / 2 * every).select("pattern"), "pii-followed")
+            if new.take(1):
+                rows = written(look_up(own, "pattern", new, "rows"), "pii-rows")
+                followed, found = (new, rows) if followed is None else (followed.unionByName(new), found.unionByName(rows))
+        if followed is None:
+            break
+        members = found.select("pattern", "value").unionByName(seeds.select("pattern", "value").join(followed, "pattern", "left_semi")).distinct()
+        degree = members.groupBy("pattern").agg(F.count("*").alias("n"))
+        out = written(gain.join(degree, "pattern").select("pattern", "kind", F.round(F.col("s") / (F.col("n") + doubt), 6).alias("score"), "n"), "pii-patterns")
+        if k + 1 == rounds:
+            break
+        good = out.where(F.col("score") >= confident / 2).groupBy("pattern").agg(*best([F.max("n").alias("n")]))
+        inside = join_hot(found.select("pattern", "value"), good, ["pattern"]).groupBy("value").agg(*best([F.count("*").alias("inside")]))
+        inside = written(inside.join(seeds.select("value"), "value", "left_anti"), "pii-inside")
+        fresh = inside.select("value") if asked is None else inside.select("value").join(asked.select("value"), "value", "left_anti")
+        fresh = written(fresh, "pii-asked")
+        if fresh.take(1):
+            count = written(look_up(own, "value", fresh, "count"), "pii-counts")
+            asked = count if asked is None else asked.unionByName(count)
+        elif reached is None:
+            break
+        share = F.col("inside") / F.greatest("n", "inside")
+        before, reached = reached, inside.join(asked, "value").select("value", "kind", F.round(F.col("score") * share, 6).alias("score"))
+        reached = written(reached.where(F.col("score") >= confident / 2), "pii-values")
+        more = reached.select("value") if before is None else reached.select("value").join(before.select("value"), "value", "left_anti")
+        more = written(more, "pii-new-values")
+        if more.take(1):
+            pairs = written(look_up(own, "value", more, "pairs"), "pii-contexts")
+            standing = pairs if standing is None else standing.unionByName(pairs)
+        elif before is None:
+            break
+    spark = own.sparkSession
+    if out is None:
+        return spark.createDataFrame([], "pattern long, kind int, score double, n long"), spark.createDataFrame([], GIVES["rows"])
+    return written(out.where(F.col("score") >= confident).groupBy("pattern").agg(*best([F.max("n").alias("n")])), "pii-good"), found
+
+
+def find_personal_data(docs: DataFrame, secret: str = SECRET, **how) -> DataFrame:
     """doc_id, spans (the base), added (seeds for secrets, and what patterns found), each array<struct<kind, start, end>> by kind and start.
 
     Places are code points, ends exclusive; null text is empty. Added spans never overlap base spans. Rows that
     repeat a doc_id, or have none, are scanned one by one. Other columns are ignored.
     """
-    own = written(scan(with_key(docs, "doc_id", ("text", "text"))).withColumn("uid", F.monotonically_increasing_id()), "pii-scan")
-    good = written(score_patterns(own, **how), "pii-good")
-    hits = look_up(own, "pattern", good.select("pattern")).where("kind < 0").join(good.withColumnRenamed("kind", "of"), "pattern").select("uid", "start", "end", F.col("of").alias("kind"), "score")
-    secrets = own.select("uid", F.explode("seeds").alias("s")).select("uid", "s.*").where(f"kind >= {len(BASE)}")
-    hits = hits.unionByName(secrets.select("uid", "start", "end", "kind", F.lit(1.0).alias("score")))
-    hits = hits.groupBy("uid", "start", "end").agg(F.max_by("kind", "score").alias("kind"))
-    added = hits.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
+    own = written(scan(with_key(docs, "doc_id", ("text", "text")), secret).withColumn("uid", F.monotonically_increasing_id()), "pii-scan", compression="zstd")
+    good, found = score_patterns(own, **how)
+    hits = join_hot(found.select("uid", "start", "end", "pattern"), good, ["pattern"]).select("uid", "kind", "start", "end")
+    secrets = own.select("uid", F.explode("seeds").alias("s")).select("uid", "s.kind", "s.start", "s.end").where(f"kind >= {len(BASE)}")
+    added = hits.unionByName(secrets).groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
     out = own.select("doc_id", "uid", "spans").join(added, "uid", "left")
     free = F.filter(F.coalesce("added", F.array()), lambda x: ~F.exists("spans", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
     return out.select(id_out(), "spans", free.alias("added"))
@@ -287,4 +384,4 @@ def digest(found: DataFrame) -> DataFrame:
     of_kind = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(BASE)]
     every = F.array_sort(F.concat("spans", "added"))
-    return found.select("doc_id", *counts, F.sha2(shown(F.col("spans")), 256).alias("base_sha256"), shown(every).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(shown(F.col("spans")), 256).alias("base_sha256"), shown(every).alias("spans"), F.size("added").cast("long").alias("n_added"), F.size(every).cast("long").alias("n_spans"))
