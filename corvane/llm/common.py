@@ -75,6 +75,12 @@ def with_key(df: DataFrame, id_col: str, *cols: tuple[str, str]) -> DataFrame:
     return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), *(F.col(c).alias(n) for c, n in cols))
 
 
+def row_key(df: DataFrame, *cols: Column) -> DataFrame:
+    """doc_id, never null, and t, a hash of the text: together they tell rows apart, but for rows that repeat both and
+    so have the same text. Beside them text and other columns as given."""
+    return df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("t"), F.col("text").alias("text"), *cols)
+
+
 def id_out(c: str = "doc_id") -> Column:
     return F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
 

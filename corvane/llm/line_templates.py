@@ -1,14 +1,13 @@
-"""Line dedup by hashes of masked lines, with Spark expressions only.
-
-Every token of a line that holds a digit is generalised to one wildcard, white space is made single spaces, and lines
-that are equal then share a template. This is not the template tree it is named for: the leaf is split into token count,
-leading tokens and the rest, but all of them are hashed, so no depth merges lines that differ in a word without a digit.
-A template recurs if at least
-`min_docs` documents have it and the surroundings vary: the pairs of neighbouring templates must number at least
-`min_variety` times those documents. Lines inside copies of one document stand between the same neighbours every
-time, so they are left to the duplicate operators. By text, a template recurs if at least `min_docs` distinct texts
-have it, whatever surrounds it: texts with the same templates in the same order are one text, so copies count once.
-Lines of recurring templates are dropped everywhere.
+"""Line dedup by a log-template tree, with Spark expressions only.
+
+Every token of a line that holds a digit is masked at once, white space is made single spaces. The tree then has a
+fixed depth: token count, the first `lead` tokens, and under such a branch the rest of the line in up to FIELDS fields,
+runs of tokens of equal number (single tokens where there are no more than FIELDS). In a branch a field is constant if
+at least `steady` of the branch's distinct lines, and two of them, have it at its place; other fields vary and become
+wildcards. A line whose fields are constant by `share` falls under the template of its branch and its constant fields,
+beside the template that is the masked line itself. A template recurs if at least `min_docs` distinct texts have a line
+under it, whatever surrounds it: texts that are equal when masked are one text, so copies count once. Lines of
+recurring templates are dropped everywhere.
 """
 
 from __future__ import annotations
@@ -16,84 +15,76 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import NO_ID, written
+from corvane.llm.common import join_hot, row_key, written
 
 #: Any token with a digit in it is a variable field.
-VARIABLE = r"(?<!\S)\S*\d\S*"
-#: White space other than single spaces.
-SPACING = r"\s{2,}|[\t\x0B\f\r]"
-
-
-def template(line: Column, depth: int = 3) -> Column:
-    """The leaf a line falls into, as a 64-bit hash; null for lines without tokens."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line)
-    masked = F.trim(F.regexp_replace(masked, SPACING, " "))
-
-    def leaf(m: Column) -> Column:
-        tokens = F.length(m) - F.length(F.replace(m, F.lit(" "), F.lit(""))) + 1
-        lead = F.substring_index(m, " ", depth)
-        return F.when(m != "", F.xxhash64(tokens, lead, F.substr(m, F.length(lead) + 1)))
-
-    return _once(masked, leaf)
-
-
-def _once(x: Column, f) -> Column:
-    """f(x), with x computed once however often f uses it."""
-    return F.transform(F.array(x), f)[0]
-
-
-def _templates(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, and for each line in order its template and a hash of its neighbours' templates."""
-    none = F.lit(None).cast("long")
-
-    def with_neighbours(t: Column) -> Column:
-        before, after = F.concat(F.array(none), t), F.concat(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), F.array(none))
-        return F.zip_with(t, F.zip_with(before, after, lambda p, q: F.xxhash64(p, q)), lambda x, c: F.struct(x.alias("template"), c.alias("ctx")))
-
-    lines = F.transform(F.split("text", "\n"), lambda x: template(x, depth))
-    return docs.where("text IS NOT NULL").select("doc_id", _once(lines, with_neighbours).alias("t"))
-
-
-def recurring(docs: DataFrame, min_docs: int = 5, min_variety: float = 0.5, depth: int = 3) -> tuple[DataFrame, DataFrame]:
-    """The recurring templates (template, n_docs, n_contexts), and each document's templates (doc_id, template)."""
-    at = _templates(docs, depth).select("doc_id", F.posexplode("t").alias("i", "t")).where("t.template IS NOT NULL")
-    once = at.select("doc_id", "t.template", "i", "t.ctx").groupBy("template", "doc_id").agg(F.min_by("ctx", "i").alias("ctx"))
-    once = written(once, "line-templates")
-    n = once.groupBy("template", "ctx").agg(F.count("*").alias("n")).groupBy("template").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_contexts"))
-    return n.where((F.col("n_docs") >= min_docs) & (F.col("n_contexts") >= min_variety * F.col("n_docs"))), once
-
-
-def recurring_by_text(docs: DataFrame, min_docs: int = 5, depth: int = 3) -> tuple[DataFrame, DataFrame]:
-    """The templates of at least `min_docs` distinct texts (template, n_texts), and each row's templates (doc_id,
-    template, digest of its text's templates)."""
-    lines = F.transform(F.split("text", "\n"), lambda x: F.coalesce(template(x, depth), F.lit(0)))
-    told = lambda t: F.struct(F.xxhash64(t).alias("digest"), F.array_distinct(F.filter(t, lambda x: x != 0)).alias("t"))
-    each = docs.where("text IS NOT NULL").select("doc_id", _once(lines, told).alias("x"))
-    once = written(each.select("doc_id", "x.digest", F.explode("x.t").alias("template")), "line-templates")
-    n = once.groupBy("template", "digest").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("*").alias("n_texts"))
-    return n.where(F.col("n_texts") >= min_docs), once
-
-
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, min_variety: float = 0.5, depth: int = 3, by_text: bool = False) -> DataFrame:
+VARIABLE = r"(?<!\S)[^\s\d]*+\d\S*+"
+#: White space in a line other than single spaces.
+SPACING = r"[^\S\n]{2,}|[\t\x0B\f\r]"
+FIELDS = 4
+
+
+def masked(text: Column) -> Column:
+    m = F.when(text.rlike("[0-9]"), F.regexp_replace(text, VARIABLE, "<*>")).otherwise(text)
+    odd = F.contains(m, F.lit("  "))
+    for c in "\t\x0b\f\r":
+        odd = odd | F.contains(m, F.lit(c))
+    return F.when(odd, F.regexp_replace(m, SPACING, " ")).otherwise(m)
+
+
+def parsed(docs: DataFrame, lead: int) -> DataFrame:
+    """doc_id, t, text to one row for each line with a token: doc_id, t, digest of the masked text, i, hash of the
+    line, its branch, number of fields, hashes of the fields (null beyond them)."""
+    m = docs.where("text IS NOT NULL").select("doc_id", "t", masked(F.col("text")).alias("m"))
+    lines = m.select("doc_id", "t", F.xxhash64("m").alias("digest"), F.posexplode(F.split("m", "\n")).alias("i", "line"))
+    tokens = lines.select("doc_id", "t", "digest", "i", F.trim("line").alias("line")).where("line <> ''").select("doc_id", "t", "digest", "i", F.xxhash64("line").alias("line"), F.split("line", " ").alias("k"))
+    n = F.size("k")
+    sized = tokens.withColumn("rest", F.greatest(n - lead, F.lit(0))).withColumn("fields", F.least("rest", F.lit(FIELDS)))
+    branch = F.xxhash64(n, F.slice("k", 1, lead))
+    at = lambda j: F.floor(F.lit(j) * F.col("rest") / F.col("fields")).cast("int")
+    field = [F.when(F.col("fields") > j, F.xxhash64(F.slice("k", at(j) + lead + 1, at(j + 1) - at(j)))).alias(f"f{j}") for j in range(FIELDS)]
+    return sized.select("doc_id", "t", "digest", "i", "line", branch.alias("branch"), "fields", *field)
+
+
+def generalised(known: DataFrame, steady: float, share: float) -> DataFrame:
+    """Of distinct lines (line, branch, fields, f0, ...) those with enough constant fields: line, template."""
+    size = known.groupBy("branch").agg(F.count("*").alias("size")).where("size > 1")
+    each = F.array(*[F.struct(F.lit(j).alias("at"), F.col(f"f{j}").alias("f")) for j in range(FIELDS)])
+    told = known.where("fields > 2").select("line", "branch", "fields", F.explode(each).alias("x")).select("line", "branch", "fields", "x.*").where("f IS NOT NULL")
+    often = told.groupBy("branch", "at", "f").agg(F.count("*").alias("n")).where("n > 1")
+    constant = written(often.join(size, "branch").where(F.col("n") >= steady * F.col("size")).select("branch", "at", "f", "n"), "constant-fields")
+    kept = join_hot(told, constant, ["branch", "at", "f"]).groupBy("line", "branch", "fields")
+    kept = kept.agg(F.count("*").alias("k"), *[F.max(F.when(F.col("at") == j, F.col("f"))).alias(f"c{j}") for j in range(FIELDS)])
+    template = F.xxhash64("branch", *[F.coalesce(f"c{j}", F.lit(0)) for j in range(FIELDS)])
+    return kept.where((F.col("k") >= share * F.col("fields")) & (F.col("k") < F.col("fields"))).select("line", template.alias("template"))
+
+
+def recurring(lines: DataFrame, min_docs: int, steady: float, share: float) -> DataFrame:
+    """The lines to drop (line, n rows), from the rows of parsed()."""
+    pair = lines.groupBy("line", "digest").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("branch", "fields", *[f"f{j}" for j in range(FIELDS)])])
+    known = pair.groupBy("line").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), *[F.min(c).alias(c) for c in ("branch", "fields", *[f"f{j}" for j in range(FIELDS)])])
+    known = written(known, "distinct-lines")
+    under = written(generalised(known, steady, share).join(known.select("line", "n"), "line"), "generalised-lines")
+    per_text = join_hot(lines.select("line", "digest"), under, ["line"]).select("template", "digest").distinct()
+    good = per_text.groupBy("template").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs).select("template")
+    more = under.join(good, "template", "left_semi").select("line", "n")
+    return known.where(F.col("texts") >= min_docs).select("line", "n").unionByName(more).distinct()
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, lead: int = 2, steady: float = 0.2, share: float = 0.6) -> DataFrame:
     """Each row of `docs` as it is but for `text`, which loses the lines of recurring templates, under `row`; beside
     it n_lines and n_dropped.
 
     A null text stays null with no lines; an empty text is one empty line. Lines without tokens are never dropped.
-    Rows that repeat a doc_id count as one document and lose the same templates; rows without a doc_id are one
-    document. Other columns go along in `row`, whatever their names.
+    Rows with the same text count once, and rows that repeat a doc_id, or have none, are judged one by one. Other
+    columns go along in `row`, whatever their names.
     """
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").alias("text"), F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row"))
-    texts = own.select("doc_id", "text")
-    found, once = recurring_by_text(texts, min_docs, depth) if by_text else recurring(texts, min_docs, min_variety, depth)
-    gone = once.join(found, "template", "left_semi").groupBy("doc_id").agg(F.collect_set("template").alias("gone"))
-    t = own.join(gone, "doc_id", "left")
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.coalesce(F.array_contains("gone", template(x, depth)), F.lit(False))), "\n")
-    )
-    # Lines are told by what stays: a text that lost all its lines is empty, and so is one that was one empty line.
-    t = t.select("row", "text", "gone", kept.alias("kept"))
-    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    n = F.coalesce(breaks(F.col("text")) + 1, F.lit(0)).cast("long")
-    left = F.when((F.col("kept") == "") & (F.col("text") != "") & ~F.col("text").startswith("\n") & ~F.col("text").endswith("\n"), 0).otherwise(F.coalesce(breaks(F.col("kept")) + 1, F.lit(0)))
-    cols = [F.col("kept").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
-    return t.select(F.struct(*cols).alias("row"), n.alias("n_lines"), (n - left).cast("long").alias("n_dropped"))
+    own = row_key(docs, F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row"))
+    lines = written(parsed(own.select("doc_id", "t", "text"), lead), "line-templates")
+    gone = written(recurring(lines, min_docs, steady, share), "recurring-lines")
+    per = join_hot(lines.select("doc_id", "t", "i", "line"), gone, ["line"]).groupBy("doc_id", "t").agg(F.collect_set("i").alias("gone"))
+    t = own.join(per.hint("shuffle_hash"), ["doc_id", "t"], "left")
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    cols = [kept.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    return t.select(F.struct(*cols).alias("row"), F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))

@@ -73,17 +73,30 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_line_templates"] = r"""
-WITH l AS (
-  SELECT doc_id, i, line, trim(regexp_replace(regexp_replace(line, '(^|\s)[^\s]*[0-9][^\s]*', '\1<*>', 'g'), '\s+', ' ', 'g')) AS t
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL)),
-n AS (
-  SELECT *, nullif(t, '') AS template, coalesce(lag(nullif(t, '')) OVER w, chr(0)) AS p, coalesce(lead(nullif(t, '')) OVER w, chr(0)) AS q
-  FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-o AS (SELECT template, doc_id, arg_min(p || chr(1) || q, i) AS ctx FROM n WHERE template IS NOT NULL GROUP BY template, doc_id),
-r AS (SELECT template FROM o GROUP BY template HAVING count(*) >= 5 AND count(DISTINCT ctx) >= 0.5 * count(*)),
-k AS (SELECT n.*, r.template IS NOT NULL AS dropped FROM n LEFT JOIN r ON n.template = r.template)
+WITH m AS (
+  SELECT doc_id, text, regexp_replace(regexp_replace(text, '(^|\s)[^\s]*[0-9][^\s]*', '\1<*>', 'g'), '[^\S\n]{2,}|[\t\v\f\r]', ' ', 'g') AS m FROM documents WHERE text IS NOT NULL),
+l AS (
+  SELECT *, string_split(line, ' ') AS k FROM (
+    SELECT doc_id, m, unnest(range(len(string_split(m, chr(10))))) AS i, trim(unnest(string_split(m, chr(10)))) AS line FROM m)
+  WHERE line <> ''),
+x AS (SELECT line, any_value(k) AS k, count(DISTINCT m) AS texts FROM l GROUP BY line),
+s AS (SELECT *, len(k) || ' ' || array_to_string(list_slice(k, 1, 2), ' ') AS branch, len(k) - 2 AS rest, least(len(k) - 2, 4) AS fields FROM x),
+f AS (
+  SELECT *, array_to_string(list_slice(k, 3 + p * rest // fields, 2 + (p + 1) * rest // fields), ' ') AS f
+  FROM (SELECT *, unnest(range(fields)) AS p FROM s WHERE fields > 2)),
+c AS (
+  SELECT branch, p, f FROM f JOIN (SELECT branch, count(*) AS size FROM s GROUP BY branch) USING (branch)
+  GROUP BY branch, p, f, size HAVING count(*) > 1 AND count(*) >= 0.2 * size),
+g AS (
+  SELECT line, branch, list((p, f) ORDER BY p) AS template FROM f JOIN c USING (branch, p, f)
+  GROUP BY line, branch, fields HAVING count(*) >= 0.6 * fields AND count(*) < fields),
+r AS (SELECT branch, template FROM g JOIN l USING (line) GROUP BY branch, template HAVING count(DISTINCT m) >= 5),
+gone AS (SELECT line FROM x WHERE texts >= 5 UNION SELECT line FROM g JOIN r USING (branch, template)),
+o AS (
+  SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS shown FROM m),
+k AS (SELECT o.*, gone.line IS NOT NULL AS dropped FROM o LEFT JOIN l USING (doc_id, i) LEFT JOIN gone USING (line))
 SELECT d.doc_id, coalesce(count(k.i), 0) AS n_lines, coalesce(count(*) FILTER (WHERE k.dropped), 0) AS n_dropped,
-       sha256(coalesce(string_agg(k.line, chr(10) ORDER BY k.i) FILTER (WHERE NOT k.dropped), '')) AS kept_sha256
+       sha256(coalesce(string_agg(k.shown, chr(10) ORDER BY k.i) FILTER (WHERE NOT k.dropped), '')) AS kept_sha256
 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id
 """
 

@@ -236,9 +236,38 @@ def test_patterns_find_what_seeds_do_not(spark):
     from corvane.llm.pii import find_personal_data
 
     seeds = [(i, f"word your token: {i:032x} end".replace("0000", "ab3d")) for i in range(40)]
-    unseen = [(100, "some text, token: 77ab1f end"), (101, "no context 77ab1f end")]
-    out = {r["doc_id"]: r["added"] for r in find_personal_data(spark.createDataFrame(seeds + unseen, "doc_id long, text string")).collect()}
+    unseen = [(100, "some text, token: 77ab1f end"), (101, "no context 77ab1f end"), (102, "ein token: ÄÖ9 und 4444444444444444 end")]
+    d = spark.createDataFrame(seeds + unseen, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("uid", "pattern", "value", "spans", "seeds", "n")})
+    out = {r["doc_id"]: r["added"] for r in find_personal_data(d).collect()}
     assert [(x["start"], x["end"]) for x in out[100]] == [(18, 24)] and not out[101]
+    assert [(x["start"], x["end"]) for x in out[102]] == [(11, 14)]
+
+
+def test_hidden_seeds_come_back(spark):
+    """Of secrets half have a form that no seed has; rounds of scoring find nine tenths of them, and no bare number."""
+    from corvane.llm.pii import digest, find_personal_data
+
+    rng = random.Random(9)
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    data = [(i, f'{prose(8, rng)} api_key = "{"a1" + hexed(38) if i % 2 else hexed(20).upper() + "-Z"}" {prose(8, rng)}') for i in range(60)]
+    data += [(100 + i, f"{prose(3, rng)} of the {rng.randrange(10**15, 10**16)} {prose(3, rng)}") for i in range(60)]
+    out = {r["doc_id"]: r["n_added"] for r in digest(find_personal_data(spark.createDataFrame(data, "doc_id long, text string"))).collect()}
+    assert sum(out[i] == 1 for i in range(0, 60, 2)) >= 27 and all(out[i] == 1 for i in range(1, 60, 2))
+    assert not any(out[i] for i in range(100, 160))
+
+
+def test_pattern_scores(spark):
+    """The scores of one round against a plain count."""
+    from pyspark.sql import functions as F
+
+    from corvane.llm.common import with_key
+    from corvane.llm.pii import scan, score_patterns
+
+    seed = lambda i: f"{i:032x}".replace("00000", "ab3d9")
+    data = [(i, f"x key: {seed(i)} y") for i in range(12)] + [(20 + i, f"x key: plain{i % 3} y") for i in range(9)] + [(40, f"x key: {seed(3)} y"), (41, None)]
+    own = scan(with_key(spark.createDataFrame(data, "doc_id long, text string"), "doc_id", ("text", "text"))).withColumn("uid", F.monotonically_increasing_id())
+    good, found = score_patterns(own.cache(), rounds=1, confident=0.7)
+    assert [(r["kind"], r["score"], r["n"]) for r in good.collect()] == [(4, round(12 / (12 + 3 + 1), 6), 15)] and found.count() == 9
 
 
 def test_chat_round_trip(spark):
@@ -263,8 +292,8 @@ def test_chat_round_trip(spark):
 def test_line_templates(spark, none):
     from corvane.llm.line_templates import drop_recurring_lines
 
-    data = [(i, f"own line a{i}x of {'abcdefghij'[i]}\nPosted on {i} May 20{i:02d} by all\nlast{'abcdefghij'[i]} z") for i in range(10)] + [(20, None), (21, ""), (22, "x\n\ny"), (None, "Posted on 7 May 2001 by all"), (23, "\n")]
-    d = spark.createDataFrame(data, "doc_id long, text string").withColumns({"gone": F.lit(1), "lines": F.lit(2)})
+    data = [(i, f"{'abcdefghij'[i]} own line a{i}x\nPosted on {i} May 20{i:02d} by all\nlast{'abcdefghij'[i]} z") for i in range(10)] + [(20, None), (21, ""), (22, "x\n\ny"), (None, "Posted on 7 May 2001 by all"), (23, "\n")]
+    d = spark.createDataFrame(data, "doc_id long, text string").withColumns({"gone": F.lit(1), "lines": F.lit(2), "t": F.lit(3)})
     got = {r["row"]["doc_id"]: (r["row"]["text"], r["n_lines"], r["n_dropped"]) for r in drop_recurring_lines(d).collect()}
     assert got[3][1:] == (3, 1) and "Posted" not in got[3][0]
     assert got[20] == (None, 0, 0) and got[21] == ("", 1, 0) and got[22] == ("x\n\ny", 3, 0) and got[23] == ("\n", 2, 0)
@@ -272,11 +301,29 @@ def test_line_templates(spark, none):
     assert drop_recurring_lines(none).count() == 0
 
 
+NAMES = "Alice Bob Carol Dan Eve Fay Gus Hal Ivy Jon".split()
+
+
+@pytest.mark.parametrize("lead,dropped", [(2, 1), (3, 0)])
+def test_varying_words_become_wildcards(spark, lead, dropped):
+    """Lines that vary in a word without a digit share a template, unless the varying word is among the leading tokens."""
+    from corvane.llm.line_templates import drop_recurring_lines
+
+    d = spark.createDataFrame([(i, f"{n} writes\nPosted by {n} in News") for i, n in enumerate(NAMES)] + [(50, "Posted by whom it may concern\nPosted at Alice in News")], "doc_id long, text string")
+    got = {r["row"]["doc_id"]: (r["row"]["text"], r["n_dropped"]) for r in drop_recurring_lines(d, lead=lead).collect()}
+    assert all(got[i] == ((f"{n} writes", 1) if dropped else (f"{n} writes\nPosted by {n} in News", 0)) for i, n in enumerate(NAMES))
+    assert got[50][1] == 0
+
+
 def test_lines_of_copied_documents_stay(spark):
+    """Copies count as one text, and rows that share an id or have none lose only their own lines."""
     from corvane.llm.line_templates import drop_recurring_lines
 
     d = spark.createDataFrame([(i, "first line here\nsecond line here\nthird line here") for i in range(50)], "doc_id long, text string")
     assert drop_recurring_lines(d).agg(F.sum("n_dropped")).first()[0] == 0
+    rows_ = [(i % 2 or None, f"{n} says so\nall rights reserved") for i, n in enumerate(NAMES)] + [(1, "free text\nof one"), (None, "free words")]
+    got = sorted((r["row"]["text"], r["n_dropped"]) for r in drop_recurring_lines(spark.createDataFrame(rows_, "doc_id long, text string")).collect())
+    assert got == sorted([(f"{n} says so", 1) for n in NAMES] + [("free text\nof one", 0), ("free words", 0)])
 
 
 def test_packing(spark, docs, none):
