@@ -7,7 +7,10 @@ Equal contexts are combined before the shuffle: of those within a task all but t
 travel under keys of their own, so a hot anchor sends a few rows from each task. The rest are shuffled by hash and
 streamed in sorted order, with memory for one group at a time and a bounded summary for large ones: unique anchors
 end there, members of equal contexts are settled there, and one representative of each context, where an anchor has
-several, goes on to an index.
+several, goes on to an index. Anchors with very many contexts are not indexed: there each window is an anchor of its
+own, as long as itself, so that equal windows are settled by their hash in any number of tasks.
+
+Rows of a text are told apart by doc_id and a hash of the text.
 """
 
 from __future__ import annotations
@@ -17,7 +20,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from corvane.llm.common import mix
+from pyspark.sql import functions as F
+
+from corvane.llm.common import join_hot, mix, written
 
 _rng = np.random.default_rng(20240607)
 BYTE_HASH = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -87,7 +92,8 @@ def anchors(u: np.ndarray, ends: np.ndarray, w: int, k: int) -> tuple[np.ndarray
     return np.searchsorted(ends, a, side="right"), a, n, p, h, c
 
 
-ROW = "h long, c long, doc_id long, a long"
+ROW = "h long, c long, doc_id long, t long, a long"
+NAMES = ["h", "c", "doc_id", "t", "a"]
 #: `a` packs the first window, from the text's start, over 12 bits each of window count and anchor place.
 FOUND = "rep boolean, " + ROW
 
@@ -107,11 +113,11 @@ OPEN, AGAIN, SETTLED = 0, 1, 2
 PLACE = (1 << KIND) - 1
 
 
-def combine(h: np.ndarray, c: np.ndarray, doc: np.ndarray, place: np.ndarray, ordered: bool) -> tuple[np.ndarray, ...]:
+def combine(h: np.ndarray, c: np.ndarray, doc: np.ndarray, text: np.ndarray, place: np.ndarray, ordered: bool) -> tuple[np.ndarray, ...]:
     """Of each task's rows of equal context the first stays open for the shuffle; ordered, all of the first document.
     The others are settled, and their keys are spread by what they are."""
-    o = np.lexsort((place, doc, c, h))
-    h, c, doc, place = h[o], c[o], doc[o], place[o]
+    o = np.lexsort((place, text, doc, c, h))
+    h, c, doc, text, place = h[o], c[o], doc[o], text[o], place[o]
     new = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])) if h.size else np.empty(0, bool)
     first = np.flatnonzero(new)
     run = np.cumsum(new) - 1
@@ -120,29 +126,48 @@ def combine(h: np.ndarray, c: np.ndarray, doc: np.ndarray, place: np.ndarray, or
     else:
         settled = ~new
         again = new & (np.diff(np.append(first, h.size)) > 1)[run]
-    own = mix(doc.view(np.uint64) * _MUL[9] + place.view(np.uint64))
-    return np.where(settled, own, h), c, doc, place | np.where(settled, SETTLED, np.where(again, AGAIN, OPEN)) << KIND
+    own = mix(doc.view(np.uint64) * _MUL[9] + text.view(np.uint64) * _MUL[10] + place.view(np.uint64))
+    return np.where(settled, own, h), c, doc, text, place | np.where(settled, SETTLED, np.where(again, AGAIN, OPEN)) << KIND
 
 
 Units = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 def anchor_rows(docs: DataFrame, units: Units, w: int, k: int, ordered: bool) -> DataFrame:
-    """docs: doc_id, text. units gives a batch's unit hashes and the texts' ends among them. Rows of equal context
+    """docs: doc_id, t, text. units gives a batch's unit hashes and the texts' ends among them. Rows of equal context
     are combined, in a sense that `ordered` gives as in settle()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for lo, hi in slices(b.column(1)):
-                u, ends = units(b.column(1).slice(lo, hi - lo))
+            ids, texts = b.column("doc_id").to_numpy(), b.column("t").to_numpy()
+            for lo, hi in slices(b.column("text")):
+                u, ends = units(b.column("text").slice(lo, hi - lo))
                 i, a, n, p, h, c = anchors(u, ends, w, k)
                 if i.size:
                     place = pack_place(a - np.append(0, ends)[i], n, p)
-                    h, c, doc, place = combine(h, c, ids[lo:hi][i], place, ordered)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(place)], ["h", "c", "doc_id", "a"])
+                    yield _anchor_batch(combine(h, c, ids[lo:hi][i], texts[lo:hi][i], place, ordered))
+
+    return docs.select("doc_id", "t", "text").mapInArrow(run, ROW)
+
+
+def _anchor_batch(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], NAMES)
+
+
+def window_rows(ctx: DataFrame, units: Units, w: int, ordered: bool) -> DataFrame:
+    """anchor_rows() of contexts (doc_id, t, a, ctx) with every window as an anchor of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts, places = (b.column(x).to_numpy() for x in ("doc_id", "t", "a"))
+            for lo, hi in slices(b.column("ctx"), 400_000):
+                u, ends = units(b.column("ctx").slice(lo, hi - lo))
+                i, a, n, p, h, c = anchors(u, ends, w, w)
+                i = i + lo
+                start = (places[i] >> 24) + a - np.append(0, ends)[i - lo]
+                yield _anchor_batch(combine(h, c, ids[i], texts[i], pack_place(start, n, p), ordered))
 
-    return docs.mapInArrow(run, ROW)
+    return ctx.select("doc_id", "t", "a", "ctx").mapInArrow(run, ROW)
 
 
 def slices(col: pa.Array, most: int = 4_000_000) -> list[tuple[int, int]]:
@@ -179,7 +204,7 @@ def settle(rows: DataFrame, ordered: bool, limit: int = 200_000) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict | None = None
-        names = ("h", "c", "doc_id", "a")
+        names = NAMES
 
         def emit(x: dict, to: int) -> Iterator[pa.RecordBatch]:
             if to:
@@ -216,4 +241,25 @@ def settle(rows: DataFrame, ordered: bool, limit: int = 200_000) -> DataFrame:
         if held:
             yield from emit(held, held["h"].size)
 
-    return rows.repartition("h").sortWithinPartitions("h", "c", "doc_id", "a").mapInArrow(run, FOUND)
+    return rows.repartition("h").sortWithinPartitions(*NAMES).mapInArrow(run, FOUND)
+
+
+def find(docs: DataFrame, units: Units, contexts: Callable[[DataFrame], DataFrame], context_units: Units, look: Callable, w: int, k: int, ordered: bool, shard_units: int, most_contexts: int) -> DataFrame:
+    """(doc_id, t, a) of every run of windows of docs (doc_id, t, text) that recurs, in the sense of settle().
+
+    contexts gives representatives' windows (h, c, doc_id, t, a, ctx); look(rows) judges those of one shard, an Arrow
+    table. Anchors of over most_contexts contexts go window by window, so a shard holds a few times shard_units at most.
+    """
+    found = written(settle(anchor_rows(docs, units, w, k, ordered), ordered), "anchors")
+    reps = found.where("rep").select(*NAMES)
+    size = F.sum(F.expr(f"((a >> 12) & 4095) + {w}"))
+    per = written(reps.groupBy("h").agg(F.count("*").alias("n"), size.alias("size")), "anchor-sizes")
+    total = per.where(F.col("n") <= most_contexts).agg(F.sum("size")).first()[0] or 0
+    hot = per.where(F.col("n") > most_contexts).select("h", "n")
+    ctx = written(contexts(reps), "contexts")
+    shards = max(1, -(-total // shard_units))
+    few = ctx.join(hot, "h", "left_anti").withColumn("shard", F.expr(f"pmod(h, {shards}L)"))
+    looked = few.groupBy("shard").applyInArrow(look, "doc_id long, t long, a long")
+    many = settle(window_rows(join_hot(ctx, hot, ["h"]), context_units, w, ordered), ordered).where("NOT rep")
+    out = found.where("NOT rep").select("doc_id", "t", "a").unionByName(looked)
+    return out.unionByName(many.select("doc_id", "t", "a")) if hot.take(1) else out

@@ -1,10 +1,11 @@
 """Suffix-array dedup: bytes of long strings that occur more than once are removed.
 
-The method is a run-length index. The candidate contexts (see repeats) are dealt into shards of bounded size; each
-shard's texts get a Burrows-Wheeler transform, kept as runs with the text places of each run's two ends. Only there
-are common prefixes with the neighbour in suffix order compared; inside a run they follow from the place before, one
+Equal contexts (see repeats) are settled by their hash, and that is what most repeats of a corpus are. What differs in
+part goes to a run-length index: the contexts are dealt into shards of bounded size, and each shard's texts get a
+Burrows-Wheeler transform, of which the two ends of every run are sampled with their text places. Only there are
+common prefixes with the neighbour in suffix order compared; inside a run they follow from the place before, one
 shorter. One pass over the texts then streams every place's matching statistic against all the rest of the shard,
-and matches of `w` bytes or more are marked.
+and matches of `w` bytes or more are marked. The transform is made from a suffix array, which a shard can afford.
 """
 
 from __future__ import annotations
@@ -14,10 +15,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from corvane.llm.common import id_out, with_key, written
-from corvane.llm.repeats import BYTE_HASH, FOUND, anchor_rows, pack_place, settle, unpack_place
+from corvane.llm.common import id_out, row_key
+from corvane.llm.repeats import BYTE_HASH, find, pack_place, unpack_place
 from corvane.llm.substrings import by_document, contexts, union_of
 
 #: Bytes in a gram that anchors a window.
@@ -91,7 +91,6 @@ class RunLengthIndex:
         sa = suffix_array(sym, len(texts) + 256)
         bwt = sym[sa - 1]
         head = np.flatnonzero(np.append(True, bwt[1:] != bwt[:-1]))
-        self.run_symbol, self.run_start = bwt[head], head
         self.head_at, self.tail_at = sa[head], sa[np.append(head[1:] - 1, self.n - 1)]
         left = np.repeat(self.ends - 1, sizes) - np.arange(self.n)  # bytes up to the separator
         pad = np.append(data, np.zeros(8, np.uint8)).astype(np.uint64)
@@ -130,37 +129,40 @@ def runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return [(int(x[0]), x.size) for x in np.split(starts, cut)]
 
 
-def find_repeats(docs: DataFrame, w: int = 400, shard_bytes: int = 1_000_000) -> DataFrame:
-    """doc_id and packed place of every run of windows of docs (doc_id, text) that starts anywhere else too."""
-    found = written(settle(anchor_rows(docs, byte_units, w, GRAM, ordered=False), ordered=False), "byte-anchors")
-    reps = found.where("rep")
-    size = reps.agg(F.sum(F.expr(f"((a >> 12) & 4095) + {w}"))).first()[0] or 0
-    ctx = contexts(docs, reps.select("h", "c", "doc_id", "a"), lambda t: t, w, max(1, -(-size // shard_bytes)))
+def context_units(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    parts = [np.frombuffer(x, np.uint8) for x in col.to_pylist()]
+    return BYTE_HASH[np.concatenate(parts)], np.cumsum([x.size for x in parts])
 
-    def one(key, t):
-        out: list[tuple[int, int]] = []
-        ids, places = t["doc_id"].to_pylist(), t["a"].to_pylist()
-        for doc, place, starts in zip(ids, places, mark(t["ctx"].to_pylist(), w)):
-            a, n, p = unpack_place(place)
-            out += [(doc, pack_place(a + s, k, p)) for s, k in runs(starts)]
-        return pa.table({"doc_id": pa.array([x[0] for x in out], pa.int64()), "a": pa.array([x[1] for x in out], pa.int64())})
 
-    looked = ctx.groupBy("shard").applyInArrow(one, "doc_id long, a long")
-    return found.where("NOT rep").select("doc_id", "a").unionByName(looked)
+def find_repeats(docs: DataFrame, w: int = 400, shard_bytes: int = 1_000_000, most_contexts: int = 2_000) -> DataFrame:
+    """doc_id, t and packed place of every run of windows of docs (doc_id, t, text) that starts anywhere else too."""
+
+    def look(key, rows):
+        out: list[tuple[int, int, int]] = []
+        for doc, t, place, starts in zip(rows["doc_id"].to_pylist(), rows["t"].to_pylist(), rows["a"].to_pylist(), mark(rows["ctx"].to_pylist(), w)):
+            a, _, p = unpack_place(place)
+            out += [(doc, t, pack_place(a + s, k, p)) for s, k in runs(starts)]
+        return places_table(out)
+
+    return find(docs, byte_units, lambda reps: contexts(docs, reps, lambda t: t, w), context_units, look, w, GRAM, False, shard_bytes, most_contexts)
+
+
+def places_table(rows: list[tuple[int, int, int]]) -> pa.Table:
+    return pa.table({name: pa.array([x[i] for x in rows], pa.int64()) for i, name in enumerate(("doc_id", "t", "a"))})
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<struct<start:long,end:long>>"
 
 
-def remove_repeats(docs: DataFrame, w: int = 400, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, w: int = 400, keep_text: bool = True, **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the spans and the text that is left.
 
     Texts are UTF-8 bytes, null is empty. A byte goes if a string of w bytes over it starts anywhere else: in any
     row, repeated rows included, or at another place of its own text. Texts below w bytes lose nothing. Rows that
-    share a doc_id, or have none, share their spans, cut to each row's length; ids are expected to be unique. A cut
-    inside a character leaves its bytes: `kept` shows them as replacement characters. Other columns are ignored.
+    share a doc_id, or have none, are judged one by one. A cut inside a character leaves its bytes: `kept` shows them
+    as replacement characters. Other columns are ignored.
     """
-    d = with_key(docs, "doc_id", ("text", "text"))
+    d = row_key(docs)
 
     def make(doc: int, text: bytes, places: np.ndarray) -> tuple:
         a, e = union_of(places, w, len(text))
@@ -171,4 +173,4 @@ def remove_repeats(docs: DataFrame, w: int = 400, keep_text: bool = True) -> Dat
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][: 7 if keep_text else 5]
     schema = OUT if keep_text else OUT.partition(", kept string")[0]
-    return by_document(d, find_repeats(d, w), schema, make, names).withColumn("doc_id", id_out())
+    return by_document(d, find_repeats(d, w, **how), schema, make, names).withColumn("doc_id", id_out())

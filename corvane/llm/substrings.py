@@ -9,9 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPANS = "doc_id long, a long"
-
-
 def union_of(places: np.ndarray, w: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs [start, end) of units under the windows of packed places, inside a text of `size` units."""
     a, n = places >> 24, (places >> 12) & 4095
@@ -27,9 +24,9 @@ def union_of(places: np.ndarray, w: int, size: int) -> tuple[np.ndarray, np.ndar
 
 
 def by_document(docs: DataFrame, spans: DataFrame, schema: str, make: Callable, names: list[str]) -> DataFrame:
-    """make(doc_id, text bytes, packed places) for every row of docs (doc_id, text)."""
-    per = spans.groupBy("doc_id").agg(F.collect_list("a").alias("places"))
-    joined = docs.join(per.hint("shuffle_hash"), "doc_id", "left")
+    """make(doc_id, text bytes, packed places) for every row of docs (doc_id, t, text)."""
+    per = spans.groupBy("doc_id", "t").agg(F.collect_list("a").alias("places"))
+    joined = docs.join(per.hint("shuffle_hash"), ["doc_id", "t"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -44,26 +41,27 @@ def by_document(docs: DataFrame, spans: DataFrame, schema: str, make: Callable,
     return joined.select("doc_id", "text", "places").mapInArrow(run, schema)
 
 
-def contexts(docs: DataFrame, reps: DataFrame, units: Callable[[bytes], np.ndarray | bytes], w: int, shards: int) -> DataFrame:
-    """The units of each representative's windows: shard, h, c, doc_id, a, ctx (binary)."""
-    per = reps.groupBy("doc_id").agg(F.collect_list(F.struct("h", "c", "a")).alias("reps"))
-    joined = docs.join(per.hint("shuffle_hash"), "doc_id")
+def contexts(docs: DataFrame, reps: DataFrame, units: Callable[[bytes], np.ndarray | bytes], w: int) -> DataFrame:
+    """The units of each representative's windows: h, doc_id, t, a, ctx (binary)."""
+    per = reps.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "a")).alias("reps"))
+    joined = docs.join(per.hint("shuffle_hash"), ["doc_id", "t"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            ids, reps = b.column("doc_id").to_pylist(), b.column("reps")
+            ids, texts, reps = b.column("doc_id").to_pylist(), b.column("t").to_pylist(), b.column("reps")
             out: list[tuple] = []
-            for i, t in enumerate(b.column("text")):
-                u = units(t.as_buffer().to_pybytes() if t.is_valid else b"")
+            for i, text in enumerate(b.column("text")):
+                if (ids[i], texts[i]) in seen:  # a repeated row, whose contexts are the same
+                    continue
+                seen.add((ids[i], texts[i]))
+                u = units(text.as_buffer().to_pybytes() if text.is_valid else b"")
                 r = reps[i].values
-                h, c, a = (r.field(k).to_numpy() for k in range(3))
-                for j in range(h.size):
-                    s, n = int(a[j]) >> 24, (int(a[j]) >> 12) & 4095
+                for h, a in zip(r.field(0).to_pylist(), r.field(1).to_pylist()):
+                    s, n = a >> 24, (a >> 12) & 4095
                     x = u[s : s + n - 1 + w]
-                    if len(x) == n - 1 + w:  # else another text under the same id
-                        out.append((h[j], c[j], ids[i], a[j], x if isinstance(x, bytes) else x.tobytes()))
+                    out.append((h, ids[i], texts[i], a, x if isinstance(x, bytes) else x.tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["h", "c", "doc_id", "a", "ctx"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["h", "doc_id", "t", "a", "ctx"])
 
-    made = joined.select("doc_id", "text", "reps").mapInArrow(run, "h long, c long, doc_id long, a long, ctx binary")
-    return made.withColumn("shard", F.expr(f"cast(pmod(h, {shards}L) as int)"))
+    return joined.select("doc_id", "t", "text", "reps").mapInArrow(run, "h long, doc_id long, t long, a long, ctx binary")

@@ -1,7 +1,7 @@
 """Substring dedup on words: later copies of long word sequences are removed, the first document keeps them.
 
-The method is suffix automata of reference shards, against which documents stream for matching statistics. What
-could recur (see repeats) is dealt into shards of bounded size rather than broadcast whole, since all of it grows
+Equal contexts (see repeats) are settled by their hash, and that is what most repeats of a corpus are. The rest goes to
+suffix automata of reference shards, against which documents stream for matching statistics. What could recur is dealt into shards of bounded size rather than broadcast whole, since all of it grows
 with the corpus: one task holds one shard's automaton and streams every context routed to that shard. Documents
 pass in order of id; each streams through the automaton of those before it, and only then joins the reference.
 """
@@ -13,11 +13,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from corvane.llm.common import id_out, text_bytes, with_key, word_hashes, written
-from corvane.llm.repeats import anchor_rows, pack_place, settle, unpack_place
-from corvane.llm.run_length_index import runs
+from corvane.llm.common import id_out, row_key, text_bytes, word_hashes
+from corvane.llm.repeats import find, pack_place, unpack_place
+from corvane.llm.run_length_index import places_table, runs
 from corvane.llm.substrings import by_document, contexts, union_of
 
 #: Words in a gram that anchors a window.
@@ -106,38 +105,38 @@ def stream(rows: list[tuple[int, list[int]]], w: int) -> list[np.ndarray]:
     return found
 
 
-def find_later_copies(docs: DataFrame, w: int = 13, shard_words: int = 400_000) -> DataFrame:
-    """doc_id and packed place of every run of windows of docs (doc_id, text) known from a smaller doc_id."""
-    found = written(settle(anchor_rows(docs, word_units, w, GRAM, ordered=True), ordered=True), "word-anchors")
-    reps = found.where("rep")
-    size = reps.agg(F.sum(F.expr(f"((a >> 12) & 4095) + {w - 1}"))).first()[0] or 0
-    ctx = contexts(docs, reps.select("h", "c", "doc_id", "a"), lambda t: word_hashes(t.split()), w, max(1, -(-size // shard_words)))
+def context_units(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    parts = [np.frombuffer(x, np.uint64) for x in col.to_pylist()]
+    return np.concatenate(parts), np.cumsum([x.size for x in parts])
 
-    def one(key, t):
-        ids, places = t["doc_id"].to_pylist(), t["a"].to_pylist()
-        seqs = [np.frombuffer(x, np.uint64).tolist() for x in t["ctx"].to_pylist()]
-        out: list[tuple[int, int]] = []
-        for doc, place, starts in zip(ids, places, stream(list(zip(ids, seqs)), w)):
-            a, n, p = unpack_place(place)
-            out += [(doc, pack_place(a + s, k, p)) for s, k in runs(starts)]
-        return pa.table({"doc_id": pa.array([x[0] for x in out], pa.int64()), "a": pa.array([x[1] for x in out], pa.int64())})
 
-    looked = ctx.groupBy("shard").applyInArrow(one, "doc_id long, a long")
-    return found.where("NOT rep").select("doc_id", "a").unionByName(looked)
+def find_later_copies(docs: DataFrame, w: int = 13, shard_words: int = 400_000, most_contexts: int = 10_000) -> DataFrame:
+    """doc_id, t and packed place of every run of windows of docs (doc_id, t, text) known from a smaller doc_id."""
+
+    def look(key, rows):
+        ids, texts, places = (rows[x].to_pylist() for x in ("doc_id", "t", "a"))
+        seqs = [np.frombuffer(x, np.uint64).tolist() for x in rows["ctx"].to_pylist()]
+        out: list[tuple[int, int, int]] = []
+        for doc, t, place, starts in zip(ids, texts, places, stream(list(zip(ids, seqs)), w)):
+            a, _, p = unpack_place(place)
+            out += [(doc, t, pack_place(a + s, k, p)) for s, k in runs(starts)]
+        return places_table(out)
+
+    return find(docs, word_units, lambda reps: contexts(docs, reps, lambda t: word_hashes(t.split()), w), context_units, look, w, GRAM, True, shard_words, most_contexts)
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start:long,end:long>>"
 
 
-def remove_later_copies(docs: DataFrame, w: int = 13, keep_text: bool = True) -> DataFrame:
+def remove_later_copies(docs: DataFrame, w: int = 13, keep_text: bool = True, **how) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and with keep_text the kept words joined by spaces and the spans.
 
     Words are [^\\x20\\x09-\\x0D]+, null has none. A word goes if a window of w words over it also starts in a
     document of smaller doc_id; within one document nothing counts as a copy, nor between rows that repeat a doc_id.
-    Rows without a doc_id come before all others. Rows that share a doc_id share their spans, cut to each row's
-    length; ids are expected to be unique. Other columns are ignored.
+    Rows without a doc_id come before all others. Rows that share a doc_id, or have none, are judged one by one. Other
+    columns are ignored.
     """
-    d = with_key(docs, "doc_id", ("text", "text"))
+    d = row_key(docs)
 
     def make(doc: int, text: bytes, places: np.ndarray) -> tuple:
         words = text.split()
@@ -149,4 +148,4 @@ def remove_later_copies(docs: DataFrame, w: int = 13, keep_text: bool = True) ->
 
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept", "spans"][: 6 if keep_text else 4]
     schema = OUT if keep_text else OUT.partition(", kept string")[0]
-    return by_document(d, find_later_copies(d, w), schema, make, names).withColumn("doc_id", id_out())
+    return by_document(d, find_later_copies(d, w, **how), schema, make, names).withColumn("doc_id", id_out())

@@ -77,21 +77,53 @@ def test_substrings_of_nothing_and_of_rows_without_id(spark, none):
     assert rows(remove_later_copies(odd), "n_words", "n_removed") == [(0, 0), (600, 0), (600, 600), (600, 600)]
 
 
+def test_unique_text_stays_under_repeated_and_null_ids(spark):
+    from corvane.llm.run_length_index import remove_repeats
+    from corvane.llm.suffix_automaton import remove_later_copies
+
+    again, own, other = " ".join(f"a{i}" for i in range(400)), " ".join(f"b{i}" for i in range(400)), " ".join(f"c{i}" for i in range(400))
+    data = [(None, again), (None, own), (7, again), (8, again), (8, other), (8, None)]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    n = len(again)
+    assert rows(remove_repeats(d, keep_text=False), F.coalesce("doc_id", F.lit(0)), "n_bytes", "n_removed") == sorted([(0, n, n), (0, n, 0), (7, n, n), (8, n, n), (8, n, 0), (8, 0, 0)])
+    assert rows(remove_later_copies(d, keep_text=False), F.coalesce("doc_id", F.lit(0)), "n_words", "n_removed") == [(0, 400, 0), (0, 400, 0), (7, 400, 400), (8, 0, 0), (8, 400, 0), (8, 400, 400)]
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_hot_anchors_go_window_by_window(docs, most):
+    from corvane.llm.run_length_index import remove_repeats
+    from corvane.llm.suffix_automaton import remove_later_copies
+
+    out = remove_repeats(docs, 64, keep_text=False, most_contexts=most)
+    assert rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.repeats(DOCS, 64))
+    assert rows(remove_later_copies(docs, 13, most_contexts=most), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.later_copies(DOCS, 13))
+
+
+def test_an_anchor_of_very_many_contexts(spark):
+    """One passage of 13 words stands in 20,000 texts between words of their own."""
+    from corvane.llm.suffix_automaton import remove_later_copies
+
+    hot = " ".join(f"hot{i}" for i in range(13))
+    d = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.md5(F.col("id").cast("string")), F.lit(hot), F.md5((-F.col("id")).cast("string")), F.lit("end")).alias("text"))
+    out = remove_later_copies(d, keep_text=False, most_contexts=1000)
+    assert out.agg(F.sum("n_removed")).first()[0] == 13 * 19_999 and out.where("doc_id = 0 AND n_removed = 0").count() == 1
+
+
 @pytest.mark.parametrize("ordered", [True, False])
 def test_hot_groups_are_settled_alike_in_pieces(spark, ordered):
     from corvane.llm.repeats import settle
 
     rng = random.Random(3)
-    data = [(h, rng.choice([1, 2, 3]), rng.randrange(40), i << 24) for i, h in enumerate([7] * 300 + [8, 8, 9])]
+    data = [(h, rng.choice([1, 2, 3]), rng.randrange(40), 0, i << 24) for i, h in enumerate([7] * 300 + [8, 8, 9])]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
     try:
-        d = spark.createDataFrame(data, "h long, c long, doc_id long, a long")
+        d = spark.createDataFrame(data, "h long, c long, doc_id long, t long, a long")
         whole = settle(d, ordered)
         cut = settle(d, ordered, limit=10)
         mine = lambda x: {tuple(r) for r in x.where("NOT rep").collect()}
         assert mine(whole) == mine(cut)
         if ordered:
-            assert rows(whole, "rep", "h", "c", "doc_id", "a") == rows(cut, "rep", "h", "c", "doc_id", "a")
+            assert rows(whole, "rep", "h", "c", "doc_id", "t", "a") == rows(cut, "rep", "h", "c", "doc_id", "t", "a")
         else:
             assert {(r["h"], r["c"]) for r in whole.where("rep").collect()} == {(r["h"], r["c"]) for r in cut.where("rep").collect()}
     finally:
