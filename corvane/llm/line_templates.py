@@ -34,7 +34,7 @@ def masked(text: Column) -> Column:
 
 def parsed(docs: DataFrame, lead: int) -> DataFrame:
     """doc_id, t, text to one row for each line with a token: doc_id, t, digest of the masked text, i, hash of the
-    line, its branch, number of fields, hashes of the fields (null beyond them)."""
+    line, its branch, hashes of the fields (null beyond them)."""
     m = docs.where("text IS NOT NULL").select("doc_id", "t", masked(F.col("text")).alias("m"))
     lines = m.select("doc_id", "t", F.xxhash64("m").alias("digest"), F.posexplode(F.split("m", "\n")).alias("i", "line"))
     tokens = lines.select("doc_id", "t", "digest", "i", F.trim("line").alias("line")).where("line <> ''").select("doc_id", "t", "digest", "i", F.xxhash64("line").alias("line"), F.split("line", " ").alias("k"))
@@ -43,17 +43,20 @@ def parsed(docs: DataFrame, lead: int) -> DataFrame:
     branch = F.xxhash64(n, F.slice("k", 1, lead))
     at = lambda j: F.floor(F.lit(j) * F.col("rest") / F.col("fields")).cast("int")
     field = [F.when(F.col("fields") > j, F.xxhash64(F.slice("k", at(j) + lead + 1, at(j + 1) - at(j)))).alias(f"f{j}") for j in range(FIELDS)]
-    return sized.select("doc_id", "t", "digest", "i", "line", branch.alias("branch"), "fields", *field)
+    return sized.select("doc_id", "t", "digest", "i", "line", branch.alias("branch"), *field)
+
+
+PARTS = ["branch", *(f"f{j}" for j in range(FIELDS))]
 
 
 def generalised(known: DataFrame, steady: float, share: float) -> DataFrame:
-    """Of distinct lines (line, branch, fields, f0, ...) those with enough constant fields: line, template."""
+    """Of distinct lines (line, branch, f0, ...) those with enough constant fields: line, template."""
+    each = F.explode(F.array(*[F.struct(F.lit(j).alias("at"), F.col(f"f{j}").alias("f")) for j in range(FIELDS)])).alias("x")
+    told = known.where("f2 IS NOT NULL").select("line", "branch", F.when(F.col("f3").isNull(), 3).otherwise(4).alias("fields"), each).where("x.f IS NOT NULL")
+    told = told.select("line", "branch", "fields", "x.*", F.xxhash64("branch", "x.at", "x.f").alias("key"))
+    often = written(told.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "frequent-fields")
     size = known.groupBy("branch").agg(F.count("*").alias("size")).where("size > 1")
-    each = F.array(*[F.struct(F.lit(j).alias("at"), F.col(f"f{j}").alias("f")) for j in range(FIELDS)])
-    told = known.where("fields > 2").select("line", "branch", "fields", F.explode(each).alias("x")).select("line", "branch", "fields", "x.*").where("f IS NOT NULL")
-    often = told.groupBy("branch", "at", "f").agg(F.count("*").alias("n")).where("n > 1")
-    constant = written(often.join(size, "branch").where(F.col("n") >= steady * F.col("size")).select("branch", "at", "f", "n"), "constant-fields")
-    kept = join_hot(told, constant, ["branch", "at", "f"]).groupBy("line", "branch", "fields")
+    kept = join_hot(told, often, ["key"]).join(size, "branch").where(F.col("n") >= steady * F.col("size")).groupBy("line", "branch", "fields")
     kept = kept.agg(F.count("*").alias("k"), *[F.max(F.when(F.col("at") == j, F.col("f"))).alias(f"c{j}") for j in range(FIELDS)])
     template = F.xxhash64("branch", *[F.coalesce(f"c{j}", F.lit(0)) for j in range(FIELDS)])
     return kept.where((F.col("k") >= share * F.col("fields")) & (F.col("k") < F.col("fields"))).select("line", template.alias("template"))
@@ -61,9 +64,9 @@ def generalised(known: DataFrame, steady: float, share: float) -> DataFrame:
 
 def recurring(lines: DataFrame, min_docs: int, steady: float, share: float) -> DataFrame:
     """The lines to drop (line, n rows), from the rows of parsed()."""
-    pair = lines.groupBy("line", "digest").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("branch", "fields", *[f"f{j}" for j in range(FIELDS)])])
-    known = pair.groupBy("line").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), *[F.min(c).alias(c) for c in ("branch", "fields", *[f"f{j}" for j in range(FIELDS)])])
-    known = written(known, "distinct-lines")
+    parts = [F.min(c).alias(c) for c in PARTS]
+    pair = lines.groupBy("line", "digest").agg(F.count("*").alias("n"), *parts)
+    known = written(pair.groupBy("line").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), *parts), "distinct-lines")
     under = written(generalised(known, steady, share).join(known.select("line", "n"), "line"), "generalised-lines")
     per_text = join_hot(lines.select("line", "digest"), under, ["line"]).select("template", "digest").distinct()
     good = per_text.groupBy("template").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_docs).select("template")
