@@ -4,9 +4,12 @@ A document's shingles are hashed into groups, and the group counts are its point
 coordinates' minima bounds the number of shared shingles, and for a node of the tree the largest coordinates in it do
 so for all its points at once. Points meet under shared prefix shingles: sorted rare first, two sets that reach the
 threshold share one of their first few. Each such meeting is indexed by a tree and leaves, for its points whose
-bounds reach the threshold, a star of links; the stars' components are the candidate clusters. Clusters are verified
-on the full shingle sets, large ones in pairs of bounded blocks. No list of pairs is ever made: what goes on is one
-link for each document at most from every meeting. Documents with equal sets stand as one throughout.
+bounds reach the threshold, a star of links; the stars' components are the candidate clusters. A meeting too large
+for one task is a star as it stands. Clusters are verified on the full shingle sets, in blocks of bounded size: every
+block of a large cluster first with its first block, then what is not in the cluster's largest component yet with all
+blocks. So texts are copied about twice, and more only by the number of such leftovers. No list of pairs is ever made:
+what goes on is one link for each document at most from every meeting. Documents with equal sets stand as one
+throughout, as a node named by one of their rows.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import LOWER_TABLE, gram_hashes, id_out, mix, text_bytes, with_key, word_hashes, written
+from corvane.llm.common import LOWER_TABLE, NO_ID, gram_hashes, id_out, join_hot, mix, text_bytes, word_hashes, written
 from corvane.llm.components import components
 from corvane.llm.repeats import slices
 
@@ -121,11 +124,11 @@ def _common_buckets(docs: DataFrame, k: int) -> np.ndarray:
     return np.maximum(0, np.floor(2 * np.log2(np.maximum(1e-9, n / max(1.0, n.mean() * COMMON)))) + 1).astype(np.uint8)
 
 
-SETS = "doc_id long, n int, d1 long, d2 long, vec binary, keys array<long>"
+SETS = "uid long, n int, d1 long, d2 long, vec binary, keys array<long>"
 
 
 def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of each row of docs (doc_id, text): set size, 128-bit digest of the set, count vector, prefix shingles."""
+    """Of each row of docs (uid, text): set size, 128-bit digest of the set, count vector, prefix shingles."""
     common = docs.sparkSession.sparkContext.broadcast(_common_buckets(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,9 +144,9 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 keys = s[:first] if not rare[:first].any() else s[np.argsort(rare, kind="stable")[:first]]
                 rows.append((doc, n, (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, count_vector(s, groups_for(n)).tobytes() if n else b"", keys.view(np.int64)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], ["doc_id", "n", "d1", "d2", "vec", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], ["uid", "n", "d1", "d2", "vec", "keys"])
 
-    return docs.mapInArrow(run, SETS)
+    return docs.select("uid", "text").mapInArrow(run, SETS)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -168,7 +171,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Tabl
 
 
 def _shared_keys(rows: DataFrame) -> DataFrame:
-    """(meeting, doc_id) of the documents that share a key. Keys that join the same documents are one meeting, named
+    """key, node to (meeting, node) of the nodes that share a key. Keys that join the same documents are one meeting, named
     by a hash of its members; a key whose rows reach into another batch names its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,17 +195,17 @@ def _shared_keys(rows: DataFrame) -> DataFrame:
             name = np.where(edge, key, name)
             i = np.flatnonzero(out)
             if i.size:
-                yield pa.RecordBatch.from_arrays([pa.array(name[i]), pa.array(doc[i])], ["meeting", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(name[i]), pa.array(doc[i])], ["meeting", "node"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "meeting long, doc_id long").distinct()
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "meeting long, node long").distinct()
 
 
 def _stars(meetings: DataFrame, percent: int) -> DataFrame:
-    """meeting, doc_id, n, vec to links (a, b) under the bounds, at most one for each row."""
+    """meeting, node, n, vec to links (a, b) under the bounds, at most one for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, "meeting"):
-            key, doc, n = (t[c].to_numpy() for c in ("meeting", "doc_id", "n"))
+            key, doc, n = (t[c].to_numpy() for c in ("meeting", "node", "n"))
             vec = [np.frombuffer(v, np.uint16) for v in t["vec"].to_pylist()]
             cut = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), key.size)
             pairs = cut[:-1][np.diff(cut) == 2]
@@ -216,7 +219,7 @@ def _stars(meetings: DataFrame, percent: int) -> DataFrame:
             if sum(map(len, a)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return meetings.repartition("meeting").sortWithinPartitions("meeting", "n", "doc_id").mapInArrow(run, "a long, b long").distinct()
+    return meetings.repartition("meeting").sortWithinPartitions("meeting", "n", "node").mapInArrow(run, "a long, b long").distinct()
 
 
 def _level_stars(n: np.ndarray, vec: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -283,49 +286,101 @@ class Verifier:
 
 
 def _verify(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """cluster, i, j, doc_id, text to verified links (a, b): all that join the documents of blocks i and j."""
+    """task, node, text to verified links (a, b): all that join the nodes of a task, as stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches, "task"):
-            task, doc = t["task"].to_numpy(), t["doc_id"].to_numpy()
+            task, node = t["task"].to_numpy(), t["node"].to_numpy()
             texts = text_bytes(pa.chunked_array(t["text"].chunks, pa.string()).combine_chunks())
             cut = np.append(np.flatnonzero(np.append(True, task[1:] != task[:-1])), task.size).tolist()
-            found = [Verifier(doc[s:e], texts[s:e], k, percent).links() for s, e in zip(cut, cut[1:]) if e - s > 1]
+            found = [Verifier(node[s:e], texts[s:e], k, percent).links() for s, e in zip(cut, cut[1:]) if e - s > 1]
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     # Tasks are named by a hash; should two share one, more is compared and nothing less.
-    named = members.select(F.xxhash64("cluster", "i", "j").alias("task"), "doc_id", "text")
-    return named.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
-
-
-def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, block_docs: int = 4000, block_shingles: int = 4_000_000) -> DataFrame:
+    return members.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+
+
+def candidates(own: DataFrame, percent: int, most_meeting: int) -> DataFrame:
+    """Links (a, b) of the nodes in own (node, n, vec, keys) whose components no link leaves."""
+    shared = written(_shared_keys(own.select(F.explode("keys").alias("key"), "node")), "meetings")
+    large = shared.groupBy("meeting").agg(F.count("*").alias("n"), F.min("node").alias("root")).where(F.col("n") > most_meeting)
+    large = written(large, "large-meetings")
+    stars = _stars(shared.join(large, "meeting", "left_anti").join(own.select("node", "n", "vec"), "node").select("meeting", "node", "n", "vec"), percent)
+    return stars.unionByName(join_hot(shared, large, ["meeting"]).select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
+def verified(keyed: DataFrame, own: DataFrame, cluster: DataFrame, k: int, percent: int, block_docs: int, block_shingles: int) -> DataFrame:
+    """(node, component) of the nodes that link, from candidate clusters (node, component)."""
+    weight = cluster.join(own.select("node", "n"), "node")
+    blocks = weight.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"), F.count("*").alias("n"))
+    placed = join_hot(cluster, blocks, ["component"]).select("node", F.col("component").alias("cluster"), "blocks", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block"))
+    placed = written(placed, "placed")
+
+    def links(members: DataFrame) -> DataFrame:
+        """members: node, task."""
+        texts = keyed.select(F.col("uid").alias("node"), "text").join(members.hint("shuffle_hash"), "node")
+        return written(_verify(texts, k, percent), "links")
+
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    first = placed.withColumn("j", F.explode(F.when((F.col("block") == 0) & (F.col("blocks") > 1), F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("block"))))
+    found = links(first.select("node", F.xxhash64("cluster", "j").alias("task")))
+    comp = components(found)
+    big = placed.where("blocks > 1").join(comp, "node", "left").select("node", "cluster", "blocks", "block", F.coalesce("component", "node").alias("root"))
+    sizes = big.groupBy("cluster", "root").agg(F.count("*").alias("size")).groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("top"), F.sum("size").alias("n"))
+    rest = written(join_hot(big, sizes, ["cluster"]).where("root <> top").select("node", "cluster", "blocks", "block"), "leftovers")
+    if not rest.take(1):
+        return comp
+    parts = rest.groupBy("cluster").agg(F.ceil(F.count("*") / block_docs).cast("int").alias("parts"))
+    count = sizes.select("cluster", "n").join(parts, "cluster")
+    task = lambda r, j: F.xxhash64("cluster", F.lit("rest"), r, j).alias("task")
+    left = join_hot(rest, count, ["cluster"]).withColumn("r", F.expr("cast(pmod(xxhash64(node, 1), parts) as int)")).withColumn("j", F.explode(all_of("blocks")))
+    right = join_hot(big.select("node", "cluster", "block"), count, ["cluster"]).withColumn("r", F.explode(all_of("parts")))
+    met = left.select("node", task("r", "j")).unionByName(right.select("node", task("r", "block"))).distinct()
+    return components(found.unionByName(links(met)))
+
+
+def link_rows(keyed: DataFrame, k: int, percent: int, block_docs: int = 4000, block_shingles: int = 4_000_000, most_meeting: int = 20_000) -> DataFrame:
+    """keyed: uid, doc_id (never null), text, written. uid, doc_id, n, component_id and root, a row of the component (null
+    without words), of every row."""
+    sets = written(shingle_sets(keyed, k, percent), "sets").join(keyed.select("uid", "doc_id"), "uid")
+    some = sets.where("n > 0")
+    # Each distinct set: its node, smallest doc_id and number of rows.
+    rep = written(some.groupBy("d1", "d2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
+    own = written(sets.join(rep.select(F.col("node").alias("uid")), "uid", "left_semi").select(F.col("uid").alias("node"), "n", "vec", "keys"), "distinct-sets")
+    cluster = components(candidates(own, percent, most_meeting))
+    comp = verified(keyed, own, cluster, k, percent, block_docs, block_shingles)
+    told = written(rep.join(comp, "node", "left").select("d1", "d2", "least", "n", F.coalesce("component", "node").alias("root")), "told")
+    least = told.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    told = join_hot(told.withColumnRenamed("n", "rows"), least, ["root"]).select("d1", "d2", "root", "component_id", F.col("rows").alias("copies"))
+    out = join_hot(some.select("uid", "doc_id", "n", "d1", "d2"), written(told, "told"), ["d1", "d2"], n="copies")
+    alone = sets.where("n = 0").select("uid", "doc_id", "n", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    return out.select("uid", "doc_id", "n", "root", "component_id").unionByName(alone)
+
+
+def _keyed(docs: DataFrame, *cols: str) -> DataFrame:
+    own = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").alias("text"), *([F.struct(*cols).alias("row")] if cols else []))
+    return written(own, "keyed", compression="zstd")
+
+
+def link_documents(docs: DataFrame, k: int = 5, percent: int = 80, **how) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs: near duplicates share a component.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a set is the distinct k-word shingles of the whole text, of
     fewer words the whole sequence; null and wordless texts have none and are linked with nothing. Two documents
-    link when 100 * shared >= percent * united. component_id is the smallest doc_id reachable. Rows that share a
-    doc_id, or have none, count as one document if their sets are equal; under one id with different sets, the sets'
-    components are joined under that id. Other columns are ignored.
+    link when 100 * shared >= percent * united. component_id is the smallest doc_id reachable, null before all others.
+    Rows that share a doc_id, or have none, are documents of their own. Other columns are ignored.
     """
-    d = with_key(docs, "doc_id", ("text", "text"))
-    sets = written(shingle_sets(d, k, percent), "sets")
-    rep = sets.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    known = sets.where("n > 0").select("doc_id", "n", "d1", "d2").join(rep, ["d1", "d2"])
-    own = written(sets.join(rep.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"]), "distinct-sets")
-    shared = _shared_keys(own.select(F.explode("keys").alias("key"), "doc_id"))
-    stars = _stars(shared.join(own.select("doc_id", "n", "vec"), "doc_id").select("meeting", "doc_id", "n", "vec"), percent)
-    cluster = written(components(stars), "clusters")
-    weight = cluster.join(own.select("doc_id", "n"), cluster["node"] == own["doc_id"])
-    blocks = weight.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
-    placed = cluster.join(blocks, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block"))
-    # One row for each pair of blocks that the document's block is in; a cluster of one block makes one task.
-    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = other.select("doc_id", "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    members = d.join(met.hint("shuffle_hash"), "doc_id")
-    links = _verify(members, k, percent)
-    comp = components(links)
-    out = known.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "d1", "d2", F.coalesce("component", "rep").alias("component"))
-    every = sets.select("doc_id", "n", "d1", "d2").join(out.dropDuplicates(["doc_id", "d1", "d2"]), ["doc_id", "d1", "d2"], "left")
-    return every.select(id_out(), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).withColumn("component_id", id_out("component_id"))
+    out = link_rows(_keyed(docs), k, percent, **how)
+    return out.select(id_out(), F.col("n").cast("long").alias("n_shingles"), id_out("component_id"))
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, **how) -> DataFrame:
+    """The rows of docs without near duplicates: of each component, as in link_documents(), the row of smallest doc_id
+    stays, of several such rows one. Rows without words stay."""
+    keyed = _keyed(docs, *docs.columns)
+    rows = written(link_rows(keyed, k, percent, **how).select("uid", "doc_id", "root", "component_id"), "linked")
+    first = rows.where("doc_id = component_id AND root IS NOT NULL").groupBy("root").agg(F.min("uid").alias("uid"))
+    stay = first.select("uid").unionByName(rows.where("root IS NULL").select("uid"))
+    return keyed.join(stay.hint("shuffle_hash"), "uid", "left_semi").select("row.*")

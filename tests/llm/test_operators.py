@@ -158,8 +158,23 @@ def test_links(docs, k, percent):
 def test_links_in_blocks(docs):
     from corvane.llm.ngram_join import link_documents
 
-    out = link_documents(docs, 4, 85, block_docs=3)
-    assert rows(out, "doc_id", "n_shingles", "component_id") == sorted(brute.linked(DOCS, 4, 85))
+    for how in ({"block_docs": 3}, {"block_docs": 2, "most_meeting": 2}, {"block_docs": 5, "most_meeting": 1}):
+        for k, percent in ((4, 85), (2, 60)):
+            out = link_documents(docs, k, percent, **how)
+            assert rows(out, "doc_id", "n_shingles", "component_id") == sorted(brute.linked(DOCS, k, percent))
+
+
+def test_a_large_cluster_is_copied_a_bounded_number_of_times(spark, monkeypatch):
+    """9,000 near copies in 10 blocks: each text goes to about two tasks."""
+    from corvane.llm import ngram_join
+
+    base = [f"w{i}" for i in range(60)]
+    d = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit(" ".join(base)), F.col("id").cast("string")).alias("text"))
+    sent = []
+    verify = ngram_join._verify
+    monkeypatch.setattr(ngram_join, "_verify", lambda members, k, percent: (sent.append(members.count()), verify(members, k, percent))[1])
+    out = ngram_join.link_documents(d, block_docs=900)
+    assert out.where("component_id = 0").count() == 9000 and sum(sent) <= 2.2 * 9000
 
 
 def test_links_of_odd_rows(spark, none):
@@ -171,6 +186,20 @@ def test_links_of_odd_rows(spark, none):
     assert len(got) == 5 and {r["n_shingles"] for r in got} == {0, 1}
     assert {r["component_id"] for r in got if r["doc_id"] == 9} == {9}
     assert len({r["component_id"] for r in got if r["doc_id"] != 9}) == 1
+    apart = spark.createDataFrame([(7, "a b c d e f g"), (7, "own words of another row here"), (3, "a b c d e f g"), (None, "p q r s t u"), (None, "k l m n o p")], "doc_id long, text string")
+    assert sorted(r["component_id"] or 0 for r in link_documents(apart).collect()) == [0, 0, 3, 3, 7]
+
+
+def test_one_row_of_a_component_stays(spark, none):
+    from corvane.llm.ngram_join import keep_first
+
+    a, b = "one two three four five six seven", "own words of another row here"
+    d = spark.createDataFrame([(7, a, 1), (7, b, 2), (3, a, 3), (3, a, 4), (None, "p q r s t", 5), (None, "p q r s t", 6), (None, None, 7), (None, None, 8), (9, "", 9)], "doc_id long, text string, uid int")
+    got = keep_first(d)
+    assert got.columns == d.columns and got.schema == d.schema
+    kept = sorted(r["uid"] for r in got.collect())
+    assert [x for x in kept if x not in (3, 4, 5, 6)] == [2, 7, 8, 9] and len(kept) == 6
+    assert keep_first(none).count() == 0
 
 
 def test_count_tree_never_loses_a_link():
