@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import table, written
 from corvane.llm.line_templates import drop_recurring_lines
-from corvane.llm.ngram_join import link_documents
+from corvane.llm.ngram_join import keep_first
 from corvane.llm.packing import pack_documents
 from corvane.llm.quality import keep_good
 from corvane.llm.winnow import drop_contaminated
@@ -29,11 +29,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (five-word shingles, Jaccard 0.8) the smallest doc_id stays. Documents
-    without a doc_id stay."""
-    linked = written(link_documents(docs, k=5, percent=80), "linked")
-    gone = linked.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of near duplicates (five-word shingles, Jaccard 0.8) the row of smallest doc_id stays, one of
+    rows that repeat it. Rows without words stay, and so does a row that shares only its doc_id with another."""
+    return keep_first(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
