@@ -7,8 +7,8 @@ Equal contexts are combined before the shuffle: of those within a task all but t
 travel under keys of their own, so a hot anchor sends a few rows from each task. The rest are shuffled by hash and
 streamed in sorted order, with memory for one group at a time and a bounded summary for large ones: unique anchors
 end there, members of equal contexts are settled there, and one representative of each context, where an anchor has
-several, goes on to an index. Anchors with very many contexts are not indexed: there each window is an anchor of its
-own, as long as itself, so that equal windows are settled by their hash in any number of tasks.
+several, goes on to an index. Contexts of anchors that have very many are not indexed but anchored anew by longer
+grams, at last by whole windows, so that equal windows are settled by their hash in any number of tasks.
 
 Rows of a text are told apart by doc_id and a hash of the text.
 """
@@ -27,6 +27,7 @@ from corvane.llm.common import join_hot, mix, written
 _rng = np.random.default_rng(20240607)
 BYTE_HASH = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _MUL = _rng.integers(2**40, 2**63, 16, dtype=np.uint64) | np.uint64(1)
+_STEP, _JOIN = (_rng.integers(2**40, 2**63, 32, dtype=np.uint64) | np.uint64(1) for _ in range(2))
 #: Windows taken at once, and bits for a place among them.
 BLOCK, BITS = 1 << 18, np.uint64(20)
 
@@ -38,11 +39,11 @@ def grams(u: np.ndarray, k: int) -> np.ndarray:
     while left:
         if left & 1:
             n = u.size - k + 1
-            out = h[done : done + n] if out is None else out * _MUL[8 + i] + h[done : done + n]
+            out = h[done : done + n] if out is None else out * _JOIN[i] + h[done : done + n]
             done += have
         left >>= 1
         if left:
-            h = h[:-have] * _MUL[i] + h[have:]
+            h = h[:-have] * _STEP[i] + h[have:]
             have *= 2
             i += 1
     out = (out ^ (out >> np.uint64(29))) * _MUL[14]
@@ -154,15 +155,15 @@ def _anchor_batch(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], NAMES)
 
 
-def window_rows(ctx: DataFrame, units: Units, w: int, ordered: bool) -> DataFrame:
-    """anchor_rows() of contexts (doc_id, t, a, ctx) with every window as an anchor of its own."""
+def context_rows(ctx: DataFrame, units: Units, w: int, k: int, ordered: bool) -> DataFrame:
+    """anchor_rows() of contexts (doc_id, t, a, ctx)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts, places = (b.column(x).to_numpy() for x in ("doc_id", "t", "a"))
             for lo, hi in slices(b.column("ctx"), 400_000):
                 u, ends = units(b.column("ctx").slice(lo, hi - lo))
-                i, a, n, p, h, c = anchors(u, ends, w, w)
+                i, a, n, p, h, c = anchors(u, ends, w, k)
                 i = i + lo
                 start = (places[i] >> 24) + a - np.append(0, ends)[i - lo]
                 yield _anchor_batch(combine(h, c, ids[i], texts[i], pack_place(start, n, p), ordered))
@@ -244,22 +245,30 @@ def settle(rows: DataFrame, ordered: bool, limit: int = 200_000) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions(*NAMES).mapInArrow(run, FOUND)
 
 
-def find(docs: DataFrame, units: Units, contexts: Callable[[DataFrame], DataFrame], context_units: Units, look: Callable, w: int, k: int, ordered: bool, shard_units: int, most_contexts: int) -> DataFrame:
+def find(docs: DataFrame, units: Units, contexts: Callable[[DataFrame], DataFrame], context_units: Units, look: Callable, w: int, grams: tuple[int, ...], ordered: bool, shard_units: int, most_contexts: int) -> DataFrame:
     """(doc_id, t, a) of every run of windows of docs (doc_id, t, text) that recurs, in the sense of settle().
 
-    contexts gives representatives' windows (h, c, doc_id, t, a, ctx); look(rows) judges those of one shard, an Arrow
-    table. Anchors of over most_contexts contexts go window by window, so a shard holds a few times shard_units at most.
+    contexts gives representatives' windows (h, doc_id, t, a, ctx); look(rows) judges those of one shard, an Arrow
+    table. Contexts of anchors with over most_contexts of them go on to the next of the growing grams, the last of
+    which is a window, so a shard holds a few times shard_units at most.
     """
-    found = written(settle(anchor_rows(docs, units, w, k, ordered), ordered), "anchors")
-    reps = found.where("rep").select(*NAMES)
-    size = F.sum(F.expr(f"((a >> 12) & 4095) + {w}"))
-    per = written(reps.groupBy("h").agg(F.count("*").alias("n"), size.alias("size")), "anchor-sizes")
-    total = per.where(F.col("n") <= most_contexts).agg(F.sum("size")).first()[0] or 0
-    hot = per.where(F.col("n") > most_contexts).select("h", "n")
-    ctx = written(contexts(reps), "contexts")
-    shards = max(1, -(-total // shard_units))
-    few = ctx.join(hot, "h", "left_anti").withColumn("shard", F.expr(f"pmod(h, {shards}L)"))
-    looked = few.groupBy("shard").applyInArrow(look, "doc_id long, t long, a long")
-    many = settle(window_rows(join_hot(ctx, hot, ["h"]), context_units, w, ordered), ordered).where("NOT rep")
-    out = found.where("NOT rep").select("doc_id", "t", "a").unionByName(looked)
-    return out.unionByName(many.select("doc_id", "t", "a")) if hot.take(1) else out
+    rows, out = anchor_rows(docs, units, w, grams[0], ordered), None
+    for longer in (*grams[1:], None):
+        found = written(settle(rows, ordered), "anchors")
+        known = found.where("NOT rep").select("doc_id", "t", "a")
+        out = known if out is None else out.unionByName(known)
+        if longer is None:
+            break
+        reps = found.where("rep").select(*NAMES)
+        size = F.sum(F.expr(f"((a >> 12) & 4095) + {w}"))
+        per = written(reps.groupBy("h").agg(F.count("*").alias("n"), size.alias("size")), "anchor-sizes")
+        total = per.where(F.col("n") <= most_contexts).agg(F.sum("size")).first()[0] or 0
+        hot = per.where(F.col("n") > most_contexts).select("h", "n")
+        ctx = written(contexts(reps), "contexts")
+        shards = max(1, -(-total // shard_units))
+        few = ctx.join(hot, "h", "left_anti").withColumn("shard", F.expr(f"pmod(h, {shards}L)"))
+        out = out.unionByName(few.groupBy("shard").applyInArrow(look, "doc_id long, t long, a long"))
+        if not hot.take(1):
+            break
+        rows = context_rows(join_hot(ctx, hot, ["h"]), context_units, w, longer, ordered)
+    return out

@@ -134,7 +134,7 @@ def context_units(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return BYTE_HASH[np.concatenate(parts)], np.cumsum([x.size for x in parts])
 
 
-def find_repeats(docs: DataFrame, w: int = 400, shard_bytes: int = 1_000_000, most_contexts: int = 2_000) -> DataFrame:
+def find_repeats(docs: DataFrame, w: int = 400, shard_bytes: int = 1_000_000, most_contexts: int = 5_000) -> DataFrame:
     """doc_id, t and packed place of every run of windows of docs (doc_id, t, text) that starts anywhere else too."""
 
     def look(key, rows):
@@ -144,7 +144,7 @@ def find_repeats(docs: DataFrame, w: int = 400, shard_bytes: int = 1_000_000, mo
             out += [(doc, t, pack_place(a + s, k, p)) for s, k in runs(starts)]
         return places_table(out)
 
-    return find(docs, byte_units, lambda reps: contexts(docs, reps, lambda t: t, w), context_units, look, w, GRAM, False, shard_bytes, most_contexts)
+    return find(docs, byte_units, lambda reps: contexts(docs, reps, lambda t: t, w), context_units, look, w, (min(GRAM, w), -(-w // 2), w), False, shard_bytes, most_contexts)
 
 
 def places_table(rows: list[tuple[int, int, int]]) -> pa.Table:

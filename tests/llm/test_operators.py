@@ -90,12 +90,13 @@ def test_unique_text_stays_under_repeated_and_null_ids(spark):
 
 
 @pytest.mark.parametrize("most", [1, 3])
-def test_hot_anchors_go_window_by_window(docs, most):
+def test_hot_anchors_go_on_to_longer_grams(docs, most):
     from corvane.llm.run_length_index import remove_repeats
     from corvane.llm.suffix_automaton import remove_later_copies
 
-    out = remove_repeats(docs, 64, keep_text=False, most_contexts=most)
-    assert rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.repeats(DOCS, 64))
+    for w in (64, 400):
+        out = remove_repeats(docs, w, keep_text=False, most_contexts=most)
+        assert rows(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.repeats(DOCS, w))
     assert rows(remove_later_copies(docs, 13, most_contexts=most), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.later_copies(DOCS, 13))
 
 
