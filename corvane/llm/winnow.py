@@ -9,7 +9,6 @@ bounded size, each broadcast to all documents, and a larger benchmark takes more
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +19,8 @@ from corvane.llm.common import ALNUM_TABLE, gram_hashes, gram_hashes_of, id_out,
 from corvane.llm.repeats import slices
 
 GRAM = 5
+#: Blocks that rows pass before they are written, as each has a worker with its fingerprints.
+BLOCKS_AT_ONCE = 4
 
 
 def item_words(text: bytes) -> list[bytes]:
@@ -105,9 +106,14 @@ class Block:
 
 
 HITS = "doc_id long, n_words long, hit array<struct<start:int,end:int>>, items array<string>"
+SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scan(docs: DataFrame, block) -> DataFrame:
+def _scan(docs: DataFrame, block, last: bool) -> DataFrame:
+    """docs: doc_id, text, hit, items. The same rows with this block's hits and items beside those that they have;
+    after the last block with n_words in place of the text."""
+    names = ["doc_id", "n_words" if last else "text", "hit", "items"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = block.value
         for batch in batches:
@@ -116,16 +122,17 @@ def _scan(docs: DataFrame, block) -> DataFrame:
                 words = [item_words(t) for t in text_bytes(part.column(1))]
                 ends = np.cumsum([len(x) for x in words])
                 hit, items = b.hits(np.concatenate([word_hashes(x) for x in words]), ends)
-                spans, named = [[] for _ in words], [[] for _ in words]
+                spans, named = part.column(2).to_pylist(), part.column(3).to_pylist()
                 for t, ids in items:
                     s, e = int(ends[t - 1]) if t else 0, int(ends[t])
+                    for x in spans[t]:
+                        hit[s + x["start"] : s + x["end"]] = True
                     d = np.diff(np.concatenate(([0], hit[s:e].astype(np.int8), [0])))
                     spans[t] = [{"start": int(x), "end": int(y)} for x, y in zip(np.flatnonzero(d == 1), np.flatnonzero(d == -1))]
-                    named[t] = [b.ids[j] for j in ids]
-                span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends, prepend=0)), pa.array(spans, span), pa.array(named, pa.list_(pa.string()))], ["doc_id", "n_words", "hit", "items"])
+                    named[t] = sorted({*named[t], *(b.ids[j] for j in ids)})
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends, prepend=0)) if last else part.column(1), pa.array(spans, SPAN), pa.array(named, pa.list_(pa.string()))], names)
 
-    return docs.mapInArrow(run, HITS)
+    return docs.mapInArrow(run, HITS if last else HITS.replace("n_words long", "text string"))
 
 
 def _blocks(benchmark: DataFrame, w: int, block_bytes: int) -> Iterator:
@@ -147,7 +154,9 @@ def _blocks(benchmark: DataFrame, w: int, block_bytes: int) -> Iterator:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, w: int = 10, block_bytes: int = 32_000_000) -> DataFrame:
     """The rows of docs without any hit of decontaminate(), with all their columns; each block filters in turn."""
     at = docs.columns.index("text")
-    for block in _blocks(benchmark, w, block_bytes):
+    for passed, block in enumerate(_blocks(benchmark, w, block_bytes)):
+        if passed and passed % BLOCKS_AT_ONCE == 0:
+            docs = written(docs, "winnowed")
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             b = block.value
@@ -171,28 +180,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, w: int = 10, block_byte
     A window is w consecutive words of an item, or the whole of an item of fewer; a word inside any occurrence of one
     is hit. Null texts have no words; items without words occur nowhere. Items that repeat an id are one item with
     the windows of all. A null item id counts as an empty string. The benchmark is fetched by blocks of at most
-    block_bytes, whole items each; an item alone may be longer. With several blocks the rows are written once under a
-    key of their own, and what the blocks find is merged by it. Other columns are ignored.
+    block_bytes, whole items each; an item alone may be longer. Rows pass the blocks one after another and stay rows,
+    whatever their ids and the number of blocks. Other columns are ignored.
     """
-    d = with_key(docs, "doc_id", ("text", "text"))
+    hit, items = F.array().cast("array<struct<start:int,end:int>>"), F.array().cast("array<string>")
+    out = with_key(docs, "doc_id", ("text", "text")).withColumn("hit", hit).withColumn("items", items)
     blocks = iter(_blocks(benchmark, w, block_bytes))
-    first, second = next(blocks), next(blocks, None)
-    if second is None:
-        out = _scan(d, first)
-        out = out.withColumn("items", F.array_sort(F.array_distinct("items")))
-    else:
-        keyed = written(d.withColumn("uid", F.monotonically_increasing_id()), "winnow-rows")
-        rows = keyed.select(F.col("uid").alias("doc_id"), "text")
-        out = _scan(rows, first)
-        for b in chain([second], blocks):
-            out = out.unionByName(_scan(rows, b))
-        out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit")).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        merge = lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(x)))
-        out = out.withColumn("hit", F.aggregate(F.array_sort("hit"), F.array().cast("array<struct<start:int,end:int>>"), merge))
-        out = out.withColumnRenamed("doc_id", "uid").join(keyed.select("uid", "doc_id"), "uid").select("doc_id", "n_words", "hit", "items")
+    now, passed = next(blocks), 0
+    while now is not None:
+        then = next(blocks, None)
+        out, passed = _scan(out, now, last=then is None), passed + 1
+        if then is not None and passed % BLOCKS_AT_ONCE == 0:
+            out = written(out, "winnowed")
+        now = then
     return out.withColumn("doc_id", id_out())
 
 
