@@ -52,11 +52,13 @@ PARTS = ["branch", *(f"f{j}" for j in range(FIELDS))]
 def generalised(known: DataFrame, steady: float, share: float) -> DataFrame:
     """Of distinct lines (line, branch, f0, ...) those with enough constant fields: line, template."""
     each = F.explode(F.array(*[F.struct(F.lit(j).alias("at"), F.col(f"f{j}").alias("f")) for j in range(FIELDS)])).alias("x")
-    told = known.where("f2 IS NOT NULL").select("line", "branch", F.when(F.col("f3").isNull(), 3).otherwise(4).alias("fields"), each).where("x.f IS NOT NULL")
-    told = told.select("line", "branch", "fields", "x.*", F.xxhash64("branch", "x.at", "x.f").alias("key"))
+    size = written(known.groupBy("branch").agg(F.count("*").alias("size")).where("size > 1"), "branches")
+    told = join_hot(known.where("f2 IS NOT NULL").drop("n", "texts"), size, ["branch"], n="size")
+    told = told.select("line", "branch", "size", F.when(F.col("f3").isNull(), 3).otherwise(4).alias("fields"), each).where("x.f IS NOT NULL")
+    told = told.select("line", "branch", "size", "fields", "x.*", F.xxhash64("branch", "x.at", "x.f").alias("key"))
+    told = written(told, "fields")
     often = written(told.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "frequent-fields")
-    size = known.groupBy("branch").agg(F.count("*").alias("size")).where("size > 1")
-    kept = join_hot(told, often, ["key"]).join(size, "branch").where(F.col("n") >= steady * F.col("size")).groupBy("line", "branch", "fields")
+    kept = join_hot(told, often, ["key"]).where(F.col("n") >= steady * F.col("size")).groupBy("line", "branch", "fields")
     kept = kept.agg(F.count("*").alias("k"), *[F.max(F.when(F.col("at") == j, F.col("f"))).alias(f"c{j}") for j in range(FIELDS)])
     template = F.xxhash64("branch", *[F.coalesce(f"c{j}", F.lit(0)) for j in range(FIELDS)])
     return kept.where((F.col("k") >= share * F.col("fields")) & (F.col("k") < F.col("fields"))).select("line", template.alias("template"))
