@@ -1,9 +1,12 @@
 """Main text of web pages, with site template removal.
 
-Every element subtree of a page is hashed by its tag and text, and Spark counts on how many pages of a host each hash
-occurs, over the whole body of every page. Subtrees that recur across many pages of their host are deleted. What is
-known by its tag, role or class not to be article text goes as well. A named article is only a hint: a header outside
-its sections is the site's, and what is inline in its paragraphs goes or stays with them. What remains is cut into blocks.
+Every block element's subtree in the whole body of a page, menus and footers included, is hashed by its tag and text,
+and Spark counts on how many pages of a host each hash occurs; pages with the same article count once. Subtrees that
+recur across many pages of their host are deleted: outside the article from `min_share` of the pages on, inside it
+from `article_share` on, so that what articles happen to share stays. What does not recur word for word, as a menu
+that varies from page to page or a reader's comment, goes by its tag, role or class. A named article is only a hint: a
+header outside its sections is the site's, and what is inline in its paragraphs goes or stays with them. What remains
+is cut into blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import written
+from corvane.llm.common import join_hot, written
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -160,22 +163,50 @@ def _within(at: int, x: Node) -> int:
     return ARTICLE if _names_article(x) else SECTION if x.tag == "section" else at
 
 
-def templates(page: str) -> set[int]:
-    """Hashes of the subtrees of a page that a template could hold: those with text."""
+#: Tells hashes of subtrees inside an article from those outside.
+INSIDE = 0x5BD1E995
+
+
+def _counted(x: Node, at: int, parent: Node) -> bool:
+    """Whether a subtree may go by its count: what is inline goes or stays with its paragraph."""
+    return bool(x.kids) and not (x.tag in INLINE and (at == PARAGRAPH or parent.tag in PLAIN)) and x.tag not in FRAME
+
+
+def _key(hashed: int, at: int) -> int:
+    return hashed ^ INSIDE if at >= ARTICLE else hashed
+
+
+def templates(page: str) -> tuple[int, set[int], set[int]]:
+    """A digest of a page's article, or of all of it without one, and hashes of its subtrees outside and inside the
+    article that a template could hold: those with text. What holds an article is none."""
     root = parse(page)
     hashes = subtree_hashes(root)
-    named = _named(root)
-    out: set[int] = set()
-    todo = [(k, OUTSIDE) for k in root.kids if not isinstance(k, str)]
+    holds: set[int] = set()  # ids of elements that hold or name an article
+    path: list[tuple[Node, bool]] = [(root, False)]
+    trail: list[Node] = []
+    named: list[int] = []
+    while path:
+        x, done = path.pop()
+        if done:
+            trail.pop()
+            continue
+        trail.append(x)
+        path.append((x, True))
+        if _names_article(x) and not any(dropped(y) for y in trail):
+            named.append(hashes[id(x)])
+            holds.update(map(id, trail))
+        path += [(k, False) for k in x.kids if not isinstance(k, str)]
+    out: tuple[set[int], set[int]] = (set(), set())
+    todo = [(k, OUTSIDE, root) for k in root.kids if not isinstance(k, str)]
     while todo:
-        x, at = todo.pop()
-        if dropped(x) or named and at == OUTSIDE and x.tag == "header":
+        x, at, parent = todo.pop()
+        if x.tag == "head":
             continue
-        if x.kids and not (at == PARAGRAPH and x.tag in INLINE):
-            out.add(hashes[id(x)])
+        if id(x) not in holds and _counted(x, at, parent):
+            out[at >= ARTICLE].add(_key(hashes[id(x)], at))
         inner = _within(at, x)
-        todo += [(k, inner) for k in x.kids if not isinstance(k, str)]
-    return out
+        todo += [(k, inner, x) for k in x.kids if not isinstance(k, str)]
+    return xxhash.xxh3_64_intdigest(repr(named or hashes[id(root)])) - 2**63, *out
 
 
 def main_text(page: str, recurring: frozenset[int] = frozenset()) -> str:
@@ -192,16 +223,17 @@ def main_text(page: str, recurring: frozenset[int] = frozenset()) -> str:
         if text:
             blocks.append(text)
 
-    todo: list = [(k, OUTSIDE) for k in reversed(root.kids)]
+    todo: list = [(k, OUTSIDE, root) for k in reversed(root.kids)]
     while todo:
-        x, at = todo.pop()
+        x, at, parent = todo.pop()
         if isinstance(x, str):
             now.append(x)
             continue
         if x is None:
             end()
             continue
-        if dropped(x) or named and at == OUTSIDE and x.tag == "header" or hashes and not (at == PARAGRAPH and x.tag in INLINE) and hashes[id(x)] in recurring:
+        often = bool(hashes) and _counted(x, at, parent) and _key(hashes[id(x)], at) in recurring
+        if often or dropped(x) or named and at == OUTSIDE and x.tag == "header":
             if x.tag not in INLINE and x.tag not in RAW:
                 end()
             continue
@@ -211,10 +243,10 @@ def main_text(page: str, recurring: frozenset[int] = frozenset()) -> str:
                 now.append(" ")
         else:
             end()
-            todo.append((None, at))
+            todo.append((None, at, x))
             if x.tag == "header":
                 kids = [k for k in kids if not isinstance(k, str) and re.fullmatch("h[1-6]|hgroup|div", k.tag)]
-        todo += [(k, inner) for k in reversed(kids)]
+        todo += [(k, inner, x) for k in reversed(kids)]
     end()
     return "\n\n".join(blocks)
 
@@ -222,27 +254,33 @@ def main_text(page: str, recurring: frozenset[int] = frozenset()) -> str:
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)"
 
 
-def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.01) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.1, article_share: float = 0.5) -> DataFrame:
     """page_id, url, text of every row of pages.
 
-    Null html is an empty page. A subtree recurs if at least min_pages pages of its host, and min_share of them, have
-    it; pages whose url has no host, or is null, share an empty one. Rows that repeat a page_id are counted and
-    returned one by one; they share the recurring subtrees of all of them. Other columns are ignored.
+    Null html is an empty page. A subtree recurs if at least min_pages pages of its host with different articles, and
+    min_share of them (article_share inside an article), have it; pages whose url has no host, or is null, share an
+    empty one. Rows that repeat a page_id, or have none, are returned one by one. Other columns are ignored.
     """
-    p = pages.select("page_id", "url", "html")
+    p = pages.select("page_id", "url", "html", F.xxhash64("url", "html").alias("key"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [templates(h or "") for h in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(x) for x in found], pa.list_(pa.int64()))], ["page_id", "host", "hashes"])
-
-    own = p.select("page_id", F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))).alias("host"), "html")
-    own = written(own.mapInArrow(hashed, f"page_id {dict(p.dtypes)['page_id']}, host string, hashes array<long>"), "subtrees")
-    size = own.groupBy("host").agg(F.count("*").alias("n_pages"))
-    rows = own.select("page_id", "host", F.explode("hashes").alias("hash"))
-    often = rows.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).join(size, "host").where(F.col("n") >= min_share * F.col("n_pages")).select("host", "hash")
-    gone = rows.join(often, ["host", "hash"]).groupBy("page_id").agg(F.collect_set("hash").alias("gone")).withColumnRenamed("page_id", "of")
-    joined = p.join(gone.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("of")), "left").select("page_id", "url", "html", "gone")
+            sets = [pa.array([sorted(x[i]) for x in found], pa.list_(pa.int64())) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in found], pa.int64()), *sets], ["key", "host", "digest", "outside", "inside"])
+
+    own = p.select("key", F.xxhash64(F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit("")))).alias("host"), "html")
+    own = own.mapInArrow(hashed, "key long, host long, digest long, outside array<long>, inside array<long>")
+    own = written(own.withColumn("uid", F.monotonically_increasing_id()), "subtrees")
+    first = own.groupBy("host", "digest").agg(F.min("uid").alias("uid"))
+    size = written(first.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
+    hashes = lambda df: df.select("key", "host", F.explode(F.array_union("outside", "inside")).alias("hash"))
+    kinds = own.join(first.select("uid"), "uid", "left_semi")
+    told = kinds.select("host", "digest", F.explode("outside").alias("hash"), F.lit(min_share).alias("share")).unionByName(kinds.select("host", "digest", F.explode("inside").alias("hash"), F.lit(article_share).alias("share")))
+    often = told.groupBy("host", "hash", "share").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    often = written(join_hot(often, size, ["host"], n="pages").where(F.col("n") >= F.col("share") * F.col("pages")).select("host", "hash", "n"), "often")
+    gone = join_hot(hashes(own), often, ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("gone"))
+    joined = p.join(gone.hint("shuffle_hash"), "key", "left").select("page_id", "url", "html", "gone")
 
     def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -448,23 +448,53 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><b
 def test_pages(spark):
     from corvane.llm.site_templates import extract
 
-    pages = [(i, f"http://h.example/{i}", PAGE.replace("Two", f"Two{i}")) for i in range(8)] + [(20, "http://other/", PAGE), (21, None, None), (None, "x", ""), (22, "http://o/", "<p>plain<p>text</p> tail<nav>n</nav>"), (23, "http://o/", "<div><p>1 < 2 <b>unclosed</div>a<!--")]
-    d = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("gone", F.lit(1))
-    got = {r["page_id"]: r["text"] for r in extract(d).collect()}
-    assert got[20] == "Head & line\n\nOne bold it x y\n\nTwo é <tag>\n\nJoin us\n\na\n\nb"
-    assert got[3] == "Head & line\n\nOne bold it x y\n\nTwo3 é <tag>\n\na\n\nb" or "Join us" not in got[3]
-    assert got[21] == got[None] == "" and got[22] == "plain\n\ntext\n\ntail" and got[23] == "1 < 2 unclosed\n\na"
+    pages = [(i, f"http://h.example/{i}", PAGE.replace("Two", f"Two{i}").replace("One", f"One{i}")) for i in range(8)] + [(20, "http://other/", PAGE), (21, None, None), (None, "x", ""), (None, "x", "<p>z"), (22, "http://o/", "<p>plain<p>text</p> tail<nav>n</nav>"), (23, "http://o/", "<div><p>1 < 2 <b>unclosed</div>a<!--"), (24, "http://o/", "<p>" + "long " * 100_000)]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("gone", "key", "host", "uid")})
+    got = {(r["page_id"], r["text"][:5] if r["page_id"] is None else ""): r["text"] for r in extract(d).collect()}
+    assert got[20, ""] == "Head & line\n\nOne bold it x y\n\nTwo é <tag>\n\nJoin us\n\na\n\nb"
+    assert got[3, ""] == "One3 bold it x y\n\nTwo3 é <tag>"  # the rest recurs on all eight
+    assert got[21, ""] == got[None, ""] == "" and got[None, "z"] == "z" and got[22, ""] == "plain\n\ntext\n\ntail" and got[23, ""] == "1 < 2 unclosed\n\na"
+    assert got[24, ""] == ("long " * 100_000).strip()
     assert extract(d.limit(0)).count() == 0
 
 
 def test_pages_lose_only_what_is_counted(spark):
-    """Text beside an article stays, a paragraph that recurs inside one goes, and a word it shares with others stays."""
+    """Text beside an article stays, a paragraph that recurs inside most of them goes, and a word it shares with others
+    stays. Without the counts nothing of that goes."""
     from corvane.llm.site_templates import extract
 
-    page = "<html><body class='social'><header><h1>Site</h1></header><div><h2>Title{0}</h2><p>Intro{0}</p></div><main><p>Story{0} of <b>note</b></p><article><p>Teaser{0}</p><p>Subscribe now</p></article></main><div>All rights</div></body></html><p>Tail{0}</p>"
+    page = "<html><body class='social'><header><h1>Site</h1></header><div><h2>Title{0}</h2><p>Intro{0}</p></div><main><p>Story{0} of <b>note</b></p><article><p>Teaser{0}</p><p>Subscribe now</p></article></main><div>All rights</div><div class='box7'><a>Read <b>on</b></a><p>Join us</p></div></body></html><p>Tail{0}</p>"
     d = spark.createDataFrame([(i, "http://h.example/x", page.format(i)) for i in range(6)], "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in extract(d).collect()}
     assert got[3] == "Title3\n\nIntro3\n\nStory3 of note\n\nTeaser3\n\nTail3"
+    uncounted = {r["page_id"]: r["text"] for r in extract(d, min_pages=7).collect()}
+    assert uncounted[3] == "Title3\n\nIntro3\n\nStory3 of note\n\nTeaser3\n\nSubscribe now\n\nAll rights\n\nRead on\n\nJoin us\n\nTail3"
+
+
+def test_copies_of_an_article_keep_it(spark):
+    """An article on every page of a host under menus that vary is no template; nor is a paragraph that few share."""
+    from corvane.llm.site_templates import extract
+
+    one = [(i, "http://h/", f"<nav>{i}</nav><article><p>same</p><p>text</p></article>") for i in range(9)]
+    some = [(100 + i, "http://h/", f"<article><p>own{i}</p>{'<p>shared</p>' if i < 8 else ''}</article>") for i in range(20)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(one + some, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "same\n\ntext" for i in range(9)) and got[103] == "own3\n\nshared"
+
+
+def test_subtree_counts(spark):
+    """What goes, against a plain count of the elements' texts over pages of random boxes."""
+    from corvane.llm.site_templates import extract
+
+    rng = random.Random(8)
+    pages = []
+    for i in range(60):
+        boxes = [f"box {rng.choice('abcdefgh')}{rng.choice('xyz') if rng.random() < 0.5 else ''}" for _ in range(4)]
+        pages.append((i, f"http://host{i % 3}/", f"<article><p>story {i}</p></article>" + "".join(f"<div>{b}</div>" for b in boxes), boxes))
+    d = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in extract(d).collect()}
+    for i, _, _, boxes in pages:
+        on = lambda b: sum(b in q[3] for q in pages if q[0] % 3 == i % 3)
+        assert got[i] == "\n\n".join([f"story {i}", *(b for b in boxes if on(b) < 5)])
 
 
 def test_patterns_of_seeds_and_values_without_digits(spark):
