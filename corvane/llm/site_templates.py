@@ -1,7 +1,7 @@
 """Main text of web pages, with site template removal.
 
 Every block element's subtree in the whole body of a page, menus and footers included, is hashed by its tag and text,
-and Spark counts on how many pages of a host each hash occurs; pages with the same article count once. Subtrees that
+lists of links outside the article by their tags alone, and Spark counts on how many pages of a host each hash occurs; pages with the same article count once. Subtrees that
 recur across many pages of their host are deleted: outside the article from `min_share` of the pages on, inside it
 from `article_share` on, so that what articles happen to share stays. What does not recur word for word, as a menu
 that varies from page to page or a reader's comment, goes by its tag, role or class. A named article is only a hint: a
@@ -118,9 +118,16 @@ def dropped(node: Node) -> bool:
     return bool(words & DROP_WORDS) or bool(words & {"header", "side"} and not words & {"article", "post", "entry", "title"} and node.tag not in PLAIN)
 
 
-def subtree_hashes(root: Node) -> dict[int, int]:
-    """Hash of each element's subtree, by id(element): tag, class and the texts and hashes of what is in it."""
+#: Share of an element's characters in links from which it is a list of links.
+LINKS = 0.8
+
+
+def subtree_hashes(root: Node) -> tuple[dict[int, int], dict[int, int]]:
+    """By id(element), the hash of its subtree: tag, class and the texts and hashes of what is in it. For lists of links
+    also a hash of tags and classes alone, repeated neighbours as one, since menus vary in their texts."""
     out: dict[int, int] = {}
+    shape: dict[int, int] = {}
+    chars: dict[int, tuple[int, int]] = {}  # all, and those in links
     todo: list[tuple[Node, bool]] = [(root, False)]
     while todo:
         node, ready = todo.pop()
@@ -128,10 +135,22 @@ def subtree_hashes(root: Node) -> dict[int, int]:
             todo.append((node, True))
             todo += [(k, False) for k in node.kids if not isinstance(k, str)]
             continue
-        parts = [node.tag, node.attrs.get("class", "")]
-        parts += [" ".join(k.split()) if isinstance(k, str) else str(out[id(k)]) for k in node.kids]
-        out[id(node)] = xxhash.xxh3_64_intdigest("\x00".join(x for x in parts if x)) - 2**63
-    return out
+        name = [node.tag, node.attrs.get("class", "")]
+        parts, forms, n, linked = [], [], 0, 0
+        for k in node.kids:
+            if isinstance(k, str):
+                text = " ".join(k.split())
+                n += len(text)
+                parts.append(text)
+            else:
+                parts.append(str(out[id(k)]))
+                if not forms or forms[-1] != shape[id(k)]:
+                    forms.append(shape[id(k)])
+                n, linked = n + chars[id(k)][0], linked + chars[id(k)][1]
+        chars[id(node)] = n, n if node.tag == "a" else linked
+        out[id(node)] = xxhash.xxh3_64_intdigest("\x00".join(x for x in name + parts if x)) - 2**63
+        shape[id(node)] = xxhash.xxh3_64_intdigest("\x01".join(map(str, name + forms))) - 2**63
+    return out, {k: shape[k] for k, (n, linked) in chars.items() if n and linked >= LINKS * n}
 
 
 def _names_article(x: Node) -> bool:
@@ -172,8 +191,12 @@ def _counted(x: Node, at: int, parent: Node) -> bool:
     return bool(x.kids) and not (x.tag in INLINE and (at == PARAGRAPH or parent.tag in PLAIN)) and x.tag not in FRAME
 
 
-def _key(hashed: int, at: int) -> int:
-    return hashed ^ INSIDE if at >= ARTICLE else hashed
+def _key(x: Node, at: int, named: bool, hashes: tuple[dict[int, int], dict[int, int]]) -> int:
+    """What a subtree is counted by: outside the article of a page that names one, lists of links by their shape."""
+    text, links = hashes
+    if at >= ARTICLE:
+        return text[id(x)] ^ INSIDE
+    return links[id(x)] if named and id(x) in links else text[id(x)]
 
 
 def templates(page: str) -> tuple[int, set[int], set[int]]:
@@ -193,7 +216,7 @@ def templates(page: str) -> tuple[int, set[int], set[int]]:
         trail.append(x)
         path.append((x, True))
         if _names_article(x) and not any(dropped(y) for y in trail):
-            named.append(hashes[id(x)])
+            named.append(hashes[0][id(x)])
             holds.update(map(id, trail))
         path += [(k, False) for k in x.kids if not isinstance(k, str)]
     out: tuple[set[int], set[int]] = (set(), set())
@@ -203,17 +226,17 @@ def templates(page: str) -> tuple[int, set[int], set[int]]:
         if x.tag == "head":
             continue
         if id(x) not in holds and _counted(x, at, parent):
-            out[at >= ARTICLE].add(_key(hashes[id(x)], at))
+            out[at >= ARTICLE].add(_key(x, at, bool(named), hashes))
         inner = _within(at, x)
         todo += [(k, inner, x) for k in x.kids if not isinstance(k, str)]
-    return xxhash.xxh3_64_intdigest(repr(named or hashes[id(root)])) - 2**63, *out
+    return xxhash.xxh3_64_intdigest(repr(named or hashes[0][id(root)])) - 2**63, *out
 
 
 def main_text(page: str, recurring: frozenset[int] = frozenset()) -> str:
     """Blocks of the page's text, each with white space made single spaces, joined by an empty line."""
     root = parse(page)
     named = _named(root)
-    hashes = subtree_hashes(root) if recurring else {}
+    hashes = subtree_hashes(root) if recurring else None
     blocks: list[str] = []
     now: list[str] = []
 
@@ -232,7 +255,7 @@ def main_text(page: str, recurring: frozenset[int] = frozenset()) -> str:
         if x is None:
             end()
             continue
-        often = bool(hashes) and _counted(x, at, parent) and _key(hashes[id(x)], at) in recurring
+        often = hashes is not None and _counted(x, at, parent) and _key(x, at, named, hashes) in recurring
         if often or dropped(x) or named and at == OUTSIDE and x.tag == "header":
             if x.tag not in INLINE and x.tag not in RAW:
                 end()

@@ -481,6 +481,15 @@ def test_copies_of_an_article_keep_it(spark):
     assert all(got[i] == "same\n\ntext" for i in range(9)) and got[103] == "own3\n\nshared"
 
 
+def test_menus_that_vary_go_by_their_shape(spark):
+    """A list of links outside the article, without any telling name, whose texts differ from page to page."""
+    from corvane.llm.site_templates import extract
+
+    menu = lambda i: "".join(f"<li><a href='/{i}{j}'>Go {i} {j}</a></li>" for j in range(2 + i % 3))
+    d = spark.createDataFrame([(i, "http://h/", f"<div><ul>{menu(i)}</ul></div><p>By {i}</p><article><p>own{i}</p><p><a>source {i}</a></p></article>") for i in range(8)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract(d).collect()}[3] == "By 3\n\nown3\n\nsource 3"
+
+
 def test_subtree_counts(spark):
     """What goes, against a plain count of the elements' texts over pages of random boxes."""
     from corvane.llm.site_templates import extract
