@@ -15,6 +15,7 @@ FENCE = "```"
 CONTROL_WORDS = ("if", "else", "for", "while", "switch", "try", "catch")
 LONGEST_OUTPUT = 10_000
 EXCERPTS = {"snippet": 800, "prompt": 1500, "report": 400, "blocked": 1500}
+#: Style hints in rotation, fixed values.
 HINTS = (
     "STYLE HINT: Prefer unsigned integer types (unsigned int, unsigned long) as the primary data type.",
     "STYLE HINT: Prefer floating-point arithmetic (double or float) as the primary data type.",
@@ -29,21 +30,22 @@ HINTS = (
 )
 #: Headers and the names that call for them, in order.
 HEADERS = {
-    "<cstring>": "strcmp strlen strcpy strcat strncmp strncpy memcpy memmove memset memcmp strchr strstr strtok",
-    "<cstdio>": "printf scanf fprintf sprintf sscanf fopen fclose fread fwrite fgets fputs puts FILE",
-    "<cstdlib>": "malloc calloc realloc free rand srand atoi atof strtol strtod exit abort qsort",
-    "<cmath>": "sqrt pow sin cos tan log exp floor ceil fabs fmod atan",
-    "<cassert>": "assert",
-    "<cstdint>": "int8_t int16_t int32_t int64_t uint8_t uint16_t uint32_t uint64_t",
-    "<vector>": "vector",
-    "<array>": "std::array",
-    "<string>": "std::string",
-    "<algorithm>": "std::sort std::find std::transform std::for_each std::count lower_bound upper_bound std::binary_search std::copy std::fill std::reverse std::unique",
-    "<functional>": "std::function std::bind",
-    "<numeric>": "std::accumulate std::iota std::inner_product",
-    "<utility>": "std::pair std::move std::swap std::make_pair",
-    "<type_traits>": "std::is_same std::is_same_v std::enable_if",
+    "<cstring>": ["strcmp", "strlen", "strcpy", "strcat", "strncmp", "strncpy", "memcpy", "memmove", "memset", "memcmp", "strchr", "strstr", "strtok"],
+    "<cstdio>": ["printf", "scanf", "fprintf", "sprintf", "sscanf", "fopen", "fclose", "fread", "fwrite", "fgets", "fputs", "puts", "FILE"],
+    "<cstdlib>": ["malloc", "calloc", "realloc", "free", "rand", "srand", "atoi", "atof", "strtol", "strtod", "exit", "abort", "qsort"],
+    "<cmath>": ["sqrt", "pow", "sin", "cos", "tan", "log", "exp", "floor", "ceil", "fabs", "fmod", "atan"],
+    "<cassert>": ["assert"],
+    "<cstdint>": ["int8_t", "int16_t", "int32_t", "int64_t", "uint8_t", "uint16_t", "uint32_t", "uint64_t"],
+    "<vector>": ["vector"],
+    "<array>": ["std::array"],
+    "<string>": ["std::string"],
+    "<algorithm>": ["std::sort", "std::find", "std::transform", "std::for_each", "std::count", "lower_bound", "upper_bound", "std::binary_search", "std::copy", "std::fill", "std::reverse", "std::unique"],
+    "<functional>": ["std::function", "std::bind"],
+    "<numeric>": ["std::accumulate", "std::iota", "std::inner_product"],
+    "<utility>": ["std::pair", "std::move", "std::swap", "std::make_pair"],
+    "<type_traits>": ["std::is_same", "std::is_same_v", "std::enable_if"],
 }
+#: Names of source areas, fixed values.
 CATEGORIES = {
     "gcc": "GCC core compiler (frontend, middle-end, backend, optimizers)",
     "libstdc++-v3": "C++ standard library implementation",
@@ -52,6 +54,7 @@ CATEGORIES = {
     "include": "GCC public headers",
     "fixincludes": "system header fixups",
 }
+#: What an island may be asked for, fixed values.
 BIASES = {
     "memory_allocation": "emphasizing memory allocation patterns such as malloc/free, new/delete, RAII, unique_ptr, or custom allocators",
     "concurrency": "emphasizing thread-concurrency features such as mutex, std::thread, atomic operations, or coroutines",
@@ -59,6 +62,7 @@ BIASES = {
     "template_meta": "emphasizing template metaprogramming, concepts, constexpr, or type traits",
     "error_handling": "emphasizing error-handling patterns such as exceptions, setjmp/longjmp, errno, or RAII guards",
 }
+#: The request for a program, fixed text.
 SPEC = (
     "The {language} code below starts with {includes} already present. Write a COMPLETE, self-contained {language} program that includes its own `int main()` and exercises the following characteristics{note}.\n"
     "You MAY define top-level functions, classes, and templates, and add standard `#include` directives as needed. Use ONLY standard {language} headers/features -- do NOT use any compiler-internal headers, types, or APIs.\n"
@@ -67,7 +71,7 @@ SPEC = (
 )
 
 
-def word(names: str | tuple[str, ...]) -> str:
+def word(names: str | list[str] | tuple[str, ...]) -> str:
     """Pattern for any of the names as a whole ASCII word, whatever the dialect's idea of a word."""
     from re import escape
 
@@ -200,6 +204,30 @@ def needed_headers(c: Column) -> Column:
     return F.filter(F.array(*[F.when(F.regexp_like(c, F.lit(word(n))), F.lit(h)) for h, n in HEADERS.items()]), lambda x: x.isNotNull())
 
 
+def with_headers(begin: Column, headers: Column) -> Column:
+    """A scaffold with an include line for each header that it lacks, above its main or, without one, at its end."""
+
+    def insert(acc: Column, h: Column) -> Column:
+        line = F.concat(F.lit("#include "), h)
+        at = F.instr(acc, "int main")
+        above = F.concat(F.left(acc, at - 1), line, F.lit("\n"), F.substr(acc, at))
+        return F.when(F.contains(acc, line), acc).when(at > 0, above).otherwise(F.concat(F.regexp_replace(acc, r"\s+\z", ""), F.lit("\n"), line))
+
+    return F.aggregate(F.array_sort(F.array_distinct(headers)), begin, insert)
+
+
+def chat(system: Column, *said: tuple[str, Column]) -> Column:
+    """An array of role and content, the system's first; turns whose content is null are left out."""
+    turns = F.array(*[F.struct(F.lit(role).alias("role"), c.alias("content")) for role, c in (("system", system), *said)])
+    return F.filter(turns, lambda t: t["content"].isNotNull())
+
+
+def example_chat(system: Column, docstring: Column, example: Column, ask: Column, first: Column) -> Column:
+    """Documentation, an example, and after a first answer the question once more."""
+    answered = F.coalesce(first, F.lit("")) != ""
+    return chat(system, ("user", docstring), ("user", example), ("user", F.when(answered, ask)), ("assistant", F.when(answered, F.concat(F.lit("```\n"), first, F.lit("\n```")))), ("user", ask))
+
+
 def render_spec(text: Column, area: Column, language: str = "cpp") -> Column:
     """The request for a program with these characteristics, naming the headers they need."""
     extra = needed_headers(text) if language in ("cpp", "c") else F.array().cast("array<string>")
@@ -262,7 +290,7 @@ def strategy(pick: Column, previous: Column) -> Column:
 
 
 def cloze_prompt(masked: Column, language: Column) -> Column:
-    """X25."""
+    """The request to fill a masked program in; fixed text."""
     return F.concat(
         F.lit("The following "), language, F.lit(' program has some tokens replaced with "___MASK___". Fill in each blank with a syntactically and semantically valid replacement that preserves program structure. Return ONLY the completed program with no explanation.\n\n```'),
         language, F.lit("\n"), masked, F.lit("\n```"),
@@ -301,9 +329,18 @@ def context_lines(c: Column, line: Column, radius: int = 10) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Digits as numbers, other text lower-cased, in turn, for sorting."""
+    """Digits as numbers, before other text, which is lower-cased, in turn, for sorting."""
+    parts = F.regexp_extract_all(c, F.lit(r"([0-9]+|[^0-9]+)"), 1)
+    n = lambda x: x.try_cast("decimal(38,0)")
+    return F.transform(parts, lambda x: F.struct(n(x).isNull().alias("text"), n(x).alias("n"), F.when(n(x).isNull(), F.lower(x)).alias("s")))
+
+
+def natural_text(c: Column) -> Column:
+    """X29 as a text that sorts like natural_key(): numbers by length and digits, before other text."""
+    number = lambda x: F.regexp_replace(x, "^0+", "")
     parts = F.regexp_extract_all(c, F.lit(r"([0-9]+|[^0-9]+)"), 1)
-    return F.transform(parts, lambda x: F.struct(F.coalesce(F.expr("cast(null as decimal(38,0))"), x.try_cast("decimal(38,0)")).alias("n"), F.lower(x).alias("s")))
+    shown = lambda x: F.when(F.regexp_like(x, F.lit("^[0-9]")), F.concat(F.lit("0"), F.lpad(F.length(number(x)).cast("string"), 10, "0"), number(x))).otherwise(F.concat(F.lit("1"), F.lower(x)))
+    return F.array_join(F.transform(parts, shown), "\u0001")
 
 
 def backend(model: Column) -> Column:
@@ -334,10 +371,30 @@ def promoted_text(c: Column, api: Column, begin: str = "") -> Column:
 
 
 #: Types of the compiler's back end in a signature, fixed values.
-LOW_LEVEL = "rtx rtx_code machine_mode HARD_REG_SET reg_class bitmap_iterator sbitmap bitmap_head ira_allocno ira_object ira_loop df_ref df_mw_hardreg gimple_stmt_iterator gsi_iterator opt_pass pass_manager sreal bb_info"
-
-
-def translatable(snippet: Column, denied: str = LOW_LEVEL) -> Column:
+LOW_LEVEL = [
+    "rtx",
+    "rtx_code",
+    "machine_mode",
+    "HARD_REG_SET",
+    "reg_class",
+    "bitmap_iterator",
+    "sbitmap",
+    "bitmap_head",
+    "ira_allocno",
+    "ira_object",
+    "ira_loop",
+    "df_ref",
+    "df_mw_hardreg",
+    "gimple_stmt_iterator",
+    "gsi_iterator",
+    "opt_pass",
+    "pass_manager",
+    "sreal",
+    "bb_info",
+]
+
+
+def translatable(snippet: Column, denied: str | list[str] = LOW_LEVEL) -> Column:
     """no denied word before the first brace, or in the first 400 characters without one."""
     sig = F.when(F.instr(snippet, "{") > 0, F.left(snippet, F.instr(snippet, "{") - 1)).otherwise(F.left(snippet, F.lit(400)))
     return ~F.regexp_like(sig, F.lit(word(denied)))

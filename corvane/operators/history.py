@@ -51,6 +51,64 @@ def carried(value: Column, keep: Column, run: str, order: str) -> Column:
     return F.last(F.when(keep, value), ignorenulls=True).over(w)
 
 
+def carried_all(df: DataFrame, value: str, keep: Column, order: str, run: str | None = None, bucket: int = 10_000) -> DataFrame:
+    """W9 over long runs, as `previous`: ranges of `bucket` order values are windows of their own, and each knows the
+    last value kept before it. Order values are whole numbers."""
+    own = [run] if run else []
+    t = df.withColumn("_b", F.floor(F.col(order) / bucket)).withColumn("_k", F.when(keep, F.col(value)))
+    last = t.groupBy(*own, "_b").agg(F.max_by("_k", F.when(F.col("_k").isNotNull(), F.col(order))).alias("_l"))
+    w = (W.partitionBy(*own) if own else W.partitionBy(F.lit(0))).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    last = last.select(*own, "_b", F.last("_l", ignorenulls=True).over(w).alias("_before"))
+    inside = F.last("_k", ignorenulls=True).over(W.partitionBy(*own, "_b").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    out = t.withColumn("_in", inside).join(last, [*own, "_b"]).withColumn("previous", F.coalesce("_in", "_before"))
+    return out.drop("_b", "_k", "_in", "_before")
+
+
+def cleared(streaks: DataFrame, branch: str, solved: DataFrame) -> DataFrame:
+    """The streaks of solved branches start anew; who wrote last is kept elsewhere."""
+    gone = solved.select(branch).distinct().withColumn("_solved", F.lit(True))
+    return streaks.join(gone, branch, "left").withColumn("misses", F.when(F.col("_solved"), F.lit(0)).otherwise(F.col("misses")).cast("long")).drop("_solved")
+
+
+def worth_targeting(df: DataFrame, branch: str, downstream: Column, at_least: int = 5) -> DataFrame:
+    """branches with enough uncovered lines behind them."""
+    return df.groupBy(branch).agg(F.count(F.when(downstream, 1)).alias("downstream")).where(F.col("downstream") >= at_least)
+
+
+def first_solved(streaks: DataFrame, seen: DataFrame, sources: DataFrame, worth: DataFrame, solutions: DataFrame, branch: str, threshold: int = 10) -> DataFrame:
+    """O-K7: of the blocked branches, in the order they were first seen (branch, first), the first one with a source, worth
+    targeting and with a solution that is not empty: branch, source, solution."""
+    told = solutions.where(F.coalesce("solution", F.lit("")) != "")
+    t = blocked(streaks, threshold).join(seen, branch).join(sources.where("source IS NOT NULL"), branch).join(worth.select(branch), branch, "left_semi").join(told, branch)
+    return t.orderBy("first", branch).limit(1).select(branch, "source", "solution")
+
+
+def prompt_score(df: DataFrame, prompt: str, code: Column, good: Column) -> DataFrame:
+    """distinct cleaned programs of each prompt that are good; they are told apart by digest."""
+    return df.groupBy(prompt).agg(F.countDistinct(F.when(good, F.sha2(code, 256))).alias("score"))
+
+
+def periodic(df: DataFrame, order: str, interval: int) -> DataFrame:
+    """every interval-th iteration but the first of all; an interval of 0 never comes."""
+    return df.where((F.col(order) % interval == 0) & (F.col(order) != 0)) if interval else df.limit(0)
+
+
+def record_results(results: DataFrame, population: DataFrame | None, islands: int, most: int = 50, fraction: float = 0.10) -> DataFrame:
+    """W8 for the results (seq, ok, code) between two migrations: migration if there is a population yet, then what is ok
+    joins the island of its iteration with fitness 1.0, each island keeping its fittest. Rows of a population are
+    island, fitness, seq, code, rank; what has migrated comes after what was there by seq. The gate and the seed
+    store take the same results by rolling_gate() and upsert()."""
+    from corvane.operators.ranking import bounded_population
+
+    cols = ["island", "fitness", "seq", "code"]
+    now = results.where("ok").select((F.col("seq") % islands).alias("island"), F.lit(1.0).alias("fitness"), "seq", "code")
+    if population is not None:
+        now = now.unionByName(population.select(cols))
+        if islands > 1:
+            now = now.unionByName(migrate(population.select(cols), "island", "fitness", "seq", islands, fraction).select(cols))
+    return bounded_population(now, "island", "fitness", "seq", most)
+
+
 def promotions(df: DataFrame, batch: str, order: str, keep: Column, code: str) -> DataFrame:
     """F8: the last kept row of each batch."""
     return df.groupBy(batch).agg(F.max_by(F.when(keep, F.col(code)), F.when(keep, F.col(order))).alias("promoted"))

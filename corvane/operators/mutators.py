@@ -18,6 +18,7 @@ class Registry:
 
     def __init__(self):
         self.known: dict[str, Mutator] = {}
+        self.rule: dict[str, tuple[str, str]] = {}
 
     def add(self, name: str, f: Mutator, spark=None) -> bool:
         """the empty string is an acceptable result, null and failure are not."""
@@ -31,6 +32,29 @@ class Registry:
         self.known[name] = f
         return True
 
+    def rules(self) -> list[tuple[str, str, str]]:
+        """The mutators that are rules, by name: what they look for and what they put there."""
+        return [(n, *self.rule[n]) for n in self.names() if n in self.rule]
+
+    def add_rule(self, name: str, pattern: str, put: str, spark=None) -> bool:
+        """A mutator as a pattern and its replacement; one that does not compile is not taken on."""
+        taken = self.add(name, lambda c: F.regexp_replace(c, pattern, put), spark)
+        if taken:
+            self.rule[name] = (pattern, put)
+        return taken
+
+    def save(self, spark, path: str) -> None:
+        """K8: the rules as a table."""
+        spark.createDataFrame(self.rules(), "name string, pattern string, put string").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> Registry:
+        """The rules of a table in the order of their names, less those that are not acceptable."""
+        r = cls()
+        for row in spark.read.parquet(path).orderBy("name").toLocalIterator():
+            r.add_rule(row["name"], row["pattern"], row["put"], spark)
+        return r
+
     def names(self) -> list[str]:
         return sorted(self.known)
 
@@ -49,8 +73,8 @@ class Registry:
 
 def builtin() -> Registry:
     r = Registry()
-    r.add("mutator_000", lambda c: F.regexp_replace(c, word("int"), "long"))
-    r.add("mutator_001", lambda c: F.replace(c, F.lit("=="), F.lit("!=")))
-    r.add("mutator_002", lambda c: F.regexp_replace(c, word("for"), "while"))
-    r.add("mutator_003", lambda c: F.concat(c, F.lit("\n")))
+    r.add_rule("mutator_000", word("int"), "long")
+    r.add_rule("mutator_001", "==", "!=")
+    r.add_rule("mutator_002", word("for"), "while")
+    r.add_rule("mutator_003", r"\z", "\n")
     return r

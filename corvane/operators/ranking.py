@@ -12,7 +12,7 @@ def diversified_top(df: DataFrame, k: int, score: str, category: str, order: str
 
     The k best of each category, and the k best first ones, are all that can be taken, so each is cut down by
     partition before anything meets in one task."""
-    w = W.partitionBy(category).orderBy(F.desc(score), order)
+    w = W.partitionBy(category).orderBy(F.desc(score), order)  # only k + 1 rows of a partition of it pass
     ranked = df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k + 1)
     best = ranked.orderBy((F.col("_rn") == 1).desc(), F.desc(score), order).limit(k)
     return best.withColumn("position", F.row_number().over(W.orderBy((F.col("_rn") == 1).desc(), F.desc(score), order))).drop("_rn")
@@ -31,6 +31,33 @@ def top_fraction(df: DataFrame, group: str, fitness: str, order: str, fraction:
     return df.withColumn("rank", F.row_number().over(w)).join(n, group).where(F.col("rank") <= F.col("_k")).drop("_k")
 
 
+def best(df: DataFrame, group: str, fitness: str, order: str, column: str) -> DataFrame:
+    """O-K5: the fittest of each group, the earlier one among equals."""
+    return df.groupBy(group).agg(F.max_by(column, F.struct(fitness, -F.col(order))).alias("best"))
+
+
+def over_fetched(df: DataFrame, k: int, score: str, category: str, order: str, times: int = 4) -> DataFrame:
+    """O-K2: `times` as many as are wanted, as some will not do."""
+    return diversified_top(df, times * k, score, category, order)
+
+
+def global_rank(df: DataFrame, key: Column, tie: str, parts: int = 64, sample: int = 20) -> DataFrame:
+    """`rank` of every row by a text key and then `tie`, from 1. Bounds from parts * sample keys, the smallest by hash,
+    cut the keys into ranges; each is ranked by itself and starts after the rows of those before it."""
+    t = df.withColumn("_key", key)
+    some = sorted(r[0] for r in t.select("_key").distinct().where("_key IS NOT NULL").orderBy(F.xxhash64("_key"), "_key").limit(parts * sample).collect())
+    bounds = some[sample::sample]
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("_key"))) if bounds else F.lit(0)
+    t = t.withColumn("_at", F.when(F.col("_key").isNull(), -1).otherwise(at))
+    n = {r["_at"]: r["n"] for r in t.groupBy("_at").agg(F.count("*").alias("n")).collect()}  # parts + 1 rows at most
+    before, total = {}, 0
+    for i in sorted(n):
+        before[i], total = total, total + n[i]
+    start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_at")) if before else F.lit(0)
+    own = F.row_number().over(W.partitionBy("_at").orderBy("_key", tie))
+    return t.withColumn("rank", (own + start).cast("long")).drop("_key", "_at")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of numbers, in double precision."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -14,12 +14,12 @@ MASK = "___MASK___"
 #: What may be masked, by language.
 OPERATORS = re.compile(r"(?<![=!<>])(?:==|!=|<=|>=|&&|\|\||<<|>>|\+\+|--|[+\-*/%&|^~]|<(?!<)|>(?!>))(?![=])")
 TYPES = {
-    "cpp": "int float double long short unsigned signed char bool void auto size_t",
-    "c": "int float double long short unsigned signed char void size_t",
-    "java": "int float double long short byte char boolean void String Object",
-    "go": "int int8 int16 int32 int64 uint uint8 uint16 uint32 uint64 float32 float64 bool string byte rune",
-    "smt2": "Int Real Bool BitVec Array",
-    "qiskit": "int float complex bool str list dict tuple",
+    "cpp": ["int", "float", "double", "long", "short", "unsigned", "signed", "char", "bool", "void", "auto", "size_t"],
+    "c": ["int", "float", "double", "long", "short", "unsigned", "signed", "char", "void", "size_t"],
+    "java": ["int", "float", "double", "long", "short", "byte", "char", "boolean", "void", "String", "Object"],
+    "go": ["int", "int8", "int16", "int32", "int64", "uint", "uint8", "uint16", "uint32", "uint64", "float32", "float64", "bool", "string", "byte", "rune"],
+    "smt2": ["Int", "Real", "Bool", "BitVec", "Array"],
+    "qiskit": ["int", "float", "complex", "bool", "str", "list", "dict", "tuple"],
 }
 NUMBERS = re.compile(r"\b\d+(?:\.\d+)?\b")
 
@@ -48,7 +48,7 @@ def k_of_n(df: DataFrame, group: str, order: str, ratio: float, seed: str = "mas
 
 def mask_candidates(docs: DataFrame, language: str = "cpp") -> DataFrame:
     """R2, O-D5: doc_id, start, end, token of all that may be masked in docs (doc_id, code), one for each start."""
-    words = re.compile(r"\b(?:" + "|".join(TYPES.get(language, TYPES["c"]).split()) + r")\b")
+    words = re.compile(r"\b(?:" + "|".join(TYPES.get(language, TYPES["c"])) + r")\b")
     patterns = {"smt2": [NUMBERS, words], "qiskit": []}.get(language, [OPERATORS, words])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.operators import history
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -45,7 +46,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def rolling_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "view", "FAILURE").otherwise("SAFE")
     v = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 16).alias("run"), verdict.alias("verdict"))
-    w = W.partitionBy("run").orderBy("event_id").rowsBetween(-49, 0)
-    rate = F.avg(F.when(F.col("verdict") == "SAFE", 1.0).otherwise(0.0)).over(w)
-    active = (F.count("*").over(w) == 50) & (rate < 0.30)
-    return v.select("verdict", active.alias("active")).groupBy("verdict", "active").agg(F.count("*").alias("n"))
+    gate = history.rolling_gate(v, "run", "event_id", F.col("verdict") == "SAFE")
+    return gate.groupBy("verdict", "active").agg(F.count("*").alias("n"))

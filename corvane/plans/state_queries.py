@@ -135,9 +135,9 @@ def ok1(spark, sf_dir):
     return ranking.diversified_top(d, 40, "n_chars", "source", "doc_id").select("doc_id", F.col("position").cast("long").alias("position"))
 
 
-@query("ok2_over_fetch", "SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 40")
+@query("ok2_over_fetch", "SELECT doc_id FROM (SELECT doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rn FROM documents) ORDER BY CASE WHEN rn = 1 THEN 0 ELSE 1 END, n_chars DESC, doc_id LIMIT 40")
 def ok2(spark, sf_dir):
-    return table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(4 * 10).select("doc_id")
+    return ranking.over_fetched(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), 10, "n_chars", "lang", "doc_id").select("doc_id")
 
 
 @query("ok3_bounded_population", "SELECT event_id, row_number() OVER (PARTITION BY user_id % 8 ORDER BY value DESC, event_id) AS rank FROM events QUALIFY rank <= 50")
@@ -157,7 +157,7 @@ def ok4(spark, sf_dir):
 
 @query("ok5_best_individual", "SELECT user_id, arg_max(event_id, (value, -event_id)) AS best FROM events GROUP BY user_id")
 def ok5(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("best"))
+    return ranking.best(table(spark, sf_dir, "events"), "user_id", "value", "event_id", "event_id")
 
 
 @query(
@@ -172,11 +172,6 @@ def ok6(spark, sf_dir):
     return ranking.nearest(q, e, 3).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
-@query("ok7_first_blocked", "SELECT min(event_id) AS event_id FROM events WHERE event_type = 'error' AND value > 20")
-def ok7(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_type = 'error' AND value > 20").agg(F.min("event_id").alias("event_id"))
-
-
 @query("ok9_highest_version", "SELECT p_brand, max(p_size) AS newest FROM part GROUP BY p_brand")
 def ok9(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.max("p_size").alias("newest"))
@@ -224,8 +219,10 @@ def a7(spark, sf_dir):
 
 @query("f10_worth_targeting", "SELECT l_suppkey, count(*) AS downstream FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey HAVING count(*) >= 5")
 def f10(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy("l_suppkey").agg(F.count("*").alias("downstream")).where("downstream >= 5")
+    return history.worth_targeting(table(spark, sf_dir, "lineitem"), "l_suppkey", F.col("l_returnflag") == "R")
+
 
+GATE_SQL = "('0x' || left(md5('{0}:' || {1}), 8))::BIGINT"
 
 # Windows and state.
 EVENTS = "(SELECT event_id, user_id, user_id % 20 AS branch, event_type = 'click' AS hit, event_type FROM events)"
@@ -257,9 +254,27 @@ def f11(spark, sf_dir):
 
 @query("w4_cleared", f"SELECT branch, CASE WHEN branch % 4 = 0 THEN 0 ELSE misses END AS misses FROM {STREAK}")
 def w4(spark, sf_dir):
-    """Solved branches start anew; who wrote last is kept elsewhere."""
-    s = history.miss_streaks(events(spark, sf_dir), "branch", "event_id", F.col("hit"))
-    return s.select("branch", F.when(F.col("branch") % 4 == 0, 0).otherwise(F.col("misses")).cast("long").alias("misses"))
+    e = events(spark, sf_dir)
+    return history.cleared(history.miss_streaks(e, "branch", "event_id", F.col("hit")), "branch", e.where("branch % 4 = 0"))
+
+
+TARGETS = f"""SELECT s.branch, w.source, n.n_name AS solution FROM {STREAK} s
+    JOIN (SELECT branch, min(event_id) AS first FROM {EVENTS} GROUP BY branch) f USING (branch)
+    JOIN (SELECT branch, CASE WHEN branch % 3 <> 0 THEN arg_max(event_type, event_id) END AS source FROM {EVENTS} GROUP BY branch) w USING (branch)
+    JOIN (SELECT branch FROM {EVENTS} WHERE NOT hit GROUP BY branch HAVING count(*) >= 5) d USING (branch)
+    JOIN nation n ON n.n_nationkey = s.branch
+    WHERE s.misses >= 2 AND w.source IS NOT NULL AND n.n_nationkey % 5 <> 0 ORDER BY first, branch LIMIT 1"""
+
+
+@query("ok7_first_solved", TARGETS)
+def ok7(spark, sf_dir):
+    """F11, W3, F10 and a solution, the first in the order in which branches were seen."""
+    e = events(spark, sf_dir)
+    seen = e.groupBy("branch").agg(F.min("event_id").alias("first"))
+    sources = history.last_writer(e, "branch", "event_id", "event_type").withColumn("source", F.when(F.col("branch") % 3 != 0, F.col("source")))
+    worth = history.worth_targeting(e, "branch", ~F.col("hit"))
+    solutions = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("branch"), F.when(F.col("n_nationkey") % 5 == 0, "").otherwise(F.col("n_name")).alias("solution"))
+    return history.first_solved(history.miss_streaks(e, "branch", "event_id", F.col("hit")), seen, sources, worth, solutions, "branch", threshold=2)
 
 
 @query("w3_last_writer", "SELECT user_id % 20 AS branch, arg_max(event_type, event_id) AS source FROM events GROUP BY 1")
@@ -279,17 +294,72 @@ def w7(spark, sf_dir):
     return history.migrate(e, "island", "fitness", "event_id", 8).select("event_id", "island", "fitness")
 
 
-@query("w8_record_result", "SELECT user_id % 8 AS island, count(*) AS safe, min(event_id) AS first FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS r FROM events WHERE event_type = 'click') WHERE r <= 50 GROUP BY 1")
+EPOCHS = 4
+
+
+def _w8_sql() -> str:
+    """The islands after four runs of results with a migration between them."""
+    best = "SELECT *, row_number() OVER (PARTITION BY island ORDER BY fitness DESC, seq) AS rank FROM ({0}) QUALIFY rank <= 50"
+    safe = "SELECT event_id % 8 AS island, CAST(1.0 AS DOUBLE) AS fitness, event_id AS seq FROM events WHERE event_type = 'click' AND value > 80 AND event_id * 4 // (SELECT max(event_id) + 1 FROM events) = {0}"
+    parts = [f"p0 AS ({best.format(safe.format(0))})"]
+    for k in range(1, EPOCHS):
+        n = f"SELECT *, count(*) OVER (PARTITION BY island) AS n FROM p{k - 1}"
+        moved = f"SELECT (island + 1) % 8 AS island, CAST(0.5 AS DOUBLE) AS fitness, seq FROM ({n}) WHERE rank <= greatest(1, floor(n * 0.1))"
+        parts.append(f"p{k} AS ({best.format(f'{safe.format(k)} UNION ALL SELECT island, fitness, seq FROM p{k - 1} UNION ALL {moved}')})")
+    return f"WITH {', '.join(parts)} SELECT island, rank, seq, fitness FROM p{EPOCHS - 1}"
+
+
+@query("w8_record_result", _w8_sql())
 def w8(spark, sf_dir):
-    """What enters always has fitness 1.0 and earlier ones stay first, so an island keeps its first 50."""
-    safe = table(spark, sf_dir, "events").where("event_type = 'click'").select("event_id", (F.col("user_id") % 8).alias("island"), F.lit(1.0).alias("fitness"))
-    return ranking.bounded_population(safe, "island", "fitness", "event_id").groupBy("island").agg(F.count("*").alias("safe"), F.min("event_id").alias("first"))
+    """Results by islands: what is safe joins, migration comes between the runs, each island keeps its 50."""
+    e = table(spark, sf_dir, "events")
+    last = e.agg(F.max("event_id")).first()[0]
+    r = e.select(F.col("event_id").alias("seq"), ((F.col("event_type") == "click") & (F.col("value") > 80)).alias("ok"), F.md5(F.col("event_id").cast("string")).alias("code"), F.floor(F.col("event_id") * EPOCHS / F.lit(last + 1)).alias("epoch"))
+    population = None
+    for k in range(EPOCHS):
+        population = history.record_results(r.where(F.col("epoch") == k), population, 8)
+    return population.select("island", F.col("rank").cast("long").alias("rank"), "seq", "fitness")
+
+
+@query("w8_gate_and_seeds", f"""SELECT g.active, g.n, s.n AS seeds FROM (
+      SELECT active, count(*) AS n FROM (SELECT count(*) OVER w = 50 AND avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END) OVER w < 0.30 AS active FROM events WINDOW w AS (ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)) GROUP BY active) g,
+    (SELECT count(DISTINCT props) AS n FROM events WHERE event_type = 'click') s""")
+def w8_rest(spark, sf_dir):
+    """The gate and the seed store over the same results."""
+    e = table(spark, sf_dir, "events")
+    gate = history.rolling_gate_all(e, "event_id", F.col("event_type") == "click").groupBy("active").agg(F.count("*").alias("n"))
+    seeds = dedup.upsert(e.where("event_type = 'click'").select(F.col("props").alias("code"), F.col("event_id").alias("seq")), "code", ["seq"]).agg(F.count("*").alias("seeds"))
+    return gate.crossJoin(F.broadcast(seeds))  # one row
+
+
+@query("s13_seed_store", "SELECT language, count(*) AS n, sum(seq) AS seqs FROM (SELECT arg_max(lang, doc_id) AS language, max(doc_id) AS seq FROM documents GROUP BY md5(text)) GROUP BY language")
+def s13(spark, sf_dir):
+    """A store created with every other text and opened again to take them all."""
+    from corvane.sources.store import SeedStore, scratch
+
+    d = table(spark, sf_dir, "documents")
+    new = d.select(F.col("text").alias("code"), F.array(F.col("n_chars").cast("float")).alias("vec"), F.create_map(F.lit("source"), F.col("source")).alias("meta"), F.col("doc_id").alias("seq"), F.col("lang").alias("language"))
+    path = scratch(spark, "store")
+    SeedStore(spark, path).add(new.where("seq % 2 = 0"))
+    store = SeedStore(spark, path)
+    store.add(new)
+    return store.seeds().groupBy("language").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+
+
+@query("k8_saved_mutators", rf"""SELECT doc_id, md5(CASE {GATE_SQL.format('mutator', 'doc_id')} % 4 WHEN 0 THEN regexp_replace(text, '\bint\b', 'long', 'g') WHEN 1 THEN replace(text, '==', '!=') WHEN 2 THEN regexp_replace(text, '\bfor\b', 'while', 'g') ELSE text || chr(10) END) AS out FROM documents""")
+def k8(spark, sf_dir):
+    """The catalog saved as a table and read again, one of its mutators for every text."""
+    from corvane.sources.store import scratch
+
+    path = scratch(spark, "mutators")
+    mutators.builtin().save(spark, path)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(mutators.Registry.load(spark, path).apply(F.col("text"), F.col("doc_id"), 100)).alias("out"))
 
 
 @query("w9_previous_example", "SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM events")
 def w9(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    return e.select("event_id", history.carried(F.col("event_id"), F.col("event_type") == "click", "user_id", "event_id").alias("previous"))
+    return history.carried_all(e, "event_id", F.col("event_type") == "click", "event_id", "user_id", bucket=1000).select("event_id", "previous")
 
 
 @query("w10_loop_bounds", "SELECT count(*) AS n FROM events WHERE event_id < 1000")
@@ -314,7 +384,7 @@ def f8(spark, sf_dir):
 
 
 # Sampling.
-GATE = "('0x' || left(md5('{0}:' || {1}), 8))::BIGINT"
+GATE = GATE_SQL
 
 
 @query("f14_r5_bernoulli", f"SELECT event_id FROM events WHERE {GATE.format('gate', 'event_id')} % 100 < 20")

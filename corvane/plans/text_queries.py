@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.operators.history import periodic, prompt_score
 from corvane.plans.catalog import query, table
 
 #: Common words of the texts stand in for what programs are made of.
@@ -60,8 +61,8 @@ CONTROL = r"len(regexp_extract_all(code, '\b(?:if|else|for|while|switch|try|catc
 INDENT = r"list_max(list_transform(string_split(code, chr(10)), lambda x: length(regexp_extract(x, '^(\s*)', 1)) // 4))"
 by_doc("x12_complexity", f"CAST(CASE WHEN language = 'python' THEN {INDENT} ELSE {CONTROL} END AS BIGINT)", T.complexity)
 by_doc("x13_excerpts", "md5(left(code, 800)) || md5(left(code, 1500)) || md5(left(code, 400))", lambda c, g: F.concat(*[F.md5(F.left(c, F.lit(n))) for n in (800, 1500, 400)]))
-by_doc("x15_needed_headers", "array_to_string(list_filter([" + ", ".join(rf"CASE WHEN regexp_matches(text, '\b(?:{n.replace(' ', '|')})\b') THEN '{h}' END" for h, n in T.HEADERS.items()) + "], lambda x: x IS NOT NULL), ',')", lambda c, g: F.array_join(T.needed_headers(F.col("text")), ","))
-by_doc("x18_with_hint", "md5(left(code, 100) || chr(10) || [" + ", ".join("'" + h + "'" for h in T.HINTS) + "][CAST(doc_id % 10 AS INTEGER) + 1])", lambda c, g: F.md5(T.with_hint(F.left(c, F.lit(100)), F.col("doc_id"))))
+by_doc("x15_needed_headers", "array_to_string(list_filter([" + ", ".join(rf"CASE WHEN regexp_matches(text, '\b(?:{'|'.join(n)})\b') THEN '{h}' END" for h, n in T.HEADERS.items()) + "], lambda x: x IS NOT NULL), ',')", lambda c, g: F.array_join(T.needed_headers(F.col("text")), ","))
+by_doc("x18_with_hint", "md5(code || chr(10) || [" + ", ".join("'" + h + "'" for h in T.HINTS) + "][CAST(doc_id % 10 AS INTEGER) + 1])", lambda c, g: F.md5(T.with_hint(c, F.col("doc_id"))))
 query("x19_rotation", "SELECT event_id, (event_id // 50) % 7 AS spec, (event_id // 5) % 10 AS hint FROM events")(
     lambda spark, sf_dir: table(spark, sf_dir, "events").select("event_id", T.spec_index(F.col("event_id"), 7).alias("spec"), T.hint_index(F.col("event_id")).alias("hint"))
 )
@@ -74,29 +75,38 @@ by_doc("x22_as_comment", f"md5({COMMENT})", lambda c, g: F.md5(T.as_comment(c, g
 by_doc("x23_swap_base", f"md5({COMMENT} || chr(10) || source)", lambda c, g: F.md5(T.swap_base(F.col("source"), c, g)))
 by_doc(
     "x25_cloze_prompt",
-    "md5('The following ' || language || ' program has some tokens replaced with \"___MASK___\". Fill in each blank with a syntactically and semantically valid replacement that preserves program structure. Return ONLY the completed program with no explanation.' || chr(10) || chr(10) || '```' || language || chr(10) || left(code, 50) || chr(10) || '```')",
-    lambda c, g: F.md5(T.cloze_prompt(F.left(c, F.lit(50)), g)),
+    "md5('The following ' || language || ' program has some tokens replaced with \"___MASK___\". Fill in each blank with a syntactically and semantically valid replacement that preserves program structure. Return ONLY the completed program with no explanation.' || chr(10) || chr(10) || '```' || language || chr(10) || code || chr(10) || '```')",
+    lambda c, g: F.md5(T.cloze_prompt(c, g)),
 )
 query("x26_bias_sentence", "SELECT n_name, 'When generating code, focus on ' || CASE n_nationkey % 3 WHEN 0 THEN '" + T.BIASES["concurrency"] + "' WHEN 1 THEN '" + T.BIASES["arithmetic"] + "' ELSE n_name END || '.' AS said FROM nation")(
     lambda spark, sf_dir: table(spark, sf_dir, "nation").select("n_name", T.bias_sentence(F.when(F.col("n_nationkey") % 3 == 0, "concurrency").when(F.col("n_nationkey") % 3 == 1, "arithmetic").otherwise(F.col("n_name"))).alias("said"))
 )
 HEAD = "'" + T.SPLICED.strip() + "' || chr(10)"
-STRIPPED = r"regexp_replace(left(code, 200), '^\s+|\s+$', '', 'g')"
+STRIPPED = r"regexp_replace(code, '^\s+|\s+$', '', 'g')"
 by_doc(
     "x27_splice",
     rf"""md5(CASE WHEN {STRIPPED} = '' THEN source
       WHEN language = 'cpp' THEN {HEAD} || CASE WHEN regexp_matches({STRIPPED}, '\bmain\s*\(') THEN {STRIPPED} ELSE 'int main(void) {{' || chr(10) || {STRIPPED} || chr(10) || 'return 0;' || chr(10) || '}}' || chr(10) END
       WHEN language = 'go' THEN {HEAD} || CASE WHEN starts_with({STRIPPED}, 'package ') THEN {STRIPPED} ELSE 'package main' || chr(10) || chr(10) || 'func main() {{' || chr(10) || {STRIPPED} || chr(10) || '}}' || chr(10) END
       ELSE {HEAD} || source || chr(10) || {STRIPPED} END)""",
-    lambda c, g: F.md5(T.splice(F.col("source"), F.left(c, F.lit(200)), g)),
+    lambda c, g: F.md5(T.splice(F.col("source"), c, g)),
 )
 by_doc("x28_context_lines", "md5(array_to_string(list_slice(string_split(code, chr(10)), CAST(greatest(doc_id % 7 - 3, 0) AS INTEGER) + 1, CAST(least(doc_id % 7 + 2, len(string_split(code, chr(10)))) AS INTEGER)), chr(10)))", lambda c, g: F.md5(T.context_lines(c, F.col("doc_id") % 7, 2)))
 by_doc("x30_backend", "CASE WHEN starts_with(source, 'src1') THEN 'local:' || substr('ollama/' || source, 8) ELSE 'remote:' || source END", lambda c, g: F.concat(F.when(T.backend(F.when(F.startswith("source", F.lit("src1")), F.concat(F.lit("ollama/"), "source")).otherwise(F.col("source")))["local"], "local:").otherwise("remote:"), T.backend(F.when(F.startswith("source", F.lit("src1")), F.concat(F.lit("ollama/"), "source")).otherwise(F.col("source")))["name"]))
 by_doc("x31_drop_last_line", "md5(array_to_string(list_slice(string_split(code, chr(10)), 1, len(string_split(code, chr(10))) - 1), chr(10)))", lambda c, g: F.md5(T.drop_last_line(c)))
-query("x32_chat_template", "SELECT conv_id, string_agg(role || ': ' || length(text), chr(10) ORDER BY turn) AS chat FROM conversations GROUP BY conv_id")(
-    lambda spark, sf_dir: table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.concat(t["role"], F.lit(": "), F.length(t["text"]))), "\n").alias("chat"))
-)
-SMT_OUT = "CASE doc_id % 6 WHEN 0 THEN 'sat' WHEN 1 THEN 'x' || chr(10) || ' unsat ' WHEN 2 THEN 'sat' || chr(10) || 'unknown' WHEN 3 THEN 'an invalid model was generated' || chr(10) || 'sat' WHEN 4 THEN 'unsupported' ELSE left(text, 20) END"
+query(
+    "x32_chat_template",
+    """SELECT item_id, md5('system: S' || chr(10) || 'user: ' || text || chr(10) || 'user: item ' || item_id || chr(10) || CASE WHEN item_id % 2 = 0 THEN 'user: go on' || chr(10) || 'assistant: ```' || chr(10) || text || chr(10) || '```' || chr(10) ELSE '' END || 'user: go on') AS chat FROM benchmark""",
+)(
+    lambda spark, sf_dir: table(spark, sf_dir, "benchmark").select(
+        "item_id",
+        F.md5(F.array_join(F.transform(T.example_chat(F.lit("S"), F.col("text"), F.concat(F.lit("item "), "item_id"), F.lit("go on"), F.when(F.col("item_id") % 2 == 0, F.col("text")).otherwise("")), lambda t: F.concat(t["role"], F.lit(": "), t["content"])), "\n")).alias("chat"),
+    )
+)
+query("x32_conversations", "SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS chat FROM conversations GROUP BY conv_id")(
+    lambda spark, sf_dir: table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.concat(t["role"], F.lit(": "), t["text"])), "\n")).alias("chat"))
+)
+SMT_OUT = "CASE doc_id % 6 WHEN 0 THEN 'sat' WHEN 1 THEN 'x' || chr(10) || ' unsat ' WHEN 2 THEN 'sat' || chr(10) || 'unknown' WHEN 3 THEN 'an invalid model was generated' || chr(10) || 'sat' WHEN 4 THEN 'unsupported' ELSE text END"
 query("x34_smt_result", f"SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'sat' WHEN 1 THEN 'unsat' WHEN 2 THEN 'unknown' WHEN 3 THEN 'invalid model' WHEN 4 THEN 'unknown' ELSE '' END AS result FROM (SELECT doc_id, {SMT_OUT} AS o FROM documents)")(
     lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", T.smt_result(F.expr(SMT_OUT.replace("chr(10)", "'\\n'"))).alias("result"))
 )
@@ -104,17 +114,50 @@ SPEC = "'" + T.SPEC.replace("'", "''").replace("\n", "' || chr(10) || '").replac
 query("x17_render_spec", f"SELECT item_id, md5(replace(replace(replace({SPEC}, '{{includes}}', '`#include <iostream>`'), '{{note}}', ' (inspired by the compiler''s gcc pass)'), '{{text}}', 'text ' || item_id)) AS spec FROM benchmark")(
     lambda spark, sf_dir: table(spark, sf_dir, "benchmark").select("item_id", F.md5(T.render_spec(F.concat(F.lit("text "), "item_id"), F.lit("gcc"))).alias("spec"))
 )
-query("x16_header_union", "SELECT array_to_string(list_sort(list_distinct(list('<' || source || '>'))), ',') AS headers FROM documents")(
-    lambda spark, sf_dir: table(spark, sf_dir, "documents").select(F.concat(F.lit("<"), "source", F.lit(">")).alias("h")).distinct().agg(F.array_join(F.array_sort(F.collect_set("h")), ",").alias("headers"))
+NAMES = ["printf", "std::sort", "pow"]
+SCAFFOLD = "#include <iostream>\n#include <cmath>\nint main() {\n"
+HEADER_LIST = "list_filter([" + ", ".join(rf"CASE WHEN regexp_matches(t, '\b(?:{'|'.join(n)})\b') THEN '{h}' END" for h, n in T.HEADERS.items()) + "], lambda x: x IS NOT NULL)"
+BEGIN_SQL = "'" + SCAFFOLD.replace("\n", "' || chr(10) || '") + "'"
+
+
+@query(
+    "x16_header_union",
+    f"""WITH h AS (SELECT list_sort(list_distinct(flatten(list({HEADER_LIST})))) AS h FROM (SELECT text || ' ' || ['{"', '".join(NAMES)}'][CAST(doc_id % 3 AS INTEGER) + 1] AS t FROM documents))
+    SELECT list_reduce(list_prepend({BEGIN_SQL}, h), lambda b, x: CASE WHEN contains(b, '#include ' || x) THEN b ELSE left(b, strpos(b, 'int main') - 1) || '#include ' || x || chr(10) || substr(b, strpos(b, 'int main')) END) AS begin FROM h""",
 )
+def header_union(spark, sf_dir):
+    t = F.concat_ws(" ", "text", F.element_at(F.array(*map(F.lit, NAMES)), (F.col("doc_id") % 3 + 1).cast("int")))
+    headers = table(spark, sf_dir, "documents").select(F.explode(T.needed_headers(t)).alias("h")).agg(F.collect_set("h").alias("h"))  # as many as the table of headers has
+    return headers.select(T.with_headers(F.lit(SCAFFOLD), F.col("h")).alias("begin"))
+
+
+@query(
+    "s3_functions",
+    rf"""SELECT CAST(doc_id AS VARCHAR) AS file, name AS function_name, complexity, md5(left(code, 800)) AS snippet FROM (
+      SELECT doc_id, name, code, CAST(len(regexp_extract_all(left(code, 1500), '\b(?:if|else|for|while|switch|try|catch)\b')) AS BIGINT) AS complexity FROM (
+        SELECT doc_id, name, 'int ' || name || '(int x) {{' || chr(10) || replace(text, ' the ', ' if ') || chr(10) || '}}' || chr(10) AS code FROM (
+          SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 THEN 'fold' ELSE 'f' END || doc_id AS name FROM documents)))
+    WHERE complexity >= 4 OR contains(name, 'fold')""",
+)
+def functions(spark, sf_dir):
+    """The functions of files, here one for each text."""
+    from corvane.sources.files import functions_of
+
+    name = F.concat(F.when(F.col("doc_id") % 7 == 0, "fold").otherwise("f"), "doc_id")
+    code = F.concat(F.lit("int "), name, F.lit("(int x) {\n"), F.replace("text", F.lit(" the "), F.lit(" if ")), F.lit("\n}\n"))
+    found = functions_of(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), code.alias("text")), "/")
+    return found.select("file", "function_name", "complexity", F.md5("snippet").alias("snippet"))
+
+
 query("x14_category", "SELECT doc_id, CASE WHEN source = 'src1' THEN 'portability and utility library' ELSE source END AS category FROM documents")(
     lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", T.category(F.concat(F.when(F.col("source") == "src1", "libiberty").otherwise(F.col("source")), F.lit("/a/b.c"))).alias("category"))
 )
 by_doc("x24_strategy", "CASE WHEN doc_id % 4 = 3 AND n_chars % 2 = 0 THEN 'combine' WHEN doc_id % 4 = 2 THEN 'equivalent' WHEN doc_id % 4 = 1 THEN 'mutate' ELSE 'new' END", lambda c, g: T.strategy(F.col("doc_id") % 4, F.when(F.col("n_chars") % 2 == 0, c)))
 @query("x29_natural_order", "SELECT c_custkey, row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT), c_custkey) AS rank FROM customer")
 def natural_order(spark, sf_dir):
-    t = table(spark, sf_dir, "customer").select("c_custkey", T.natural_key(F.col("c_name")).alias("k"))
-    return t.select("c_custkey", F.expr("row_number() OVER (ORDER BY k, c_custkey)").cast("long").alias("rank"))
+    from corvane.operators.ranking import global_rank
+
+    return global_rank(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), T.natural_text(F.col("c_name")), "c_custkey").select("c_custkey", "rank")
 
 
 BEGIN = "#include <x>\nint main() {\n"
@@ -147,15 +190,21 @@ query("f1_required_api", f"SELECT doc_id FROM {SRC} WHERE doc_id % 10 = 0 OR con
     lambda spark, sf_dir: code(spark, sf_dir).where(T.promoted_text(F.col("code"), F.when(F.col("doc_id") % 10 != 0, F.lit(" { ")), " if ")).select("doc_id")
 )
 query("f3_required_api_go", rf"SELECT doc_id FROM {SRC} WHERE contains(regexp_replace({C_SQL}, '^\s+|\s+$', '', 'g'), ' if ')")(lambda spark, sf_dir: code(spark, sf_dir).where(T.promoted_text(T.strip_c_comments(F.col("code")), F.lit(" if "))).select("doc_id"))
-query("f4_contains_assert", "SELECT doc_id FROM documents WHERE contains(text, 'est')")(lambda spark, sf_dir: table(spark, sf_dir, "documents").where(F.contains("text", F.lit("est"))).select("doc_id"))
+def _smt():
+    from corvane.functions.targets import make_target
+
+    return make_target("smt2")
+
+
+query("f4_contains_assert", "SELECT doc_id FROM (SELECT doc_id, replace(text, 'est', 'assert') AS c FROM documents) WHERE contains(c, 'assert')")(lambda spark, sf_dir: table(spark, sf_dir, "documents").where(_smt().keep(F.replace("text", F.lit("est"), F.lit("assert")))).select("doc_id"))
 query("f5_translatable", rf"SELECT doc_id, NOT regexp_matches(CASE WHEN strpos(code, '{{') > 0 THEN left(code, strpos(code, '{{') - 1) ELSE left(code, 400) END, '\b(?:thand|at|ore|edout)\b') AS ok FROM {SRC}")(
     lambda spark, sf_dir: code(spark, sf_dir).select("doc_id", T.translatable(F.col("code"), "thand at ore edout").alias("ok"))
 )
 query("f6_complexity_cap", f"SELECT doc_id FROM {SRC} WHERE {CONTROL} <= 20")(lambda spark, sf_dir: code(spark, sf_dir).where(T.complexity(F.col("code"), F.lit("cpp")) <= 20).select("doc_id"))
 query("f9_prompt_score", f"SELECT source, count(DISTINCT {NONBLANK.format('code')}) FILTER (WHERE contains(code, ' if ')) AS score FROM {SRC} GROUP BY source")(
-    lambda spark, sf_dir: code(spark, sf_dir).groupBy("source").agg(F.countDistinct(F.when(F.contains("code", F.lit(" if ")), F.md5(T.drop_blank_lines(F.col("code"))))).alias("score"))
+    lambda spark, sf_dir: prompt_score(code(spark, sf_dir), "source", T.drop_blank_lines(F.col("code")), F.contains("code", F.lit(" if ")))
 )
-query("f12_periodic", "SELECT event_id FROM events WHERE event_id % 50 = 0 AND event_id <> 0")(lambda spark, sf_dir: table(spark, sf_dir, "events").where("event_id % 50 = 0 AND event_id <> 0").select("event_id"))
+query("f12_periodic", "SELECT event_id FROM events WHERE event_id % 50 = 0 AND event_id <> 0")(lambda spark, sf_dir: periodic(table(spark, sf_dir, "events"), "event_id", 50).select("event_id"))
 query("k3_class_file", r"SELECT doc_id, coalesce(nullif(regexp_extract(c, 'public\s+class\s+([^\s{]+)', 1), ''), 'Main') || '.java' AS file FROM (SELECT doc_id, replace(text, 'The ', 'public class ') AS c FROM documents)")(
     lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", T.class_file(F.replace("text", F.lit("The "), F.lit("public class "))).alias("file"))
 )

@@ -13,7 +13,7 @@ from corvane.functions.text import category, complexity
 
 #: Fixed values of the formats.
 SUFFIXES = {"cpp": (".cpp", ".cxx", ".cc", ".hpp", ".h"), "c": (".c", ".h"), "python": (".py",)}
-ENTRY_WORDS = "fold expand emit gimplify optimize lower simplify parse analyze resolve check rewrite codegen generate".split()
+ENTRY_WORDS = ["fold", "expand", "emit", "gimplify", "optimize", "lower", "simplify", "parse", "analyze", "resolve", "check", "rewrite", "codegen", "generate"]
 HEADER = re.compile(r"(?:^|\n)(?:[\w:<>*&\s]+)\s+(\w+)\s*\([^)]*\)\s*\{", re.M)
 SLICE, EXCERPT = 1500, 800
 LOG_LINE = r"^\[(INFO|TRACE|VERBOSE)\] (.*)$"
@@ -97,13 +97,17 @@ def join_specs(parts: Column, delimiter: str) -> Column:
     return F.array_join(parts, f"\n\n{delimiter}\n\n")
 
 
-def log_lines(df: DataFrame, order: str, line: str, run: str) -> DataFrame:
-    """Level and message of each entry; lines without a level continue the entry before them."""
+def log_lines(df: DataFrame, order: str, line: str, run: str, bucket: int = 10_000) -> DataFrame:
+    """Level and message of each entry; lines without a level continue the entry before them. Order values are
+    whole numbers; ranges of `bucket` of them count their entries apart, so no task sees a whole run."""
     from pyspark.sql import Window as W
 
-    head = F.regexp_like(F.col(line), F.lit(LOG_LINE))
-    entry = F.sum(head.cast("int")).over(W.partitionBy(run).orderBy(order))
-    t = df.withColumn("_e", entry).where("_e > 0").groupBy(run, "_e").agg(F.array_sort(F.collect_list(F.struct(order, line))).alias("l"))
+    head = F.regexp_like(F.col(line), F.lit(LOG_LINE)).cast("int")
+    t = df.select(run, order, line, F.floor(F.col(order) / bucket).alias("_b"), head.alias("_h"))
+    before = t.groupBy(run, "_b").agg(F.sum("_h").alias("_n")).withColumn("_n", F.coalesce(F.sum("_n").over(W.partitionBy(run).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    own = F.sum("_h").over(W.partitionBy(run, "_b").orderBy(order))
+    t = t.withColumn("_own", own).join(before, [run, "_b"]).withColumn("_e", F.col("_own") + F.col("_n"))
+    t = t.where("_e > 0").groupBy(run, "_e").agg(F.array_sort(F.collect_list(F.struct(order, line))).alias("l"))
     text = F.array_join(F.transform("l", lambda x: x[line]), "\n")
     return t.select(run, F.col("_e").alias("seq"), F.regexp_extract(text, r"^\[(\w+)\]", 1).alias("level"), F.regexp_replace(text, r"^\[\w+\] ", "").alias("message"))
 

@@ -27,19 +27,40 @@ def gate_stream(verdicts: DataFrame, window: int = 50, threshold: float = 0.30)
 
 
 def streak_stream(records: DataFrame) -> DataFrame:
-    """Rows (branch, seq, hit, source) to the branch's misses and last writer after each micro-batch."""
+    """Rows (branch, seq, hit, source, and cleared if there) to the branch's misses and last writer after each
+    micro-batch. A row that clears starts the misses anew and keeps the writer."""
+    clears = "cleared" in records.columns
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         misses, source = state.get if state.exists else (0, None)
         rows = pd.concat(list(frames)).sort_values(["seq", "hit"], ascending=[True, False])
-        for hit, src in zip(rows["hit"], rows["source"]):
-            misses, source = 0 if hit else misses + 1, src
+        for hit, src, clear in zip(rows["hit"], rows["source"], rows["cleared"] if clears else [False] * len(rows)):
+            if clear:
+                misses = 0
+            else:
+                misses, source = 0 if hit else misses + 1, src
         state.update((int(misses), source))
         yield pd.DataFrame([(key[0], misses, source)], columns=["branch", "misses", "source"])
 
     return records.groupBy("branch").applyInPandasWithState(step, "branch long, misses long, source string", "misses long, source string", "update", GroupStateTimeout.NoTimeout)
 
 
+def carry_stream(programs: DataFrame) -> DataFrame:
+    """Rows (run, seq, keep, code) to (run, seq, previous), the last kept code before each. State: that code."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(frames)).sort_values("seq")
+        out = []
+        for seq, keep, code in zip(rows["seq"], rows["keep"], rows["code"]):
+            out.append((key[0], seq, last))
+            last = code if keep else last
+        state.update((last,))
+        yield pd.DataFrame(out, columns=["run", "seq", "previous"])
+
+    return programs.groupBy("run").applyInPandasWithState(step, "run long, seq long, previous string", "last string", "append", GroupStateTimeout.NoTimeout)
+
+
 def first_seen_stream(programs: DataFrame, time: str, delay: str = "1 hour") -> DataFrame:
     """O-D1 as the stream goes: each content once within the watermark."""
     return programs.withColumn("id", F.md5("code")).withWatermark(time, delay).dropDuplicatesWithinWatermark(["id"])

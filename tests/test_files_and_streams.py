@@ -92,3 +92,74 @@ def test_first_seen_and_counts(spark, tmp_path):
     twins.run_available(twins.counts_stream(s, "ts"), str(tmp_path / "o2"), str(tmp_path / "c2"))
     got = spark.read.parquet(str(tmp_path / "o2"))
     assert got.agg(F.sum("n")).first()[0] == 12
+
+
+def test_log_lines_across_ranges(spark):
+    rows = [("r", i, "[INFO] a" if i % 7 == 0 else f"b{i}") for i in range(40)]
+    d = spark.createDataFrame(rows, "run string, seq int, line string")
+    key = lambda df: sorted((r["seq"], r["level"], r["message"]) for r in df.collect())
+    assert key(files.log_lines(d, "seq", "line", "run", bucket=3)) == key(files.log_lines(d, "seq", "line", "run"))
+
+
+def test_log_levels(spark, tmp_path):
+    d = spark.createDataFrame([("INFO", "a"), ("TRACE", "b"), ("VERBOSE", "c"), ("OTHER", "d")], "level string, message string")
+    sinks.log_table(d, str(tmp_path / "log"), most=2)
+    assert sorted(r["message"] for r in spark.read.parquet(str(tmp_path / "log")).collect()) == ["a", "b"]
+
+
+def test_specs_read_back(spark):
+    d = spark.createDataFrame([(["one", "two\nlines", "three"],)], "parts array<string>")
+    text = d.select(files.join_specs(F.col("parts"), "-----").alias("text"))
+    assert [r["spec"] for r in files.specs(text, "text", "-----").orderBy("spec_idx").collect()] == ["one", "two\nlines", "three"]
+
+
+def test_settings_and_requests(tmp_path):
+    from corvane.sources.config import Settings, load_settings, request
+
+    (tmp_path / "c.yaml").write_text("fuzzing:\n  batch_size: 7\nhuf:\n  phase3:\n    window: 9\n  other: x\n")
+    assert load_settings(str(tmp_path / "c.yaml")) == Settings(batch_size=7, window=9)
+    (tmp_path / "empty.yaml").write_text("")
+    assert load_settings(str(tmp_path / "empty.yaml")) == Settings()
+    made = request({"model": "m", "max_tokens": 5, "temperature": 1.0, "prompt": "p", "system": "s"})
+    assert [m["role"] for m in made["messages"]] == ["system", "user"] and request({}, made) is made
+
+
+def vectors(texts):
+    return [[float(len(t)), 1.0] for t in texts]
+
+
+def test_seed_store(spark, tmp_path):
+    from corvane.sources.store import SeedStore
+
+    new = lambda *rows: spark.createDataFrame(list(rows), "code string, meta map<string,string>, seq long, language string")
+    assert SeedStore(spark, None, vectors).add(new(("a", {}, 0, "c"))) == 0 and SeedStore(spark, str(tmp_path / "s")).add(new(("a", {}, 0, "c"))) == 0
+    store = SeedStore(spark, str(tmp_path / "s"), vectors)
+    q = spark.createDataFrame([(1, "xx")], "query_id long, text string")
+    assert store.similar(q).count() == 0 and store.seeds().count() == 0
+    assert store.add(new(("a", {"v": "1"}, 0, "c"), ("bbbb", {}, 1, "go"), ("bb", {}, 2, "go"))) == 3
+    again = SeedStore(spark, str(tmp_path / "s"), vectors)
+    assert again.add(new(("a", {"v": "2"}, 5, "c"))) == 3 and len(again.versions()) == 2
+    assert again.seeds("c").first()["meta"] == {"v": "2"} and {r["code"] for r in again.seeds("go").collect()} == {"bbbb", "bb"}
+    assert [r["code"] for r in again.similar(q, 1).collect()] == ["bb"] and [r["code"] for r in again.similar(q, 5, "c").collect()] == ["a"]
+
+
+def test_cleared_streaks_stream(spark, tmp_path):
+    rows = [(1, i, False, f"s{i}", i == 3) for i in range(6)]
+    d = spark.createDataFrame(rows, "branch long, seq long, hit boolean, source string, cleared boolean")
+    d.write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
+    twins.streak_stream(s).writeStream.format("memory").queryName("cleared").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert [tuple(r) for r in spark.table("cleared").collect()] == [(1, 2, "s5")]
+
+
+def test_carry_stream_equals_batch(spark, tmp_path):
+    d = events(spark, tmp_path).select("run", "seq", F.col("ok").alias("keep"), F.concat(F.lit("c"), "seq").alias("code"))
+    s = spark.readStream.schema("run long, seq long, ok boolean").parquet(str(tmp_path / "in"))
+    s = s.select("run", "seq", F.col("ok").alias("keep"), F.concat(F.lit("c"), "seq").alias("code"))
+    twins.run_available(twins.carry_stream(s), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = sorted((r["run"], r["seq"], r["previous"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    for bucket in (7, 10_000):
+        batch = history.carried_all(d, "code", F.col("keep"), "seq", "run", bucket)
+        assert sorted((r["run"], r["seq"], r["previous"]) for r in batch.collect()) == got
+    one = d.withColumn("p", history.carried(F.col("code"), F.col("keep"), "run", "seq"))
+    assert sorted((r["run"], r["seq"], r["p"]) for r in one.collect()) == got

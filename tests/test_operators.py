@@ -74,3 +74,69 @@ def test_distilled_pads(spark, empty):
     got = spark.createDataFrame([] if empty else [(0, "a"), (1, "NO_TRANSLATION"), (2, "a"), (3, "")], "pos long, text string")
     more = spark.createDataFrame([(i, f"f{i}") for i in range(9)] + [(9, "a")], "pos long, text string")
     assert dedup.distilled(got, more).count() == 5
+
+
+def test_mask_candidates_against_brute_force(spark):
+    """The pieces of C-like programs by a scan that knows no regular expressions."""
+    import random
+
+    rng = random.Random(6)
+    words = ["int", "float", "void", "integer", "x", "y1"]
+    ops = ["==", "!=", "<=", ">=", "&&", "||", "<<", ">>", "++", "--", "+", "-", "*", "/", "%", "&", "|", "^", "~", "<", ">"]
+    data, want = [], set()
+    for i in range(60):
+        code = ""
+        for _ in range(rng.randint(0, 25)):
+            if rng.random() < 0.5:
+                w = rng.choice(words)
+                if w in ("int", "float", "void"):
+                    want.add((i, len(code), len(code) + len(w), w))
+                code += w
+            else:
+                w = rng.choice(ops)
+                want.add((i, len(code), len(code) + len(w), w))
+                code += w
+            code += " "
+        data.append((i, code))
+    got = sampling.mask_candidates(spark.createDataFrame(data, "doc_id long, code string"))
+    assert {tuple(r) for r in got.collect()} == want
+    n = {i: sum(w[0] == i for w in want) for i, _ in data}
+    picked = {r["doc_id"]: len(r["tokens"]) for r in sampling.mask(spark.createDataFrame(data, "doc_id long, code string")).collect()}
+    assert picked == {i: max(1, int(k * 0.15)) if k else 0 for i, k in n.items()}
+
+
+def test_global_rank(spark):
+    import re
+
+    from corvane.functions.text import natural_key, natural_text
+
+    names = [f"a{i % 50}b{i}" for i in range(300)] + ["", None, "A7", "a07", "7x", "12x"]
+    d = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    plain = lambda s: [int(x) if x.isdigit() else x.lower() for x in re.split("([0-9]+)", s)]
+    order = sorted(range(len(names)), key=lambda i: (names[i] is not None, plain(names[i] or ""), i))
+    got = ranking.global_rank(d, natural_text(F.col("name")), "id", parts=8, sample=4)
+    assert [r["id"] for r in got.orderBy("rank").collect()] == order and got.agg(F.max("rank")).first()[0] == len(names)
+    assert [r["id"] for r in d.orderBy(natural_key(F.col("name")), "id").collect()] == order
+    assert ranking.global_rank(d.limit(0), natural_text(F.col("name")), "id").count() == 0
+
+
+def test_catalog_of_mutators(spark, tmp_path):
+    spark.createDataFrame([("m2", "a", "b"), ("m1", "(", "x"), ("m0", "^.*$", "")], "name string, pattern string, put string").write.parquet(str(tmp_path / "c"))
+    r = mutators.Registry.load(spark, str(tmp_path / "c"))
+    assert r.names() == ["m0", "m2"]
+    r.save(spark, str(tmp_path / "d"))
+    assert mutators.Registry.load(spark, str(tmp_path / "d")).rules() == r.rules()
+
+
+def test_results_of_islands(spark):
+    """Against the islands as lists: migration, then what is safe, 50 at most."""
+    rows = [(i, i % 3 == 0, f"c{i}") for i in range(400)]
+    d = spark.createDataFrame(rows, "seq long, ok boolean, code string")
+    population, islands = None, [[], []]
+    for k in range(4):
+        population = history.record_results(d.where(f"seq div 100 = {k}"), population, 2, most=20)
+        moved = [[(0.5, s) for _, s in x[: max(1, int(len(x) * 0.1))]] if x else [] for x in islands]
+        now = [[*islands[i], *moved[1 - i], *((1.0, s) for s, ok, _ in rows if s // 100 == k and ok and s % 2 == i)] for i in range(2)]
+        islands = [sorted(x, key=lambda y: (-y[0], y[1]))[:20] for x in now]
+    got = {i: [(r["fitness"], r["seq"]) for r in population.where(f"island = {i}").orderBy("rank").collect()] for i in range(2)}
+    assert got == dict(enumerate(islands))

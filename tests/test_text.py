@@ -94,3 +94,15 @@ def test_injected_responses(spark):
 
     d = spark.createDataFrame([("a",), ("b",)], "p string")
     assert sorted(tuple(r) for r in respond_with(d, "p", lambda s: s.str.upper()).collect()) == [("a", "A"), ("b", "B")]
+
+
+def test_headers_go_above_main_or_to_the_end(spark):
+    begin = lambda b, *h: spark.range(1).select(T.with_headers(F.lit(b), F.array(*map(F.lit, h))).alias("x")).first()["x"]
+    assert begin("#include <a>\nint main() {", "<b>", "<a>", "<c>", "<b>") == "#include <a>\n#include <b>\n#include <c>\nint main() {"
+    assert begin("#include <a> \n\n", "<c>", "<b>") == "#include <a>\n#include <b>\n#include <c>"
+
+
+def test_chats(spark):
+    c = lambda first: [tuple(t) for t in spark.range(1).select(T.example_chat(F.lit("s"), F.lit("d"), F.lit(""), F.lit("ask"), F.lit(first)).alias("x")).first()["x"]]
+    assert c("") == [("system", "s"), ("user", "d"), ("user", ""), ("user", "ask")]
+    assert c("one") == [("system", "s"), ("user", "d"), ("user", ""), ("user", "ask"), ("assistant", "```\none\n```"), ("user", "ask")]
