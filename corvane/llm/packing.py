@@ -25,6 +25,8 @@ from corvane.llm.common import id_out, take_memory, with_key, written
 #: The vocabulary's own normalisation and pre-tokens, as its file states them: fixed values.
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: What may follow a word of letters as a piece of its own.
+ENDS = frozenset(b".,;:!?")
 #: Words with other characters than these go to the library as they are.
 LATIN = re.compile("[\x00-ſ]*")
 
@@ -40,7 +42,7 @@ class WordIds(dict):
     """Token ids, as little-endian 32-bit numbers, of each white-space-delimited word (bytes). Two generations of at
     most `most` words each are remembered."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 300_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -61,8 +63,10 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            if word.isascii() and word.isalpha():
-                ids = self.piece(word.decode().lower())
+            if word.isalpha():
+                ids = self.piece(word.lower().decode())
+            elif word[:-1].isalpha() and word[-1] in ENDS:
+                ids = self.piece(word[:-1].lower().decode()) + self.piece(chr(word[-1]))
             else:
                 ids = self.any_word(word.decode())
         if len(self) >= self.most:
@@ -74,17 +78,21 @@ class WordIds(dict):
     def any_word(self, w: str) -> bytes:
         if w.isascii() and w.isprintable():
             parts = ASCII_PIECES.findall(w.lower())
-        elif LATIN.fullmatch(w) and w.isprintable() and "İ" not in w:
-            parts = PIECES.findall(w.lower())  # NFC leaves these characters as they are
+        elif LATIN.fullmatch(w) and w.isprintable() and "İ" not in w:  # NFC leaves these characters as they are
+            if w.isalpha():
+                return self.piece(w.lower())
+            if w[:-1].isalpha() and w[-1].isascii() and ord(w[-1]) in ENDS:
+                return self.piece(w[:-1].lower()) + self.piece(w[-1])
+            parts = PIECES.findall(w.lower())
         else:
             return array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.piece, parts))
 
-    def encode(self, text: bytes) -> np.ndarray:
+    def encode(self, text: bytes) -> bytes:
         """The library's ids for the whole text. White space ends words and leaves no token, so words stand alone."""
         if b"<|" in text:  # special tokens may hold or touch anything
-            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4")
-        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u4")
+            return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _ids: dict[str, WordIds] = {}
@@ -104,15 +112,21 @@ PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(docs: DataFrame, vocabulary: str, most: int = 2048, end_id: int = 0) -> DataFrame:
     """Each text's ids and then end_id, cut into pieces of `most` where there are more. Null text: empty."""
 
+    end = end_id.to_bytes(4, "little")
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = word_ids(vocabulary)
         for b in batches:
             rows: list[tuple] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.append(enc.encode(text.as_buffer().to_pybytes() if text.is_valid else b""), np.uint32(end_id)).astype("<u4")
-                for k, s in enumerate(range(0, ids.size, most)):
-                    part = ids[s : s + most]
-                    rows.append((doc, k, s, part.size, zlib.crc32(part.tobytes())))
+                ids = enc.encode(text.as_buffer().to_pybytes() if text.is_valid else b"") + end
+                n = len(ids) // 4
+                if n <= most:
+                    rows.append((doc, 0, 0, n, zlib.crc32(ids)))
+                    continue
+                for k, s in enumerate(range(0, n, most)):
+                    part = ids[4 * s : 4 * (s + most)]
+                    rows.append((doc, k, s, len(part) // 4, zlib.crc32(part)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
