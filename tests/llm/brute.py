@@ -122,3 +122,77 @@ def personal(text):
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
     ]
     return [(k, m.start(), m.end()) for k, p, ok in kinds for m in re.finditer(p, t) if ok(m.group())]
+
+
+def verdicts(docs, labels, orders, bits=18, smooth=1.0, window=16, caution=3.0):
+    """doc_id: kept, by plain counting. Buckets and halves are the operator's own; all else is done anew."""
+    import numpy as np
+
+    from corvane.llm.common import gram_hashes, mix, word_hashes
+
+    def bucket(words, k):
+        h = word_hashes([w.encode() for w in words])
+        h = mix(h) if k == 1 else gram_hashes(h, k)
+        return (h >> np.uint64(64 - bits)).tolist()
+
+    worst = {}
+    for d, quality, toxic in labels:
+        if d is not None and quality is not None:
+            worst[d] = worst.get(d, True) and quality == 1 and not toxic
+    half = {d: int(mix(np.array([d], np.int64).view(np.uint64) + np.uint64(77))[0]) >> 63 == 1 for d in worst}
+    words = [(d, WORD.findall(t or "")) for d, t in docs]
+    ratio = {}
+    for k, weight in orders.items():
+        raw, target = Counter(), Counter()
+        for d, x in words:
+            b = Counter(bucket(x, k))
+            raw += b
+            if worst.get(d) and not half[d]:
+                target += b
+        n, m = sum(raw.values()), sum(target.values())
+        ratio[k] = {b: weight * float(np.log((target[b] + smooth) / (c * (m / n) + smooth))) if m else 0.0 for b, c in raw.items()}
+    failed = {i: r[-1] for i, r in enumerate(base_quality(docs))}
+    score = []
+    for _, x in words:
+        per = [0.0] * len(x)
+        for k in orders:
+            for i, b in enumerate(bucket(x, k)) if len(x) >= k else ():
+                per[i] += ratio[k][b]
+        mean = sum(per) / max(1, len(per))
+        low = min((sum(per[i : i + window]) / window for i in range(len(per) - window + 1)), default=mean)
+        score.append(mean + low)
+    held = {}
+    for i, (d, _) in enumerate(words):
+        if d in worst and half[d] and not failed[i]:
+            held[d] = min(held.get(d, score[i]), score[i])
+    good, bad = [s for d, s in held.items() if worst[d]], [s for d, s in held.items() if not worst[d]]
+    gain = lambda t: sum(s < t - 1e-9 for s in bad) / len(bad) - caution * sum(s < t - 1e-9 for s in good) / len(good)
+    least = max(sorted(good + bad), key=lambda t: round(gain(t), 9)) if good and bad else float("-inf")
+    return [(d, not failed[i] and score[i] >= least - 1e-8) for i, (d, _) in enumerate(words)]
+
+
+def recurring_lines(docs, min_docs=5, lead=2, steady=0.2, share=0.6, fields=4):
+    """Each text without the lines of recurring templates."""
+    mask = lambda t: re.sub(r"[^\S\n]{2,}|[\t\x0b\f\r]", " ", re.sub(r"(?<!\S)[^\s0-9]*[0-9]\S*", "<*>", t))
+    texts, spans = {}, {}
+    for _, t in docs:
+        for x in mask(t).split("\n") if t is not None else ():
+            if x.strip(" "):
+                texts.setdefault(x.strip(" "), set()).add(mask(t))
+    cut = {}
+    for x in texts:
+        k = x.split(" ")
+        n = min(fields, max(0, len(k) - lead))
+        at = [lead + j * (len(k) - lead) // n for j in range(n)] + [len(k)] if n else []
+        cut[x] = ((len(k), *k[:lead]), [" ".join(k[at[j] : at[j + 1]]) for j in range(n)])
+    size, often = Counter(b for b, _ in cut.values()), Counter((b, j, f) for b, fs in cut.values() if len(fs) > 2 for j, f in enumerate(fs))
+    for x, (b, fs) in cut.items():
+        held = tuple((j, f) for j, f in enumerate(fs) if len(fs) > 2 and often[b, j, f] > 1 and often[b, j, f] >= steady * size[b])
+        if len(fs) > 2 and share * len(fs) <= len(held) < len(fs):
+            spans.setdefault((b, held), []).append(x)
+    gone = {x for x, s in texts.items() if len(s) >= min_docs}
+    for lines in spans.values():
+        if len(set().union(*(texts[x] for x in lines))) >= min_docs:
+            gone |= set(lines)
+    keep = lambda t: [y for y, x in zip(t.split("\n"), mask(t).split("\n")) if x.strip(" ") not in gone]
+    return [(d, None if t is None else "\n".join(keep(t))) for d, t in docs]

@@ -260,6 +260,21 @@ def test_quality(spark, docs, none):
     assert kept.columns == docs.columns and rows(kept, "doc_id") == rows(out.where("kept"), "doc_id")
 
 
+def test_quality_verdicts(spark):
+    """The verdict against plain counting, with orders of their own and rows without an id."""
+    from corvane.llm.quality import judge
+
+    rng = random.Random(12)
+    data = [(i if i % 9 else None, " ".join(rng.choice(["vile", "scum"] if i % 4 == 0 and rng.random() < 0.2 else [f"w{int(rng.expovariate(0.05))}"]) for _ in range(rng.randint(40, 90)))) for i in range(300)]
+    labels = [(i, int(i % 7 > 0), int(i % 4 == 0)) for i in range(0, 300, 2)] + [(None, 1, 0), (5, None, 1), (4, 1, 0)]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    for orders in ({1: 1.0}, {1: 1.0, 2: 0.25}, {2: 1.0, 3: 0.5}):
+        out = judge(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), orders=orders)
+        got = sorted((r["doc_id"] or -1, r["n_words"], r["kept"]) for r in out.collect())
+        assert got == sorted((i or -1, len(t.split()), k) for (i, t), (_, k) in zip(data, brute.verdicts(data, labels, orders)))
+        assert 0 < sum(x[2] for x in got) < 300
+
+
 def test_quality_on_held_out_labels(spark):
     from corvane.llm.quality import judge
 

@@ -3,9 +3,14 @@
 import duckdb
 import pytest
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from corvane.llm import queries
-from corvane.llm.common import table
+from corvane.llm.common import table, written
+from corvane.llm.quality import ORDERS
+from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,13 +29,73 @@ def test_stages(spark, tmp_path):
     assert out.select("doc_id").distinct().count() == docs.count()
 
 
-def test_stages_of_odd_tables(spark):
+def rows_of(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+def test_each_stage_against_brute_force(spark):
+    """Each stage on its own input: what the stages before it keep of a table with repeated ids and rows, nulls and a
+    very long text."""
+    stages = dict(corpus_pipeline.STAGES)
     docs = table(spark, SF, "documents")
-    odd = docs.limit(3).unionByName(spark.createDataFrame([(None, None, None, None, None), (5, "", "en", "s", 0), (5, "", "en", "s", 0)], docs.schema))
-    for d in (odd, docs.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
-            d = stage(spark, d, SF)
-        assert d.count() >= 0
+    first = docs.orderBy("doc_id").limit(3).collect()
+    odd = [(None, None, None, None, None), (None, first[0]["text"], "en", "s", 1), (first[1]["doc_id"], first[1]["text"], "en", "s", 1), (first[2]["doc_id"], "other words of the same id " * 30, "en", "s", 1), (9999, " ".join(f"word{i}" for i in range(60_000)), "en", "s", 1), (9998, "", "en", "s", 0)]
+    docs = docs.unionByName(spark.createDataFrame(odd, docs.schema)).cache()
+    labels = [tuple(r) for r in table(spark, SF, "labels").select("doc_id", "quality", "toxic").collect()]
+    key = lambda x: sorted(x, key=repr)
+
+    got = written(stages["quality_rules"](spark, docs, SF), "t")
+    own = rows_of(docs)
+    assert key(rows_of(got)) == key([r for r, (_, kept) in zip(own, brute.verdicts(own, labels, ORDERS)) if kept]) and got.columns == docs.columns
+
+    for given in (docs, got):
+        out = stages["line_dedup"](spark, given, SF)
+        assert key(rows_of(out)) == key(brute.recurring_lines(rows_of(given))) and out.columns == docs.columns
+        assert out.where("n_chars <> length(text)").count() == 0
+
+    lines = written(stages["line_dedup"](spark, got, SF), "t")
+    for given in (docs, lines):
+        out = stages["near_duplicates"](spark, given, SF)
+        own = rows_of(given)
+        named = [(i, t) for i, (_, t) in enumerate(own)]
+        part = {i: c for i, n, c in brute.linked(named, 5, 80) if n}
+        groups = {}
+        for i, c in part.items():
+            groups.setdefault(c, []).append(i)
+        least = lambda i: (own[i][0] is not None, own[i][0] or 0)
+        want = [min(least(i) for i in g) for g in groups.values()] + [least(i) for i in range(len(own)) if i not in part]
+        assert sorted((d is not None, d or 0) for d, _ in rows_of(out)) == sorted(want) and out.columns == docs.columns
+
+    near = written(stages["near_duplicates"](spark, lines, SF), "t")
+    items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
+    for given in (docs, near):
+        out = stages["decontamination"](spark, given, SF)
+        own = rows_of(given)
+        assert key(rows_of(out)) == key([r for r, x in zip(own, brute.contaminated(own, items, 10)) if not x[-1]]) and out.columns == docs.columns
+
+    clean = written(stages["decontamination"](spark, near, SF), "t")
+    for given in (docs, clean):
+        packed = stages["packing"](spark, given, SF).collect()
+        t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+        size = [len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in rows_of(given)]
+        assert sum(r["length"] for r in packed) == sum(size) and sum(r["piece"] == 0 for r in packed) == len(size)
+        bins = {}
+        for r in packed:
+            bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for b in bins.values():
+            at = 0
+            for offset, length in sorted(b):
+                assert offset == at
+                at += length
+            assert at <= 2048
+        assert len(bins) <= -(-sum(size) // 2048) + 1
+
+
+def test_stages_of_empty_tables(spark):
+    docs = table(spark, SF, "documents").limit(0)
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        assert out.count() == 0 and (i == 4 or out.columns == docs.columns)
 
 
 def test_line_dedup_counts_texts(spark):
