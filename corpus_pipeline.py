@@ -17,13 +17,14 @@ from corvane.llm.winnow import drop_contaminated
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or the likelihood ratio go."""
+    """Documents that fail the base rules or the likelihood ratio go. Null and empty texts have no words and fail;
+    rows that repeat a doc_id, or have none, are judged one by one; an empty table stays one."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of templates that recur in distinct texts go; n_chars follows the text. A document stays even if no line
-    does."""
+    does, as an empty text; a null text stays null. Repeated rows count as one text and lose the same lines."""
     out = drop_recurring_lines(docs).select("row.*")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -35,12 +36,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share a window of ten words with a benchmark item go."""
+    """Documents that share a window of ten words with a benchmark item go, or all the words of a shorter item. Null and
+    empty texts share nothing and stay; repeated rows go or stay together."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents that stay, packed into sequences of 2048 tokens."""
+    """The pieces of the documents that stay, packed into sequences of 2048 tokens. A null or empty text is its end
+    token; every row is packed, repeated ones too."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
