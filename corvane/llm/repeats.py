@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import join_hot, mix, written
+from corvane.llm.substrings import contexts, contexts_within
 
 _rng = np.random.default_rng(20240607)
 BYTE_HASH = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -245,14 +246,14 @@ def settle(rows: DataFrame, ordered: bool, limit: int = 200_000) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions(*NAMES).mapInArrow(run, FOUND)
 
 
-def find(docs: DataFrame, units: Units, contexts: Callable[[DataFrame], DataFrame], context_units: Units, look: Callable, w: int, grams: tuple[int, ...], ordered: bool, shard_units: int, most_contexts: int) -> DataFrame:
+def find(docs: DataFrame, units: Units, text_units: Callable, context_units: Units, unit: int, look: Callable, w: int, grams: tuple[int, ...], ordered: bool, shard_units: int, most_contexts: int) -> DataFrame:
     """(doc_id, t, a) of every run of windows of docs (doc_id, t, text) that recurs, in the sense of settle().
 
-    contexts gives representatives' windows (h, doc_id, t, a, ctx); look(rows) judges those of one shard, an Arrow
-    table. Contexts of anchors with over most_contexts of them go on to the next of the growing grams, the last of
-    which is a window, so a shard holds a few times shard_units at most.
+    text_units gives a text's units for contexts, of `unit` bytes each; look(rows) judges the contexts (h, doc_id, t, a,
+    ctx) of one shard, an Arrow table. Contexts of anchors with over most_contexts of them go on to the next of the
+    growing grams, the last of which is a window, so a shard holds a few times shard_units at most.
     """
-    rows, out = anchor_rows(docs, units, w, grams[0], ordered), None
+    rows, out, parents = anchor_rows(docs, units, w, grams[0], ordered), None, None
     for longer in (*grams[1:], None):
         found = written(settle(rows, ordered), "anchors")
         known = found.where("NOT rep").select("doc_id", "t", "a")
@@ -264,11 +265,13 @@ def find(docs: DataFrame, units: Units, contexts: Callable[[DataFrame], DataFram
         per = written(reps.groupBy("h").agg(F.count("*").alias("n"), size.alias("size")), "anchor-sizes")
         total = per.where(F.col("n") <= most_contexts).agg(F.sum("size")).first()[0] or 0
         hot = per.where(F.col("n") > most_contexts).select("h", "n")
-        ctx = written(contexts(reps), "contexts")
+        cut = contexts(docs, reps, text_units, w) if parents is None else contexts_within(parents, reps, w, unit)
+        ctx = written(cut, "contexts", compression="zstd")
         shards = max(1, -(-total // shard_units))
         few = ctx.join(hot, "h", "left_anti").withColumn("shard", F.expr(f"pmod(h, {shards}L)"))
         out = out.unionByName(few.groupBy("shard").applyInArrow(look, "doc_id long, t long, a long"))
         if not hot.take(1):
             break
-        rows = context_rows(join_hot(ctx, hot, ["h"]), context_units, w, longer, ordered)
+        parents = join_hot(ctx, hot, ["h"]).select("doc_id", "t", "a", "ctx")
+        rows = context_rows(parents, context_units, w, longer, ordered)
     return out

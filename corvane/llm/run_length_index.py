@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from corvane.llm.common import id_out, row_key
 from corvane.llm.repeats import BYTE_HASH, find, pack_place, unpack_place
-from corvane.llm.substrings import by_document, contexts, union_of
+from corvane.llm.substrings import by_document, union_of
 
 #: Bytes in a gram that anchors a window.
 GRAM = 32
@@ -144,7 +144,7 @@ def find_repeats(docs: DataFrame, w: int = 400, shard_bytes: int = 1_000_000, mo
             out += [(doc, t, pack_place(a + s, k, p)) for s, k in runs(starts)]
         return places_table(out)
 
-    return find(docs, byte_units, lambda reps: contexts(docs, reps, lambda t: t, w), context_units, look, w, (min(GRAM, w), -(-w // 2), w), False, shard_bytes, most_contexts)
+    return find(docs, byte_units, lambda t: t, context_units, 1, look, w, (min(GRAM, w), -(-w // 2), w), False, shard_bytes, most_contexts)
 
 
 def places_table(rows: list[tuple[int, int, int]]) -> pa.Table:

@@ -65,3 +65,25 @@ def contexts(docs: DataFrame, reps: DataFrame, units: Callable[[bytes], np.ndarr
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["h", "doc_id", "t", "a", "ctx"])
 
     return joined.select("doc_id", "t", "text", "reps").mapInArrow(run, "h long, doc_id long, t long, a long, ctx binary")
+
+
+def contexts_within(parents: DataFrame, reps: DataFrame, w: int, unit: int) -> DataFrame:
+    """contexts() of representatives that stand in contexts known already (doc_id, t, a, ctx), of `unit` bytes a unit."""
+    known = parents.groupBy("doc_id", "t").agg(F.collect_list(F.struct("a", "ctx")).alias("known"))
+    per = reps.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "a")).alias("reps"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts, known, reps = (b.column(x).to_pylist() for x in ("doc_id", "t", "known", "reps"))
+            out: list[tuple] = []
+            for doc, t, own, wanted in zip(ids, texts, known, reps):
+                spans = [(x["a"] >> 24, (x["a"] >> 24) + ((x["a"] >> 12) & 4095) - 1 + w, x["ctx"]) for x in own]
+                for r in wanted:
+                    s, n = r["a"] >> 24, (r["a"] >> 12) & 4095
+                    first, ctx = next((a, x) for a, e, x in spans if a <= s and s + n - 1 + w <= e)
+                    out.append((r["h"], doc, t, r["a"], ctx[(s - first) * unit : (s - first + n - 1 + w) * unit]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["h", "doc_id", "t", "a", "ctx"])
+
+    joined = per.join(known, ["doc_id", "t"]).select("doc_id", "t", "known", "reps")
+    return joined.mapInArrow(run, "h long, doc_id long, t long, a long, ctx binary")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from corvane.llm.common import id_out, row_key, text_bytes, word_hashes
 from corvane.llm.repeats import find, pack_place, unpack_place
 from corvane.llm.run_length_index import places_table, runs
-from corvane.llm.substrings import by_document, contexts, union_of
+from corvane.llm.substrings import by_document, union_of
 
 #: Words in a gram that anchors a window.
 GRAM = 5
@@ -122,7 +122,7 @@ def find_later_copies(docs: DataFrame, w: int = 13, shard_words: int = 400_000,
             out += [(doc, t, pack_place(a + s, k, p)) for s, k in runs(starts)]
         return places_table(out)
 
-    return find(docs, word_units, lambda reps: contexts(docs, reps, lambda t: word_hashes(t.split()), w), context_units, look, w, (min(GRAM, w), w), True, shard_words, most_contexts)
+    return find(docs, word_units, lambda t: word_hashes(t.split()), context_units, 8, look, w, (min(GRAM, w), w), True, shard_words, most_contexts)
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<struct<start:long,end:long>>"
