@@ -153,6 +153,23 @@ query("x14_category", "SELECT doc_id, CASE WHEN source = 'src1' THEN 'portabilit
     lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", T.category(F.concat(F.when(F.col("source") == "src1", "libiberty").otherwise(F.col("source")), F.lit("/a/b.c"))).alias("category"))
 )
 by_doc("x24_strategy", "CASE WHEN doc_id % 4 = 3 AND n_chars % 2 = 0 THEN 'combine' WHEN doc_id % 4 = 2 THEN 'equivalent' WHEN doc_id % 4 = 1 THEN 'mutate' ELSE 'new' END", lambda c, g: T.strategy(F.col("doc_id") % 4, F.when(F.col("n_chars") % 2 == 0, c)))
+@query(
+    "s2_definitions",
+    rf"""SELECT file, function_name, complexity, md5(left(code, 800)) AS snippet FROM (
+      SELECT CAST(doc_id AS VARCHAR) AS file, name AS function_name, code, CAST(len(regexp_extract_all(code, '\b(?:if|else|for|while|switch|try|catch)\b')) AS BIGINT) AS complexity FROM (
+        SELECT doc_id, 'g' || doc_id AS name, 'int *A::g' || doc_id || '(int x) const {{' || chr(10) || replace(text, ' the ', ' if ') || chr(10) || '}}' AS code FROM documents WHERE NOT regexp_matches(text, '["''#(){{}};/]')))
+    WHERE complexity >= 4""",
+)
+def structured_functions(spark, sf_dir):
+    """S2, S4 over texts without signs of structure of their own."""
+    from corvane.sources.files import functions_of
+
+    d = table(spark, sf_dir, "documents").where(~F.regexp_like("text", F.lit("[\"'#(){};/]")))
+    code = F.concat(F.lit("class A { public: int y; int *A::g"), "doc_id", F.lit("(int x) const {\n"), F.replace("text", F.lit(" the "), F.lit(" if ")), F.lit("\n} };\n"))
+    found = functions_of(d.select(F.col("doc_id").cast("string").alias("path"), code.alias("text")), "/", structured=True)
+    return found.select("file", "function_name", "complexity", F.md5("snippet").alias("snippet"))
+
+
 @query("x29_natural_order", "SELECT c_custkey, row_number() OVER (ORDER BY CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT), c_custkey) AS rank FROM customer")
 def natural_order(spark, sf_dir):
     from corvane.operators.ranking import global_rank

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.structure import definitions
 from corvane.functions.text import category, complexity
 
 #: Fixed values of the formats.
@@ -43,13 +45,41 @@ def source_files(spark: SparkSession, root: str, language: str = "cpp") -> DataF
     return t.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def functions_of(files: DataFrame, root: str, language: str = "cpp", threshold: int = 4) -> DataFrame:
-    """S2-S4 by pattern: file, function_name, complexity, pass_category, snippet of each function that is complex
-    enough or named like an optimizer's entry. The slice taken is of fixed length, the excerpt its start."""
+#: What may stand before a parameter list in HEADER, and the name at its end.
+RUN = re.compile(r"[\w:<>*&\s]+")
+LAST_WORD = re.compile(r"\w+\Z")
+OPENING = re.compile(r"\s*\{")
+
+
+def headers(text: str) -> Iterator[re.Match]:
+    """The matches of HEADER, found in one pass: it is tried only on runs that lead to a parameter list and a body."""
+    closing = [m.start() for m in re.finditer(r"\)", text)]
+    done = 0
+    for run in RUN.finditer(text):
+        s, e = run.span()
+        i = bisect_right(closing, e)
+        if e == len(text) or text[e] != "(" or i == len(closing):
+            continue
+        body = OPENING.match(text, closing[i] + 1)
+        word = LAST_WORD.search(text, s, s + len(run.group().rstrip())) if body else None
+        if word and word.start() > s and text[word.start() - 1].isspace() and (m := HEADER.search(text, max(s, done), body.end())):
+            done = m.end()
+            yield m
+
+
+def functions_of(files: DataFrame, root: str, language: str = "cpp", threshold: int = 4, structured: bool = False) -> DataFrame:
+    """file, at, function_name, complexity, pass_category, snippet of each function that is complex enough or named like
+    an optimizer's entry. S3 by a header pattern and a slice of fixed length; structured, S2 and S4: every definition
+    at any depth, to the end of its body. The snippet is the start of either."""
+
+    def found_in(text: str) -> list[tuple[int, int, str]]:
+        if structured:
+            return definitions(text, language)
+        return [(m.start(), m.start() + SLICE, m.group(1)) for m in headers(text)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(p, m.start(), m.group(1), t[m.start() : m.start() + SLICE]) for p, t in zip(f["path"], f["text"]) for m in HEADER.finditer(t or "")]
+            rows = [(p, s, name, t[s:e]) for p, t in zip(f["path"], f["text"]) if t for s, e, name in found_in(t)]
             yield pd.DataFrame(rows, columns=["file", "at", "function_name", "slice"])
 
     found = files.select("path", "text").mapInPandas(run, "file string, at int, function_name string, slice string")

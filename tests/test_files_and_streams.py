@@ -29,6 +29,35 @@ def test_functions(spark, tmp_path):
     assert got[0]["pass_category"].startswith("GCC core")
 
 
+def test_definitions():
+    from corvane.functions.structure import c_definitions, python_definitions
+
+    code = """#define F(x) { x }
+namespace n { struct A { A(int x) : y(x) { if (x) { y = 1; } } public: ~A() {} bool operator==(const A &o) const { return "}" == o.s; } int y; };
+static int *A::b(int (*f)(int), char c = '{') /* { */ { for (;;) { auto g = [](int z) { return z; }; } } // }
+int (*pick(int k))(int) { return 0; }
+template <class T> T A<T>::c(T t) noexcept { while (t) { } return t; }
+int x = f(1); enum E { P, Q }; int arr[] = { 1, 2 }; if (x) { } }
+int open(int q) { switch (q) {"""
+    got = c_definitions(code)
+    assert [n for _, _, n in got] == ["A", "~A", "operator==", "b", "pick", "c", "open"]
+    text = {n: code[s:e] for s, e, n in got}
+    assert text["b"].startswith("static int *A::b(") and text["b"].endswith("} }") and text["~A"] == "~A() {}" and text["open"].endswith("{")
+    py = "class K:\n  def é(self):\n    def inner(): pass\n    return 1\nasync def f(): return 2\n"
+    assert [(n, py[s:e]) for s, e, n in python_definitions(py)] == [("é", "def é(self):\n    def inner(): pass\n    return 1"), ("inner", "def inner(): pass"), ("f", "async def f(): return 2")]
+    assert python_definitions("def (") == [] and c_definitions("(" * 10_000 + "{" * 10_000) is not None
+
+
+def test_headers_equal_the_pattern():
+    import random
+
+    rng = random.Random(7)
+    parts = ["int", "f", "A::b", " ", "  ", "\n", "\n\n", "(", ")", "{", "}", "x y", ",", "*", "<T>", "() {", "(int a) {", "(a, (b)) \n{"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
+        assert [(m.span(), m.group(1)) for m in files.headers(text)] == [(m.span(), m.group(1)) for m in files.HEADER.finditer(text)], text
+
+
 def test_ledger(spark, tmp_path):
     p = tmp_path / "bugs.csv"
     p.write_text(',fixed,status,symptom,short desc,long desc,reported to,,v\nx,1,new,crash,"Title, one","line ""1""\nline 2",http://u,,\n,,,,,,,,\nTotal,1,,,,,,,\n')
