@@ -1,6 +1,7 @@
 """Line dedup by a log-template tree, with Spark expressions only.
 
-Every token of a line that holds a digit is masked at once, white space is made single spaces. The tree then has a
+Every token of a line that holds a digit is masked at once, white space is made single spaces; a line that has no other
+tokens stands as it is, as a row of numbers is no template. The tree then has a
 fixed depth: token count, the first `lead` tokens, and under such a branch the rest of the line in up to FIELDS fields,
 runs of tokens of equal number (single tokens where there are no more than FIELDS). In a branch a field is constant if
 at least `steady` of the branch's distinct lines, and two of them, have it at its place; other fields vary and become
@@ -35,8 +36,11 @@ def masked(text: Column) -> Column:
 def parsed(docs: DataFrame, lead: int) -> DataFrame:
     """doc_id, t, text to one row for each line with a token: doc_id, t, digest of the masked text, i, hash of the
     line, its branch, hashes of the fields (null beyond them)."""
-    m = docs.where("text IS NOT NULL").select("doc_id", "t", masked(F.col("text")).alias("m"))
-    lines = m.select("doc_id", "t", F.xxhash64("m").alias("digest"), F.posexplode(F.split("m", "\n")).alias("i", "line"))
+    m = docs.where("text IS NOT NULL").select("doc_id", "t", "text", masked(F.col("text")).alias("m"))
+    bare = lambda x: F.replace(F.replace(x, F.lit("<*>"), F.lit("")), F.lit(" "), F.lit("")) == ""
+    shown = F.zip_with(F.split("m", "\n"), F.split("text", "\n"), lambda x, own: F.when(bare(x), own).otherwise(x))
+    each = F.when(F.contains("m", F.lit("<*>")), shown).otherwise(F.split("m", "\n"))
+    lines = m.select("doc_id", "t", F.xxhash64("m").alias("digest"), F.posexplode(each).alias("i", "line"))
     tokens = lines.select("doc_id", "t", "digest", "i", F.trim("line").alias("line")).where("line <> ''").select("doc_id", "t", "digest", "i", F.xxhash64("line").alias("line"), F.split("line", " ").alias("k"))
     n = F.size("k")
     sized = tokens.withColumn("rest", F.greatest(n - lead, F.lit(0))).withColumn("fields", F.least("rest", F.lit(FIELDS)))

@@ -77,7 +77,8 @@ WITH m AS (
   SELECT doc_id, text, regexp_replace(regexp_replace(text, '(^|\s)[^\s]*[0-9][^\s]*', '\1<*>', 'g'), '[^\S\n]{2,}|[\t\v\f\r]', ' ', 'g') AS m FROM documents WHERE text IS NOT NULL),
 l AS (
   SELECT *, string_split(line, ' ') AS k FROM (
-    SELECT doc_id, m, unnest(range(len(string_split(m, chr(10))))) AS i, trim(unnest(string_split(m, chr(10)))) AS line FROM m)
+    SELECT doc_id, m, i, trim(CASE WHEN replace(replace(x, '<*>', ''), ' ', '') = '' THEN own ELSE x END) AS line FROM (
+      SELECT doc_id, m, unnest(range(len(string_split(m, chr(10))))) AS i, unnest(string_split(m, chr(10))) AS x, unnest(string_split(text, chr(10))) AS own FROM m))
   WHERE line <> ''),
 x AS (SELECT line, any_value(k) AS k, count(DISTINCT m) AS texts FROM l GROUP BY line),
 s AS (SELECT *, len(k) || ' ' || array_to_string(list_slice(k, 1, 2), ' ') AS branch, len(k) - 2 AS rest, least(len(k) - 2, 4) AS fields FROM x),

@@ -174,11 +174,12 @@ def verdicts(docs, labels, orders, bits=18, smooth=1.0, window=16, caution=3.0):
 def recurring_lines(docs, min_docs=5, lead=2, steady=0.2, share=0.6, fields=4):
     """Each text without the lines of recurring templates."""
     mask = lambda t: re.sub(r"[^\S\n]{2,}|[\t\x0b\f\r]", " ", re.sub(r"(?<!\S)[^\s0-9]*[0-9]\S*", "<*>", t))
+    shown = lambda t: [(y if not x.replace("<*>", "").replace(" ", "") else x).strip(" ") for y, x in zip(t.split("\n"), mask(t).split("\n"))]
     texts, spans = {}, {}
     for _, t in docs:
-        for x in mask(t).split("\n") if t is not None else ():
-            if x.strip(" "):
-                texts.setdefault(x.strip(" "), set()).add(mask(t))
+        for x in shown(t) if t is not None else ():
+            if x:
+                texts.setdefault(x, set()).add(mask(t))
     cut = {}
     for x in texts:
         k = x.split(" ")
@@ -194,5 +195,5 @@ def recurring_lines(docs, min_docs=5, lead=2, steady=0.2, share=0.6, fields=4):
     for lines in spans.values():
         if len(set().union(*(texts[x] for x in lines))) >= min_docs:
             gone |= set(lines)
-    keep = lambda t: [y for y, x in zip(t.split("\n"), mask(t).split("\n")) if x.strip(" ") not in gone]
+    keep = lambda t: [y for y, x in zip(t.split("\n"), shown(t)) if x not in gone]
     return [(d, None if t is None else "\n".join(keep(t))) for d, t in docs]

@@ -540,3 +540,58 @@ def test_winnowing_keeps_rows_apart(spark):
     d = spark.createDataFrame([(None, "a b"), (None, "w1x0 w1x1"), (7, " ".join(f"w2x{j}" for j in range(12))), (7, "c")], "doc_id long, text string")
     one, many = (rows(digest(decontaminate(d, items, block_bytes=n)), F.coalesce("doc_id", F.lit(0)), "n_words", "n_hit", "contaminated") for n in (10**6, 50))
     assert one == many == [(0, 2, 0, False), (0, 2, 0, False), (7, 1, 0, False), (7, 12, 12, True)]
+
+
+def long_text(n=20_000, seed=1):
+    rng = random.Random(seed)
+    return "".join(f"w{rng.randrange(30_000)}" + ("\n" if i % 50 == 49 else " ") for i in range(n))
+
+
+LONG = [(1, long_text()), (2, long_text(seed=2) + " tail"), (3, long_text().replace("w7 ", "q ")), (4, "x" * 500_000), (5, None), (6, long_text(200, 3)), (6, long_text(200, 3))]
+
+
+@pytest.fixture(scope="module")
+def longs(spark):
+    return spark.createDataFrame(LONG, "doc_id long, text string").repartition(2).cache()
+
+
+def test_very_long_texts_link(longs):
+    from corvane.llm.ngram_join import link_documents
+
+    named = [(i, t) for i, (_, t) in enumerate(LONG)]
+    part = {i: c for i, _, c in brute.linked(named, 4, 85)}
+    want = sorted((d, min(LONG[j][0] for j in part if part[j] == part[i])) for i, (d, _) in enumerate(LONG))
+    assert rows(link_documents(longs, 4, 85), "doc_id", "component_id") == want
+
+
+def test_very_long_texts_of_other_operators(spark, longs):
+    from corvane.llm.chat import format_chats, read_chats
+    from corvane.llm.line_templates import drop_recurring_lines
+    from corvane.llm.quality import judge
+    from corvane.llm.winnow import decontaminate, digest
+
+    items = [(1, " ".join(LONG[0][1].split()[10_000:10_015])), (2, "x" * 500_000)]
+    out = digest(decontaminate(longs, spark.createDataFrame(items, "item_id long, text string")))
+    assert rows(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(brute.contaminated(LONG, items, 10))
+    out = judge(longs, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert rows(out, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == sorted(brute.base_quality(LONG))
+    turns = longs.where("doc_id < 5").select(F.lit(1).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("assistant").alias("role"), "text")
+    assert read_chats(format_chats(turns)).first()["loss"] == "".join(t or "" for d, t in LONG if d < 5)
+    many = [(i, f"{t}\nrights reserved by all") for i, (_, t) in enumerate(LONG) if t]
+    got = sorted((r["row"]["doc_id"], r["row"]["text"]) for r in drop_recurring_lines(spark.createDataFrame(many, "doc_id long, text string"), min_docs=4).collect())
+    assert got == sorted(brute.recurring_lines(many, min_docs=4)) and got[0] == (0, LONG[0][1])
+
+
+def test_line_tree_against_brute_force(spark):
+    """Random lines of few words, so that branches fill, at several shares."""
+    from corvane.llm.line_templates import drop_recurring_lines
+
+    rng = random.Random(14)
+    word = lambda: rng.choice(["a", "b", "to", "7", "x9", "in", *NAMES])
+    line = lambda: "".join(word() + rng.choice([" ", " ", "  ", "\t"]) for _ in range(rng.randint(0, 9)))
+    data = [(rng.choice([None, *range(40)]), None if i == 0 else "\n".join(rng.choice([line, lambda: f"seen by {rng.choice(NAMES)} in {rng.choice(NAMES)} at noon", lambda: "all rights"])() for _ in range(rng.randint(1, 6)))) for i in range(150)]
+    data += data[:20]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    for how in ({}, {"lead": 1, "steady": 0.1, "share": 0.5}, {"min_docs": 3, "lead": 3}):
+        got = [(r["row"]["doc_id"], r["row"]["text"]) for r in drop_recurring_lines(d, **how).collect()]
+        assert sorted(got, key=repr) == sorted(brute.recurring_lines(data, **how), key=repr)
