@@ -448,7 +448,8 @@ def s9(spark, sf_dir):
 
 @query("s10_k6_specs", r"SELECT doc_id, generate_subscripts(p, 1) - 1 AS spec_idx, md5(unnest(p)) AS spec FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM documents)")
 def s10(spark, sf_dir):
-    return files.specs(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "\n").select("doc_id", F.col("spec_idx").cast("long").alias("spec_idx"), F.md5("spec").alias("spec"))
+    joined = table(spark, sf_dir, "documents").select("doc_id", files.join_specs(F.split("text", "\n"), "-----").alias("text"))
+    return files.specs(joined, "text", "-----").select("doc_id", F.col("spec_idx").cast("long").alias("spec_idx"), F.md5("spec").alias("spec"))
 
 
 @query("s12_coverage", "SELECT l_orderkey, l_linenumber AS line, l_quantity < 25 AS hit FROM lineitem WHERE l_returnflag <> 'A'")

@@ -52,6 +52,14 @@ by_doc("x8_close_braces", rf"md5(CASE WHEN {DEPTH} > 0 THEN regexp_replace(code,
 NONBLANK = r"array_to_string(list_filter(string_split({0}, chr(10)), lambda x: regexp_matches(x, '\S')), chr(10))"
 by_doc("x9_drop_blank_lines", f"md5({NONBLANK.format('code')})", lambda c, g: F.md5(T.drop_blank_lines(c)))
 by_doc("x9_clean_code", f"md5({NONBLANK.format(STRIP_SQL)})", lambda c, g: F.md5(T.clean_code(c, g)))
+#: A scaffold of two lines that some texts hold.
+ECHO_LINES = ["And ornd.", "Les."]
+ECHO_SQL = "'" + ECHO_LINES[0] + "' || chr(10) || '" + ECHO_LINES[1] + "'"
+TRIMMED = r"regexp_replace(x, '^\s+|\s+$', '', 'g')"
+SCAFFOLD_SQL = f"""md5(array_to_string(list_filter(string_split({STRIP_SQL.replace('code', 'c2')}, chr(10)), lambda x: regexp_matches(x, '\S') AND NOT CASE WHEN language = 'cpp' THEN {TRIMMED} IN ('{ECHO_LINES[0]}', '{ECHO_LINES[1]}') ELSE {TRIMMED} = {ECHO_SQL} END), chr(10)))"""
+query("x9_clean_code_scaffold", f"SELECT doc_id, {SCAFFOLD_SQL} AS out FROM (SELECT *, CASE WHEN language = 'go' THEN replace(code, {ECHO_SQL}, '') ELSE code END AS c2 FROM {SRC})")(
+    lambda spark, sf_dir: code(spark, sf_dir).select("doc_id", F.md5(T.clean_code(F.col("code"), F.col("language"), "\n".join(ECHO_LINES))).alias("out"))
+)
 SMT_CLEAN = f"array_to_string(list_filter(string_split({SMT_SQL}, chr(10)), lambda x: NOT starts_with(x, '(set-option :') AND NOT starts_with(x, '(get-proof)')), chr(10))"
 by_doc("x6_clean_smt", f"md5({SMT_CLEAN})", lambda c, g: F.md5(T.clean(c, F.lit("smt2"))))
 STOPS = ["```", " } ", "***"]
@@ -88,8 +96,9 @@ by_doc(
     rf"""md5(CASE WHEN {STRIPPED} = '' THEN source
       WHEN language = 'cpp' THEN {HEAD} || CASE WHEN regexp_matches({STRIPPED}, '\bmain\s*\(') THEN {STRIPPED} ELSE 'int main(void) {{' || chr(10) || {STRIPPED} || chr(10) || 'return 0;' || chr(10) || '}}' || chr(10) END
       WHEN language = 'go' THEN {HEAD} || CASE WHEN starts_with({STRIPPED}, 'package ') THEN {STRIPPED} ELSE 'package main' || chr(10) || chr(10) || 'func main() {{' || chr(10) || {STRIPPED} || chr(10) || '}}' || chr(10) END
+      WHEN language = 'other' THEN {HEAD} || CASE WHEN contains({STRIPPED}, 'class ') AND contains({STRIPPED}, 'main') THEN {STRIPPED} ELSE 'public class SolverGenerated {{' || chr(10) || '  public static void main(String[] args) {{' || chr(10) || '    ' || {STRIPPED} || chr(10) || '  }}' || chr(10) || '}}' || chr(10) END
       ELSE {HEAD} || source || chr(10) || {STRIPPED} END)""",
-    lambda c, g: F.md5(T.splice(F.col("source"), c, g)),
+    lambda c, g: F.md5(T.splice(F.col("source"), c, F.when(g == "other", "java").otherwise(g))),
 )
 by_doc("x28_context_lines", "md5(array_to_string(list_slice(string_split(code, chr(10)), CAST(greatest(doc_id % 7 - 3, 0) AS INTEGER) + 1, CAST(least(doc_id % 7 + 2, len(string_split(code, chr(10)))) AS INTEGER)), chr(10)))", lambda c, g: F.md5(T.context_lines(c, F.col("doc_id") % 7, 2)))
 by_doc("x30_backend", "CASE WHEN starts_with(source, 'src1') THEN 'local:' || substr('ollama/' || source, 8) ELSE 'remote:' || source END", lambda c, g: F.concat(F.when(T.backend(F.when(F.startswith("source", F.lit("src1")), F.concat(F.lit("ollama/"), "source")).otherwise(F.col("source")))["local"], "local:").otherwise("remote:"), T.backend(F.when(F.startswith("source", F.lit("src1")), F.concat(F.lit("ollama/"), "source")).otherwise(F.col("source")))["name"]))
@@ -217,7 +226,7 @@ query("f4_contains_assert", "SELECT doc_id FROM (SELECT doc_id, replace(text, 'e
 query("f5_translatable", rf"SELECT doc_id, NOT regexp_matches(CASE WHEN strpos(code, '{{') > 0 THEN left(code, strpos(code, '{{') - 1) ELSE left(code, 400) END, '\b(?:thand|at|ore|edout)\b') AS ok FROM {SRC}")(
     lambda spark, sf_dir: code(spark, sf_dir).select("doc_id", T.translatable(F.col("code"), "thand at ore edout").alias("ok"))
 )
-query("f6_complexity_cap", f"SELECT doc_id FROM {SRC} WHERE {CONTROL} <= 20")(lambda spark, sf_dir: code(spark, sf_dir).where(T.complexity(F.col("code"), F.lit("cpp")) <= 20).select("doc_id"))
+query("f6_complexity_cap", f"SELECT doc_id FROM {SRC} WHERE {CONTROL} <= 200")(lambda spark, sf_dir: code(spark, sf_dir).where(T.complexity(F.col("code"), F.lit("cpp")) <= 200).select("doc_id"))
 query("f9_prompt_score", f"SELECT source, count(DISTINCT {NONBLANK.format('code')}) FILTER (WHERE contains(code, ' if ')) AS score FROM {SRC} GROUP BY source")(
     lambda spark, sf_dir: prompt_score(code(spark, sf_dir), "source", T.drop_blank_lines(F.col("code")), F.contains("code", F.lit(" if ")))
 )
