@@ -124,29 +124,30 @@ def _common_buckets(docs: DataFrame, k: int) -> np.ndarray:
     return np.maximum(0, np.floor(2 * np.log2(np.maximum(1e-9, n / max(1.0, n.mean() * COMMON)))) + 1).astype(np.uint8)
 
 
-SETS = "uid long, n int, d1 long, d2 long, vec binary, keys array<long>"
+SETS = "uid long, doc_id long, n int, d1 long, d2 long, vec binary, keys array<long>"
 
 
 def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of each row of docs (uid, text): set size, 128-bit digest of the set, count vector, prefix shingles."""
+    """Of each row of docs (uid, doc_id, text): set size, 128-bit digest of the set, count vector, prefix shingles."""
     common = docs.sparkSession.sparkContext.broadcast(_common_buckets(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = common.value
-        for b in (b.slice(lo, hi - lo) for b in batches for lo, hi in slices(b.column(1))):
+        for b in (b.slice(lo, hi - lo) for b in batches for lo, hi in slices(b.column(2))):
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
+            for text in text_bytes(b.column(2)):
                 s = shingles(text, k)
                 n = s.size
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 first = n - -(-percent * n // 100) + 1 if n else 0
                 rare = level[(s >> np.uint64(64 - BITS)).astype(np.int64)]
                 keys = s[:first] if not rare[:first].any() else s[np.argsort(rare, kind="stable")[:first]]
-                rows.append((doc, n, (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, count_vector(s, groups_for(n)).tobytes() if n else b"", keys.view(np.int64)))
+                rows.append((n, (d >> 64) - 2**63, (d & (2**64 - 1)) - 2**63, count_vector(s, groups_for(n)).tobytes() if n else b"", keys.view(np.int64)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], ["uid", "n", "d1", "d2", "vec", "keys"])
+                made = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], ["uid", "doc_id", "n", "d1", "d2", "vec", "keys"])
 
-    return docs.select("uid", "text").mapInArrow(run, SETS)
+    return docs.select("uid", "doc_id", "text").mapInArrow(run, SETS)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
@@ -344,7 +345,7 @@ def verified(keyed: DataFrame, own: DataFrame, cluster: DataFrame, k: int, perce
 def link_rows(keyed: DataFrame, k: int, percent: int, block_docs: int = 4000, block_shingles: int = 4_000_000, most_meeting: int = 20_000) -> DataFrame:
     """keyed: uid, doc_id (never null), text, written. uid, doc_id, n, component_id and root, a row of the component (null
     without words), of every row."""
-    sets = written(shingle_sets(keyed, k, percent), "sets").join(keyed.select("uid", "doc_id"), "uid")
+    sets = written(shingle_sets(keyed, k, percent), "sets")
     some = sets.where("n > 0")
     # Each distinct set: its node, smallest doc_id and number of rows.
     rep = written(some.groupBy("d1", "d2").agg(F.min("uid").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
