@@ -595,3 +595,14 @@ def test_line_tree_against_brute_force(spark):
     for how in ({}, {"lead": 1, "steady": 0.1, "share": 0.5}, {"min_docs": 3, "lead": 3}):
         got = [(r["row"]["doc_id"], r["row"]["text"]) for r in drop_recurring_lines(d, **how).collect()]
         assert sorted(got, key=repr) == sorted(brute.recurring_lines(data, **how), key=repr)
+
+
+def test_hot_keys_join_as_others_do(spark):
+    from corvane.llm.common import join_hot
+
+    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 700).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("k <> 5")
+    want = rows(left.join(right, "k"), "k", "id", "n", "least")
+    for most in (1, 3, 1000, 10**6):
+        assert rows(join_hot(left, right, ["k"], most=most), "k", "id", "n", "least") == want
+    assert join_hot(left, right.limit(0), ["k"]).count() == join_hot(left.limit(0), right, ["k"]).count() == 0
