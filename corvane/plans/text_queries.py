@@ -56,7 +56,7 @@ by_doc("x9_clean_code", f"md5({NONBLANK.format(STRIP_SQL)})", lambda c, g: F.md5
 ECHO_LINES = ["And ornd.", "Les."]
 ECHO_SQL = "'" + ECHO_LINES[0] + "' || chr(10) || '" + ECHO_LINES[1] + "'"
 TRIMMED = r"regexp_replace(x, '^\s+|\s+$', '', 'g')"
-SCAFFOLD_SQL = f"""md5(array_to_string(list_filter(string_split({STRIP_SQL.replace('code', 'c2')}, chr(10)), lambda x: regexp_matches(x, '\S') AND NOT CASE WHEN language = 'cpp' THEN {TRIMMED} IN ('{ECHO_LINES[0]}', '{ECHO_LINES[1]}') ELSE {TRIMMED} = {ECHO_SQL} END), chr(10)))"""
+SCAFFOLD_SQL = rf"""md5(array_to_string(list_filter(string_split({STRIP_SQL.replace('code', 'c2')}, chr(10)), lambda x: regexp_matches(x, '\S') AND NOT CASE WHEN language = 'cpp' THEN {TRIMMED} IN ('{ECHO_LINES[0]}', '{ECHO_LINES[1]}') ELSE {TRIMMED} = {ECHO_SQL} END), chr(10)))"""
 query("x9_clean_code_scaffold", f"SELECT doc_id, {SCAFFOLD_SQL} AS out FROM (SELECT *, CASE WHEN language = 'go' THEN replace(code, {ECHO_SQL}, '') ELSE code END AS c2 FROM {SRC})")(
     lambda spark, sf_dir: code(spark, sf_dir).select("doc_id", F.md5(T.clean_code(F.col("code"), F.col("language"), "\n".join(ECHO_LINES))).alias("out"))
 )
