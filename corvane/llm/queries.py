@@ -149,3 +149,36 @@ def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corvane.llm.pii import digest, find_personal_data
 
     return digest(find_personal_data(table(spark, sf_dir, "documents")))
+
+
+@query
+def op11_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.secrets import digest, find_secrets
+
+    return digest(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+#: The rules of corvane/llm/secrets.py as RE2 has them: kind, pattern, group, least length.
+SECRETS = [
+    ("assign", """([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("private", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("google", "AIza[A-Za-z0-9_-]{35}", 0, 1),
+    ("stripe", "[rs]k_live_[A-Za-z0-9]{16,}", 0, 1),
+    ("jwt", "eyJ[A-Za-z0-9_-]{8,1000}\\.eyJ[A-Za-z0-9_-]{8,1000}\\.[A-Za-z0-9_-]+", 0, 1),
+    ("url", "://[A-Za-z0-9._%+-]{1,64}:[A-Za-z0-9._%+!*-]{3,64}@[A-Za-z0-9]", 0, 1),
+    ("bearer", "[bB][eE][aA][rR][eE][rR]\\x20{1,8}[A-Za-z0-9._~+/-]{20,}", 0, 1),
+]
+_found = " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS kind, {i} AS k, {least} AS least, regexp_extract_all(x, '{p}') AS m, regexp_extract_all(x, '{p}', {group}) AS inn, string_split_regex(x, '{p}') AS gap FROM t" for i, (kind, p, group, least) in enumerate(SECRETS))
+ORACLES["op11_trigram_secrets"] = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+f AS (SELECT doc_id, kind, k, least, unnest(m) AS m, unnest(inn) AS inn, unnest(gap[1:len(m)]) AS gap, unnest(range(len(m))) AS i FROM ({_found}) WHERE len(m) > 0),
+p AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, k ORDER BY i) AS e FROM f),
+s AS (SELECT doc_id, kind, k, e - length(m) AS b, kind || ':' || CAST(e - length(m) AS BIGINT) || ':' || CAST(e AS BIGINT) AS s FROM p WHERE length(inn) >= least)
+SELECT d.doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex,
+       sha256(coalesce(string_agg(s, ',' ORDER BY b, k) FILTER (WHERE k < 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY b, k), '') AS spans
+FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+"""

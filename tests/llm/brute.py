@@ -197,3 +197,18 @@ def recurring_lines(docs, min_docs=5, lead=2, steady=0.2, share=0.6, fields=4):
             gone |= set(lines)
     keep = lambda t: [y for y, x in zip(t.split("\n"), shown(t)) if x not in gone]
     return [(d, None if t is None else "\n".join(keep(t))) for d, t in docs]
+
+
+def secrets(docs, rules):
+    """(doc_id, counts of the first three kinds, hash of their spans, all spans)."""
+    out = []
+    for d, t in docs:
+        spans = []
+        for k, r in enumerate(rules):
+            for m in re.finditer(r.regex, t or "", re.ASCII):
+                if len(m[r.group]) >= r.least:
+                    spans.append((m.start(), k, m.end()))
+        spans.sort()
+        text = lambda xs: ",".join(f"{rules[k].kind}:{a}:{b}" for a, k, b in xs)
+        out.append((d, *(sum(k == i for _, k, _ in spans) for i in range(3)), sha(text([s for s in spans if s[1] < 3])), text(spans)))
+    return out
