@@ -182,3 +182,42 @@ SELECT d.doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHE
        sha256(coalesce(string_agg(s, ',' ORDER BY b, k) FILTER (WHERE k < 3), '')) AS base_sha256, coalesce(string_agg(s, ',' ORDER BY b, k), '') AS spans
 FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
 """
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.prefix_trie import branched, prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"), branched)
+
+
+ORACLES["op12_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+             lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda b, y: xor(b >> 1, (b & 1) * 3988292384))), 4294967295) % 4 AS h
+  FROM t GROUP BY conv_id),
+m AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS m FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (
+  SELECT m.conv_id, t.i AS p, role, text FROM m JOIN t ON t.conv_id = m.base AND t.i < m.m
+  UNION ALL SELECT m.conv_id, t.i - m.h + m.m, role, text FROM m JOIN t ON t.conv_id = m.conv_id AND t.i >= m.h),
+pre AS (
+  SELECT conv_id, p + 1 AS depth, text, count(*) OVER (PARTITION BY conv_id) AS len,
+         md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY p)) AS k FROM r
+  UNION ALL SELECT c.conv_id, 0, '', (SELECT count(*) FROM r WHERE r.conv_id = c.conv_id), '' FROM c),
+v AS (
+  SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS own,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = len), '')) AS ends_sha256
+  FROM pre GROUP BY depth, k),
+e AS (SELECT DISTINCT b.depth, b.k, a.k AS up FROM pre b JOIN pre a ON a.conv_id = b.conv_id AND a.depth = b.depth - 1),
+ch AS (SELECT depth - 1 AS depth, up AS k, count(*) AS n_children FROM e GROUP BY ALL),
+w AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN ch USING (depth, k)),
+below AS (SELECT DISTINCT a.depth, a.k, b.depth AS bd, b.k AS bk FROM pre a JOIN pre b ON a.conv_id = b.conv_id AND a.depth <= b.depth),
+s AS (SELECT b.depth, b.k, count(*) FILTER (WHERE w.n_children = 0) AS n_leaves, CAST(sum(w.own) AS BIGINT) AS saved_tokens FROM below b JOIN w ON w.depth = b.bd AND w.k = b.bk GROUP BY ALL)
+SELECT w.conv_id, w.depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, w.ends_sha256
+FROM w JOIN s USING (depth, k) LEFT JOIN e USING (depth, k) LEFT JOIN v u ON u.depth = w.depth - 1 AND u.k = e.up
+"""

@@ -212,3 +212,30 @@ def secrets(docs, rules):
         text = lambda xs: ",".join(f"{rules[k].kind}:{a}:{b}" for a, k, b in xs)
         out.append((d, *(sum(k == i for _, k, _ in spans) for i in range(3)), sha(text([s for s in spans if s[1] < 3])), text(spans)))
     return out
+
+
+def trie(turns, every=20, most=4):
+    """Rows of op12 from (conv_id, turn, role, text); every = 0: conversations as they are."""
+    import zlib
+
+    own = {}
+    for c, turn, role, text in turns:
+        if c is not None:
+            own.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(x, key=lambda t: (t[0], t[1], t[2].encode(), t[3].encode()))] for c, x in own.items()}
+    if every:
+        h = {c: zlib.crc32(str(c).encode()) % most for c in own}
+        own = {c: own.get(c - c % every, [])[: h[c]] + own[c][h[c] :] for c in own}
+    members, ends = {}, {}
+    for c, x in own.items():
+        for d in range(len(x) + 1):
+            members.setdefault(tuple(x[:d]), []).append(c)
+        ends.setdefault(tuple(x), []).append(c)
+    out = []
+    for p, cs in members.items():
+        below = [q for q in members if q[: len(p)] == p]
+        inner = {q[:-1] for q in members if q}
+        out.append((min(cs), len(p), min(members[p[:-1]]) if p else None, len(cs), sum(len(q) == len(p) + 1 for q in below), sum(q not in inner for q in below),
+                    sum((len(members[q]) - 1) * len(WORD.findall(q[-1][1])) for q in below if q), sha(",".join(map(str, sorted(ends.get(p, []))))))
+                   )
+    return out
