@@ -221,3 +221,33 @@ s AS (SELECT b.depth, b.k, count(*) FILTER (WHERE w.n_children = 0) AS n_leaves,
 SELECT w.conv_id, w.depth, u.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, w.ends_sha256
 FROM w JOIN s USING (depth, k) LEFT JOIN e USING (depth, k) LEFT JOIN v u ON u.depth = w.depth - 1 AND u.k = e.up
 """
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_phrase_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(x, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS x FROM d)),
+g AS (
+  SELECT lang, 1 AS m, unnest(w) AS phrase FROM p
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM p WHERE len(w) > 1
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM p WHERE len(w) > 2),
+f AS MATERIALIZED (SELECT lang, m, phrase, CAST(count(*) AS HUGEINT) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS s FROM f WHERE m > 1 AND a >= 10),
+k AS MATERIALIZED (SELECT lang, phrase, a, i, array_to_string(s[1:i], ' ') AS head, array_to_string(s[i + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS i FROM c)),
+part AS MATERIALIZED (SELECT lang, phrase, a FROM f SEMI JOIN (SELECT lang, head AS phrase FROM k UNION SELECT lang, tail FROM k) USING (lang, phrase)),
+cut AS (
+  SELECT k.*, x.a AS l, y.a AS r, (1000000 * k.a * k.a) // (x.a * y.a) AS score FROM k
+  JOIN part x ON x.lang = k.lang AND x.phrase = k.head JOIN part y ON y.lang = k.lang AND y.phrase = k.tail),
+worst AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+inside AS (SELECT lang, a, unnest([array_to_string(s[1:2], ' '), array_to_string(s[2:3], ' ')]) AS phrase FROM c WHERE m = 3),
+gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN inside USING (lang, phrase) WHERE 100 * inside.a >= 50 * c.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n.n, CAST(score AS BIGINT) AS score
+FROM worst JOIN n USING (lang) ANTI JOIN gone USING (lang, phrase) QUALIFY rank <= 2000
+"""
