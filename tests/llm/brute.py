@@ -239,3 +239,22 @@ def trie(turns, every=20, most=4):
                     sum((len(members[q]) - 1) * len(WORD.findall(q[-1][1])) for q in below if q), sha(",".join(map(str, sorted(ends.get(p, []))))))
                    )
     return out
+
+
+def collocations(docs, least=10, top=2000, share=50):
+    """Rows of op13 from (text, lang)."""
+    f, n = Counter(), Counter()
+    for text, lang in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split("[.,;:!?\x0a-\x0d]", lower(text)):
+            w = re.findall("[^\x20\x09]+", piece)
+            n[lang] += len(w)
+            f.update((lang, tuple(w[i : i + m])) for m in (1, 2, 3) for i in range(len(w) - m + 1))
+    often = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    gone = {(lang, p[i : i + 2]) for (lang, p), a in often.items() if len(p) == 3 for i in (0, 1) if 100 * a >= share * f[lang, p[i : i + 2]]}
+    rows = {}
+    for (lang, p), a in often.items():
+        if (lang, p) not in gone:
+            score, k = min((10**6 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p)))
+            rows.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))
+    return [(lang, i, p.decode(), -a, x, y, n[lang], -s) for lang, each in rows.items() for i, (s, a, p, x, y) in enumerate(sorted(each)[:top], 1)]
