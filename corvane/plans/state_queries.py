@@ -160,18 +160,30 @@ def ok5(spark, sf_dir):
     return ranking.best(table(spark, sf_dir, "events"), "user_id", "value", "event_id", "event_id")
 
 
-@query(
-    "ok6_cosine_top",
-    """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0)
+NEAREST = """WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0)
     SELECT query_id, vec_id, round(s, 6) AS score FROM (SELECT query_id, vec_id, list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]) AS s FROM q, embeddings)
-    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 3""",
-)
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 3"""
+
+
+@query("ok6_cosine_top", NEAREST)
 def ok6(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vec")
     return ranking.nearest(q, e, 3).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
+@query("ok6_indexed_top", NEAREST)
+def ok6_indexed(spark, sf_dir):
+    """The same from an index of all vectors; queries meet its blocks in joins."""
+    from corvane.operators.vector_index import VectorIndex
+    from corvane.sources.store import scratch
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vec")
+    found = VectorIndex.build(e, scratch(spark, "vectors")).search(q, 3)
+    return found.rows.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 @query("ok9_highest_version", "SELECT p_brand, max(p_size) AS newest FROM part GROUP BY p_brand")
 def ok9(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.max("p_size").alias("newest"))

@@ -19,8 +19,14 @@ SCHEMA = "vec_id long, code string, vec array<float>, meta map<string,string>, s
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path of our own in the folder that the cluster shares, deleted when the driver ends."""
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/corvane-{name}-{uuid.uuid4().hex}"
+    """A path of our own in the folder that the cluster shares, deleted when the driver ends: in spark.checkpoint.dir, or
+    where that is unset in the warehouse, unless this is a folder of the driver's machine that executors do not see."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        place = spark.conf.get("spark.sql.warehouse.dir")
+        if place.split(":")[0] in ("file", place) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{place}/corvane-{name}-{uuid.uuid4().hex}"
 
     def drop(jvm=spark._jvm, conf=spark._jsc.hadoopConfiguration()):
         try:
@@ -33,6 +39,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in a path of our own: it is worked out once, and lost executors do not lose it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def embedded(df: DataFrame, text: str, embed: Embed) -> DataFrame:
     """`vec` by an injected function from a batch of texts to their vectors."""
 
