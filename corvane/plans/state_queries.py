@@ -306,6 +306,41 @@ def w7(spark, sf_dir):
     return history.migrate(e, "island", "fitness", "event_id", 8).select("event_id", "island", "fitness")
 
 
+ISLANDS = """
+WITH RECURSIVE r AS (SELECT event_id % 4 AS run, event_id // 4 AS seq, event_type = 'click' AND value > 80 AS ok FROM events),
+a AS (SELECT run, seq % 8 AS island, seq FROM r WHERE ok QUALIFY row_number() OVER (PARTITION BY run, seq % 8 ORDER BY seq) <= 50),
+l AS (SELECT run, max(seq) AS stop FROM r GROUP BY run),
+f AS (
+  SELECT 8 AS t, run, -1::BIGINT AS island, 0.0::DOUBLE AS fitness, 0::BIGINT AS ord, 0::BIGINT AS seq FROM l
+  UNION ALL
+  (WITH now AS (SELECT * FROM f),
+   fed AS (
+     SELECT t, run, island, fitness, ord, seq FROM now
+     UNION ALL SELECT s.t, a.run, a.island, 1.0, a.seq * 1000, a.seq FROM a JOIN (SELECT DISTINCT t, run FROM now) s ON a.run = s.run AND s.t % 8 = 0 AND a.seq // 50 = s.t // 8 - 1),
+   cut AS (SELECT *, row_number() OVER w AS rank, count(*) OVER (PARTITION BY run, island) AS n FROM fed WINDOW w AS (PARTITION BY run, island ORDER BY fitness DESC, ord) QUALIFY rank <= 50),
+   sent AS (
+     SELECT t, c.run, CASE WHEN j >= t % 8 THEN j + 1 ELSE j END AS island, 0.5 AS fitness, (t // 8) * 50000 - 500 + (t % 8) * 10 + rank AS ord, seq
+     FROM (SELECT *, ('0x' || left(md5('island:' || run || ':' || ((t // 8) * 50) || ':' || (t % 8)), 8))::BIGINT % 7 AS j FROM cut) c JOIN l USING (run)
+     WHERE island = t % 8 AND rank <= greatest(1, floor(least(n, 50) * 0.1)) AND (t // 8) * 50 <= stop)
+   SELECT t + 1, run, island, fitness, ord, seq FROM (SELECT t, run, island, fitness, ord, seq FROM cut UNION ALL SELECT * FROM sent)
+   WHERE t // 8 <= (SELECT max(stop) // 50 FROM l)
+   QUALIFY row_number() OVER (PARTITION BY run, island ORDER BY fitness DESC, ord) <= 50)),
+z AS (SELECT run, island, fitness, ord, seq FROM f WHERE t = (SELECT max(t) FROM f)
+      UNION ALL SELECT run, island, 1.0, seq * 1000, seq FROM a WHERE seq // 50 = (SELECT max(stop) // 50 FROM l))
+SELECT run, island, row_number() OVER (PARTITION BY run, island ORDER BY fitness DESC, ord) AS rank, fitness, seq FROM z WHERE island >= 0 QUALIFY rank <= 50
+"""
+
+
+@query("w7_island_fold", ISLANDS)
+def w7_fold(spark, sf_dir):
+    """Four runs with a migration before every fiftieth result, later islands seeing what earlier ones sent."""
+    from corvane.operators.islands import evolved
+
+    n = F.col("event_id")
+    r = table(spark, sf_dir, "events").select((n % 4).alias("run"), F.floor(n / 4).alias("seq"), ((F.col("event_type") == "click") & (F.col("value") > 80)).alias("ok"), F.md5(n.cast("string")).alias("code"))
+    return evolved(r, 8).select("run", "island", "rank", "fitness", "seq")
+
+
 EPOCHS = 4
 
 
@@ -324,12 +359,14 @@ def _w8_sql() -> str:
 @query("w8_record_result", _w8_sql())
 def w8(spark, sf_dir):
     """Results by islands: what is safe joins, migration comes between the runs, each island keeps its 50."""
+    from corvane.sources.store import kept
+
     e = table(spark, sf_dir, "events")
     last = e.agg(F.max("event_id")).first()[0]
     r = e.select(F.col("event_id").alias("seq"), ((F.col("event_type") == "click") & (F.col("value") > 80)).alias("ok"), F.md5(F.col("event_id").cast("string")).alias("code"), F.floor(F.col("event_id") * EPOCHS / F.lit(last + 1)).alias("epoch"))
     population = None
-    for k in range(EPOCHS):
-        population = history.record_results(r.where(F.col("epoch") == k), population, 8)
+    for k in range(EPOCHS):  # a step's islands are at most 400 rows; written, they keep each plan as small as the first
+        population = kept(history.record_results(r.where(F.col("epoch") == k), population, 8), "population")
     return population.select("island", F.col("rank").cast("long").alias("rank"), "seq", "fitness")
 
 

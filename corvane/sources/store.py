@@ -1,4 +1,4 @@
-"""The seed store: programs with their vectors as a Parquet table, one folder for each language."""
+"""The seed store: programs with their vectors as Parquet tables, in buckets by content and folders by language."""
 
 from __future__ import annotations
 
@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators.dedup import upsert
-from corvane.operators.ranking import nearest
+from corvane.operators.vector_index import VectorIndex
 
 Embed = Callable[[pd.Series], list[list[float]]]
 SCHEMA = "vec_id long, code string, vec array<float>, meta map<string,string>, seq long"
+MANIFEST = "bucket int, version string, n long, buckets int"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -59,40 +60,59 @@ def embedded(df: DataFrame, text: str, embed: Embed) -> DataFrame:
 @dataclass
 class SeedStore:
     """Opened where there is one, else created with the first seeds. Without a path or a way to get vectors it is
-    disabled: it takes nothing and gives nothing. Versions are whole tables, named in order; readers of an older one
-    are not disturbed."""
+    disabled: it takes nothing and gives nothing.
+
+    Seeds lie in buckets by the first digits of md5(code). A version is a manifest that says in which version's folder
+    each bucket lies, so adding seeds rewrites only the buckets they fall in, and readers of an older version are not
+    disturbed. `buckets` counts for a new store; an old one has its own."""
 
     spark: SparkSession
     path: str | None
     embed: Embed | None = None
+    buckets: int = 64
 
     @property
     def enabled(self) -> bool:
         return bool(self.path)
 
-    def _fs(self):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+    def _exists(self, path: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def versions(self) -> list[str]:
-        if not self.enabled:
-            return []
-        fs, p = self._fs()
-        if not fs.exists(p):
+        """Names of the whole versions, in order."""
+        if not self.enabled or not self._exists(f"{self.path}/manifests"):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        whole = lambda n: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
-        return sorted(n for n in names if n.startswith("v") and whole(n))
-
-    def seeds(self, language: str | None = None) -> DataFrame:
-        """All seeds, or those of a language, whose folder alone is read then."""
-        found = self.versions()
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifests")
+        names = [s.getPath().getName() for s in p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p)]
+        return sorted(n for n in names if n.startswith("v") and self._exists(f"{self.path}/manifests/{n}/_SUCCESS"))
+
+    def manifest(self, version: str | None = None) -> dict[int, tuple[str, int]]:
+        """Of each bucket that has seeds the version whose folder holds it, and how many; that of the newest version
+        unless another one is named."""
+        found = [version] if version else self.versions()[-1:]
         if not found:
-            return self.spark.createDataFrame([], SCHEMA + ", language string")
-        t = self.spark.read.parquet(f"{self.path}/{found[-1]}")
+            return {}
+        rows = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifests/{found[0]}").collect()  # a row a bucket
+        self.buckets = rows[0]["buckets"] if rows else self.buckets
+        return {r["bucket"]: (r["version"], r["n"]) for r in rows}
+
+    def _read(self, parts: dict[int, tuple[str, int]]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], f"{SCHEMA}, language string")
+        folders = [f"{self.path}/data/version={v}/bucket={b}" for b, (v, _) in sorted(parts.items())]
+        t = self.spark.read.schema(f"{SCHEMA}, version string, bucket int, language string").option("basePath", f"{self.path}/data").parquet(*folders)
+        return t.drop("version", "bucket")
+
+    def seeds(self, language: str | None = None, version: str | None = None) -> DataFrame:
+        """All seeds, or those of a language, whose folders alone are read then."""
+        t = self._read(self.manifest(version))
         return t.where(F.col("language") == language) if language else t
 
+    def count(self) -> int:
+        """A3, from the manifest."""
+        return sum(n for _, n in self.manifest().values())
+
     def add(self, new: DataFrame) -> int:
         """K7: new seeds (code, meta, seq, language, and vec unless the store embeds) over the old, the last write of a
         program winning. The number of seeds then."""
@@ -101,14 +121,27 @@ class SeedStore:
         if "vec" not in new.columns:
             new = embedded(new, "code", self.embed)
         cols = ["code", "vec", "meta", "seq", "language"]
-        both = new.select(cols)
-        found = self.versions()
-        if found:
-            both = self.seeds().select(cols).unionByName(both)
-        out = upsert(both, "code", ["seq"]).withColumn("vec_id", F.xxhash64("code")).select("vec_id", "code", "vec", "meta", "seq", "language")
+        old, found = self.manifest(), self.versions()
+        own = F.pmod(F.conv(F.substring(F.md5("code"), 1, 6), 16, 10).cast("long"), F.lit(self.buckets)).cast("int")
+        new = kept(new.select(*cols, own.alias("bucket")), "new-seeds")
+        touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}
+        if not touched:
+            return self.count()
+        both = new.select(cols).unionByName(self._read({b: p for b, p in old.items() if b in touched}).select(cols))
+        out = upsert(both, "code", ["seq"]).withColumn("vec_id", F.xxhash64("code")).select("vec_id", "code", "vec", "meta", "seq", "language", own.alias("bucket"))
         name = f"v{len(found):06d}-{uuid.uuid4().hex[:8]}"
-        out.write.partitionBy("language").parquet(f"{self.path}/{name}")
-        return self.seeds().count()
+        out.repartition("bucket").write.partitionBy("bucket", "language").parquet(f"{self.path}/data/version={name}")
+        n = self.spark.read.schema(f"{SCHEMA}, bucket int, language string").parquet(f"{self.path}/data/version={name}").groupBy("bucket").count().collect()
+        rows = {b: p for b, p in old.items() if b not in touched} | {r["bucket"]: (name, r["count"]) for r in n}
+        self.spark.createDataFrame([(b, v, c, self.buckets) for b, (v, c) in rows.items()], MANIFEST).coalesce(1).write.parquet(f"{self.path}/manifests/{name}")
+        return sum(c for _, c in rows.values())
+
+    def index(self, language: str | None = None) -> VectorIndex:
+        """The vector index of the newest version, made when it is first asked for."""
+        path = f"{self.path}/index/{self.versions()[-1]}/{'of-' + language if language else 'all'}"
+        if self._exists(f"{path}/cells/_SUCCESS"):
+            return VectorIndex(self.spark, path)
+        return VectorIndex.build(self.seeds(language).select("vec_id", "vec"), path)
 
     def similar(self, queries: DataFrame, n: int = 3, language: str | None = None) -> DataFrame:
         """O-K6 over the store: query_id, code, score, rank of the n seeds nearest to each query (query_id, and vec, or
@@ -117,5 +150,5 @@ class SeedStore:
             queries = embedded(queries, "text", self.embed)
         if not self.versions() or "vec" not in queries.columns:
             return self.spark.createDataFrame([], "query_id long, code string, score double, rank int")
-        own = self.seeds(language)
-        return nearest(queries, own.select("vec_id", "vec"), n).join(own.select("vec_id", "code"), "vec_id").select("query_id", "code", "score", "rank")
+        found = self.index(language).search(queries, n).rows
+        return found.join(self.seeds(language).select("vec_id", "code"), "vec_id").select("query_id", "code", "score", "rank")

@@ -172,6 +172,27 @@ def test_seed_store(spark, tmp_path):
     assert [r["code"] for r in again.similar(q, 1).collect()] == ["bb"] and [r["code"] for r in again.similar(q, 5, "c").collect()] == ["a"]
 
 
+def test_adding_rewrites_touched_buckets_only(spark, tmp_path):
+    from corvane.sources.store import SeedStore
+
+    new = lambda ids, v: spark.createDataFrame([(f"code {i}", [float(i), 1.0], {"v": v}, i + 1000 * int(v), "go" if i % 3 else "c") for i in ids], "code string, vec array<float>, meta map<string,string>, seq long, language string")
+    store = SeedStore(spark, str(tmp_path / "s"), buckets=32)
+    assert store.add(new(range(400), "1")) == 400 == store.count()
+    first, before = store.versions()[-1], store.manifest()
+    files_of = lambda v: {str(p) for p in (tmp_path / "s" / "data" / f"version={v}").rglob("*.parquet")}
+    held = files_of(first)
+    again = SeedStore(spark, str(tmp_path / "s"))  # the buckets are the store's own
+    assert again.add(new([7, 500, 501, 502], "2")) == 403
+    after = again.manifest()
+    moved = {b for b in after if after[b] != before.get(b)}
+    assert 1 <= len(moved) <= 4 and all(after[b] == before[b] for b in set(after) - moved) and files_of(first) == held
+    read = {p.split("/data/")[1].split("/part-")[0] for p in again.seeds().inputFiles()}
+    assert {x.split("/")[1] for x in read if first not in x} == {f"bucket={b}" for b in moved}
+    assert again.seeds().count() == 403 and {r["code"]: r["meta"]["v"] for r in again.seeds().collect()}["code 7"] == "2"
+    assert again.seeds(version=first).where("meta['v'] = '2'").count() == 0 and again.add(new([], "3")) == 403
+    assert again.seeds("c").select("language").distinct().collect()[0][0] == "c"
+
+
 def test_cleared_streaks_stream(spark, tmp_path):
     rows = [(1, i, False, f"s{i}", i == 3) for i in range(6)]
     d = spark.createDataFrame(rows, "branch long, seq long, hit boolean, source string, cleared boolean")
