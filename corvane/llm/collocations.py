@@ -28,7 +28,7 @@ from corvane.llm.perfect_hash import SlotTable
 
 #: Separators of pieces become a stop, which is one and so is never in a word; A-Z is lower-cased.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
-CHUNK = 1 << 21  # words of a chunk, about
+CHUNK = 1 << 20  # words of a chunk, about
 SHARD = 1 << 20  # words of the corpus for a shard
 SKETCH = 1 << 24  # buckets of a sketch
 BITMAP = 1 << 27  # bits of the bitmap of frequent phrases
@@ -47,6 +47,22 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], [f for f, _ in fields])
 
 
+def _each(batches, n: int):
+    """Rows of n columns, one at a time, as they may be large."""
+    for b in batches:
+        for j in range(b.num_rows):
+            yield tuple(b.column(i)[j].as_py() for i in range(n))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """32-bit numbers as planes of bytes, of which the upper ones compress to little."""
+    return x.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
 def tokenised(docs: DataFrame, lang: str, text: str, chunk: int) -> DataFrame:
     """(chunk, lang, words, codes, n): the words a line each, and the codes of all, their places in it. Code 0 is the stop
     that ends a piece."""
@@ -60,7 +76,7 @@ def tokenised(docs: DataFrame, lang: str, text: str, chunk: int) -> DataFrame:
             out = []
             for lang, (codes_of, codes) in held.items():
                 c = np.concatenate(codes)
-                out.append(((task << 24) + made, lang, b"\n".join(codes_of), c.tobytes(), int((c > 0).sum())))
+                out.append(((task << 24) + made, lang, b"\n".join(codes_of), _packed(c), int((c > 0).sum())))
                 made += 1
             held.clear()
             return out
@@ -136,9 +152,8 @@ def _places(codes: np.ndarray, hashes: np.ndarray, lang: str, m: int, parts: _Bi
 
 
 def _rows(batches):
-    for b in batches:
-        for chunk, lang, words, codes in zip(*(b.column(i).to_pylist() for i in range(4))):
-            yield chunk, lang, _hashes(words), np.frombuffer(codes, np.int32)
+    for chunk, lang, words, codes in _each(batches, 4):
+        yield chunk, lang, _hashes(words), _unpacked(codes)
 
 
 def _each_key(hashes: np.ndarray, codes: np.ndarray, lang: str, m: int, at: np.ndarray):
@@ -150,15 +165,14 @@ def _tree(parts: DataFrame, leaves: int, add) -> DataFrame:
 
     def run(batches):
         now, held = None, None
-        for b in batches:
-            for s, p, blob in zip(*(b.column(i).to_pylist() for i in range(3))):
-                x = np.frombuffer(blob, np.uint8)
-                if (s, p) != now:
-                    if now:
-                        yield _batch([(*now, held.tobytes())], "slice long, part long, blob binary")
-                    now, held = (s, p), x.copy()
-                else:
-                    held = add(held, x)
+        for s, p, blob in _each(batches, 3):
+            x = np.frombuffer(blob, np.uint8)
+            if (s, p) != now:
+                if now:
+                    yield _batch([(*now, held.tobytes())], "slice long, part long, blob binary")
+                now, held = (s, p), x.copy()
+            else:
+                held = add(held, x)
         if now:
             yield _batch([(*now, held.tobytes())], "slice long, part long, blob binary")
 
@@ -186,8 +200,8 @@ def sketched(tokens: DataFrame, tasks: int, m: int, least: int, parts, buckets:
     total = _tree(tokens.mapInArrow(run, "slice long, part long, blob binary"), tasks, add)
 
     def bits(batches):
-        for b in batches:
-            yield _batch([(s, 0, np.packbits(np.frombuffer(x, np.uint8) >= least, bitorder="little").tobytes()) for s, _, x in zip(*(b.column(i).to_pylist() for i in range(3)))], "slice long, part long, blob binary")
+        for s, _, x in _each(batches, 3):
+            yield _batch([(s, 0, np.packbits(np.frombuffer(x, np.uint8) >= least, bitorder="little").tobytes())], "slice long, part long, blob binary")
 
     return _gathered(total.mapInArrow(bits, "slice long, part long, blob binary"), buckets)
 
@@ -218,9 +232,9 @@ def counted(tokens: DataFrame, m: int, shards: int, parts, sketch) -> DataFrame:
             shard = (a % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
-            fields = [a[order], b[order], n[order].astype(np.int32), at[first][order].astype(np.int32)]
+            a, b, n, at = a[order], b[order], n[order], at[first][order]
             for i, j in zip(cuts, [*cuts[1:], order.size]):
-                yield _batch([(int(shard[order[i]]), chunk, *(x[i:j].tobytes() for x in fields))], _COUNTS)
+                yield _batch([(int(shard[order[i]]), chunk, a[i:j].tobytes(), b[i:j].tobytes(), _packed(n[i:j]), _packed(at[i:j]))], _COUNTS)
 
     return tokens.select("chunk", "lang", "words", "codes").mapInArrow(run, _COUNTS)
 
@@ -230,7 +244,8 @@ def frequent(counts: DataFrame, least: int) -> DataFrame:
     a place for each. The chunks of a shard come in an order of its own, so that places spread over all chunks."""
 
     def settle(shard: int, rows: list[tuple]):
-        a, b, n, at = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in ((2, np.uint64), (3, np.uint32), (4, np.int32), (5, np.int32)))
+        a, b = (np.concatenate([np.frombuffer(r[i], kind) for r in rows]) for i, kind in ((2, np.uint64), (3, np.uint32)))
+        n, at = (np.concatenate([_unpacked(r[i]) for r in rows]) for i in (4, 5))
         chunk = np.repeat([r[1] for r in rows], [len(r[5]) // 4 for r in rows])
         candidates = SlotTable(a, b)
         total = candidates.counts(candidates.slots(a, b), n)
@@ -241,13 +256,12 @@ def frequent(counts: DataFrame, least: int) -> DataFrame:
 
     def run(batches):
         now, rows = None, []
-        for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(6))):
-                if r[0] != now:
-                    if rows:
-                        yield _batch([settle(now, rows)], _INDEX)
-                    now, rows = r[0], []
-                rows.append(r)
+        for r in _each(batches, 6):
+            if r[0] != now:
+                if rows:
+                    yield _batch([settle(now, rows)], _INDEX)
+                now, rows = r[0], []
+            rows.append(r)
         if rows:
             yield _batch([settle(now, rows)], _INDEX)
 
@@ -260,17 +274,15 @@ def bitmap(index: DataFrame, bits: int):
     width = bits // SLICES
 
     def spread(batches):
-        for b in batches:
-            for a in b.column(0).to_pylist():
-                at = np.sort((np.frombuffer(a, np.uint64) % np.uint64(bits)).astype(np.int64))
-                cuts = np.searchsorted(at, np.arange(SLICES + 1) * width)
-                yield _batch([(s, 0, (at[i:j] - s * width).astype(np.uint32).tobytes()) for s, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i], "slice long, part long, blob binary")
+        for (a,) in _each(batches, 1):
+            at = np.sort((np.frombuffer(a, np.uint64) % np.uint64(bits)).astype(np.int64))
+            cuts = np.searchsorted(at, np.arange(SLICES + 1) * width)
+            yield _batch([(s, 0, (at[i:j] - s * width).astype(np.uint32).tobytes()) for s, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i], "slice long, part long, blob binary")
 
     def draw(batches):
         held = {}
-        for b in batches:
-            for s, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                held.setdefault(s, np.zeros(width, bool))[np.frombuffer(x, np.uint32)] = True
+        for s, _, x in _each(batches, 3):
+            held.setdefault(s, np.zeros(width, bool))[np.frombuffer(x, np.uint32)] = True
         yield _batch([(s, 0, np.packbits(x, bitorder="little").tobytes()) for s, x in held.items()], "slice long, part long, blob binary")
 
     kind = "slice long, part long, blob binary"
@@ -287,34 +299,33 @@ def read_out(tokens: DataFrame, indexes: dict[int, DataFrame]) -> DataFrame:
 
     def places(m: int):
         def run(batches):
-            for batch in batches:
-                for a, b, n, chunk, at in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                    chunk = np.frombuffer(chunk, np.int64)
-                    order = np.argsort(chunk, kind="stable")
-                    fields = [np.frombuffer(x, kind)[order] for x, kind in ((a, np.uint64), (b, np.uint32), (n, np.int64), (at, np.int32))]
-                    cuts = np.flatnonzero(np.diff(chunk[order], prepend=-1))
-                    yield _batch([(int(chunk[order[i]]), m, *(x[i:j].tobytes() for x in fields)) for i, j in zip(cuts, [*cuts[1:], order.size])], _PLACES)
+            for a, b, n, chunk, at in _each(batches, 5):
+                chunk = np.frombuffer(chunk, np.int64)
+                order = np.argsort(chunk, kind="stable")
+                fields = [np.frombuffer(x, kind)[order] for x, kind in ((a, np.uint64), (b, np.uint32), (n, np.int64), (at, np.int32))]
+                cuts = np.flatnonzero(np.diff(chunk[order], prepend=-1))
+                for i, j in zip(cuts, [*cuts[1:], order.size]):
+                    yield _batch([(int(chunk[order[i]]), m, *(x[i:j].tobytes() for x in fields))], _PLACES)
 
         return run
 
     signed = lambda x: x.astype(np.uint64).view(np.int64)
 
     def run(batches):
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(9))):
-                chunk, m, lang, words = row[:4]
-                if m == 0:
-                    held = lang, _hashes(words), words.split(b"\n"), np.frombuffer(row[4], np.int32)
-                    continue
-                lang, hashes, words, codes = held
-                a, b, n, at = (np.frombuffer(x, kind) for x, kind in zip(row[5:], (np.uint64, np.uint32, np.int64, np.int32)))
-                c = [codes[at + i] for i in range(m)]
-                text = [b" ".join(words[x] for x in w).decode() for w in zip(*(x.tolist() for x in c))]
-                h = [hashes[x] for x in c]
-                cuts = [x for k in range(1, m) for part in (h[:k], h[k:]) for x in _keys(lang, part)]
-                cols = [pa.array([lang] * at.size, pa.string()), pa.array(text, pa.string()), pa.array(np.full(at.size, m, np.int64)), *(pa.array(signed(x)) for x in (a, b)), pa.array(n)]
-                cols += [pa.array(signed(x)) for x in cuts] + [pa.nulls(at.size, pa.int64())] * (8 - len(cuts))
-                yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _PHRASES.split(", ")])
+        for row in _each(batches, 9):
+            chunk, m, lang, words = row[:4]
+            if m == 0:
+                held = lang, _hashes(words), words.split(b"\n"), _unpacked(row[4])
+                continue
+            lang, hashes, words, codes = held
+            a, b, n, at = (np.frombuffer(x, kind) for x, kind in zip(row[5:], (np.uint64, np.uint32, np.int64, np.int32)))
+            c = [codes[at + i] for i in range(m)]
+            text = [b" ".join(words[x] for x in w).decode() for w in zip(*(x.tolist() for x in c))]
+            h = [hashes[x] for x in c]
+            cuts = [x for k in range(1, m) for part in (h[:k], h[k:]) for x in _keys(lang, part)]
+            cols = [pa.array([lang] * at.size, pa.string()), pa.array(text, pa.string()), pa.array(np.full(at.size, m, np.int64)), *(pa.array(signed(x)) for x in (a, b)), pa.array(n)]
+            cols += [pa.array(signed(x)) for x in cuts] + [pa.nulls(at.size, pa.int64())] * (8 - len(cuts))
+            yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _PHRASES.split(", ")])
 
     none = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
     rows = tokens.select("chunk", F.lit(0).cast("long").alias("m"), "lang", "words", "codes", *none("binary", "a", "b", "n", "at"))
