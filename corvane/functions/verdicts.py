@@ -55,7 +55,7 @@ def log_message(file: Column, verdict: Column, message: Column) -> Column:
     return (
         F.when(verdict == "SAFE", F.concat(file, F.lit(" is safe")))
         .when(verdict == "FAILURE", F.concat(file, F.lit(" failed validation with error message: "), said))
-        .when(verdict == "ERROR", F.concat(file, F.lit(" has potential error!\nerror message: "), said))
+        .when(verdict == "ERROR", F.concat(file, F.lit(" has potential error!\nerror message:\n"), said))
         .when(verdict == "TIMED_OUT", F.concat(file, F.lit(" timed out")))
     )
 
@@ -63,3 +63,8 @@ def log_message(file: Column, verdict: Column, message: Column) -> Column:
 def main_log(verdict: Column) -> Column:
     """Only errors go to the main log as well."""
     return verdict == "ERROR"
+
+
+def main_log_message(file: Column) -> Column:
+    """K5: what the main log says of an error."""
+    return F.concat(file, F.lit(" has potential error!"))

@@ -74,11 +74,11 @@ def by_oracle(spark, sf_dir):
 
 @query(
     "k5_log_routing",
-    f"""SELECT event_id, v = 'ERROR' AS main_log, CASE v WHEN 'SAFE' THEN 'f is safe' WHEN 'FAILURE' THEN 'f failed validation with error message: ' || stderr
-    WHEN 'ERROR' THEN 'f has potential error!' || chr(10) || 'error message: ' || stderr ELSE 'f timed out' END AS message FROM (SELECT *, {VERDICT} AS v FROM {RUNS})""",
+    f"""SELECT event_id, v = 'ERROR' AS main_log, CASE WHEN v = 'ERROR' THEN 'f has potential error!' END AS main_message, CASE v WHEN 'SAFE' THEN 'f is safe' WHEN 'FAILURE' THEN 'f failed validation with error message: ' || stderr
+    WHEN 'ERROR' THEN 'f has potential error!' || chr(10) || 'error message:' || chr(10) || stderr ELSE 'f timed out' END AS message FROM (SELECT *, {VERDICT} AS v FROM {RUNS})""",
 )
 def log_routing(spark, sf_dir):
-    return judged(spark, sf_dir).select("event_id", V.main_log(F.col("verdict")).alias("main_log"), V.log_message(F.lit("f"), F.col("verdict"), F.col("stderr")).alias("message"))
+    return judged(spark, sf_dir).select("event_id", V.main_log(F.col("verdict")).alias("main_log"), F.when(V.main_log(F.col("verdict")), V.main_log_message(F.lit("f"))).alias("main_message"), V.log_message(F.lit("f"), F.col("verdict"), F.col("stderr")).alias("message"))
 
 
 @query("evaluate_corpus", f"SELECT language, verdict, count(*) AS n FROM (SELECT language, {VERDICT} AS verdict FROM {RUNS}) GROUP BY language, verdict")
@@ -381,6 +381,59 @@ def w8_rest(spark, sf_dir):
     return gate.crossJoin(F.broadcast(seeds))  # one row
 
 
+def in_parts(spark, df, order: str, each, n: int = 3) -> None:
+    """df written in n parts by order, one after another; after each one `each` is called with the folder's stream."""
+    from corvane.sources.store import scratch
+
+    path, last = scratch(spark, "arriving"), df.agg(F.max(order)).first()[0]
+    for k in range(n):
+        df.where(F.floor(F.col(order) * n / F.lit((last or 0) + 1)) == k).write.mode("append").parquet(path)
+        each(spark.readStream.schema(df.schema).parquet(path))
+
+
+def streamed(spark, df, order: str, make):
+    """What a stream gives that is stopped after each of three parts and goes on from its checkpoint."""
+    from corvane.sources.store import scratch
+    from corvane.streaming.twins import run_available
+
+    out, checkpoint = scratch(spark, "streamed"), scratch(spark, "stream-state")
+    in_parts(spark, df, order, lambda s: run_available(make(s), out, checkpoint))
+    return spark.read.parquet(out)
+
+
+@query("w1_stateful_gate", "SELECT user_id AS run, event_id AS seq, count(*) OVER w = 50 AND avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END) OVER w < 0.30 AS active FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)")
+def w1_stateful(spark, sf_dir):
+    """The gate as a stream with its last results in a list state, over three parts of the events."""
+    from corvane.streaming import stateful
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), (F.col("event_type") == "click").alias("ok"))
+    return streamed(spark, e, "seq", stateful.gate)
+
+
+@query("w9_stateful_carry", "SELECT user_id AS run, event_id AS seq, last_value(CASE WHEN event_type = 'click' THEN props END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM events")
+def w9_stateful(spark, sf_dir):
+    """The last kept code as a stream with a value state."""
+    from corvane.streaming import stateful
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), (F.col("event_type") == "click").alias("keep"), F.col("props").alias("code"))
+    return streamed(spark, e, "seq", stateful.carry)
+
+
+@query("w8_feedback_stream", ISLANDS)
+def w8_feedback(spark, sf_dir):
+    """Gate, islands, seeds and logs by micro-batch, over three parts of the events: the islands in the end."""
+    from corvane.sources.store import SeedStore, scratch
+    from corvane.streaming.feedback import Feedback
+
+    n = F.col("event_id")
+    verdict = F.when((F.col("event_type") == "click") & (F.col("value") > 80), "SAFE").otherwise("FAILURE")
+    e = table(spark, sf_dir, "events").select((n % 4).alias("run"), F.floor(n / 4).alias("seq"), verdict.alias("verdict"), F.md5(n.cast("string")).alias("code"), F.lit("cpp").alias("language"), F.concat(n, F.lit(".fuzz")).alias("file"), F.lit("error").alias("message"), F.array(F.col("value").cast("float"), F.lit(1.0).cast("float")).alias("vec"))
+    kept_by = Feedback(spark, scratch(spark, "feedback"), SeedStore(spark, scratch(spark, "store"), buckets=8))
+    checkpoint = scratch(spark, "stream-state")
+    in_parts(spark, e, "seq", lambda s: s.writeStream.foreachBatch(kept_by).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination())
+    return kept_by.table("islands").select("run", "island", "rank", "fitness", "seq")
+
+
 @query("s13_seed_store", "SELECT language, count(*) AS n, sum(seq) AS seqs FROM (SELECT arg_max(lang, doc_id) AS language, max(doc_id) AS seq FROM documents GROUP BY md5(text)) GROUP BY language")
 def s13(spark, sf_dir):
     """A store created with every other text and opened again to take them all."""
