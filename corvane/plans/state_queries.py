@@ -529,6 +529,24 @@ def r4(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(mutators.builtin().apply(F.col("text"), F.col("doc_id"))).alias("out"))
 
 
+@query("u1_guarded_functions", f"""SELECT doc_id, md5(CASE {GATE_SQL.format('mutator', 'doc_id')} % 4
+      WHEN 0 THEN replace(text, 'int', 'long') WHEN 1 THEN CASE WHEN length(text) % 2 = 1 THEN text ELSE text || ';' END WHEN 2 THEN CASE WHEN text LIKE '%a%' THEN text ELSE 'x' || text END ELSE replace(text, ' ', '  ') END) AS out FROM documents""")
+def u1(spark, sf_dir):
+    """Functions, of which one fails on texts of odd length and one gives a number for those with an a; and a rule."""
+
+    def odd(code):
+        if len(code) % 2:
+            raise ValueError(code)
+        return code + ";"
+
+    r = mutators.Registry()
+    r.add_function("f0", lambda code: code.replace("int", "long"), seconds=10.0)
+    r.add_function("f1", odd, seconds=10.0)
+    r.add_function("f2", lambda code: len(code) if "a" in code and code != mutators.SMOKE else "x" + code, seconds=10.0)
+    r.add_rule("f3", " ", "  ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(r.apply(F.col("text"), F.col("doc_id"), 100)).alias("out"))
+
+
 # Sources, over tables in place of files.
 @query("s5_column_fallback", "SELECT c_custkey, coalesce(nullif(CASE WHEN c_custkey % 2 = 0 THEN '' ELSE c_name END, ''), c_mktsegment) AS title, coalesce(nullif(c_name, ''), '') AS body, '' AS url FROM customer")
 def s5(spark, sf_dir):
@@ -537,10 +555,27 @@ def s5(spark, sf_dir):
     return files.bug_reports(keyed).select(F.col("symptom").cast("long").alias("c_custkey"), "title", "body", "url")
 
 
-@query("s6_open_issues", "SELECT pos, title FROM (SELECT event_id AS pos, event_type AS title FROM events WHERE user_id % 3 <> 0 ORDER BY event_id LIMIT 100)")
+@query("s6_open_issues", "SELECT event_id AS pos, event_type AS title, coalesce(props, '') AS body, 'u' || event_id AS url, '' AS symptom FROM events WHERE user_id % 3 <> 0 ORDER BY event_id LIMIT 100")
 def s6(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("event_type").alias("title"), F.lit(None).cast("string").alias("body"), F.lit("").alias("html_url"), F.lit(None).cast("array<string>").alias("labels"), F.when(F.col("user_id") % 3 == 0, "x").alias("pull_request"))
-    return files.open_issues(e, 100).select("pos", "title")
+    n = F.col("event_id")
+    e = table(spark, sf_dir, "events").select(n.alias("pos"), F.col("event_type").alias("title"), F.col("props").alias("body"), F.concat(F.lit("u"), n).alias("html_url"), F.when(F.col("user_id") % 3 == 0, "x").alias("pull_request"))
+    return files.open_issues(e, 100)
+
+
+@query("s6_paged_issues", "SELECT event_id AS number, event_type AS title, coalesce(props, '') AS body, 'u' || event_id AS url, '' AS symptom, 'closed' AS state FROM events WHERE user_id % 3 <> 0 AND event_id % 2 = 0")
+def s6_paged(spark, sf_dir):
+    """All closed issues of pages of 100, each read by its link from the one before."""
+    from corvane.sources import issues
+    from corvane.sources.store import scratch
+
+    n, page = F.col("event_id"), F.floor(F.col("event_id") / 100)
+    issue = F.struct(n.alias("number"), F.col("event_type").alias("title"), F.col("props").alias("body"), F.concat(F.lit("u"), n).alias("html_url"), F.when(n % 2 == 0, "closed").otherwise("open").alias("state"), F.when(F.col("user_id") % 3 == 0, F.struct(n.alias("number"))).alias("pull_request"))
+    pages = table(spark, sf_dir, "events").groupBy(page.alias("page")).agg(F.collect_list(issue).alias("issues"))
+    link = F.concat(F.lit('<page=0>; rel="first", <page='), F.col("page") + 1, F.lit('>; rel="next"'))
+    path = scratch(spark, "issues")
+    pages.select("page", F.to_json(F.struct(F.lit(200).alias("status"), link.alias("link"), "issues")).alias("value")).repartition("page").write.partitionBy("page").text(path)
+    issues.register(spark)
+    return spark.read.format("issues").option("path", path).load().where("state = 'closed'").select("number", "title", "body", "url", "symptom", "state")
 
 
 @query("s9_resume_offset", "SELECT coalesce(max(doc_id) + 1, 0) AS next_id FROM documents")

@@ -109,11 +109,11 @@ def bug_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def open_issues(issues: DataFrame, limit: int) -> DataFrame:
-    """S6, O-K8: issues (pos, title, body, html_url, labels, pull_request) as reports, pull requests out, the first
-    `limit` in order."""
+    """S6, O-K8: issues (pos, title, body, html_url, pull_request) as reports, pull requests out, the first
+    `limit` in order. Issues tell no symptom."""
     own = issues.where("pull_request IS NULL").orderBy("pos").limit(limit)
     blank = lambda c: F.coalesce(c, F.lit(""))
-    return own.select("pos", blank(F.col("title")).alias("title"), blank(F.col("body")).alias("body"), blank(F.col("html_url")).alias("url"), F.array_join(F.coalesce("labels", F.array().cast("array<string>")), ", ").alias("symptom"))
+    return own.select("pos", blank(F.col("title")).alias("title"), blank(F.col("body")).alias("body"), blank(F.col("html_url")).alias("url"), F.lit("").alias("symptom"))
 
 
 def specs(df: DataFrame, text: str, delimiter: str) -> DataFrame:

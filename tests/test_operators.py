@@ -140,3 +140,25 @@ def test_results_of_islands(spark):
         islands = [sorted(x, key=lambda y: (-y[0], y[1]))[:20] for x in now]
     got = {i: [(r["fitness"], r["seq"]) for r in population.where(f"island = {i}").orderBy("rank").collect()] for i in range(2)}
     assert got == dict(enumerate(islands))
+
+
+def test_guarded_functions(spark):
+    """A mutator that raises, loops, gives a number or nothing on chosen rows leaves those rows alone, and only those."""
+    from corvane.operators import mutators
+
+    def odd(code):
+        if code.startswith("raise"):
+            raise RuntimeError(code)
+        while code.startswith("loop"):
+            pass
+        return {"int": 5, "none": None, "empty": ""}.get(code, code + "!")
+
+    r = mutators.Registry()
+    assert r.add_function("m", odd, seconds=0.3) and r.names() == ["m"]
+    assert not r.add_function("bad", lambda c: 1 / 0) and not r.add_function("number", len) and not r.add_function("slow", lambda c: [1 for _ in iter(int, 1)], seconds=0.2)
+    codes = ["a", "raise x", "loop", "int", "none", "empty", "b", None]
+    df = spark.createDataFrame(list(enumerate(codes)), "id long, code string").coalesce(1)
+    got = [x["out"] for x in df.select("id", r.apply(F.col("code"), F.col("id"), 100).alias("out")).orderBy("id").collect()]
+    assert got == ["a!", "raise x", "loop", "int", "none", "empty", "b!", None]
+    # Rows that no mutator is chosen for do not reach the function.
+    assert df.select(r.apply(F.col("code"), F.col("id"), 0).alias("out")).where("out IS NULL").count() == 1
