@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,26 +24,30 @@ from pyspark.sql import functions as F
 
 from corvane.llm.common import join_hot, written
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+EVENT = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 #: Element names of HTML, fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg textarea title math canvas object xmp noembed".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th tr tbody figcaption".split()) | INLINE
 FRAME = frozenset(("html", "body"))
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "option": {"select", "datalist"}}
 #: What is no article text, by tag, role, and the words of class and id: fixed values.
-DROP_TAGS = RAW | frozenset("head nav aside footer form button select input label menu dialog option fieldset datalist audio video map".split())
+DROP_TAGS = RAW | frozenset("head nav aside footer form button select input menu dialog option fieldset datalist audio video map".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form note".split())
 DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner banners cookie cookies consent gdpr notice notices alert popup modal overlay"
     " nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer masthead topbar toolbar"
     " comment comments disqus respond replies reply share sharing social related recommended newsletter subscribe signup login widget widgets pagination pager skip".split()
 )
+SIDE, OWN = frozenset(("header", "side")), frozenset(("article", "post", "entry", "title"))
+#: Words that beside those leave a class's meaning as it is: fixed values.
+BESIDE = frozenset("site page top bottom left right box boxes wrapper wrap container block bar list area section inner outer item items link links button buttons panel unit slot zone row group holder message msg policy thread form text icon icons main js desktop mobile".split())
 
 
 class Node:
@@ -51,60 +57,129 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs, []
 
 
-def parse(page: str) -> Node:
-    """A tolerant tree: missing end tags are supplied, stray ones passed over."""
-    root = Node("#root", {})
-    stack, at, n = [root], 0, len(page)
-    open_p = 0
+#: Where an element of a page that names its article is: in none of its sections, in a section, in the article, in a
+#: paragraph or heading of the article.
+OUTSIDE, SECTION, ARTICLE, PARAGRAPH = range(4)
+
+
+class Ends:
+    """Where tags end: at the next > outside quotes. The quotes and > of a page are gone through once, from its end, so
+    that tags without an end, or with odd quotes, cost no more than others."""
+
+    def __init__(self, page: str):
+        found = list(EVENT.finditer(page))
+        self.at = [m.start() for m in found]
+        plain, double, single = -1, -1, -1  # the end, seen from outside quotes and from inside each kind
+        self.end = [-1] * (len(found) + 1)
+        for i in range(len(found) - 1, -1, -1):
+            c = found[i].group()
+            if c == ">":
+                plain = self.at[i]
+            elif c == '"':
+                plain, double = double, plain
+            else:
+                plain, single = single, plain
+            self.end[i] = plain
+
+    def after(self, start: int) -> int:
+        """The end of the tag whose name ends at start, or -1."""
+        return self.end[bisect_left(self.at, start)]
+
+
+def tokens(page: str) -> Iterator[tuple[str, str | None, str | bool]]:
+    """(text, None, False), (raw attributes, name, False) of a start tag, or ("", name, True) of an end tag. A < that
+    begins no tag is text. The place to go on from may be sent back."""
+    ends, at, n = Ends(page), 0, len(page)
+    last, cdata = page.rfind(">"), True
     while at < n:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        tag = m.group(2)
+        lt = page.find("<", at)
+        if lt != at:
+            yield page[at : lt if lt >= 0 else n], None, False
+            if lt < 0:
+                return
+        at = lt + 1
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = n if end < 0 else end + 3
+            continue
+        if cdata and page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt)
+            cdata = end >= 0
+            if cdata:
+                yield page[lt + 9 : end], None, False
+                at = end + 3
+                continue
+        m = NAME.match(page, lt) if lt < last else None
+        end = ends.after(m.end()) if m else page.find(">", lt) if lt < last and page[lt + 1 : lt + 2] in ("!", "?") else -1
+        if end < 0:
+            yield "<", None, False
+            continue
+        at = end + 1
+        if m:
+            to = yield "" if m[1] else page[m.end() : end], m[2].lower(), bool(m[1])
+            if to:
+                end = re.compile(rf"</{re.escape(to)}\s*>", re.I).search(page, at)
+                at = end.end() if end else n
+                yield "", None, False
+
+
+def parse(page: str) -> Node:
+    """A tolerant tree, in time linear in the page: missing end tags are supplied, stray ones passed over."""
+    stack = [Node("#root", {})]
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a name
+
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            places[x.tag].pop()
+        del stack[i:]
+
+    def last(names) -> int:
+        return max((places[x][-1] for x in names if places[x]), default=0)
+
+    each = tokens(page)
+    for raw, tag, ending in each:
         if tag is None:
-            text = m.group()
-            if text[0] != "<" or text == "<":
-                stack[-1].kids.append(text)
-            elif text.startswith("<![CDATA["):
-                stack[-1].kids.append(text[9:-3])
+            if raw:
+                stack[-1].kids.append(raw)
             continue
-        tag = tag.lower()
-        if m.group(1):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    open_p -= sum(x.tag == "p" for x in stack[i:])
-                    del stack[i:]
-                    break
+        if ending:
+            if places[tag]:
+                close(places[tag][-1])
             continue
-        raw = m.group(3)
         attrs = {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(raw)} if raw.strip(" /\n\t\r") else {}
-        if tag in CLOSES_P and open_p:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    open_p -= sum(x.tag == "p" for x in stack[i:])
-                    del stack[i:]
-                    break
-        if tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in FENCES[tag]:
-                    break
-                if stack[i].tag in CLOSES[tag]:
-                    open_p -= sum(x.tag == "p" for x in stack[i:])
-                    del stack[i:]
-                    break
+        if tag in CLOSES_P and places["p"]:
+            close(places["p"][-1])
+        if tag in CLOSES and last(CLOSES[tag]) > last(FENCES[tag]):
+            close(last(CLOSES[tag]))
         node = Node(tag, attrs)
         stack[-1].kids.append(node)
         if tag in VOID or raw.endswith("/") and tag in RAW:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            each.send(tag)
             continue
+        places[tag].append(len(stack))
         stack.append(node)
-        open_p += tag == "p"
-    return root
+    return stack[0]
+
+
+def _words(token: str) -> list[str]:
+    return re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+
+
+def _tells(token: str, of: frozenset[str]) -> bool:
+    """Whether a class or id says so by all its words: cookie-notice and adBox do, share-price does not."""
+    words = _words(token)
+    return any(w in of for w in words) and all(w in of or w in BESIDE for w in words)
+
 
+def _side(names: str) -> bool:
+    return any(_tells(x, SIDE) for x in names.split()) and not OWN & set(_words(names))
 
-def dropped(node: Node) -> bool:
+
+def dropped(node: Node, at: int = 0) -> bool:
+    """Whether an element goes by its tag, role or class. Paragraphs of an article, and what is inline there, do not go by
+    their class: what it names is what they tell of."""
     a = node.attrs
     if node.tag in FRAME:
         return False
@@ -114,8 +189,10 @@ def dropped(node: Node) -> bool:
         return False
     if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
-    words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{a.get('class', '')} {a.get('id', '')}").lower()))
-    return bool(words & DROP_WORDS) or bool(words & {"header", "side"} and not words & {"article", "post", "entry", "title"} and node.tag not in PLAIN)
+    if at >= ARTICLE and node.tag in PLAIN:
+        return False
+    names = f"{a.get('class', '')} {a.get('id', '')}"
+    return any(_tells(x, DROP_WORDS) for x in names.split()) or node.tag not in PLAIN and _side(names)
 
 
 #: Share of an element's characters in links from which it is a list of links.
@@ -159,22 +236,17 @@ def _names_article(x: Node) -> bool:
 
 def _named(root: Node) -> bool:
     """Whether a page names its article."""
-    todo = [root]
+    todo = [(root, OUTSIDE)]
     while todo:
-        node = todo.pop()
-        if dropped(node):
+        node, at = todo.pop()
+        if dropped(node, at):
             continue
         if _names_article(node):
             return True
-        todo += [k for k in node.kids if not isinstance(k, str)]
+        todo += [(k, _within(at, node)) for k in node.kids if not isinstance(k, str)]
     return False
 
 
-#: Where an element of a page that names its article is: in none of its sections, in a section, in the article, in a
-#: paragraph or heading of the article.
-OUTSIDE, SECTION, ARTICLE, PARAGRAPH = range(4)
-
-
 def _within(at: int, x: Node) -> int:
     """Where what is in x is."""
     if at >= ARTICLE:
@@ -205,20 +277,20 @@ def templates(page: str) -> tuple[int, set[int], set[int]]:
     root = parse(page)
     hashes = subtree_hashes(root)
     holds: set[int] = set()  # ids of elements that hold or name an article
-    path: list[tuple[Node, bool]] = [(root, False)]
-    trail: list[Node] = []
     named: list[int] = []
+    path: list[tuple[Node, Node, int, bool, bool]] = [(root, root, OUTSIDE, False, False)]
     while path:
-        x, done = path.pop()
+        x, parent, at, gone, done = path.pop()
         if done:
-            trail.pop()
+            if id(x) in holds:
+                holds.add(id(parent))
             continue
-        trail.append(x)
-        path.append((x, True))
-        if _names_article(x) and not any(dropped(y) for y in trail):
+        gone = gone or dropped(x, at)
+        path.append((x, parent, at, gone, True))
+        if _names_article(x) and not gone:
             named.append(hashes[0][id(x)])
-            holds.update(map(id, trail))
-        path += [(k, False) for k in x.kids if not isinstance(k, str)]
+            holds.add(id(x))
+        path += [(k, x, _within(at, x), gone, False) for k in x.kids if not isinstance(k, str)]
     out: tuple[set[int], set[int]] = (set(), set())
     todo = [(k, OUTSIDE, root) for k in root.kids if not isinstance(k, str)]
     while todo:
@@ -256,7 +328,7 @@ def main_text(page: str, recurring: frozenset[int] = frozenset()) -> str:
             end()
             continue
         often = hashes is not None and _counted(x, at, parent) and _key(x, at, named, hashes) in recurring
-        if often or dropped(x) or named and at == OUTSIDE and x.tag == "header":
+        if often or dropped(x, at) or named and at == OUTSIDE and x.tag == "header":
             if x.tag not in INLINE and x.tag not in RAW:
                 end()
             continue

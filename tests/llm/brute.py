@@ -258,3 +258,42 @@ def collocations(docs, least=10, top=2000, share=50):
             score, k = min((10**6 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p)))
             rows.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))
     return [(lang, i, p.decode(), -a, x, y, n[lang], -s) for lang, each in rows.items() for i, (s, a, p, x, y) in enumerate(sorted(each)[:top], 1)]
+
+
+def random_page(r, host_boxes):
+    """A well-formed page as html, and its blocks as (text, box): box names what recurs, None what is the article's own."""
+    word = lambda: r.choice(["alpha", "beta", "Gamma", "é", "1", "x-y"])
+    inline = lambda: r.choice([word(), f"<b class='social'>{word()}</b>", f"<span class=\"ad\">{word()} <i>{word()}</i></span>", f"<label>{word()}</label>", "&amp;"])
+    plain = lambda h: re.sub("<[^>]*>", "", h).replace("&amp;", "&")
+
+    def paragraph():
+        body = " ".join(inline() for _ in range(r.randint(1, 6))) + f" {r.random()}"
+        tag = r.choice(["p", "h2", "blockquote", "p class='share-price'", "p class='notice'"])
+        return f"<{tag}>{body}</{tag.split()[0]}>", [(plain(body), None)]
+
+    def junk():
+        return r.choice([f"<div class='{c}'><p>{r.random()}</p></div>" for c in ("ad", "cookie-notice", "share buttons", "adBox")] + [f"<nav>{r.random()}</nav>", f"<form><label>{r.random()}</label></form>", f"<section id='comments'><article><p>{r.random()}</p></article></section>", "<script>x='</p>'</script>", "<!-- <p>no</p> -->"]), []
+
+    def block():
+        kind = r.random()
+        if kind < 0.5:
+            return paragraph()
+        if kind < 0.7:
+            return junk()
+        inner = [block() for _ in range(r.randint(1, 3))]
+        name = r.choice(["div class='notice-of-motion'", "div", "section", "div class='text'"])
+        return f"<{name}>{''.join(h for h, _ in inner)}</{name.split()[0]}>", [b for _, bs in inner for b in bs]
+
+    body = [block() for _ in range(r.randint(1, 6))]
+    boxes = [(f"<div class='k{i}'>{t}</div>", [(t, (i, t))]) for i, t in enumerate(host_boxes) if r.random() < 0.6]
+    parts = [("<header><h1>Site</h1></header>", []), junk(), *boxes, (f"<article>{''.join(h for h, _ in body)}</article>", [b for _, bs in body for b in bs]), junk(), ("<footer>foot</footer>", [])]
+    return "".join(h for h, _ in parts), [b for _, bs in parts for b in bs]
+
+
+def page_texts(pages, min_pages=5, min_share=0.1):
+    """page_id to text of (page_id, host, blocks): boxes that recur on the host go."""
+    n, size = Counter(), Counter(h for _, h, _ in pages)
+    for _, host, blocks in pages:
+        n.update({(host, box) for _, box in blocks if box})
+    gone = {k for k, c in n.items() if c >= min_pages and c >= min_share * size[k[0]]}
+    return {i: "\n\n".join(" ".join(t.split()) for t, box in blocks if not box or (host, box) not in gone) for i, host, blocks in pages}
