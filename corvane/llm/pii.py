@@ -10,15 +10,16 @@ have. Patterns with `support` scored values and a score of `confident` then tag
 
 Texts are read again only for what a round asks: how often a candidate pattern occurs, then the values of those that at
 least `confident` / 2 of their occurrences speak for, then where else the values they reach occur. The rounds end when
-nothing new is reached.
+nothing changes any more.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -195,7 +196,12 @@ ROW = "doc_id long, text string, spans array<struct<kind:int,start:int,end:int>>
 def seeds_of(text: str, spans: list[tuple[int, int, int]], secret: re.Pattern) -> tuple[list[dict], list[int]]:
     """The seeds of a text with their patterns, and the places of the words that base spans or seeds overlap."""
     found = [(s, e, k) for k, s, e in spans]
-    found += [(m.start(), m.end(), len(BASE)) for m in secret.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e in spans)]
+    reach = sorted((s, e) for _, s, e in spans)
+    starts, ends = [s for s, _ in reach], list(accumulate((e for _, e in reach), max))  # how far the spans so far go
+    for m in secret.finditer(text):
+        i = bisect_left(starts, m.end())
+        if not i or ends[i - 1] <= m.start():
+            found.append((m.start(), m.end(), len(BASE)))
     if not found:
         return [], []
     words = Words([text.encode()])
@@ -301,9 +307,16 @@ def look_up(own: DataFrame, by: str, wanted: DataFrame, give: str) -> DataFrame:
     return got.join(wanted, by, "left_semi")
 
 
-def score_patterns(own: DataFrame, rounds: int = 3, support: int = 5, confident: float = 0.8, doubt: float = 1.0) -> tuple[DataFrame, DataFrame]:
+def signature(df: DataFrame) -> tuple:
+    """The same for the same rows in any order, with scores to three digits."""
+    cols = [F.round(c, 3) if c == "score" else F.col(c) for c in df.columns]
+    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*cols).cast("decimal(38,0)"))).first())
+
+
+def score_patterns(own: DataFrame, rounds: int | None = None, support: int = 5, confident: float = 0.8, doubt: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(pattern, kind, score, n) of the confident patterns, and (uid, start, end, pattern, value) of the instances of all
-    patterns that were followed, from the rows of scan()."""
+    patterns that were followed, from the rows of scan(). The rounds end when patterns, values and their scores, to
+    three digits, stay as they were, which they come to as they only grow; or after `rounds`, if that is given."""
     least = confident / 2 * (support + doubt) - 1e-3
     best = lambda x: (F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"), F.max("score").alias("score"), *x)
     # Where seeds stand: pattern, value, kind, occurrences; later also where values stand that patterns reach.
@@ -311,7 +324,8 @@ def score_patterns(own: DataFrame, rounds: int = 3, support: int = 5, confident:
     seed_n = seeds.groupBy("pattern").agg(F.sum("n").alias("seeds"))
     standing, asked, reached = None, None, None
     followed, found, out = None, None, None
-    for k in range(rounds):
+    last, more = None, None
+    for k in itertools.count():
         context = seeds.where("pattern <> 0").withColumn("score", F.lit(1.0))
         if reached is not None:
             context = context.unionByName(standing.join(reached, "value").select("pattern", "value", "kind", "n", "score"))
@@ -334,8 +348,10 @@ def score_patterns(own: DataFrame, rounds: int = 3, support: int = 5, confident:
         members = found.select("pattern", "value").unionByName(seeds.select("pattern", "value").join(followed, "pattern", "left_semi")).distinct()
         degree = members.groupBy("pattern").agg(F.count("*").alias("n"))
         out = written(gain.join(degree, "pattern").select("pattern", "kind", F.round(F.col("s") / (F.col("n") + doubt), 6).alias("score"), "n"), "pii-patterns")
-        if k + 1 == rounds:
+        now = signature(out), None if reached is None else signature(reached)
+        if k + 1 == rounds or now == last and not more.take(1):
             break
+        last = now
         good = out.where(F.col("score") >= confident / 2).groupBy("pattern").agg(*best([F.max("n").alias("n")]))
         inside = join_hot(found.select("pattern", "value"), good, ["pattern"]).groupBy("value").agg(*best([F.count("*").alias("inside")]))
         inside = written(inside.join(seeds.select("value"), "value", "left_anti"), "pii-inside")
@@ -374,8 +390,8 @@ def find_personal_data(docs: DataFrame, secret: str = SECRET, **how) -> DataFram
     secrets = own.select("uid", F.explode("seeds").alias("s")).select("uid", "s.kind", "s.start", "s.end").where(f"kind >= {len(BASE)}")
     added = hits.unionByName(secrets).groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
     out = own.select("doc_id", "uid", "spans").join(added, "uid", "left")
-    free = F.filter(F.coalesce("added", F.array()), lambda x: ~F.exists("spans", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return out.select(id_out(), "spans", free.alias("added"))
+    # Seeds keep off base spans, and the words of both are no instances: nothing that is added overlaps a base span.
+    return out.select(id_out(), "spans", F.coalesce("added", F.array()).alias("added"))
 
 
 def digest(found: DataFrame) -> DataFrame:
