@@ -5,17 +5,41 @@ from __future__ import annotations
 import ast
 import re
 
-#: What holds no structure: comments, literals and preprocessor lines.
-OPAQUE = re.compile(r"""//[^\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/)?|"(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.){1,8}'|^[ \t]*#(?:[^\n\\]|\\.)*+""", re.S | re.M)
+#: What holds no structure: literals, raw ones too, comments and preprocessor lines.
+OPAQUE = re.compile(r"""\b(?:u8|[uUL])?R"(?P<d>[^\s()\\"]{0,16})\(.*?(?:\)(?P=d)"|\Z)|//[^\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/)?|"(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.){1,8}'|^[ \t]*#(?:[^\n\\]|\\.)*+""", re.S | re.M)
 #: Words that open a block that is no function.
 BLOCKS = frozenset(["if", "for", "while", "switch", "catch", "do", "else", "try", "return", "namespace", "class", "struct", "union", "enum", "extern", "case", "default"])
 NAME = re.compile(r"(operator\s*(?:\(\s*\)|\[\s*\]|[^\s\w(]+|\s[\w:<>*& ]+?)|~?\w+)\s*$")
-WRAPPED = re.compile(r"\(\s*[*&]+\s*(?:const\s+)?(~?\w+)")
+#: A head whose parameters are names alone, and a declaration of them, as in definitions of the old style.
+OLD_STYLE = re.compile(r"[\w\s*:]*\b\w+\s*\(\s*\w+(?:\s*,\s*\w+)*\s*\)\s*\w[\w\s*,\[\]]*\s[\w\s*,\[\]]*\Z")
+DECLARED = re.compile(r"\s*[A-Za-z_]\w*[\s*][\w\s*,\[\]()]*\Z")
+WRAPPED = re.compile(r"(?:\(\s*[*&]+\s*(?:const\s+)?)+(?:\w+\s*::\s*)*(~?\w+)")
+
+
+TEMPLATE = re.compile(r"\s*template\s*<")
+
+
+def past_templates(head: str) -> str:
+    """A head without the template parameters before it; what stands in parentheses there closes none."""
+    at = 0
+    while m := TEMPLATE.match(head, at):
+        angles, deep = 1, 0
+        for x in re.compile("[<>()]").finditer(head, m.end()):
+            c = x.group()
+            deep = deep + 1 if c == "(" else max(0, deep - 1) if c == ")" else deep
+            if not deep and c in "<>":
+                angles += 1 if c == "<" else -1
+            if not angles:
+                break
+        if angles:
+            return head
+        at = x.end()
+    return head[at:]
 
 
 def name_of(head: str) -> str | None:
     """The function that the text before a body declares: `b` of `int *A::b(...)`, `f` of `int (*f(int))[3]`."""
-    head = re.sub(r"\b(?:public|private|protected)\s*:(?!:)", " ", head).strip()
+    head = re.sub(r"\b(?:public|private|protected)\s*:(?!:)", " ", past_templates(head)).strip()
     first = re.match(r"~?\w+", head)
     if not first or first.group() in BLOCKS or "(" not in head:
         return None
@@ -34,11 +58,13 @@ def name_of(head: str) -> str | None:
 
 
 def c_definitions(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, name) of every definition at any depth, in order; an open body ends with the text."""
+    """(start, end, name) of every definition at any depth, in order; an open body ends with the text. Between an old-style
+    head and its body stand declarations of its parameters."""
     plain = OPAQUE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
     out: list[tuple[int, int, str]] = []
     open_: list[int] = []  # for each open brace its definition's place in out, or -1
     begin, deep = 0, 0
+    since = -1  # where the last declaration after an old-style head ends, or -1
     for m in re.finditer(r"[{}();]", plain):
         c, at = m.group(), m.start()
         if c == "(":
@@ -46,6 +72,7 @@ def c_definitions(text: str) -> list[tuple[int, int, str]]:
         elif c == ")":
             deep = max(0, deep - 1)
         elif c == "{":
+            begin, since = since if since >= 0 and plain[since:at].strip() else begin, -1
             head = plain[begin:at]
             name = name_of(head) if deep == 0 else None
             if name:
@@ -57,9 +84,13 @@ def c_definitions(text: str) -> list[tuple[int, int, str]]:
             i = open_.pop() if open_ else -1
             if i >= 0:
                 out[i] = (out[i][0], at + 1, out[i][2])
-            begin, deep = at + 1, 0
+            begin, deep, since = at + 1, 0, -1
+        elif deep == 0 and since >= 0 and DECLARED.match(plain, since, at):
+            since = at + 1
         elif deep == 0:
-            begin = at + 1
+            start = since if since >= 0 else begin
+            old = plain.find("(", start, at) >= 0 and OLD_STYLE.match(plain, start, at)
+            begin, since = (start, at + 1) if old else (at + 1, -1)
     return out
 
 

@@ -162,6 +162,26 @@ query("x14_category", "SELECT doc_id, CASE WHEN source = 'src1' THEN 'portabilit
     lambda spark, sf_dir: table(spark, sf_dir, "documents").select("doc_id", T.category(F.concat(F.when(F.col("source") == "src1", "libiberty").otherwise(F.col("source")), F.lit("/a/b.c"))).alias("category"))
 )
 by_doc("x24_strategy", "CASE WHEN doc_id % 4 = 3 AND n_chars % 2 = 0 THEN 'combine' WHEN doc_id % 4 = 2 THEN 'equivalent' WHEN doc_id % 4 = 1 THEN 'mutate' ELSE 'new' END", lambda c, g: T.strategy(F.col("doc_id") % 4, F.when(F.col("n_chars") % 2 == 0, c)))
+@query(
+    "s2_whole_texts",
+    r"""SELECT file, function_name, complexity, md5(left(code, 800)) AS snippet FROM (
+      SELECT CAST(doc_id AS VARCHAR) AS file, 'g' || doc_id AS function_name, code, CAST(len(regexp_extract_all(code, '\b(?:if|else|for|while|switch|try|catch)\b')) AS BIGINT) AS complexity FROM (
+        SELECT doc_id, 'int *A::g' || doc_id || '(int x) const {' || chr(10) || 'if (x) { /* ' || replace(replace(text, '*/', '* /'), ' the ', ' if ') || ' */ const char *s = "' || replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n') || '"; }' || chr(10) || '}' AS code FROM documents WHERE text IS NOT NULL))
+    WHERE complexity >= 4""",
+)
+def whole_definitions(spark, sf_dir):
+    """Definitions that hold whole texts, braces and quotes included, in a comment and in a literal."""
+    from corvane.sources.files import functions_of
+
+    d, text = table(spark, sf_dir, "documents").where("text IS NOT NULL"), F.col("text")
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    said = F.replace(F.replace("text", F.lit("*/"), F.lit("* /")), F.lit(" the "), F.lit(" if "))
+    code = F.concat(F.lit("class A { public: int y; int *A::g"), "doc_id", F.lit("(int x) const {\nif (x) { /* "), said, F.lit(' */ const char *s = "'), text, F.lit('"; }\n} };\n'))
+    found = functions_of(d.select(F.col("doc_id").cast("string").alias("path"), code.alias("text")), "/", structured=True)
+    return found.select("file", "function_name", "complexity", F.md5("snippet").alias("snippet"))
+
+
 @query(
     "s2_definitions",
     rf"""SELECT file, function_name, complexity, md5(left(code, 800)) AS snippet FROM (

@@ -48,6 +48,20 @@ int open(int q) { switch (q) {"""
     assert python_definitions("def (") == [] and c_definitions("(" * 10_000 + "{" * 10_000) is not None
 
 
+def test_old_style_raw_and_templated_definitions():
+    from corvane.functions.structure import c_definitions
+
+    found = lambda code: [(code[s:e], n) for s, e, n in c_definitions(code)]
+    old = "static int add(a, b)\n  int a;\n  char *b[3], c;\n{ return a; }"
+    assert found(f"int proto(a);\n{old}\nint f(x) int x; int g(int y) {{ return y; }}") == [(old, "add"), ("int g(int y) { return y; }", "g")]
+    raw = 'auto h(const char *s = R"x(} { " )" )x") -> int { return s[0] == \'{\'; }'
+    assert found(f"{raw} int z;") == [(raw, "h")]
+    code = "template <class T, int N = (1 > 0)> auto A<T, N>::B::m(T (&t)[N]) const -> decltype(t) { if (t) { } } struct S { S &operator()(int) { return *this; } friend bool operator<(S, S) { return true; } operator bool() { return 1; } };"
+    assert [n for _, n in found(code)] == ["m", "operator()", "operator<", "operator bool"]
+    assert found("int (*(*pick(int k))(char))(int) { return 0; }")[0][1] == "pick"
+    assert found('R"(' * 20_000) == [] and found("f(a) " + "int a;" * 20_000) == []
+
+
 def test_headers_equal_the_pattern():
     import random
 
