@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,28 +45,35 @@ def k_of_n(df: DataFrame, group: str, order: str, ratio: float, seed: str = "mas
     return df.withColumn("picked", F.row_number().over(w) <= F.greatest(F.lit(1), F.floor(n * ratio)))
 
 
-def mask_candidates(docs: DataFrame, language: str = "cpp") -> DataFrame:
-    """R2, O-D5: doc_id, start, end, token of all that may be masked in docs (doc_id, code), one for each start."""
-    words = re.compile(r"\b(?:" + "|".join(TYPES.get(language, TYPES["c"])) + r")\b")
-    patterns = {"smt2": [NUMBERS, words], "qiskit": []}.get(language, [OPERATORS, words])
+class MaskCandidates:
+    """R2, O-D5 as a table function: start, end, token of all that may be masked in a program, one for each start."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for doc, code in zip(f["doc_id"], f["code"]):
-                at: dict[int, tuple[int, str]] = {}
-                for p in patterns:
-                    for m in p.finditer(code or ""):
-                        at.setdefault(m.start(), (m.end(), m.group()))
-                rows += [(doc, s, e, t) for s, (e, t) in sorted(at.items())]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "token"])
+    def __init__(self):
+        self.patterns: dict[str, list[re.Pattern]] = {}
 
-    return docs.select("doc_id", "code").mapInPandas(run, "doc_id long, start int, end int, token string")
+    def eval(self, code: str, language: str) -> Iterator[tuple[int, int, str]]:
+        if language not in self.patterns:
+            words = re.compile(r"\b(?:" + "|".join(TYPES.get(language, TYPES["c"])) + r")\b")
+            self.patterns[language] = {"smt2": [NUMBERS, words], "qiskit": []}.get(language, [OPERATORS, words])
+        at: dict[int, tuple[int, str]] = {}
+        for p in self.patterns[language]:
+            for m in p.finditer(code or ""):
+                at.setdefault(m.start(), (m.end(), m.group()))
+        for s, (e, t) in sorted(at.items()):
+            yield s, e, t
+
+
+def mask_candidates(docs: DataFrame, language: str | Column = "cpp") -> DataFrame:
+    """R2, O-D5: the columns of docs, code among them, and start, end, token of each candidate: a lateral join with an
+    Arrow table function, so what is not asked for is pruned from either side."""
+    found = F.udtf(MaskCandidates, returnType="start int, end int, token string", useArrow=True)
+    named = F.lit(language) if isinstance(language, str) else language.outer()
+    return docs.lateralJoin(found(F.col("code").outer(), named))
 
 
 def mask(docs: DataFrame, ratio: float = 0.15, language: str = "cpp") -> DataFrame:
     """doc_id, masked, tokens: the picked candidates replaced, their texts in order."""
-    found = k_of_n(mask_candidates(docs, language), "doc_id", "start", ratio).where("picked")
+    found = k_of_n(mask_candidates(docs.select("doc_id", "code"), language).drop("code"), "doc_id", "start", ratio).where("picked")
     spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "token"))).alias("spans"))
     joined = docs.select("doc_id", "code").join(spans, "doc_id", "left")
     step = F.aggregate(

@@ -509,12 +509,45 @@ def r1(spark, sf_dir):
     return sampling.k_of_n(c, "conv_id", "turn", 0.15).where("picked").select("conv_id", "turn")
 
 
-@query("r2_mask_candidates")
+# Operators lie in runs of their characters; a run is gone through place by place, as matches take one or two of them.
+CANDIDATES = r"""
+WITH RECURSIVE p AS (SELECT page_id AS doc_id, html AS code FROM pages),
+g AS (SELECT doc_id, regexp_extract_all(code, '[=!<>&|+\-*/%^~]+') AS m, string_split_regex(code, '[=!<>&|+\-*/%^~]+') AS gap FROM p),
+u AS (SELECT doc_id, unnest(m) AS run, unnest(gap[1:len(m)]) AS gap, unnest(range(len(m))) AS i FROM g),
+runs AS (SELECT doc_id, run, sum(length(gap) + length(run)) OVER (PARTITION BY doc_id ORDER BY i) - length(run) AS base FROM u),
+f(doc_id, run, base, k, n) AS (
+  SELECT doc_id, run, base, -1::BIGINT, 0::BIGINT FROM runs
+  UNION ALL
+  SELECT doc_id, run, base, k + greatest(n, 1), CASE
+      WHEN k + greatest(n, 1) > 0 AND substr(run, k + greatest(n, 1), 1) IN ('=', '!', '<', '>') THEN 0
+      WHEN substr(run, k + greatest(n, 1) + 1, 2) IN ('==', '!=', '<=', '>=', '&&', '||', '<<', '>>', '++', '--') AND substr(run, k + greatest(n, 1) + 3, 1) <> '=' THEN 2
+      WHEN substr(run, k + greatest(n, 1) + 2, 1) = '=' THEN 0
+      WHEN substr(run, k + greatest(n, 1) + 1, 1) IN ('+', '-', '*', '/', '%', '&', '|', '^', '~') THEN 1
+      WHEN substr(run, k + greatest(n, 1) + 1, 1) IN ('<', '>') AND substr(run, k + greatest(n, 1) + 2, 1) <> substr(run, k + greatest(n, 1) + 1, 1) THEN 1 ELSE 0 END
+  FROM f WHERE k + greatest(n, 1) < length(run)),
+w AS (SELECT doc_id, regexp_extract_all(code, '[\p{L}\p{N}_]+') AS m, string_split_regex(code, '[\p{L}\p{N}_]+') AS gap FROM p),
+x AS (SELECT doc_id, unnest(m) AS word, unnest(gap[1:len(m)]) AS gap, unnest(range(len(m))) AS i FROM w),
+words AS (SELECT doc_id, word, sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM x),
+c AS (
+  SELECT doc_id, CAST(base + k AS INT) AS start, CAST(base + k + n AS INT) AS "end", substr(run, k + 1, n) AS token FROM f WHERE n > 0
+  UNION ALL SELECT doc_id, CAST(e - length(word) AS INT), CAST(e AS INT), word FROM words WHERE word IN ('int', 'float', 'double', 'long', 'short', 'unsigned', 'signed', 'char', 'bool', 'void', 'auto', 'size_t'))
+"""
+
+
+@query("r2_mask_candidates", CANDIDATES + 'SELECT doc_id, start, "end" AS stop, token FROM c')
 def r2(spark, sf_dir):
-    return sampling.mask_candidates(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("code")))
+    docs = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("code"))
+    return sampling.mask_candidates(docs).select("doc_id", "start", F.col("end").alias("stop"), "token")
 
 
-@query("r1_masked_programs")
+@query(
+    "r1_masked_programs",
+    CANDIDATES.rstrip() + f""",
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {GATE.format('mask', "(doc_id || ':' || start)")}, start) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM c),
+    o AS (SELECT *, lag("end", 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS before FROM k WHERE r <= greatest(1, floor(n * 0.15))),
+    j AS (SELECT doc_id, string_agg(substr(code, before + 1, start - before) || '___MASK___', '' ORDER BY start) AS head, max("end") AS last, count(*) AS n FROM o JOIN p USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, md5(coalesce(head, '') || substr(code, coalesce(last, 0) + 1)) AS masked, coalesce(n, 0) AS n FROM p LEFT JOIN j USING (doc_id)""",
+)
 def masked(spark, sf_dir):
     m = sampling.mask(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("code")))
     return m.select("doc_id", F.md5("masked").alias("masked"), F.size("tokens").alias("n"))
