@@ -27,10 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset a folder in the
-    warehouse, which all of them see too."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset, as in tests, a folder in
+    the warehouse, unless this is on the driver's machine and executors are elsewhere."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
     warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/corvane-shared"
+    if warehouse.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{warehouse}/corvane-shared"
 
 
 def _delete(jvm, conf, path: str) -> None:
