@@ -24,11 +24,25 @@ def bounded_population(df: DataFrame, group: str, fitness: str, order: str, most
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
+def ranked_by_range(df: DataFrame, group: str, *by: str | Column) -> DataFrame:
+    """`rank` of each row in its group, from 1, and `_size` of the group: rows are sorted by ranges, each range numbers its
+    own part of a group and starts after the parts before it, so a large group is spread over tasks. Rows whose group
+    is null are left out."""
+    from corvane.sources.store import kept
+
+    t = df.where(F.col(group).isNotNull()).repartitionByRange(group, *by).sortWithinPartitions(group, *by)
+    t = kept(t.withColumn("_p", F.spark_partition_id()).withColumn("_s", F.monotonically_increasing_id()), "ranked")
+    w = W.partitionBy(group).orderBy("_p")
+    parts = t.groupBy(group, "_p").agg(F.count("*").alias("_n"))
+    parts = parts.select(group, "_p", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy(group)).alias("_size"))
+    own = t.withColumn("_r", F.row_number().over(W.partitionBy(group, "_p").orderBy("_s")))
+    return own.join(parts, [group, "_p"]).withColumn("rank", (F.col("_r") + F.col("_before")).cast("int")).drop("_p", "_s", "_r", "_before")
+
+
 def top_fraction(df: DataFrame, group: str, fitness: str, order: str, fraction: float) -> DataFrame:
-    """O-K4: that part of each group, rounded down, but one row at least."""
-    w = W.partitionBy(group).orderBy(F.desc(fitness), order)
-    n = df.groupBy(group).agg(F.greatest(F.lit(1), F.floor(F.count("*") * fraction)).alias("_k"))
-    return df.withColumn("rank", F.row_number().over(w)).join(n, group).where(F.col("rank") <= F.col("_k")).drop("_k")
+    """O-K4: that part of each group, rounded down, but one row at least, however large the group is."""
+    t = ranked_by_range(df, group, F.desc(fitness), order)
+    return t.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("_size") * fraction))).drop("_size")
 
 
 def best(df: DataFrame, group: str, fitness: str, order: str, column: str) -> DataFrame:

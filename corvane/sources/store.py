@@ -25,7 +25,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         place = spark.conf.get("spark.sql.warehouse.dir")
-        if place.split(":")[0] in ("file", place) and not spark.sparkContext.master.startswith("local"):
+        if place.startswith("file:") and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     path = f"{place}/corvane-{name}-{uuid.uuid4().hex}"
 

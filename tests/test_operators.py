@@ -162,3 +162,18 @@ def test_guarded_functions(spark):
     assert got == ["a!", "raise x", "loop", "int", "none", "empty", "b!", None]
     # Rows that no mutator is chosen for do not reach the function.
     assert df.select(r.apply(F.col("code"), F.col("id"), 0).alias("out")).where("out IS NULL").count() == 1
+
+
+def test_ranks_by_range(spark):
+    """Ranks in groups of which one has nearly all rows, over several ranges, ties by order."""
+    rows = [("a" if i % 9 else "b", float(i * 7 % 50), i) for i in range(2000)] + [(None, 1.0, 5000), ("c", 2.0, 5001)]
+    df = spark.createDataFrame(rows, "g string, f double, i long").repartition(5)
+    want = {}
+    for g in "abc":
+        for r, (_, i) in enumerate(sorted((-f, i) for x, f, i in rows if x == g), 1):
+            want[i] = r
+    got = ranking.ranked_by_range(df, "g", F.desc("f"), "i")
+    assert {r["i"]: r["rank"] for r in got.collect()} == want
+    top = {r["i"] for r in ranking.top_fraction(df, "g", "f", "i", 0.1).collect()}
+    size = {g: sum(x == g for x, _, _ in rows) for g in "abc"}
+    assert top == {i for g, _, i in rows if g and want[i] <= max(1, int(size[g] * 0.1))}
