@@ -641,3 +641,39 @@ def d21(spark, sf_dir):
 def first_stop(spark, sf_dir):
     at = F.instr("text", ". ")
     return table(spark, sf_dir, "documents").select("doc_id", F.when(at > 0, at - 1).otherwise(F.length("text")).cast("long").alias("n"))
+
+
+@query("k1_appended_programs", "SELECT source AS run, doc_id AS id, md5(text) AS code FROM documents WHERE text IS NOT NULL")
+def k1(spark, sf_dir):
+    """Programs appended in two parts and read again."""
+    from corvane.sources import sinks
+    from corvane.sources.store import scratch
+
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("source").alias("run"), F.col("doc_id").alias("id"), F.col("text").alias("code"))
+    path = scratch(spark, "programs")
+    for part in (0, 1):
+        sinks.append_programs(d.where(F.pmod("id", F.lit(2)) == part), path)
+    return spark.read.parquet(path).select("run", "id", F.md5("code").alias("code"))
+
+
+@query("k4_log_levels", "SELECT level, count(*) AS n, min(message) AS first FROM (SELECT CASE event_type WHEN 'error' THEN 'INFO' WHEN 'click' THEN 'TRACE' WHEN 'view' THEN 'VERBOSE' ELSE 'DEBUG' END AS level, 'event ' || event_id AS message FROM events) WHERE level IN ('INFO', 'TRACE') GROUP BY level")
+def k4(spark, sf_dir):
+    """A log written up to the level of TRACE; unknown levels are not logged."""
+    from corvane.sources import sinks
+    from corvane.sources.store import scratch
+
+    e = F.col("event_type")
+    level = F.when(e == "error", "INFO").when(e == "click", "TRACE").when(e == "view", "VERBOSE").otherwise("DEBUG")
+    path = scratch(spark, "log")
+    sinks.log_table(table(spark, sf_dir, "events").select(level.alias("level"), F.concat(F.lit("event "), "event_id").alias("message")), path, most=2)
+    return spark.read.parquet(path).groupBy("level").agg(F.count("*").alias("n"), F.min("message").alias("first"))
+
+
+@query("u9_embedded_texts", "SELECT doc_id, CAST(length(text) AS DOUBLE) AS x, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS y FROM documents WHERE text IS NOT NULL")
+def u9(spark, sf_dir):
+    """Vectors by an injected function of batches of texts."""
+    from corvane.sources.store import embedded
+
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    v = embedded(d, "text", lambda texts: [[float(len(t)), float(t.count("e"))] for t in texts])
+    return v.select("doc_id", F.col("vec")[0].cast("double").alias("x"), F.col("vec")[1].cast("double").alias("y"))
