@@ -109,7 +109,8 @@ def postings(texts: DataFrame, trigrams: list[str]) -> DataFrame:
 def candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """doc_id, t, rules: the numbers of the rules whose trigram queries the row's text meets."""
     asked = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.regex))}
-    terms = [(i, j, g, p, len(alternative)) for i, q in asked.items() for j, alternative in enumerate(q) for p, g in enumerate(sorted(alternative))]
+    # At most 60 trigrams of an alternative are asked for, a bit each: asking for fewer only lets more be verified.
+    terms = [(i, j, g, p, min(60, len(alternative))) for i, q in asked.items() for j, alternative in enumerate(q) for p, g in enumerate(sorted(alternative)[:60])]
     if not terms:
         return texts.limit(0).select("doc_id", "t", F.array().cast("array<int>").alias("rules"))
     index = postings(texts, sorted({g for _, _, g, _, _ in terms}))

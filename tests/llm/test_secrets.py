@@ -63,6 +63,14 @@ def test_no_match_without_its_trigrams(rule):
             assert query is None or any(all(g in m[0].lower() for g in q) for q in query)
 
 
+def test_long_literals(spark):
+    """A rule whose match has more trigrams than a long has bits."""
+    word = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(90))
+    docs = spark.createDataFrame([(1, f"a {word}1 b"), (2, word[:-1]), (3, None)], "doc_id long, text string")
+    found = find_secrets(docs, (Rule("long", word + "[0-9]"),)).select("row.doc_id", "spans").collect()
+    assert {r["doc_id"]: [(x["start"], x["end"]) for x in r["spans"]] for r in found} == {1: [(2, 93)], 2: [], 3: []}
+
+
 def test_only_candidates_are_verified(spark):
     docs = spark.createDataFrame([(1, 1, "my password: x"), (2, 2, "pass the word"), (3, 3, "AKIA"), (4, 4, "api-key")], "doc_id long, t long, text string")
     got = {r["doc_id"]: sorted(r["rules"]) for r in candidates(docs, RULES).collect()}
