@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,6 +64,17 @@ def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def _bound() -> Column:
+    """No vector between `low` and `high` of a centre is nearer to a query at `angle` from it."""
+    return F.greatest(F.lit(0.0), F.col("low") - F.col("angle"), F.col("angle") - F.col("high")) - SLACK
+
+
+def _nearest(df: DataFrame, n: int, *by: str) -> DataFrame:
+    """Of each query the first rows that hold n vectors between them."""
+    w = W.partitionBy("query_id").orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
+    return df.withColumn("_before", F.coalesce(F.sum("n").over(w), F.lit(0))).where(F.col("_before") < n).drop("_before")
+
+
 @dataclass
 class VectorIndex:
     """An index written by build(). `cells` (cell, centre) are at most as many as were fitted; `blocks` have one row for
@@ -129,8 +140,8 @@ class VectorIndex:
     def lists(self) -> DataFrame:
         return self._table("lists", "low double, high double, n long, ids array<long>, vecs binary, block long, cell long")
 
-    def _bounds(self, queries: DataFrame) -> DataFrame:
-        """(query_id, block, n, bound): no vector of the block is at a smaller angle to the query."""
+    def _cells(self, queries: DataFrame) -> DataFrame:
+        """(query_id, cell, angle, n, bound): the angle to each cell's centre, the cell's rows, and the least angle to any."""
         cells = self._table("cells", "cell long, centre array<double>").orderBy("cell").collect()  # as many as were fitted
         shared = self.spark.sparkContext.broadcast(np.asarray([r["centre"] for r in cells], np.float64))
 
@@ -141,9 +152,12 @@ class VectorIndex:
                     k = angle.shape[1]
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), k)), pa.array(np.tile(np.arange(k), len(angle))), pa.array(angle.ravel())], ["query_id", "cell", "angle"])
 
-        near = queries.mapInArrow(run, "query_id long, cell long, angle double")
-        bound = F.greatest(F.lit(0.0), F.col("low") - F.col("angle"), F.col("angle") - F.col("high")) - SLACK
-        return near.join(self.blocks, "cell").select("query_id", "cell", "block", "n", bound.alias("bound"))
+        whole = F.broadcast(self.blocks.groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")))
+        return queries.mapInArrow(run, "query_id long, cell long, angle double").join(whole, "cell").select("query_id", "cell", "angle", "n", _bound().alias("bound"))
+
+    def _blocks_of(self, cells: DataFrame) -> DataFrame:
+        """(query_id, cell, block, n, bound) of the blocks of such cells."""
+        return cells.select("query_id", "cell", "angle").join(self.blocks, "cell").select("query_id", "cell", "block", "n", _bound().alias("bound"))
 
     def _scan(self, pairs: DataFrame, queries: DataFrame, n: int) -> DataFrame:
         """query_id, vec_id, score: of each pair (query_id, block) the n best of the block."""
@@ -173,20 +187,20 @@ class VectorIndex:
 
     def search(self, queries: DataFrame, n: int) -> Found:
         """For each query (query_id, vec) the n vectors of highest cosine, ties by id, as ranking.nearest(); and how many
-        rows were read for it. First the nearest blocks with n rows are read, then those that the n-th best of them does
-        not rule out. Queries without a vector have no answer; query ids are unique."""
+        rows were read for it. First the nearest blocks of the nearest cells with n rows are read, then those that the n-th best of them does
+        not rule out, whole cells before their blocks. Queries without a vector have no answer; query ids are unique."""
         from corvane.sources.store import kept
 
         q = kept(queries.where("vec IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec")), "queries")
-        bounds = kept(self._bounds(q), "bounds")
-        w = W.partitionBy("query_id").orderBy("bound", "block")
-        before = F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        first = kept(bounds.withColumn("before", before).where(F.col("before") < n).drop("before"), "first-blocks")
+        cells = kept(self._cells(q), "cells")
+        first = kept(_nearest(self._blocks_of(_nearest(cells, n, "angle", "cell")), n, "bound", "block"), "first-blocks")
         best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         rank = F.row_number().over(best)
         known = kept(self._scan(first, q, n).withColumn("rank", rank).where(F.col("rank") <= n), "first-found")
         worst = known.where(F.col("rank") == n).select("query_id", F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), "score"))).alias("reach"))
-        more = bounds.join(worst, "query_id", "left").where(F.col("reach").isNull() | (F.col("bound") <= F.col("reach"))).join(first.select("query_id", "block"), ["query_id", "block"], "left_anti")
+        in_reach = F.col("reach").isNull() | (F.col("bound") <= F.col("reach"))
+        more = self._blocks_of(cells.join(worst, "query_id", "left").where(in_reach)).join(worst, "query_id", "left").where(in_reach)
+        more = more.join(first.select("query_id", "block"), ["query_id", "block"], "left_anti")
         more = kept(more.select("query_id", "cell", "block", "n"), "more-blocks")
         rows = known.drop("rank").unionByName(self._scan(more, q, n)).withColumn("rank", rank).where(F.col("rank") <= n)
         total = self.blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows_in_all"))
