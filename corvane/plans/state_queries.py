@@ -597,18 +597,20 @@ def s6(spark, sf_dir):
 
 @query("s6_paged_issues", "SELECT event_id AS number, event_type AS title, coalesce(props, '') AS body, 'u' || event_id AS url, '' AS symptom, 'closed' AS state FROM events WHERE user_id % 3 <> 0 AND event_id % 2 = 0")
 def s6_paged(spark, sf_dir):
-    """All closed issues of pages of 100, each read by its link from the one before."""
+    """All closed issues of pages of 100, each found by its link from the one before."""
     from corvane.sources import issues
-    from corvane.sources.store import scratch
+    from corvane.sources.store import kept, scratch
 
     n, page = F.col("event_id"), F.floor(F.col("event_id") / 100)
     issue = F.struct(n.alias("number"), F.col("event_type").alias("title"), F.col("props").alias("body"), F.concat(F.lit("u"), n).alias("html_url"), F.when(n % 2 == 0, "closed").otherwise("open").alias("state"), F.when(F.col("user_id") % 3 == 0, F.struct(n.alias("number"))).alias("pull_request"))
     pages = table(spark, sf_dir, "events").groupBy(page.alias("page")).agg(F.collect_list(issue).alias("issues"))
     link = F.concat(F.lit('<page=0>; rel="first", <page='), F.col("page") + 1, F.lit('>; rel="next"'))
+    name = F.concat(F.lit("page="), F.col("page"))
+    stored = kept(pages.select(name.alias("page"), F.to_json(F.struct(F.lit(200).alias("status"), link.alias("link"), "issues")).alias("value")), "pages")
     path = scratch(spark, "issues")
-    pages.select("page", F.to_json(F.struct(F.lit(200).alias("status"), link.alias("link"), "issues")).alias("value")).repartition("page").write.partitionBy("page").text(path)
+    issues.packed(stored, path)
     issues.register(spark)
-    return spark.read.format("issues").option("path", path).load().where("state = 'closed'").select("number", "title", "body", "url", "symptom", "state")
+    return spark.read.format("issues").option("path", path).option("packed", "true").load().where("state = 'closed'").select("number", "title", "body", "url", "symptom", "state")
 
 
 @query("s9_resume_offset", "SELECT coalesce(max(doc_id) + 1, 0) AS next_id FROM documents")
