@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +18,8 @@ SUFFIXES = {"cpp": (".cpp", ".cxx", ".cc", ".hpp", ".h"), "c": (".c", ".h"), "py
 ENTRY_WORDS = ["fold", "expand", "emit", "gimplify", "optimize", "lower", "simplify", "parse", "analyze", "resolve", "check", "rewrite", "codegen", "generate"]
 HEADER = re.compile(r"(?:^|\n)(?:[\w:<>*&\s]+)\s+(\w+)\s*\([^)]*\)\s*\{", re.M)
 SLICE, EXCERPT = 1500, 800
+#: Characters of the slices that go back to Spark at once.
+BATCH = 1 << 20
 LOG_LINE = r"^\[(INFO|TRACE|VERBOSE)\] (.*)$"
 
 
@@ -67,6 +69,26 @@ def headers(text: str) -> Iterator[re.Match]:
             yield m
 
 
+def slices(batches: Iterable[pa.RecordBatch], found_in: Callable[[str], list[tuple[int, int, str]]]) -> Iterator[pa.RecordBatch]:
+    """file, at, function_name, slice of what is found in each text, in batches of about BATCH characters. Texts are taken
+    one at a time, so a worker holds one batch of Spark's and little else."""
+    types = {"file": pa.string(), "at": pa.int32(), "function_name": pa.string(), "slice": pa.string()}
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.values())], list(types))
+    rows, size = [], 0
+    for b in batches:
+        for path, text in zip(b["path"], b["text"]):
+            t = text.as_py()
+            for s, e, name in found_in(t) if t else ():
+                rows.append((path.as_py(), s, name, t[s:e]))
+                size += len(rows[-1][3])
+                if size >= BATCH:
+                    yield batch(rows)
+                    rows, size = [], 0
+        b = path = text = t = None  # before the next batch is read
+    if rows:
+        yield batch(rows)
+
+
 def functions_of(files: DataFrame, root: str, language: str = "cpp", threshold: int = 4, structured: bool = False) -> DataFrame:
     """file, at, function_name, complexity, pass_category, snippet of each function that is complex enough or named like
     an optimizer's entry. S3 by a header pattern and a slice of fixed length; structured, S2 and S4: every definition
@@ -77,12 +99,7 @@ def functions_of(files: DataFrame, root: str, language: str = "cpp", threshold:
             return definitions(text, language)
         return [(m.start(), m.start() + SLICE, m.group(1)) for m in headers(text)]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(p, s, name, t[s:e]) for p, t in zip(f["path"], f["text"]) if t for s, e, name in found_in(t)]
-            yield pd.DataFrame(rows, columns=["file", "at", "function_name", "slice"])
-
-    found = files.select("path", "text").mapInPandas(run, "file string, at int, function_name string, slice string")
+    found = files.select("path", "text").mapInArrow(lambda batches: slices(batches, found_in), "file string, at int, function_name string, slice string")
     base = root.rstrip("/")
     rel = F.regexp_replace("file", "^(?:file:/*)?/?" + re.escape(base.lstrip("/")) + "/", "")
     named = F.exists(F.array(*map(F.lit, ENTRY_WORDS)), lambda w: F.contains(F.lower("function_name"), w))

@@ -29,6 +29,31 @@ def test_functions(spark, tmp_path):
     assert got[0]["pass_category"].startswith("GCC core")
 
 
+def test_functions_go_back_before_the_next_text_is_read():
+    """A batch with many texts, and one text with many nested definitions, are never held as slices all at once."""
+    import pyarrow as pa
+
+    code, taken, read = "int f(int x) {\n" + "x;\n" * 40_000 + "}\n", [], []
+
+    def batches(*columns):
+        for c in columns:
+            read.append(len(c))
+            yield pa.RecordBatch.from_pydict({"path": [str(i) for i in range(len(c))], "text": pa.array(c, pa.string())})
+
+    def found(text):
+        taken.append(text)
+        return files.definitions(text, "cpp")
+
+    out = files.slices(batches([None, code] * 50, [], ["", code]), found)
+    first = next(out)
+    assert len(taken) < 20 and read == [100] and sum(map(len, first["slice"].to_pylist())) < 2 * files.BATCH
+    rest = [r for b in [first, *out] for r in b.to_pylist()]
+    assert [r["file"] for r in rest] == [str(i) for i in range(1, 100, 2)] + ["1"] and {(r["at"], r["function_name"], r["slice"]) for r in rest} == {(0, "f", code.rstrip())}
+    nested = "".join(f"int g{i}() {{\n" for i in range(300)) + "x;" * 20_000 + "}" * 300
+    sizes = [sum(len(x.as_py()) for x in b["slice"]) for b in files.slices(batches([nested]), found)]
+    assert sum(sizes) > 300 * 40_000 and max(sizes) < files.BATCH + len(nested)
+
+
 def test_definitions():
     from corvane.functions.structure import c_definitions, python_definitions
 
