@@ -199,9 +199,25 @@ def category(path: Column) -> Column:
     return F.coalesce(F.try_element_at(names, top), top)
 
 
+def any_of(names: list[str]) -> str:
+    """Pattern for any of the names, those with the same beginning together, so that few are tried at a place."""
+    from re import escape
+
+    tails: dict[str, list[str]] = {}
+    for n in names:
+        tails.setdefault(n[:1], []).append(n[1:])
+    more = "|".join(escape(x) + any_of(own) for x, own in tails.items() if x)
+    return f"(?:{more})" + ("?" if "" in tails else "") if more else ""
+
+
 def needed_headers(c: Column) -> Column:
-    """Headers whose names the text has as whole words, in the table's order."""
-    return F.filter(F.array(*[F.when(F.regexp_like(c, F.lit(word(n))), F.lit(h)) for h, n in HEADERS.items()]), lambda x: x.isNotNull())
+    """Headers whose names the text has as whole words, in the table's order. All names are looked for in one pass;
+    none has another one in it as a whole word."""
+    places = {n: i for i, names in enumerate(HEADERS.values(), 1) for n in names}
+    named = rf"(?<![A-Za-z0-9_])({any_of(list(places))})(?![A-Za-z0-9_])"
+    place = F.create_map(*[F.lit(x) for kv in places.items() for x in kv])
+    found = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(named), 1), lambda w: F.element_at(place, w))
+    return F.transform(F.array_sort(F.array_distinct(found)), lambda i: F.element_at(F.array(*map(F.lit, HEADERS)), i))
 
 
 def with_headers(begin: Column, headers: Column) -> Column:

@@ -106,3 +106,18 @@ def test_chats(spark):
     c = lambda first: [tuple(t) for t in spark.range(1).select(T.example_chat(F.lit("s"), F.lit("d"), F.lit(""), F.lit("ask"), F.lit(first)).alias("x")).first()["x"]]
     assert c("") == [("system", "s"), ("user", "d"), ("user", ""), ("user", "ask")]
     assert c("one") == [("system", "s"), ("user", "d"), ("user", ""), ("user", "ask"), ("assistant", "```\none\n```"), ("user", "ask")]
+
+
+def test_headers_are_found_in_one_pass(spark):
+    """Against a search for each header; the plan has one pattern, and no name holds another one as a whole word."""
+    import re
+
+    names = [n for own in T.HEADERS.values() for n in own]
+    whole = lambda own, text: re.search(T.word(own), text) is not None
+    assert all(a == b or not whole([a], b) for a in names for b in names)
+    texts = [None, "", *names, *[f"x{n} {n}_ {n}9" for n in names], *[f"é{n}(" for n in names], " ".join(names), "::".join(reversed(names)), "std::is_same_value std::is_same_v<int> strncpyx,log;assert", "std::stringstream std::sorted sort std:: sort", *[f"{a}{s}{b}" for a, b in zip(names, names[1:]) for s in (".", "_", "::", "")]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.needed_headers(F.col("t")).alias("h"))
+    want = {i: [h for h, own in T.HEADERS.items() if whole(own, t or "")] for i, t in enumerate(texts)}
+    assert {r["i"]: r["h"] for r in df.collect()} == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and "RLIKE" not in plan
