@@ -29,6 +29,20 @@ def test_functions(spark, tmp_path):
     assert got[0]["pass_category"].startswith("GCC core")
 
 
+def test_whole_definitions_of_many_batches(spark):
+    """Slices of several times what goes back at once, some texts null: every definition comes, whole."""
+    body = "if (x) { s = \"}\"; }\n" * 5_000
+    t = spark.range(0, 60, 1, 1).selectExpr("concat('/r/a/', id, '.cc') AS path", f"if(id % 3 = 0, null, concat('int g', id, '(int x) {{\n', repeat('{body[:20]}', 5000), '}}')) AS text")
+    got = {r["file"]: (r["at"], r["function_name"], r["complexity"], len(r["snippet"])) for r in files.functions_of(t, "/r", structured=True).collect()}
+    assert got == {f"/r/a/{i}.cc": (0, f"g{i}", 5_000, files.EXCERPT) for i in range(60) if i % 3}
+    spans = {f"/r/a/{i}.cc": f"int g{i}(int x) {{\n{body}}}" for i in range(60) if i % 3}
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"path": list(spans), "text": [f"{x}\n" for x in spans.values()]})
+    out = list(files.slices(iter([batch]), lambda x: files.definitions(x, "cpp")))
+    assert {r["file"]: r["slice"] for b in out for r in b.to_pylist()} == spans and len(out) > 2
+
+
 def test_functions_go_back_before_the_next_text_is_read():
     """A batch with many texts, and one text with many nested definitions, are never held as slices all at once."""
     import pyarrow as pa
