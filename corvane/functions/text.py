@@ -187,9 +187,11 @@ def all_stopped(texts: Column, stops: list[str]) -> Column:
 
 
 def complexity(c: Column, language: Column) -> Column:
-    """Control words of C-like text, deepest indent in fours for Python."""
+    """Control words of C-like text, deepest indent in fours for Python. Only places with a control word's first
+    letter are looked at further."""
     indent = F.array_max(F.transform(F.split(c, "\n"), lambda x: F.floor(F.length(F.regexp_extract(x, r"^(\s*)", 1)) / 4)))
-    return F.when(language.isin("python", "qiskit"), indent).otherwise(F.regexp_count(c, F.lit(word(CONTROL_WORDS)))).cast("long")
+    control = f"(?=[{''.join(sorted({w[0] for w in CONTROL_WORDS}))}])" + word(CONTROL_WORDS)
+    return F.when(language.isin("python", "qiskit"), indent).otherwise(F.regexp_count(c, F.lit(control))).cast("long")
 
 
 def category(path: Column) -> Column:

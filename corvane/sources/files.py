@@ -103,7 +103,7 @@ def functions_of(files: DataFrame, root: str, language: str = "cpp", threshold:
     base = root.rstrip("/")
     rel = F.regexp_replace("file", "^(?:file:/*)?/?" + re.escape(base.lstrip("/")) + "/", "")
     named = F.exists(F.array(*map(F.lit, ENTRY_WORDS)), lambda w: F.contains(F.lower("function_name"), w))
-    scored = found.withColumn("complexity", complexity(F.col("slice"), F.lit(language)))
+    scored = found.select("*", F.explode(F.array(complexity(F.col("slice"), F.lit(language)))).alias("complexity"))  # counted once, not again in the filter
     return scored.where((F.col("complexity") >= threshold) | named).select("file", "at", "function_name", "complexity", category(rel).alias("pass_category"), F.left("slice", F.lit(EXCERPT)).alias("snippet"))
 
 

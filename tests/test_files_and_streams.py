@@ -68,6 +68,36 @@ def test_functions_go_back_before_the_next_text_is_read():
     assert sum(sizes) > 300 * 40_000 and max(sizes) < files.BATCH + len(nested)
 
 
+def test_control_words_are_counted_once(spark):
+    """Whole slices are searched for the column, and not once more for the filter; the words are those of a plain search."""
+    import random
+    import re
+
+    rng = random.Random(5)
+    parts = ["if", "else", "for", "while", "switch", "try", "catch", "i", "f", "_", "9", " ", "\n", "(", "é", "if(", "elseif"]
+    t = ["int g() {" + "".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) + "}" for _ in range(500)]
+    df = files.functions_of(spark.createDataFrame(list(zip(map(str, range(500)), t)), "path string, text string"), "/", threshold=0, structured=True)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("(?:if|else|") == 1
+    assert {int(r["file"]): r["complexity"] for r in df.collect()} == {i: len(re.findall(r"\b(?:if|else|for|while|switch|try|catch)\b", x, re.A)) for i, x in enumerate(t)}
+
+
+def test_what_holds_no_structure_is_blanked():
+    """As a search a character at a time finds it, in a text of any length; long comments and literals in one step each."""
+    import random
+    import re
+
+    from corvane.functions import structure
+
+    plain = re.compile(r"""\b(?:u8|[uUL])?R"(?P<d>[^\s()\\"]{0,16})\(.*?(?:\)(?P=d)"|\Z)|//[^\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/)?|"(?:[^"\\\n]|\\.)*+"?|'(?:[^'\\\n]|\\.){1,8}'|^[ \t]*#(?:[^\n\\]|\\.)*+""", re.S | re.M)
+    rng = random.Random(6)
+    parts = ["/*", "*/", "*", "/", "//", '"', "'", "\\", "\n", "x", "é", " ", "#", 'R"(', ')"', "{", "}", "();"]
+    for _ in range(5000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        assert structure.OPAQUE.sub(structure.blank, t) == plain.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), t), t
+    long = "/* " + "{*\n" * 300_000 + '*/ "' + '{\\"' * 300_000 + '"'
+    assert re.sub("[ \n]", "", structure.OPAQUE.sub(structure.blank, long)) == ""
+
+
 def test_definitions():
     from corvane.functions.structure import c_definitions, python_definitions
 
